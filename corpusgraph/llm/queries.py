@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import lines, mixing, packing, rules
+from corpusgraph.llm import joins, lines, mixing, packing, rules
 
 QUERIES = {
     "op1_quality_rules": rules.op1_quality_rules,
+    "op4_ngram_jaccard_join": joins.op4_ngram_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_packing": packing.op9_packing,
