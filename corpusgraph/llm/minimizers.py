@@ -1,0 +1,55 @@
+"""Anchors of sliding windows: what equal windows of different documents meet by."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def minimizers(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of *span* hashes in a row, by runs that share the leftmost place of their least hash:
+    that place, the first window and the number of windows."""
+    n = len(hashes) - span + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    # The least of any `span` in a row is that of the end of one block or of the start of the next.
+    keys = np.full((-(-len(hashes) // span) + 1) * span, np.iinfo(np.uint64).max, np.uint64)
+    keys[: len(hashes)] = hashes
+    blocks = keys.reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
+    anchor = np.empty(n, np.int64)
+    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.concatenate([change[1:], [n]])
+    for a, b in zip(change.tolist(), ends.tolist(), strict=True):
+        at = np.flatnonzero(keys[a : b - 1 + span] == least[a]) + a
+        # Window s has the first of these places that is not before s.
+        anchor[a:b] = at[np.searchsorted(at, np.arange(a, b))] if len(at) > 1 else at[0]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    return anchor[first], first, np.diff(np.concatenate([first, [n]]))
+
+
+def shared_anchors(docs: DataFrame, anchors: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """``key`` of a document (a hash of its id and text) and those of its ``anchors`` that occur
+    twice or more in all documents, which *anchors* gives for a text.
+
+    Counts are combined on the map side, by document and by anchor, so a frequent anchor costs a
+    row a document that holds it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(text) for text in batch.column(1).to_pylist()]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            both = [pa.array(keys, pa.int64()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))]
+            yield pa.RecordBatch.from_arrays(both, ["key", "anchor"])
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, anchor long")
+    rows = rows.groupBy("anchor", "key").agg(F.count("*").alias("n"))
+    shared = rows.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return rows.join(shared, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))

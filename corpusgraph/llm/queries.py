@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import joins, lines, mixing, packing, rules
+from corpusgraph.llm import gam, joins, language, lines, media, mixing, packing, rules, suffixes
 
 QUERIES = {
     "op1_quality_rules": rules.op1_quality_rules,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_ngram_jaccard_join": joins.op4_ngram_jaccard_join,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_quality_classifier": gam.op6_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_language_id": language.op10_language_id,
 }
 
 SQL = {"op7_mixing": mixing.OP7_SQL, "op8_line_dedup": lines.OP8_SQL}
