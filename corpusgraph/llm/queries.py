@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import gam, joins, language, lines, media, mixing, packing, rules, suffixes
+from corpusgraph.llm import gam, joins, language, lines, media, mixing, packing, passages, rules, suffixes
 
 QUERIES = {
     "op1_quality_rules": rules.op1_quality_rules,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_ngram_jaccard_join": joins.op4_ngram_jaccard_join,
     "op5_media_columns": media.op5_media_columns,
