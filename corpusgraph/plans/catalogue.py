@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from importlib import import_module
 
+from corpusgraph.plans.registry import QUERIES, SQL
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+for _name in ("selection", "combining", "analysis"):
+    import_module(f"corpusgraph.plans.{_name}")
+
+__all__ = ["QUERIES", "SQL", "flagship"]
+
+
+def flagship(spark, folder):
+    """Hybrid retrieval over the documents and the embeddings in *folder*."""
+    return QUERIES["v07_hybrid"](spark, folder)
