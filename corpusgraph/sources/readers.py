@@ -45,10 +45,13 @@ def language_of_file(name: Column | str, patterns: dict[str, str], default: str
     return F.lit(default) if chain is None else chain.otherwise(default)
 
 
-def by_manifest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The JSON files that ``_meta.json`` lists under ``namespaces``, with ``namespace``; lists or single objects."""
-    manifest = spark.read.json(f"{folder}/_meta.json", multiLine=True).select(F.explode("namespaces").alias("n"))
-    names = [r["n"] for r in manifest.collect()]  # as many as there are files
+def by_manifest(spark: SparkSession, folder: str, schema: str, manifest: str = "meta.json") -> DataFrame:
+    """The JSON files that the manifest lists under ``namespaces``, with ``namespace``; lists or single objects.
+
+    Spark doesn't see files whose names start with an underscore, so neither may the manifest's.
+    """
+    listed = spark.read.schema("namespaces array<string>").json(f"{folder}/{manifest}", multiLine=True)
+    names = [r["n"] for r in listed.select(F.explode("namespaces").alias("n")).collect()]  # as many as there are files
     paths = [f"{folder}/{n}.json" for n in names if re.fullmatch(r"[\w-]+", n)]
     rows = spark.read.schema(schema).json(paths, multiLine=True)
     return rows.withColumn("namespace", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))

@@ -16,9 +16,9 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 
 
 def by_namespace(df: DataFrame, path: str, report: DataFrame | None = None) -> None:
-    """JSON lines in a folder a namespace, ``_meta`` with their numbers, and ``quality_report``."""
+    """JSON lines in a folder a namespace, ``meta`` with their numbers, and ``quality_report``."""
     df.write.mode("overwrite").partitionBy("namespace").json(f"{path}/records")
-    df.groupBy("namespace").agg(F.count("*").alias("n")).write.mode("overwrite").json(f"{path}/_meta")
+    df.groupBy("namespace").agg(F.count("*").alias("n")).write.mode("overwrite").json(f"{path}/meta")
     if report is not None:
         report.write.mode("overwrite").json(f"{path}/quality_report")
 

@@ -15,7 +15,10 @@ LATE = "10 minutes"
 
 
 def _marked(events: DataFrame, late: str = LATE) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    # Watermarks need a time with a zone, which that of the session is taken to be.
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def tumbling(events: DataFrame, width: str, late: str = LATE) -> DataFrame:
@@ -38,7 +41,7 @@ def sessions(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
 def deduplicated(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     """One event a key; on a stream, copies are looked for within the time allowed for late events."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+        return _marked(events, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
 
 
