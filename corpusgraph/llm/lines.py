@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import SPACES, bind, documents
+from corpusgraph.llm.common import SPACES, bind, cut, documents
 
+#: A key is frequent if it holds one in so many of the shared lines, so there are no more than so many.
+_FREQUENT_KEYS = 500
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,8 +55,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     older ``line_stats`` is replaced).  An empty table gives an empty table.
 
     The count is combined on the map side, first by key and document and then by key, so that a
-    line of a third of all documents costs one row a task.  Only lines of shared keys go on; the
-    text is shuffled once, to meet the positions of the lines it loses.
+    line of a third of all documents costs one row a task.  Keys that hold at least a 500th of all
+    shared lines, of which there are at most 500, meet their lines by a broadcast, the others by a
+    shuffle of hashes; the text is shuffled once, to meet the positions of the lines it loses.
     """
     long_lines = docs.select(
         "doc_id", F.xxhash64("text").alias("version"), F.explode(_key_hashes(F.col("text"), min_chars)).alias("k")
@@ -66,10 +69,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         .groupBy("a", "b")
         .agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n"))
         .where(F.col("n") >= min_docs)
-        .drop("n")
     )
+    shared = cut(shared)
+    held = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = F.col("n") * _FREQUENT_KEYS >= held
+    hot, cold = F.broadcast(shared.where(frequent)).drop("n"), shared.where(~frequent).drop("n")
+    of_hot = long_lines.join(hot, ["a", "b"])
+    of_cold = long_lines.join(hot.drop("keeper"), ["a", "b"], "left_anti").join(cold, ["a", "b"])
     lost = (
-        long_lines.join(shared, ["a", "b"])
+        of_hot.unionByName(of_cold)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "version")
         .agg(F.collect_set("at").alias("lost"))
