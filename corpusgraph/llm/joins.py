@@ -79,15 +79,15 @@ def _verified(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def _with_component(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    other = parts.select(F.col("node").alias("set_id"), "component")
-    return rows.drop("component").join(other, "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id")
-    )
-
+def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket``, ``set_id``, ``n`` and ``component`` of the rows of buckets that hold more than one component.
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of the buckets that hold more than one component."""
+    The component is the smallest hub that the set links with, or the set itself: sets of one are
+    joined, sets of several may be too.  Hubs have been compared with all of their bucket, so they are left out.
+    """
+    hubs = links.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("component"))
+    rows = rows.where("set_id <> hub").join(hubs, "set_id", "left")
+    rows = cut(rows.select("bucket", "set_id", "n", F.coalesce("component", "set_id").alias("component")))
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return rows.join(several.select("bucket"), "bucket", "left_semi")
 
@@ -99,21 +99,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     A bucket's sets are put in blocks of about BLOCK, alike in size and, where a component is large,
     of one component; pairs of blocks whose sizes rule a link out, or that hold the same one component, get no task.
     """
-    large = rows.groupBy("bucket", "component").agg((F.count("*") >= BLOCK // 2).alias("large"))
-    rows = rows.join(large, ["bucket", "component"]).select(
-        "bucket", "set_id", "n", "component",
-        F.floor(F.log(1.25, "n")).alias("step"),
-        F.when(F.col("large"), F.col("component")).alias("own"),
-    )
-    # Every shape has a number of its own, by which rows meet their counts (own may be null).
-    rows = rows.withColumn("shape", F.xxhash64("bucket", "step", "own"))
+    step = F.floor(F.log(1.25, "n"))
+    # Few buckets need more than one block, so the rest has no part in working them out.
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("bucket")
+    crowded = cut(crowded)
+    calm = rows.join(crowded, "bucket", "left_anti").withColumn("block", F.lit(0).cast("long"))
+    rows = rows.join(crowded, "bucket", "left_semi").withColumn("step", step)
+    large = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK // 2)
+    rows = rows.join(large.select("bucket", "component", F.lit(True).alias("large")), ["bucket", "component"], "left")
+    # Every shape has a number of its own, by which rows meet their counts.
+    shape = F.xxhash64("bucket", "step", F.when(F.col("large"), F.col("component")))
+    rows = cut(rows.withColumn("shape", shape))
     parts = rows.groupBy("shape").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    totals = rows.groupBy("bucket").agg((F.count("*") <= BLOCK).alias("small"))
-    block = F.xxhash64("shape", F.pmod(F.xxhash64("set_id"), F.col("parts")))
-    blocked = rows.join(parts, "shape").join(totals, "bucket").select(
-        "bucket", "set_id", "n", "component", "small", block.alias("block")
-    )
-    blocked = blocked.withColumn("block", F.when(F.col("small"), F.lit(0).cast("long")).otherwise(F.col("block")))
+    block = F.xxhash64("shape", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("block")
+    blocked = cut(rows.join(parts, "shape").select("bucket", "set_id", "n", "component", block))
     nodes = blocked.groupBy("bucket", "block").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last")
     )
@@ -123,9 +122,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
         & ~((F.col("x.first") == F.col("y.last")) & (F.col("x.last") == F.col("y.first")))
         & (F.least("x.high", "y.high") * 100 >= F.greatest("x.low", "y.low") * 80)
     )
-    tasks = pairs.select("bucket", F.xxhash64("bucket", "x.block", "y.block").alias("task"), F.array_distinct(F.array("x.block", "y.block")).alias("bs"))
-    tasks = tasks.select("bucket", "task", F.explode("bs").alias("block"))
-    return blocked.join(tasks, ["bucket", "block"]).select("task", "set_id", "component")
+    task = F.xxhash64("bucket", "x.block", "y.block").alias("task")
+    tasks = pairs.select("bucket", task, F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    met = blocked.join(tasks, ["bucket", "block"]).select("task", "set_id", "component")
+    return calm.select(F.col("bucket").alias("task"), "set_id", "component").unionByName(met)
 
 
 def _compared(tasks: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def similarity_groups(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3, stars: int = 2
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of *docs*.
 
@@ -172,10 +172,10 @@ def similarity_groups(
     share the key of a band of *rows* minimum hashes meet in a bucket: of sets that link, all but
     (1 - 0.8 ** 3) ** 32 = 1e-10 do at least once, at the threshold; above it fewer still are
     missed (hashes of 64 bits stand for shingles, by the same reasoning).  Within a bucket, all sets
-    are first compared with one of them, *stars* times over with another one, which joins most
-    groups of copies with a number of comparisons in proportion to their size.  What is then still
-    apart in a bucket goes to signature trees, in blocks of bounded size: no pair that may link is
-    left out, and pairs that are joined already are not looked at.
+    are first compared with one of them, its hub, which joins most groups of copies with a number of
+    comparisons in proportion to their size.  What is then still apart in a bucket goes to signature
+    trees, in blocks of bounded size: no pair that may link is left out, and pairs that are joined
+    already are not looked at.
     """
     signed = cut(_signatures(docs, k, bands, rows))
     sets = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
@@ -184,31 +184,20 @@ def similarity_groups(
     sets = cut(sets)
     placed = sets.select("set_id", "n", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("set_id").alias("hub")).where("m > 1")
-    open_rows = cut(placed.join(shared, "bucket").select("bucket", "set_id", "n", "hub", F.col("set_id").alias("component")))
+    open_rows = cut(placed.join(shared, "bucket").select("bucket", "set_id", "n", "hub"))
     needed = open_rows.select("set_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text").join(needed, "set_id", "left_semi")
     texts = cut(texts)
 
-    links = None
-    for star in range(stars):
-        if star:
-            hub = F.expr(f"min_by(set_id, xxhash64(set_id, {star}))")
-            hubs = open_rows.groupBy("bucket").agg(hub.alias("hub"))
-            open_rows = cut(open_rows.drop("hub").join(hubs, "bucket"))
-            of_hub = open_rows.where("set_id = hub").select("bucket", F.col("component").alias("at_hub"))
-            edges = open_rows.join(of_hub, "bucket").where("component <> at_hub")
-        else:
-            edges = open_rows
-        edges = edges.where("set_id <> hub").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-        found = _verified(edges, texts, k, num, den)
-        links = cut(found if links is None else links.union(found))
-        parts = cut(components(links))
-        # The hub has been compared with all, so pairs with it need no more looks.
-        open_rows = cut(_open(_with_component(open_rows.where("set_id <> hub"), parts).drop("hub")))
-    found = _compared(_blocks(open_rows), texts, k, num, den)
-    parts = components(cut(links.union(found)))
-
-    named = _with_component(sets.select("a", "b", "set_id"), parts).select("a", "b", "component")
+    edges = open_rows.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    links = cut(_verified(edges, texts, k, num, den))
+    apart = cut(_still_apart(open_rows, links))
+    found = _compared(_blocks(apart), texts, k, num, den)
+    parts = components(links.union(found))
+
+    own = parts.select(F.col("node").alias("set_id"), "component")
+    named = sets.select("a", "b", "set_id").join(own, "set_id", "left")
+    named = named.select("a", "b", F.coalesce("component", "set_id").alias("component"))
     joined = signed.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
