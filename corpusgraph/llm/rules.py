@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> DecisionList:
     with_labels = docs.select("doc_id", statistics(F.col("text")).alias("s")).join(
         labelled.select("doc_id", "quality"), "doc_id"
     )
-    return learn(with_labels.select("doc_id", "quality", *features(F.col("s"))))
+    return learn(cut(with_labels.select("doc_id", "quality", *features(F.col("s")))))
 
 
 def judge(measured: DataFrame, rules: DecisionList) -> DataFrame:
