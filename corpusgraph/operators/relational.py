@@ -119,3 +119,14 @@ def unique_names(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_k", k).withColumn(
         name, F.when(F.col("_k") > 0, F.concat_ws("-", name, F.col("_k").cast("string"))).otherwise(F.col(name))
     ).drop("_k")
+
+
+class TooManyRows(ValueError):
+    """More rows than a request may have."""
+
+
+def at_most(df: DataFrame, n: int) -> DataFrame:
+    """*df*, if it has at most *n* rows; only n + 1 of them are looked at."""
+    if df.limit(n + 1).count() > n:
+        raise TooManyRows(f"more than {n} rows")
+    return df

@@ -98,3 +98,21 @@ def test_pages(spark):
 def test_order_must_be_allowed(spark):
     with pytest.raises(ValueError):
         ordering.chosen("secret", ("a",), "id")
+
+
+def test_at_most(spark):
+    assert relational.at_most(spark.range(5), 5).count() == 5
+    with pytest.raises(relational.TooManyRows):
+        relational.at_most(spark.range(6), 5)
+
+
+def test_sql_functions(spark):
+    from corpusgraph.functions import sql
+
+    sql.register(spark)
+    row = spark.sql(
+        "SELECT fold_accents('João'), alias_key('1 Coríntios'), cosine_similarity(array(1D, 0D), array(1D, 1D)), "
+        "cosine_similarity(array(0D), array(1D)), rrf_score(1, NULL, 60, 0.7D)"
+    ).first()
+    assert row[:2] == ("joao", "1corintios")
+    assert abs(row[2] - 0.5**0.5) < 1e-12 and row[3] == 0 and abs(row[4] - 0.7 / 61) < 1e-12
