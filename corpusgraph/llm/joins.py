@@ -92,7 +92,7 @@ def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of (bucket, set_id, n, component) dealt to ``task``: every pair of sets of a bucket that may
     link and isn't joined meets in one.
 
@@ -120,7 +120,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     pairs = x.join(y, "bucket").where(
         (F.col("x.block") <= F.col("y.block"))
         & ~((F.col("x.first") == F.col("y.last")) & (F.col("x.last") == F.col("y.first")))
-        & (F.least("x.high", "y.high") * 100 >= F.greatest("x.low", "y.low") * 80)
+        & (F.least("x.high", "y.high") * den >= F.greatest("x.low", "y.low") * num)
     )
     task = F.xxhash64("bucket", "x.block", "y.block").alias("task")
     tasks = pairs.select("bucket", task, F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
@@ -192,7 +192,7 @@ def similarity_groups(
     edges = open_rows.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     links = cut(_verified(edges, texts, k, num, den))
     apart = cut(_still_apart(open_rows, links))
-    found = _compared(_blocks(apart), texts, k, num, den)
+    found = _compared(_blocks(apart, num, den), texts, k, num, den)
     parts = components(links.union(found))
 
     own = parts.select(F.col("node").alias("set_id"), "component")
