@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import documents, even_sample, held_out
+from corpusgraph.llm.common import cut, documents, even_sample, held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -104,12 +104,14 @@ def learn(docs: DataFrame, max_docs: int = 20_000, max_words: int = 60_000, max_
     counts = sample.select("lang", "text").mapInArrow(count, "kind string, key string, lang string, n long")
     counts = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    most = F.when(F.col("kind") == "w", max_words).otherwise(max_grams)
-    # Rare words say little; dropping them first keeps the ranking below to a bounded part.
-    ranked = by_key.where((F.col("total") > 1) | (F.col("kind") == "s")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "key"))
-    )
-    rows = ranked.where(F.col("rank") <= most).select("kind", "key", "by").collect()
+    by_key = cut(by_key.where((F.col("total") > 1) | (F.col("kind") == "s")))
+
+    def top(kind: str, n: int) -> DataFrame:
+        """The most frequent keys: each task keeps its own *n*, and only those meet."""
+        return by_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(n)
+
+    # There are fewer scripts than ranges.
+    rows = top("w", max_words).union(top("g", max_grams)).union(top("s", max_grams)).select("kind", "key", "by").collect()
     return _model(rows)
 
 
