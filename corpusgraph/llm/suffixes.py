@@ -147,8 +147,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     is empty.  Rows are texts of their own even if they share a ``doc_id`` or are alike.  Other
     columns are not read, an empty table gives no row, and strings never cross texts.
 
-    Texts are shuffled twice in full, once to meet their shared anchors and once their spans; in
-    between only the stretches around shared anchors are, and of equal ones a task's copies once.
+    Texts are shuffled three times in full: twice to meet their shared anchors, as their stretches are
+    cut out for the comparison and again for their places, and once to meet their spans.  In between
+    only the stretches around shared anchors are, and of equal ones a task's copies once.
     """
     runs = repeated_runs(docs, length)
 
