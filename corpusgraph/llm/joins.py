@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ def band_keys(x: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, the size of the set, 128 bits that name it, and its band keys."""
+def _signatures(docs: DataFrame, k: int, bucket_keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``doc_id``, the size of the set, 128 bits that name it, and the keys of its buckets."""
     names = ["doc_id", "n", "a", "b", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 n.append(len(x))
                 a.append(digest[0])
                 b.append(digest[1])
-                keys.append(band_keys(x, bands, rows).view(np.int64) if len(x) else np.empty(0, np.int64))
+                keys.append(bucket_keys(x).view(np.int64) if len(x) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
@@ -157,7 +157,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def similarity_groups(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3,
+    bucket_keys: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of *docs*.
 
@@ -176,8 +177,10 @@ def similarity_groups(
     comparisons in proportion to their size.  What is then still apart in a bucket goes to signature
     trees, in blocks of bounded size: no pair that may link is left out, and pairs that are joined
     already are not looked at.
+
+    *bucket_keys* gives the keys of a set (sorted, not empty) instead of its bands.
     """
-    signed = cut(_signatures(docs, k, bands, rows))
+    signed = cut(_signatures(docs, k, bucket_keys or (lambda x: band_keys(x, bands, rows))))
     sets = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
         F.min("doc_id").alias("set_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )

@@ -1,7 +1,7 @@
 """Substring deduplication: paragraphs alike, by MinHash banding, and passages alike wherever they stand.
 
-Lines of at least *min_words* words are the paragraphs: those that collide in a band are compared
-exactly and joined into components.  Passages that start or end within a line are found by windows
+Lines with a word are the paragraphs: those that collide in a band, or short ones in one of their
+smallest shingle hashes, are compared exactly and joined into components.  Passages that start or end within a line are found by windows
 of *min_words* words, whose band is a single minimum hash (equal windows always collide in it) and
 which are then compared by a hash of all their words.
 """
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm.common import cut, documents
 from corpusgraph.llm.components import components
-from corpusgraph.llm.joins import similarity_groups
+from corpusgraph.llm.joins import band_keys, similarity_groups
 from corpusgraph.llm.minimizers import minimizers, shared_anchors
 from corpusgraph.llm.rolling import mix, shingle_run
 
 #: Room for a document's lines in a paragraph's number.
 _LINE_BITS = 24
+#: Shingles up to which a paragraph has fewer smallest hashes to meet others by than bands.
+_SHORT = 45
 
 
 def tune_bands(similarity: float, recall: float, far: float, chance: float, most: int = 64) -> tuple[int, int]:
@@ -39,8 +41,23 @@ def tune_bands(similarity: float, recall: float, far: float, chance: float, most
     return bands, rows
 
 
-def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines of *min_words* words or more: ``doc_id`` (a number of the paragraph, whose upper bits are the
+def paragraph_keys(x: np.ndarray, num: int, den: int, bands: int, rows: int) -> np.ndarray:
+    """The buckets of a paragraph by its sorted shingle hashes.
+
+    Sets that link have num / den of the larger one in common, so the smallest common hash is among the
+    first n - ceil(n num / den) + 1 of either: short paragraphs meet by those, and none that link are
+    missed.  Longer ones have bands; sets up to den / num of _SHORT have both, so that they meet shorter ones too.
+    """
+    n, keys = len(x), []
+    if n * num <= _SHORT * den:
+        keys.append(mix(x[: n + 1 + -n * num // den]))
+    if n > _SHORT:
+        keys.append(band_keys(x, bands, rows))
+    return np.concatenate(keys)
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """Lines of a word or more: ``doc_id`` (a number of the paragraph, whose upper bits are the
     document's id), ``first`` (its first word's place in the document), ``words`` and ``text``."""
     names = ["doc_id", "first", "words", "text"]
 
@@ -51,7 +68,7 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
                 at = 0
                 for k, line in enumerate((text or "").split("\n")):
                     n = len(line.encode("utf-8", "surrogatepass").split())
-                    if n >= min_words:
+                    if n:
                         rows.append((doc_id << _LINE_BITS | k, at, n, line))
                     at += n
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
@@ -139,15 +156,15 @@ def _runs():
 def repeated_passages(docs: DataFrame, min_words: int = 50, num: int = 80, den: int = 100, recall: float = 0.999) -> DataFrame:
     """``id``, ``first``, ``end`` and ``keeper`` of every run of words in *docs* that other documents repeat.
 
-    Paragraphs count with num / den of their 5-word shingles in common, passages of *min_words* words
-    or more if they are equal but for letter case (A-Z) and white space.  ``keeper`` is the smallest
+    Paragraphs of any length count with num / den of their 5-word shingles in common (those of fewer than
+    5 words if they are equal), passages of *min_words* words or more if they are equal but for letter case (A-Z) and white space.  ``keeper`` is the smallest
     ``doc_id`` of those that hold it, or of the component of alike paragraphs: it keeps the words,
-    others lose them.  Null texts and texts or lines of fewer words have none; rows without a ``doc_id``
+    others lose them.  Null texts and texts without a word have none; rows without a ``doc_id``
     are left alone; rows that share one are one document, which doesn't repeat itself.
     """
     bands, rows = tune_bands(num / den, recall, far=0.3, chance=0.1)
-    parts = paragraphs(docs, min_words)
-    groups = similarity_groups(parts, 5, num, den, bands, rows)
+    parts = paragraphs(docs)
+    groups = similarity_groups(parts, 5, num, den, bucket_keys=lambda x: paragraph_keys(x, num, den, bands, rows))
     groups = groups.where("component_id <> doc_id").select("doc_id", F.shiftright("component_id", _LINE_BITS).alias("keeper"))
     alike = parts.select("doc_id", "first", "words").join(groups, "doc_id")
     alike = alike.select(

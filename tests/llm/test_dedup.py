@@ -200,3 +200,30 @@ def test_op2_alike_paragraphs(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id: r.text for r in passages.drop_passages(frame).collect()}
     assert kept[1] == rows[0][1] and kept[2].split() == ["end"] and kept[3] == rows[2][1]
+
+
+def test_op2_short_paragraphs_against_all_pairs(spark):
+    rng = random.Random(11)
+    lines = []
+    for _ in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 75))]
+        lines.append(" ".join(base))
+        for _ in range(rng.randrange(1, 5)):
+            other = base + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3))]
+            at = rng.randrange(len(other))
+            lines.append(" ".join(other[:at] + (["changed"] if rng.random() < 0.3 else []) + other[at:]))
+    rows = [(i + 1, line) for i, line in enumerate(lines)]
+    sets = {i: x[0] for i, x in shingle_sets(rows).items()}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    wanted = {i: c for i, c in roots(links, sets).items() if i != c}
+    assert {len(lines[i - 1].split()) // 10 for i in wanted} >= {0, 1, 2, 3, 4, 5, 6}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: r.keeper for r in passages.repeated_passages(frame, min_words=1000).collect() if r.id != r.keeper}
+    assert found == wanted
+
+
+def test_op2_drops_short_paragraphs(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, "one\n" + " ".join(words) + "\nof four words here"), (2, " ".join([*words[:-1], "changed"]) + "\nOf  four words here\nrest"), (3, "two\nof four words there")]
+    kept = {r.doc_id: r.text for r in passages.drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[1] == rows[0][1] and kept[2].split() == ["rest"] and kept[3] == rows[2][1]
