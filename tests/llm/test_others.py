@@ -198,6 +198,21 @@ def test_op9_packs_every_token_once(spark, docs, texts):
     assert packing.pack(docs.limit(0), packing.vocabulary_encoder()).count() == 0
 
 
+def test_op9_added_tokens_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}y", f"  {end}\n\n {end} ", f"it's{end}'s", "<|endoftext|", f"<|{end}|>", f"日本 {end}ß", "\ud800".encode("utf-8", "replace").decode() + end]
+    encode = packing.vocabulary_encoder()()
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.vocabulary_encoder()).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: 1 + len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_op9_little_padding():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 1024) for _ in range(2000)]
