@@ -107,9 +107,9 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix",
     taken = (
         (F.col("size") > 0)
         & (F.col("p") > 0)
-        & F.when(F.col("outer").isNull(), F.lit(True))
+        & F.when(F.col("outer").isNull(), F.lit(False))
         .when(at_outer != F.col("outer"), at_outer < F.col("outer"))
-        .when(F.col("inner").isNull(), F.lit(True))
+        .when(F.col("inner").isNull(), F.lit(False))
         .when(at_inner != F.col("inner"), at_inner < F.col("inner"))
         .otherwise(F.coalesce(F.struct("place", "id", "size") <= F.col("last_taken"), F.lit(False)))
     )
@@ -141,11 +141,11 @@ def _join_sources(rows: DataFrame, by_source: DataFrame, n_sources: int) -> Data
 
 
 def _crossing(placed: DataFrame, before: Column) -> DataFrame:
-    """The slice of each source in which its words pass what is missing, and the words before it."""
+    """The slice of each source in which its words reach what is missing, and the words before it."""
     sums = placed.groupBy("source", "slice", "missing", before.alias("base")).agg(F.sum("size").alias("words"))
     ends = sums.withColumn("end", F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("slice")))
     start = F.col("end") - F.col("words")
-    return ends.where((start < F.col("missing")) & (F.col("end") > F.col("missing"))).select(
+    return ends.where((start < F.col("missing")) & (F.col("end") >= F.col("missing"))).select(
         "source", F.col("slice").alias("cut_slice"), start.alias("before")
     )
 

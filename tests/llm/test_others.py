@@ -139,6 +139,16 @@ def test_op7_comes_near_its_targets(spark):
     assert abs(out.groupby("source", dropna=False)["target"].first().sum() - out["size"].sum()) < 1e-6
 
 
+@pytest.mark.parametrize("slices", [4096, 4])
+def test_op7_sums_that_meet_the_target_exactly(spark, slices, monkeypatch):
+    monkeypatch.setattr(mixing, "_SLICES", slices)
+    rows = [(i, "w " * 100, "A" if i < 20 else "B") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(frame).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"), "source")
+    assert {r.source: (r.target, r.n) for r in out.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("n")).collect()} == {"A": (1000, 1000), "B": (2000, 2000)}
+    assert_same(out.drop("source"), mixing.OP7_SQL, connect(None, documents=frame.toPandas()))
+
+
 def test_op7_edges(spark, docs):
     out = mixing.mix_sources(docs)
     assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
