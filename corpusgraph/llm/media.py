@@ -146,8 +146,8 @@ class Stream:
         return self.samples * 1_000_000 // self.head.hertz if self.head else 0
 
 
-def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Tags, and where audio starts and ends."""
+def _tags(data: bytes) -> tuple[dict[str, str], int]:
+    """The tags in front, and where audio starts."""
     tags, start, end = {}, 0, len(data)
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10:
         size = 0
@@ -162,20 +162,20 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 tags[key.decode("latin-1")] = rest.decode("latin-1").rstrip("\0")
             at += 10 + n
         start = stop
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
-    return tags, start, end
+    return tags, start
 
 
 def read_stream(data: bytes) -> Stream:
     """Walk the frames of a stream; what is no frame is skipped up to the next one.
 
     A header counts where the frame after it starts with one of the same stream, or the data end
-    with it, so that chance sync bits in between are passed over.  Broken and empty data give what can be found.
+    with it, so that chance sync bits in between are passed over.  What looks like an ID3v1 tag 128 bytes
+    before the end is one unless such a frame holds these bytes.  Broken and empty data give what can be found.
     """
     out = Stream()
-    out.tags, at, end = _tags(data)
+    out.tags, at = _tags(data)
+    end = len(data)
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     unpack = struct.Struct(">I").unpack_from
     offsets: list[int] = []
     heads: list[Header] = []
@@ -184,20 +184,26 @@ def read_stream(data: bytes) -> Stream:
         head = header(unpack(data, at)[0])
         if head is not None and (out.head is None or head.stream == out.head.stream):
             after = at + head.length
-            good = known and after <= end
+            good = known and after <= end and not at < tag < after
             if not good and after <= end:
                 follow = header(unpack(data, after)[0]) if after + 4 <= end else None
-                good = after == end or follow is not None and follow.stream == head.stream
+                good = after in (tag, end) or follow is not None and follow.stream == head.stream
             if good:
                 out.head, known = out.head or head, True
                 offsets.append(at)
                 heads.append(head)
                 at = after
+                tag = tag if at <= tag else end
                 continue
         known = False
-        found = data.find(b"\xff", at + 1, end)
-        out.skipped += (end if found < 0 else found) - at
-        at = end if found < 0 else found
+        found = data.find(b"\xff", at + 1, tag)
+        out.skipped += (tag if found < 0 else found) - at
+        at = tag if found < 0 else found
+        if at == tag:
+            break
+    if tag < end and at == tag:
+        end = tag
+        out.tags.setdefault("TIT2", data[tag + 3 : tag + 33].decode("latin-1").rstrip("\0 "))
     out.skipped += end - at
     bytes_ = np.frombuffer(data, np.uint8)
     starts = np.array(offsets, np.int64)

@@ -50,6 +50,27 @@ def test_op1_edges(spark, docs, texts):
 # 5: media columns
 
 
+def test_op5_texts_that_look_like_a_tag_at_the_end():
+    for n in (1, 2, 5):
+        for at in range(media.UNIT):
+            payload = (b"x" * (media.UNIT * (n - 1) + at) + b"TAG").ljust(media.UNIT * n, b"y")[: media.UNIT * n]
+            found = media.read_stream(media.write_stream(payload))
+            assert found.payload == payload and found.skipped == 0 and len(found.offsets) == found.vbr[1] == n
+            assert "TIT2" not in found.tags
+
+
+def test_op5_tags_at_the_end():
+    tag = b"TAG" + b"A title".ljust(30, b"\0") + b"\xff\xfb" * 47 + b"\0"
+    for n in (1, 3):
+        for payload in (b"p" * media.UNIT * n, (b"p" * 89 + b"TAG" + b"p" * 100) * n):
+            stream = media.write_stream(payload)
+            found = media.read_stream(stream + tag)
+            assert found.payload == payload and found.skipped == 0 and found.tags["TIT2"] == "A title"
+            cut_off = media.read_stream(stream[:-50] + tag)
+            assert len(cut_off.offsets) == n - 1 and cut_off.skipped == 190 and cut_off.tags["TIT2"] == "A title"
+    assert media.read_stream(tag).tags == {"TIT2": "A title"} and media.read_stream(b"junk" + tag).skipped == 4
+
+
 def test_op5_round_trip(spark, docs, texts):
     stored = media.store_media(docs)
     rows = media.read_media(stored, ("doc_id", "n_bytes")).collect()
