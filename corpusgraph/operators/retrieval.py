@@ -76,30 +76,46 @@ def knn(vectors: DataFrame, key: str, column: str, query: list[float], k: int, w
 
 
 def knn_join(queries: DataFrame, query_key: str, vectors: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """The *k* nearest vectors of each of a few query vectors (at most MOST_QUERIES, which is checked).
+    """The *k* nearest vectors of each of a few query vectors (at most MOST_QUERIES, which is checked), by similarity
+    to 12 digits; ties by *key*.
 
     The queries go to every task, each of which keeps its own best *k*, by matrix products over
     batches; only those are shuffled.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    rows = queries.select(query_key, column).collect()
-    ids = [r[0] for r in rows]
-    q = np.array([r[1] for r in rows], dtype=float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = np.array(frame[column].tolist(), dtype=float)
-            size = np.linalg.norm(x, axis=1)
-            scores = (x @ q.T) / np.where(size == 0, np.inf, size)[:, None]
-            for j, i in enumerate(ids):
-                top = np.argsort(-scores[:, j], kind="stable")[: 4 * k]
-                yield pd.DataFrame({query_key: i, key: frame[key].to_numpy()[top], "similarity": scores[top, j]})
-
     kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
-    found = vectors.select(key, column).mapInPandas(best, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, similarity double")
-    return top_per_group(found, [query_key], [F.desc(F.round("similarity", 12)), F.asc(key)], k)
+    schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, similarity double, _rounded double"
+
+    def best(ids: list, q: np.ndarray, keys: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.argsort(keys, kind="stable")
+        keys, x = keys[order], x[order]
+        size = np.linalg.norm(x, axis=1)
+        scores = (x @ q.T) / np.where(size == 0, np.inf, size)[:, None]
+        rounded = np.nan_to_num(np.round(scores, 12), nan=-np.inf)
+        for j, i in enumerate(ids):
+            own = rounded[:, j]
+            near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+            top = near[np.argsort(-own[near], kind="stable")[:k]]
+            yield pd.DataFrame({query_key: i, key: keys[top], "similarity": scores[top, j], "_rounded": own[top]})
+
+    def unit(rows: list) -> np.ndarray:
+        q = np.array(rows, dtype=float)
+        return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+    few = queries.select(query_key, column).limit(MOST_QUERIES + 1).collect()
+    if not few:
+        return vectors.sparkSession.createDataFrame([], schema).drop("_rounded")
+    if len(few) <= MOST_QUERIES:
+        ids, q = [r[0] for r in few], unit([r[1] for r in few])
+
+        def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    yield from best(ids, q, frame[key].to_numpy(), np.array(frame[column].tolist(), dtype=float))
+
+        found = vectors.select(key, column).mapInPandas(met, schema)
+    else:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
+    return top_per_group(found, [query_key], [F.desc("_rounded"), F.asc(key)], k).drop("_rounded")
 
 
 def ranked(hits: DataFrame, score: str, key: str, rank: str) -> DataFrame:

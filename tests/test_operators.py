@@ -116,3 +116,20 @@ def test_sql_functions(spark):
     ).first()
     assert row[:2] == ("joao", "1corintios")
     assert abs(row[2] - 0.5**0.5) < 1e-12 and row[3] == 0 and abs(row[4] - 0.7 / 61) < 1e-12
+
+
+def nearest(x, ids, queries, k):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return sorted((q, i) for q in queries for i in sorted(ids, key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:k])
+
+
+def test_knn_join_of_many_equal_vectors_in_any_order(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[40:240] = x[40] * np.linspace(0.1, 9, 200)[:, None]
+    rows = [(i, x[i].tolist()) for i in range(300)]
+    queries = spark.createDataFrame([rows[i] for i in (0, 45, 299)], "q long, v array<double>")
+    for shown in (rows, rows[::-1], [rows[i] for i in rng.permutation(300)]):
+        frame = spark.createDataFrame(shown, "id long, v array<double>").coalesce(1)
+        found = retrieval.knn_join(queries, "q", frame, "id", "v", 5).collect()
+        assert sorted((r.q, r.id) for r in found) == nearest(x, range(300), (0, 45, 299), 5)
