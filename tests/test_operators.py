@@ -133,3 +133,15 @@ def test_knn_join_of_many_equal_vectors_in_any_order(spark):
         frame = spark.createDataFrame(shown, "id long, v array<double>").coalesce(1)
         found = retrieval.knn_join(queries, "q", frame, "id", "v", 5).collect()
         assert sorted((r.q, r.id) for r in found) == nearest(x, range(300), (0, 45, 299), 5)
+
+
+def test_knn_join_of_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    x = np.random.default_rng(6).normal(size=(90, 5))
+    x[30:60] = x[30]
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(90)], "id long, v array<double>").repartition(3)
+    queries = frame.where("id % 4 = 0").withColumnRenamed("id", "q")
+    found = retrieval.knn_join(queries, "q", frame, "id", "v", 6)
+    assert sorted((r.q, r.id) for r in found.collect()) == nearest(x, range(90), range(0, 90, 4), 6)
+    assert found.columns == ["q", "id", "similarity"]
+    assert retrieval.knn_join(queries.limit(0), "q", frame, "id", "v", 6).count() == 0
