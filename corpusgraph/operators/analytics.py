@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.ordering import numbered
+
 
 def histogram(df: DataFrame, label: Column, labels: list[str], column: str = "n") -> DataFrame:
     """``bucket`` and its number of rows for each of *labels*, in their order (``place``), zeros included."""
@@ -65,6 +69,30 @@ def exclusive_percentile(sorted_values: Column, p: float) -> Column:
     return a + (b - a) * (place - low)
 
 
+def exclusive_percentiles(df: DataFrame, group: str, value: str, key: str, wanted: dict[str, float]) -> DataFrame:
+    """*group* and, by name, the quantiles of *value* as :func:`exclusive_percentile` has them, for groups of any size.
+
+    All values are numbered in the order of group, value and the unique *key*; two rows a quantile are read off.
+    """
+    groups = df.select(group).distinct()
+    own = df.where(F.col(value).isNotNull()).select(group, value, key)
+    placed = numbered(own, [F.asc_nulls_first(group), F.asc(value), F.asc(key)], "_place")
+    firsts = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_place").alias("_first"), F.count("*").alias("_m"))
+    at, m = F.col("_place") - F.col("_first") + 1, F.col("_m")
+    places = {x: F.least(F.greatest(p * (m + 1), F.lit(1.0)), m.cast("double")) for x, p in wanted.items()}
+    lows = {x: F.floor(place) for x, place in places.items()}
+    near = placed.join(firsts, F.col(group).eqNullSafe(F.col("_g"))).where(
+        reduce(Column.__or__, [(at == low) | (at == low + 1) for low in lows.values()])
+    )
+    ends = [
+        F.max(F.when(at == place, F.col(value))).alias(f"{x}_{end}")
+        for x, low in lows.items() for end, place in (("a", low), ("b", F.least(low + 1, m)))
+    ]
+    found = near.groupBy("_g", "_m").agg(*ends)
+    between = [(F.col(f"{x}_a") + (F.col(f"{x}_b") - F.col(f"{x}_a")) * (place - lows[x])).alias(x) for x, place in places.items()]
+    return groups.join(found.select("_g", *between), F.col(group).eqNullSafe(F.col("_g")), "left").select(group, *wanted)
+
+
 def fusion_quality(weights: Column, present: int, wanted: int) -> Column:
     """0.7 of the share of versions present and 0.3 of the evenness of their weights."""
     entropy = F.aggregate(weights, F.lit(0.0), lambda s, w: s - w * F.log(w + 1e-10))

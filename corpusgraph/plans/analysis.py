@@ -9,6 +9,7 @@ from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
 from corpusgraph.operators import analytics as a
 from corpusgraph.operators import relational as r
+from corpusgraph.operators.ordering import numbered
 from corpusgraph.plans.combining import theme_links
 from corpusgraph.plans.registry import query, table
 
@@ -339,8 +340,8 @@ def a32(spark, d):
     round(xs[floor(pos)::INT] + (xs[least(floor(pos)::INT + 1, len(xs))] - xs[floor(pos)::INT]) * (pos - floor(pos)), 6) AS p95 FROM p""",
 )
 def a33(spark, d):
-    sorted_values = table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("p50"), F.sort_array(F.collect_list("value")).alias("xs"))
-    return sorted_values.select("event_type", F.round("p50", 6).alias("p50"), F.round(a.exclusive_percentile(F.col("xs"), 0.95), 6).alias("p95"))
+    found = a.exclusive_percentiles(table(spark, d, "events"), "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("a34_query_coverage", "SELECT round(avg((n > 0)::INT), 6) AS coverage FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
@@ -382,7 +383,7 @@ def a_rollup(spark, d):
 
 @query("w01_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def w01(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("place"))
+    return numbered(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), F.asc("s_suppkey")], "place").select("s_suppkey", "place")
 
 
 @query(

@@ -533,8 +533,10 @@ def f30(spark, d):
 
 @query("t01_multi_key_sort", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey) AS place FROM customer")
 def t01(spark, d):
+    from corpusgraph.operators.ordering import numbered
+
     order = [F.asc_nulls_last("c_mktsegment"), F.desc_nulls_first("c_acctbal"), F.asc("c_custkey")]
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), order, "place").select("c_custkey", "place")
 
 
 @query("t02_chosen_order", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import etl, ordering, relational, resolution, retrieval
+from corpusgraph.operators import analytics, etl, ordering, relational, resolution, retrieval
 import pytest
 
 
@@ -145,3 +145,30 @@ def test_knn_join_of_more_queries_than_a_block(spark, monkeypatch):
     assert sorted((r.q, r.id) for r in found.collect()) == nearest(x, range(90), range(0, 90, 4), 6)
     assert found.columns == ["q", "id", "similarity"]
     assert retrieval.knn_join(queries.limit(0), "q", frame, "id", "v", 6).count() == 0
+
+
+def test_numbered_and_percentiles_of_large_groups(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aaaaaab"), rng.choice([1.0, 2.0, rng.random() * 9])) for i in range(3000)]
+    rows += [(3000, "one", 4.0), (3001, None, 5.0), (3002, None, 7.0), (3003, "none", None), (3004, "a", None)]
+    frame = spark.createDataFrame(rows, "id long, g string, x double").repartition(3)
+    places = {r.id: r.place for r in ordering.numbered(frame, [F.desc_nulls_last("x"), F.asc("id")], "place").collect()}
+    wanted = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    assert places == {r[0]: k + 1 for k, r in enumerate(wanted)}
+    found = {r.g: (r.p50, r.p95) for r in analytics.exclusive_percentiles(frame, "g", "x", "id", {"p50": 0.5, "p95": 0.95}).collect()}
+
+    def quantile(xs, p):
+        at = min(max(p * (len(xs) + 1), 1), len(xs))
+        return xs[int(at) - 1] + (xs[min(int(at) + 1, len(xs)) - 1] - xs[int(at) - 1]) * (at - int(at))
+
+    groups = {g: sorted(x for _, h, x in rows if h == g and x is not None) for g in {r[1] for r in rows}}
+    assert found == {g: tuple(pytest.approx(quantile(xs, p)) if xs else None for p in (0.5, 0.95)) for g, xs in groups.items()}
+
+
+@pytest.mark.parametrize("name", ["a33_latency_quantiles", "w01_rank", "t01_multi_key_sort"])
+def test_no_task_gathers_a_table(spark, name):
+    from corpusgraph.plans import catalogue
+    from tests.conftest import SMALL
+
+    plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "collect_list" not in plan and "row_number" not in plan
