@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
+#: Lets Spark drop the shuffle files of a statement when the statement ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,18 +24,52 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write *df* to the checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, which every executor sees.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``, which
-    every executor sees, so that the rows outlive a lost executor.  Only where the
-    setting is absent (tests on one machine) is a temporary folder set instead.
+    Only where the setting is absent and all runs on one machine (tests) is a temporary folder taken
+    instead; a cluster without the setting is an error, as its executors could not read each other's files.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, discard: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write *df* as a table to the shared folder and go on from there, so that its rows outlive a lost executor.
+
+    The shuffle files that made it are dropped with the statement, and so are the tables of *discard*,
+    earlier results of this function that nothing needs any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for old in discard:
+        remove(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` has written."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
 
 
 def words(text: Column) -> Column:

@@ -36,7 +36,7 @@ class Rolling:
 
     def __init__(self, data: bytes):
         codes = np.frombuffer(data, np.uint8)
-        self.size = len(codes)
+        self.data, self.size = data, len(codes)
         ahead, self.back = _powers(self.size)
         self.sums = np.zeros(self.size + 1, np.uint64)
         np.cumsum(_LETTERS[codes] * ahead[: self.size], out=self.sums[1:])

@@ -92,29 +92,57 @@ def repeated(texts, m):
     return out
 
 
-def test_merged_transforms_find_repeats():
+def patched(monkeypatch, noise):
+    """Shards whose transforms are noise, or not."""
+    built = bwt.Shard.__init__
+
+    def init(self, texts, depth):
+        built(self, texts, depth)
+        if noise:
+            self.transform = np.random.default_rng(1).permutation(self.transform)
+
+    monkeypatch.setattr(bwt.Shard, "__init__", init)
+
+
+@pytest.mark.parametrize("depth", [8, 13, 40])
+@pytest.mark.parametrize("noise", [False, True])
+def test_merged_transforms_find_repeats(monkeypatch, depth, noise):
+    patched(monkeypatch, noise)
     rng = random.Random(4)
     pieces = [bytes(rng.choice(b"ab c") for _ in range(200)) for _ in range(4)]
     texts = []
     for _ in range(40):
         p, a = rng.choice(pieces), rng.randrange(0, 100)
         texts.append(bytes(rng.choice(b"ab c") for _ in range(rng.randrange(40, 80))) + p[a : a + rng.randrange(20, 100)])
-    texts += [b"a" * 100, b"ab" * 60]
-    owned = np.array([len(t) - 39 for t in texts])
+    texts += [b"a" * 100, b"ab" * 60, bytes(100), bytes(90)]
+    owned = np.array([len(t) - depth + 1 for t in texts])
     counts = np.array([1 + (i % 13 == 0) for i in range(len(texts))])
     times = collections.Counter()
     for t, n, k in zip(texts, owned, counts, strict=True):
         for s in range(n):
-            times[t[s : s + 40]] += k
-    for size in (1 << 20, 500, 100):
-        found = bwt.repeated_starts(texts, owned, counts, 40, size)
-        for t, n, x in zip(texts, owned, found, strict=True):
-            assert [times[t[s : s + 40]] > 1 for s in range(n)] == x.tolist()
+            times[t[s : s + depth]] += k
+    wanted = [[times[t[s : s + depth]] > 1 for s in range(n)] for t, n in zip(texts, owned, strict=True)]
+    for shards in (1, 2, 4, 60):
+        found = [x.tolist() for x in bwt.repeated_starts(texts, owned, counts, depth, shards)]
+        # Without the transforms, what only the merge can find is not found.
+        assert (found == wanted) != (noise and shards > 1)
+
+
+def test_anchors_against_each_window():
+    from corpusgraph.llm.stretches import minimizers
+
+    rng = np.random.default_rng(1)
+    for n, span, values in ((300, 7, 5), (300, 50, 400), (40, 40, 9), (10, 11, 3), (60, 1, 4)):
+        hashes = rng.integers(0, values, n, dtype=np.uint64)
+        anchor, first, owned = minimizers(hashes, span)
+        each = np.repeat(anchor, owned).tolist()
+        assert each == [s + int(hashes[s : s + span].argmin()) for s in range(n - span + 1)]
+        assert first.tolist() == [0, *np.cumsum(owned).tolist()][: len(first)]
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_op3_against_all_substrings(spark, docs, texts, crowd, monkeypatch):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
+@pytest.mark.parametrize("limit", [2 << 20, 1500])
+def test_op3_against_all_substrings(spark, docs, texts, limit, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", limit)
     data = [(t or "").encode() for _, t in texts]
     wanted = []
     for (i, _), t, covered in zip(texts, data, repeated(data, 400), strict=True):
@@ -124,6 +152,23 @@ def test_op3_against_all_substrings(spark, docs, texts, crowd, monkeypatch):
     found = [(r.doc_id if r.doc_id is not None else -1, r.n_bytes, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows]
     assert sorted(found) == sorted(wanted)
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(docs, 7)
+
+
+def test_op3_one_anchor_in_very_many_places(spark, monkeypatch):
+    """Texts that share 200 bytes, and 40 of them more: halving must part the rest and lose nothing."""
+    rng = random.Random(9)
+    letters = "abcdefgh ijklmnop"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    core, more = some(200), some(150)
+    rows = [some(300) + core + some(300) for _ in range(60)] + [some(rng.randrange(200, 300)) + more + core + more[:120] + some(99) for _ in range(40)]
+    wanted = [hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~c])).hexdigest() for t, c in zip(rows, repeated([t.encode() for t in rows], 400), strict=True)]
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 4000)
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffixes.remove_repeats(frame).collect()}
+    assert [found[i] for i in range(len(rows))] == wanted
+    assert any(found[i] != hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(rows))
 
 
 def test_op8_against_sql(spark, docs, texts):
