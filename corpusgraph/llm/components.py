@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = cut(small)
+        now = cut(small, discard=(now,))
         state = _state(now)
         if state == seen:
             break

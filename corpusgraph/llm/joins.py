@@ -10,25 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import cut, documents
+from corpusgraph.llm.common import cut, documents, remove
 from corpusgraph.llm.components import components
 from corpusgraph.llm.rolling import mix, shingles
-from corpusgraph.llm.signature_tree import alike, linked
+from corpusgraph.llm.signature_tree import linked
 
-#: Sets of a bucket that one task compares with those of one other block, and with each other.
-BLOCK = 256
+#: Sets, and their shingles, that one task compares with those of one other block, and with each other.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 
-def _factors(n: int) -> np.ndarray:
+def factors(n: int) -> np.ndarray:
     return np.random.default_rng(5).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(x: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of *rows* minimum hashes of a set of hashes."""
-    factors = _factors(bands * rows)
+    times = factors(bands * rows)
     low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(x), 8192):
-        np.minimum(low, (x[i : i + 8192, None] * factors).min(axis=0), out=low)
+        np.minimum(low, (x[i : i + 8192, None] * times).min(axis=0), out=low)
     keys = np.arange(bands, dtype=np.uint64)
     for column in low.reshape(bands, rows).T:
         keys = mix(keys ^ column)
@@ -60,34 +60,36 @@ def _signatures(docs: DataFrame, k: int, bucket_keys: Callable[[np.ndarray], np.
     )
 
 
-def _verified(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The edges ``a``, ``b`` whose texts' sets link.  Rows come sorted by ``a``, whose set is kept."""
+def stars_of(sets: DataFrame) -> DataFrame:
+    """``hub``, ``set_id`` and ``n``: the sets that share a bucket with a hub, the smallest id in it, and the hubs too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
-        for batch in batches:
-            good = []
-            for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if text_a != last:
-                    last, x = text_a, shingles(text_a, k)
-                good.append(alike(x, shingles(text_b, k), num, den))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    of_b = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    of_a = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
-    both = edges.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    However many buckets two sets share, they are one row; any two sets of a bucket are in its hub's star.
+    """
+    placed = sets.select("set_id", "n", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("set_id").alias("hub")).where("m > 1").select("bucket", "hub")
+    # A table by itself, so that the join is no part of the count and Spark can split a frequent bucket.
+    shared = cut(shared)
+    return cut(placed.join(shared, "bucket").groupBy("hub", "set_id").agg(F.first("n").alias("n")), discard=(shared,))
 
 
-def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``bucket``, ``set_id``, ``n`` and ``component`` of the rows of buckets that hold more than one component.
+def _first_tasks(stars: DataFrame, large: DataFrame) -> DataFrame:
+    """``task``, ``set_id`` and ``component``: each star is a task, a *large* one several, each of which has the hub.
 
-    The component is the smallest hub that the set links with, or the set itself: sets of one are
-    joined, sets of several may be too.  Hubs have been compared with all of their bucket, so they are left out.
+    Sets of no star but of hubs' own never need a task.
     """
-    hubs = links.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("component"))
-    rows = rows.where("set_id <> hub").join(hubs, "set_id", "left")
-    rows = cut(rows.select("bucket", "set_id", "n", F.coalesce("component", "set_id").alias("component")))
+    split = stars.join(large, "hub", "left")
+    part = F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))
+    own = split.select("hub", "set_id", F.when(F.col("set_id") != F.col("hub"), part).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    every = F.when(F.col("part").isNull(), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).otherwise(F.array("part"))
+    dealt = own.select("hub", "set_id", F.explode(every).alias("part"))
+    return dealt.select(F.xxhash64("hub", "part").alias("task"), "set_id", F.col("set_id").alias("component"))
+
+
+def _still_apart(stars: DataFrame, large: DataFrame, parts: DataFrame) -> DataFrame:
+    """``bucket``, ``set_id``, ``n`` and ``component`` of the large stars that hold more than one component."""
+    named = parts.select(F.col("node").alias("set_id"), "component")
+    rows = stars.join(large.select("hub"), "hub", "left_semi").join(named, "set_id", "left")
+    rows = cut(rows.select(F.col("hub").alias("bucket"), "set_id", "n", F.coalesce("component", "set_id").alias("component")))
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return rows.join(several.select("bucket"), "bucket", "left_semi")
 
@@ -101,7 +103,8 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     step = F.floor(F.log(1.25, "n"))
     # Few buckets need more than one block, so the rest has no part in working them out.
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("bucket")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    crowded = rows.groupBy("bucket").agg(need.alias("parts")).where("parts > 1").select("bucket")
     crowded = cut(crowded)
     calm = rows.join(crowded, "bucket", "left_anti").withColumn("block", F.lit(0).cast("long"))
     rows = rows.join(crowded, "bucket", "left_semi").withColumn("step", step)
@@ -110,7 +113,7 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     # Every shape has a number of its own, by which rows meet their counts.
     shape = F.xxhash64("bucket", "step", F.when(F.col("large"), F.col("component")))
     rows = cut(rows.withColumn("shape", shape))
-    parts = rows.groupBy("shape").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    parts = rows.groupBy("shape").agg(need.alias("parts"))
     block = F.xxhash64("shape", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("block")
     blocked = cut(rows.join(parts, "shape").select("bucket", "set_id", "n", "component", block))
     nodes = blocked.groupBy("bucket", "block").agg(
@@ -156,47 +159,53 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similarity_groups(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3,
-    bucket_keys: Callable[[np.ndarray], np.ndarray] | None = None,
-) -> DataFrame:
+def linked_sets(stars: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``node`` and ``component`` of the sets that link, from their stars and their ``texts`` (by ``set_id``).
+
+    All links are found by the signature trees of tasks.  First each star has a tree, or in parts of BLOCK sets or
+    so, each with the hub, several.  Of stars in parts, what is not of one component by then meets in pairs of parts.
+    """
+    sizes = stars.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("parts")
+    large = cut(sizes.select("hub", parts).where("parts > 1"))
+    links = cut(_compared(_first_tasks(stars, large), texts, k, num, den))
+    found = components(links)
+    if large.isEmpty():
+        return found
+    apart = cut(_still_apart(stars, large, found))
+    more = cut(_compared(_blocks(apart, num, den), texts, k, num, den), discard=(apart,))
+    if more.isEmpty():
+        return found
+    return components(links.union(more))
+
+
+def similarity_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 3) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of *docs*.
 
     Two documents link when num / den of the union of their sets of *k*-word shingles is common to
     both; a component is named by its smallest ``doc_id``.  Null and empty texts and such without
     words have an empty set, link with nothing and are components of their own.  A text of fewer
-    than *k* words is one shingle.  Rows that share a ``doc_id`` are one document, which links where any of its
+    than *k* words is one shingle, and a very long one is compared whole.  Rows that share a ``doc_id`` are one document, which links where any of its
     texts does; rows without one link with nothing and have a null component.  Other columns of
     *docs* are not read.  An empty table gives no row.
 
-    Documents with the same set are one node from the start, however many there are.  Sets that
-    share the key of a band of *rows* minimum hashes meet in a bucket: of sets that link, all but
-    (1 - 0.8 ** 3) ** 32 = 1e-10 do at least once, at the threshold; above it fewer still are
-    missed (hashes of 64 bits stand for shingles, by the same reasoning).  Within a bucket, all sets
-    are first compared with one of them, its hub, which joins most groups of copies with a number of
-    comparisons in proportion to their size.  What is then still apart in a bucket goes to signature
-    trees, in blocks of bounded size: no pair that may link is left out, and pairs that are joined
+    Documents with the same set are one node from the start, however many there are.  Minimum hashes only deal the
+    sets out: those that share the key of a band of *rows* of them have a task in common; of sets that link, all but
+    (1 - 0.8 ** 3) ** 32 = 1e-10 do, at the threshold, and above it fewer still are
+    missed (hashes of 64 bits stand for shingles, by the same reasoning).  Which sets of a task link is
+    found by dual traversal of its signature tree: no pair that may link is left out, and pairs that are joined
     already are not looked at.
-
-    *bucket_keys* gives the keys of a set (sorted, not empty) instead of its bands.
     """
-    signed = cut(_signatures(docs, k, bucket_keys or (lambda x: band_keys(x, bands, rows))))
+    signed = cut(_signatures(docs, k, lambda x: band_keys(x, bands, rows)))
     sets = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
         F.min("doc_id").alias("set_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     sets = cut(sets)
-    placed = sets.select("set_id", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("set_id").alias("hub")).where("m > 1")
-    open_rows = cut(placed.join(shared, "bucket").select("bucket", "set_id", "n", "hub"))
-    needed = open_rows.select("set_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text").join(needed, "set_id", "left_semi")
+    stars = stars_of(sets)
+    texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text").join(stars.select("set_id").distinct(), "set_id", "left_semi")
     texts = cut(texts)
-
-    edges = open_rows.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = cut(_verified(edges, texts, k, num, den))
-    apart = cut(_still_apart(open_rows, links))
-    found = _compared(_blocks(apart, num, den), texts, k, num, den)
-    parts = components(links.union(found))
+    parts = linked_sets(stars, texts, k, num, den)
+    remove(texts, stars)
 
     own = parts.select(F.col("node").alias("set_id"), "component")
     named = sets.select("a", "b", "set_id").join(own, "set_id", "left")

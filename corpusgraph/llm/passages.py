@@ -1,9 +1,9 @@
 """Substring deduplication: paragraphs alike, by MinHash banding, and passages alike wherever they stand.
 
-Lines with a word are the paragraphs: those that collide in a band, or short ones in one of their
-smallest shingle hashes, are compared exactly and joined into components.  Passages that start or end within a line are found by windows
-of *min_words* words, whose band is a single minimum hash (equal windows always collide in it) and
-which are then compared by a hash of all their words.
+A line with enough words is a paragraph, and so is a run of shorter lines that has enough together.  Paragraphs that collide in
+a band of minimum hashes, or short ones in one of their smallest shingle hashes, are compared exactly and joined
+into components.  Passages that start or end within a line are found by windows of *min_words*
+words, which meet by an anchor (equal windows always have the same) and are then compared by a hash of all their words.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import stretches
 from corpusgraph.llm.common import cut, documents
 from corpusgraph.llm.components import components
-from corpusgraph.llm.joins import band_keys, similarity_groups
-from corpusgraph.llm.minimizers import minimizers, shared_anchors
-from corpusgraph.llm.rolling import mix, shingle_run
+from corpusgraph.llm.joins import factors, linked_sets, stars_of
+from corpusgraph.llm.rolling import Rolling, mix, shingle_run, word_ends
 
-#: Room for a document's lines in a paragraph's number.
-_LINE_BITS = 24
 #: Shingles up to which a paragraph has fewer smallest hashes to meet others by than bands.
 _SHORT = 45
+#: More words than a text has, so that a place and a number of words fit in one number.
+_ROOM = 1 << 31
+#: Words whose paragraphs are signed together.
+_WORDS_A_PART = 1 << 17
 
 
 def tune_bands(similarity: float, recall: float, far: float, chance: float, most: int = 64) -> tuple[int, int]:
@@ -41,109 +43,195 @@ def tune_bands(similarity: float, recall: float, far: float, chance: float, most
     return bands, rows
 
 
-def paragraph_keys(x: np.ndarray, num: int, den: int, bands: int, rows: int) -> np.ndarray:
-    """The buckets of a paragraph by its sorted shingle hashes.
+def line_paragraphs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """First word and number of words of each paragraph, from the numbers of words of a text's lines.
+
+    A line of *least* words is one; of shorter lines a longest run is, if its lines have as many together.
+    Lines without a word part nothing.
+    """
+    out, at, run = [], 0, 0
+    for n in [*words, least]:
+        if n >= least:
+            if run >= least:
+                out.append((at - run, run))
+            out.append((at, n))
+            run = 0
+        else:
+            run += n
+        at += n
+    return out[:-1]
+
+
+def _signed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, num: int, den: int, bands: int, rows: int):
+    """Of paragraphs, given by text as (shingle hashes of the text, first words, numbers of words), the sizes of
+    their sets, a 64-bit name for each set, and the keys of their buckets.
 
     Sets that link have num / den of the larger one in common, so the smallest common hash is among the
     first n - ceil(n num / den) + 1 of either: short paragraphs meet by those, and none that link are
     missed.  Longer ones have bands; sets up to den / num of _SHORT have both, so that they meet shorter ones too.
     """
-    n, keys = len(x), []
-    if n * num <= _SHORT * den:
-        keys.append(mix(x[: n + 1 + -n * num // den]))
-    if n > _SHORT:
-        keys.append(band_keys(x, bands, rows))
-    return np.concatenate(keys)
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """Lines of a word or more: ``doc_id`` (a number of the paragraph, whose upper bits are the
-    document's id), ``first`` (its first word's place in the document), ``words`` and ``text``."""
-    names = ["doc_id", "first", "words", "text"]
+    runs = [(h[a : a + c - k + 1]) for h, first, words in parts for a, c in zip(first.tolist(), words.tolist(), strict=True)]
+    owner = np.repeat(np.arange(len(runs)), np.fromiter(map(len, runs), np.int64, len(runs)))
+    hashes = np.concatenate(runs)
+    by = np.lexsort((hashes, owner))
+    hashes, owner = hashes[by], owner[by]
+    once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+    hashes, owner = hashes[once], owner[once]
+    n = np.bincount(owner, minlength=len(runs))
+    starts = np.cumsum(n) - n
+    names = mix(np.add.reduceat(mix(hashes), starts) + n.astype(np.uint64))
+    keys: list[list[np.ndarray]] = [[] for _ in runs]
+    for i in np.flatnonzero(n * num <= _SHORT * den).tolist():
+        x = hashes[starts[i] : starts[i] + n[i]]
+        keys[i].append(mix(x[: n[i] + 1 + -n[i] * num // den]))
+    long = np.flatnonzero(n > _SHORT)
+    if len(long):
+        some = np.isin(owner, long)
+        own, firsts = hashes[some], np.cumsum(n[long]) - n[long]
+        banded = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(long), axis=0)
+        for i, f in enumerate(factors(bands * rows)):
+            banded[:, i // rows] = mix(banded[:, i // rows] ^ np.minimum.reduceat(own * f, firsts))
+        for i, row in zip(long.tolist(), banded, strict=True):
+            keys[i].append(row)
+    return n, names, [np.concatenate(x) for x in keys]
+
+
+_PARAGRAPHS = "id long, key long, first long, words long, n long, set_id long, bands array<long>"
+
+
+def paragraphs(docs: DataFrame, least: int, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """The paragraphs of *docs* with their place (``first`` word and number of ``words``), the size and the name of their sets, and bands.
+
+    The name is a 64-bit hash of the set: two different sets of all are mistaken for one with a chance of
+    their number squared by 2**-65.
+    """
+    names = [x.split()[0] for x in _PARAGRAPHS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                at = 0
-                for k, line in enumerate((text or "").split("\n")):
-                    n = len(line.encode("utf-8", "surrogatepass").split())
-                    if n:
-                        rows.append((doc_id << _LINE_BITS | k, at, n, line))
-                    at += n
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return known.mapInArrow(run, "doc_id long, first long, words long, text string")
-
-
-def _anchored(text: str | None, min_words: int, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The text's words, and by runs of windows with one anchor its hash, the first window and their number."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(parts) < min_words:
-        return parts, *(np.empty(0, np.int64),) * 3
-    hashes = shingle_run(parts, k)
-    anchor, first, owned = minimizers(hashes, min_words - k + 1)
-    return parts, hashes[anchor].view(np.int64), first, owned
-
-
-_STRETCH = "id long, key long, anchor long, content long, first int, windows array<long>"
+        def signed(parts: list[tuple]) -> pa.RecordBatch:
+            if not parts:
+                empty = [pa.array([], t) for t in (*[pa.int64()] * 6, pa.list_(pa.int64()))]
+                return pa.RecordBatch.from_arrays(empty, names)
+            sizes = [len(p[3]) for p in parts]
+            n, sets, keys = _signed([p[2:] for p in parts], k, num, den, bands, rows)
+            columns = [np.repeat([p[i] for p in parts], sizes) for i in (0, 1)]
+            columns += [*(np.concatenate([p[i] for p in parts]) for i in (3, 4)), n, sets.view(np.int64)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), stretches.lists([x.view(np.int64) for x in keys], np.int64)], names)
 
-
-def _stretches(docs: DataFrame, shared: DataFrame, min_words: int, k: int) -> DataFrame:
-    """Runs of windows around shared anchors, with a hash of each window and of them all."""
-    names = [x.split()[0] for x in _STRETCH.split(", ")]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64())]
+        for batch in batches:
+            parts, size = [], 0
+            for i in range(batch.num_rows):
+                doc_id, key, text = (batch.column(c)[i].as_py() for c in range(3))
+                lines = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+                own = line_paragraphs([len(x.split()) for x in lines], least)
+                if own:
+                    words = b"\n".join(lines).split()
+                    first, count = np.array(own, np.int64).T
+                    parts.append((doc_id, key, shingle_run(words, k), first, count))
+                    size += len(words)
+                if size > _WORDS_A_PART:
+                    yield signed(parts)
+                    parts, size = [], 0
+            yield signed(parts)
+
+    return stretches.keyed(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, _PARAGRAPHS)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_id`` and ``text`` of wanted paragraphs (``set_id``, ``carrier``, ``first``, ``words``), a text's words with single spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                parts, a, first, owned = _anchored(text, min_words, k)
-                windows = shingle_run(parts, min_words)
-                for i in np.flatnonzero(np.isin(a, np.array(wanted, np.int64))):
-                    own = windows[first[i] : first[i] + owned[i]]
-                    content = int(mix(own + np.arange(len(own), dtype=np.uint64)).sum().view(np.int64))
-                    rows.append((doc_id, key, int(a[i]), content, int(first[i]), own.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.join(shared, "key").select("id", "key", "text", "anchors").mapInArrow(run, _STRETCH)
+            sets, texts, size = [], [], 0
+            for i in range(batch.num_rows):
+                words = batch.column(0)[i].as_py().encode("utf-8", "surrogatepass").lower().split()
+                for x in batch.column(1)[i].as_py():
+                    sets.append(x["set_id"])
+                    texts.append(b" ".join(words[x["first"] : x["first"] + x["words"]]))
+                    size += len(texts[-1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(texts, pa.binary())], ["set_id", "text"])
+                    sets, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(texts, pa.binary())], ["set_id", "text"])
+
+    by_text = wanted.groupBy("carrier").agg(F.collect_list(F.struct("set_id", "first", "words")).alias("asked"))
+    both = stretches.keyed(docs).join(by_text, F.col("key") == F.col("carrier")).select("text", "asked")
+    return both.mapInArrow(run, "set_id long, text binary").select("set_id", F.col("text").cast("string"))
+
+
+def alike_paragraphs(docs: DataFrame, least: int, num: int, den: int, recall: float, k: int = 5) -> DataFrame:
+    """``id``, ``first``, ``end`` (words) and ``keeper`` of paragraphs that paragraphs of other documents are like.
+
+    The keeper is the smallest ``doc_id`` of the component.
+    """
+    bands, rows = tune_bands(num / den, recall, far=0.3, chance=0.1)
+    signed = cut(paragraphs(docs, least, k, num, den, bands, rows))
+    # One paragraph stands for all with its set.
+    place = F.col("first") * _ROOM + F.col("words")
+    sets = signed.groupBy("set_id").agg(
+        F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("key").alias("carrier"), F.min_by(place, "key").alias("place")
+    )
+    first, words = F.shiftright("place", 31).alias("first"), F.pmod("place", F.lit(_ROOM)).alias("words")
+    sets = cut(sets.select("set_id", "n", "bands", "carrier", first, words))
+    stars = stars_of(sets)
+    wanted = sets.select("set_id", "carrier", "first", "words").join(stars.select("set_id").distinct(), "set_id", "left_semi")
+    texts = cut(_texts(docs, wanted), discard=(sets,))
+    parts = linked_sets(stars, texts, k, num, den)
+    parts = parts.select(F.col("node").alias("set_id"), "component")
+    named = signed.select("set_id", "id", "first", "words").join(parts, "set_id", "left")
+    named = cut(named.select(F.coalesce("component", "set_id").alias("component"), "id", "first", "words"), discard=(signed, stars, texts))
+    groups = named.groupBy("component").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last")
+    groups = cut(groups.select("component", "keeper"))
+    found = named.join(groups, "component").select("id", "first", (F.col("first") + F.col("words")).alias("end"), "keeper")
+    return cut(found, discard=(named, groups))
 
 
 def repeated_windows(docs: DataFrame, min_words: int, k: int = 8) -> DataFrame:
     """``id``, ``first``, ``end`` (words) and ``keeper`` of runs of words whose windows other documents hold too.
 
-    The keeper is the smallest ``doc_id`` that holds a window.  Equal stretches are one row from the
-    start; only where stretches around one anchor differ are their windows looked at one by one.
+    The keeper is the smallest ``doc_id`` that holds a window.  Where all stretches around an anchor are equal no text is looked
+    at; where they differ their windows are, one by one, from one text for each different stretch.
     """
-    shared = cut(shared_anchors(docs.where(F.col("doc_id").isNotNull()), lambda text: _anchored(text, min_words, k)[1]))
-    stretches = cut(_stretches(docs, shared, min_words, k))
-    distinct = stretches.groupBy("anchor", "content").agg(
-        F.min("id").alias("least"), F.max("id").alias("most"), F.first("windows").alias("windows")
-    )
-    distinct = cut(distinct)
-    mixed = distinct.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    each = distinct.join(mixed, "anchor", "left_semi").select(
-        "anchor", "content", "least", "most", F.posexplode("windows").alias("at", "window")
-    )
-    by_window = each.groupBy("anchor", "window").agg(F.min("least").alias("keeper"), F.max("most").alias("last"))
+
+    def found_in(text: str | None):
+        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(parts) < min_words:
+            return parts, *(np.empty(0, np.int64),) * 4
+        hashes = shingle_run(parts, k)
+        anchor, first, owned = stretches.minimizers(hashes, min_words - k + 1)
+        starts, ends = word_ends(parts)
+        content = Rolling(b" ".join(parts)).between(starts[first], ends[first + owned + min_words - 2])
+        return parts, hashes[anchor].view(np.int64), content.view(np.int64), first, owned
+
+    def read(text: str, anchors: np.ndarray, contents: np.ndarray):
+        parts, anchor, content, first, owned = found_in(text)
+        windows = shingle_run(parts, min_words).view(np.int64)
+        index = {x: i for i, x in enumerate(zip(anchor.tolist(), content.tolist(), strict=True))}
+        both = [(j, index.get(x)) for j, x in enumerate(zip(anchors.tolist(), contents.tolist(), strict=True))]
+        both = [x for x in both if x[1] is not None]
+        return np.array([j for j, _ in both], np.int64), [windows[first[i] : first[i] + owned[i]].tolist() for _, i in both]
+
+    known = docs.where(F.col("doc_id").isNotNull())
+    met = stretches.shared(stretches.stretches(known, lambda text: found_in(text)[1:]))
+    distinct = stretches.different(met)
+    each = stretches.bodies(known, distinct, read, "windows array<long>", [pa.list_(pa.int64())])
+    each = cut(each.select("anchor", "content", "least", "most", F.posexplode("windows").alias("at", "window")), discard=(distinct,))
+    by_window = each.groupBy("anchor", "window").agg(F.min("least").alias("keeper"), F.max("most").alias("last")).where("keeper <> last")
+    by_window = cut(by_window.drop("last"))
     told = (
         each.select("anchor", "content", "at", "window")
-        .join(by_window.where("keeper <> last"), ["anchor", "window"])
+        .join(by_window, ["anchor", "window"])
         .groupBy("anchor", "content", "keeper")
-        .agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    )
-    alone = distinct.join(mixed, "anchor", "left_anti").where("least <> most").select(
-        "anchor", "content", F.col("least").alias("keeper"), F.sequence(F.lit(0), F.size("windows") - 1).alias("ats")
+        .agg(F.sort_array(F.collect_set("at")).alias("ats"))
     )
-    found = stretches.select("id", "anchor", "content", "first").join(alone.unionByName(told.select(alone.columns)), ["anchor", "content"])
-    runs = found.select("id", "keeper", "first", "ats", F.explode(_runs()).alias("run"))
-    first, end = F.col("first") + F.col("run.a"), F.col("first") + F.col("run.b") + min_words
-    return runs.select("id", first.cast("long").alias("first"), end.cast("long").alias("end"), "keeper")
+    told = cut(told.select("anchor", "content", "keeper", F.explode(_runs()).alias("run")), discard=(each, by_window))
+    mixed = met.where("mixed").select("id", "anchor", "content", "first").join(told, ["anchor", "content"])
+    mixed = mixed.select("id", (F.col("first") + F.col("run.a")).alias("first"), (F.col("first") + F.col("run.b")).alias("last"), "keeper")
+    alone = met.where("not mixed and least <> most")
+    alone = alone.select("id", "first", (F.col("first") + F.col("owned") - 1).alias("last"), F.col("least").alias("keeper"))
+    runs = mixed.unionByName(alone)
+    runs = runs.select("id", F.col("first").cast("long"), (F.col("last") + min_words).cast("long").alias("end"), "keeper")
+    return cut(runs, discard=(met, told))
 
 
 def _runs():
@@ -153,42 +241,45 @@ def _runs():
     return F.arrays_zip(starts.alias("a"), ends.alias("b")).cast("array<struct<a:int,b:int>>")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, num: int = 80, den: int = 100, recall: float = 0.999) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, min_words: int = 50, num: int = 80, den: int = 100, recall: float = 0.999, paragraph_words: int = 20
+) -> DataFrame:
     """``id``, ``first``, ``end`` and ``keeper`` of every run of words in *docs* that other documents repeat.
 
-    Paragraphs of any length count with num / den of their 5-word shingles in common (those of fewer than
-    5 words if they are equal), passages of *min_words* words or more if they are equal but for letter case (A-Z) and white space.  ``keeper`` is the smallest
+    Paragraphs (lines of *paragraph_words* words, 5 at least, and runs of shorter lines with as many together) count with num / den of their 5-word shingles in common,
+    passages of *min_words* words or more if they are equal but for letter case (A-Z) and white space.  ``keeper`` is the smallest
     ``doc_id`` of those that hold it, or of the component of alike paragraphs: it keeps the words,
-    others lose them.  Null texts and texts without a word have none; rows without a ``doc_id``
-    are left alone; rows that share one are one document, which doesn't repeat itself.
+    others lose them.  The two kinds are judged by themselves: of a passage that is kept for others, the
+    words in a paragraph that is like one of a smaller ``doc_id`` go all the same, and what stays of them is that paragraph.
+
+    Null texts and texts without a word have none; rows without a ``doc_id``
+    are left alone; rows that share one are one document, which doesn't repeat itself.  Rows that are alike in all but the id are copies like others.
+    An empty table gives no row, other columns are not read, and texts of any length are read whole.
     """
-    bands, rows = tune_bands(num / den, recall, far=0.3, chance=0.1)
-    parts = paragraphs(docs)
-    groups = similarity_groups(parts, 5, num, den, bucket_keys=lambda x: paragraph_keys(x, num, den, bands, rows))
-    groups = groups.where("component_id <> doc_id").select("doc_id", F.shiftright("component_id", _LINE_BITS).alias("keeper"))
-    alike = parts.select("doc_id", "first", "words").join(groups, "doc_id")
-    alike = alike.select(
-        F.shiftright("doc_id", _LINE_BITS).alias("id"), "first", (F.col("first") + F.col("words")).alias("end"), "keeper"
-    ).where("id <> keeper")
+    if paragraph_words < 5:
+        raise ValueError("paragraphs have 5 words at least")
+    alike = alike_paragraphs(docs, paragraph_words, num, den, recall)
     return repeated_windows(docs, min_words).unionByName(alike)
 
 
 def drop_passages(docs: DataFrame, **parameters) -> DataFrame:
-    """*docs* without the passages that a document with a smaller ``doc_id`` keeps.
+    """*docs* without the passages that a document with a smaller ``doc_id`` keeps, as :func:`repeated_passages` finds them.
 
-    White space between the words that stay is kept as it is before each of them; other columns pass
+    An empty table stays empty; of rows that share a ``doc_id`` each loses what the document loses at the same words.  White space between the words that stay is kept as it is before each of them; other columns pass
     through, and texts that lose nothing stay as they are.
     """
     lost = repeated_passages(docs, **parameters).where("id <> keeper")
     lost = lost.groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("lost"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                text if not spans else _without(text, union([(s["first"], s["end"]) for s in spans]))
-                for text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [
+                    text if not spans else _without(text, union([(s["first"], s["end"]) for s in spans]))
+                    for text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
 
     rows = docs.select(F.struct("*").alias("row")).join(lost, F.col("row.doc_id") == F.col("id"), "left")
     kind = rows.select("row").schema["row"].dataType.simpleString()

@@ -61,10 +61,15 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(shingle_run(parts, k))
 
 
-def shingle_run(parts: list[bytes], k: int) -> np.ndarray:
-    rolling = Rolling(b" ".join(parts))
+def word_ends(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in their string with single spaces."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
+    return ends - sizes, ends
+
+
+def shingle_run(parts: list[bytes], k: int) -> np.ndarray:
+    rolling = Rolling(b" ".join(parts))
+    starts, ends = word_ends(parts)
     n = max(1, len(parts) - k + 1)
     return rolling.between(starts[:n], ends[min(k, len(parts)) - 1 :])

@@ -19,7 +19,7 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]):
         sizes = np.array([len(x) for x in sets], np.int64)
         bits = _LEAST_BITS
-        while bits < _MOST_BITS and bits < 4 * sizes.max(initial=1):
+        while bits < _MOST_BITS and bits < 64 * sizes.max(initial=1):
             bits *= 2
         steps = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25)).astype(np.int64)
         lows = np.array([int(x[0]) if len(x) else 0 for x in sets], np.uint64)
@@ -66,12 +66,14 @@ def linked(sets: list[np.ndarray], group: list[int], num: int = 80, den: int = 1
     """Pairs of sets (sorted, distinct hashes) that link, as few as join what links join.
 
     *group* numbers what is joined already; pairs within it need no look, nor do pairs that links
-    found so far have joined.  Every other pair is ruled out by a bound of the tree or compared.
+    found so far have joined.  Leaves side by side are compared first, which joins most copies; then every other
+    pair is ruled out by a bound of the tree, as are nodes of one and the same group, or compared.
     """
     if len(sets) < 2:
         return []
     tree = SignatureTree(sets)
     parent = {g: g for g in group}
+    found: list[tuple[int, int]] = []
 
     def root(g: int) -> int:
         while parent[g] != g:
@@ -79,8 +81,27 @@ def linked(sets: list[np.ndarray], group: list[int], num: int = 80, den: int = 1
             g = parent[g]
         return g
 
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(tree.order[a].tolist(), tree.order[b].tolist(), strict=True):
+            x, y = root(group[i]), root(group[j])
+            if x != y and alike(sets[i], sets[j], num, den):
+                parent[y] = x
+                found.append((i, j))
+
+    beside = np.arange(len(sets) - 1)
+    beside = beside[tree.bound(0, beside, beside + 1, num, den)]
+    compare(beside, beside + 1)
+    roots = np.array([root(group[i]) for i in tree.order])
+    low, high = [roots], [roots]
+    while len(low[-1]) > 1:
+        starts = np.arange(0, len(low[-1]), _FANOUT)
+        low.append(np.minimum.reduceat(low[-1], starts))
+        high.append(np.maximum.reduceat(high[-1], starts))
+
     a = b = np.zeros(1, np.int64)
     for level in range(len(tree.levels) - 1, -1, -1):
+        apart = (low[level][a] != high[level][b]) | (high[level][a] != low[level][b])
+        a, b = a[apart], b[apart]
         fits = tree.bound(level, a, b, num, den)
         a, b = a[fits], b[fits]
         if level:
@@ -90,13 +111,7 @@ def linked(sets: list[np.ndarray], group: list[int], num: int = 80, den: int = 1
             y = np.tile(b[:, None] * _FANOUT + steps, (1, _FANOUT)).ravel()
             kept = (x <= y) & (y < n) & (x < n)
             a, b = x[kept], y[kept]
-    found = []
-    apart = a != b
-    for i, j in zip(tree.order[a[apart]].tolist(), tree.order[b[apart]].tolist(), strict=True):
-        x, y = root(group[i]), root(group[j])
-        if x != y and alike(sets[i], sets[j], num, den):
-            parent[y] = x
-            found.append((i, j))
+    compare(a, b)
     return found
 
 

@@ -247,28 +247,170 @@ def test_op2_alike_paragraphs(spark):
     assert kept[1] == rows[0][1] and kept[2].split() == ["end"] and kept[3] == rows[2][1]
 
 
-def test_op2_short_paragraphs_against_all_pairs(spark):
-    rng = random.Random(11)
+def test_line_paragraphs():
+    assert passages.line_paragraphs([3, 30, 8, 0, 7, 6, 20, 19], 20) == [(3, 30), (33, 21), (54, 20)]
+    assert passages.line_paragraphs([9, 9], 20) == passages.line_paragraphs([], 20) == []
+    assert passages.line_paragraphs([9, 9, 9], 20) == [(0, 27)]
+
+
+def alike_lines(rng, n, longest):
+    """Lines of 1 to *longest* words, many of them alike."""
     lines = []
-    for _ in range(120):
-        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 75))]
+    for _ in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, longest))]
         lines.append(" ".join(base))
         for _ in range(rng.randrange(1, 5)):
             other = base + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3))]
             at = rng.randrange(len(other))
             lines.append(" ".join(other[:at] + (["changed"] if rng.random() < 0.3 else []) + other[at:]))
-    rows = [(i + 1, line) for i, line in enumerate(lines)]
-    sets = {i: x[0] for i, x in shingle_sets(rows).items()}
+    return lines
+
+
+def all_alike(sets):
     links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    wanted = {i: c for i, c in roots(links, sets).items() if i != c}
+    return roots(links, sets)
+
+
+def test_op2_short_paragraphs_against_all_pairs(spark):
+    lines = alike_lines(random.Random(11), 120, 75)
+    rows = [(i + 1, line) for i, line in enumerate(lines)]
+    sets = {i: x[0] for i, x in shingle_sets(rows).items() if len(lines[i - 1].split()) >= 5}
+    wanted = {i: c for i, c in all_alike(sets).items() if i != c}
     assert {len(lines[i - 1].split()) // 10 for i in wanted} >= {0, 1, 2, 3, 4, 5, 6}
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.id: r.keeper for r in passages.repeated_passages(frame, min_words=1000).collect() if r.id != r.keeper}
+    found = {r.id: r.keeper for r in passages.repeated_passages(frame, min_words=1000, paragraph_words=5).collect() if r.id != r.keeper}
     assert found == wanted
 
 
+def test_op2_paragraphs_of_the_table_against_all_pairs(spark):
+    """Recall over the paragraphs of 1000 documents, by the links of all pairs that a common shingle suggests."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    split = []
+    for r in docs.collect():
+        lines = [x.split() for x in (r.text or "").encode().lower().split(b"\n")]
+        flat = [w for line in lines for w in line]
+        split += [(r.doc_id, a, flat[a : a + n]) for a, n in passages.line_paragraphs([len(x) for x in lines], 20)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for _, _, w in split]
+    holders = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for shingle in x:
+            holders[shingle].append(i)
+    pairs = {(i, j) for own in holders.values() for i in own for j in own if i < j}
+    links = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(split) > 4000 and sum(sets[i] != sets[j] for i, j in links) > 50
+    component = roots(links, range(len(split)))
+    ids = collections.defaultdict(set)
+    for i, c in component.items():
+        ids[c].add(split[i][0])
+    wanted = {(split[i][0], split[i][1], min(ids[c])) for i, c in component.items() if len(ids[c]) > 1}
+    found = {(r.id, r.first, r.keeper) for r in passages.alike_paragraphs(docs, 20, 80, 100, 0.999).collect()}
+    assert found <= wanted and len(found) >= 0.99 * len(wanted)
+
+
 def test_op2_drops_short_paragraphs(spark):
     words = [f"w{i}" for i in range(30)]
-    rows = [(1, "one\n" + " ".join(words) + "\nof four words here"), (2, " ".join([*words[:-1], "changed"]) + "\nOf  four words here\nrest"), (3, "two\nof four words there")]
+    short = "\n".join(" ".join(f"{i}s{j}" for j in range(8)) for i in range(4))
+    rows = [(1, "one\n" + " ".join(words) + "\n" + short), (2, " ".join([*words[:-1], "changed"]) + "\n" + short.replace("\n", "\n\n") + "\n" + " ".join(map(str, range(40)))), (3, "two\nof four words there")]
     kept = {r.doc_id: r.text for r in passages.drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept[1] == rows[0][1] and kept[2].split() == ["rest"] and kept[3] == rows[2][1]
+    assert kept[1] == rows[0][1] and kept[2].split() == [str(i) for i in range(40)] and kept[3] == rows[2][1]
+
+
+def test_op2_a_passage_kept_for_others_goes_with_an_alike_paragraph(spark):
+    """Document 2 keeps 60 words for document 3, and loses them with a paragraph that is like one of document 1."""
+    words = [f"w{i}" for i in range(200)]
+    near = [w if i != 130 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "before " + " ".join(near[100:160]) + " after")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text.split() for r in passages.drop_passages(frame).collect()}
+    assert kept == {1: words, 2: [], 3: ["before", "after"]}
+
+
+def test_op2_query_against_brute_force(spark, tmp_path, texts):
+    """All four columns, with ids beyond 2**62 and below 0, and copies of rows."""
+    rng = random.Random(2)
+    lines = alike_lines(rng, 40, 90)
+    rows = [(i * 2**57 - 2**62, "\n".join(rng.sample(lines, 3))) for i in range(60)] + [(2**63 - 1, texts[0][1]), (-5, texts[0][1]), (-5, texts[0][1]), (None, texts[0][1]), (7, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spans, links = collections.defaultdict(set), set()
+    split = {}
+    for k, (i, t) in enumerate(rows):
+        if i is not None:
+            split[k] = [x.split() for x in (t or "").lower().split("\n")]
+    flat = {k: [w for line in x for w in line] for k, x in split.items()}
+    held = collections.defaultdict(set)
+    for k, w in flat.items():
+        for a in range(len(w) - 49):
+            held[tuple(w[a : a + 50])].add(rows[k][0])
+    paras = [(k, a, flat[k][a : a + n]) for k, x in split.items() for a, n in passages.line_paragraphs([len(line) for line in x], 20)]
+    component = all_alike({p: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for p, (_, _, w) in enumerate(paras)})
+    ids = collections.defaultdict(set)
+    for p, c in component.items():
+        ids[c].add(rows[paras[p][0]][0])
+    for k, w in flat.items():
+        own = [(a, a + 50, min(held[tuple(w[a : a + 50])])) for a in range(len(w) - 49) if len(held[tuple(w[a : a + 50])]) > 1]
+        own += [(a, a + len(x), min(ids[component[p]])) for p, (k2, a, x) in enumerate(paras) if k2 == k and len(ids[component[p]]) > 1]
+        for a, b, keeper in own:
+            spans[rows[k][0]].add((a, b, keeper))
+            links.add((rows[k][0], keeper))
+    connected = roots(links, {x for link in links for x in link})
+    def words(i, lost):
+        return len({x for a, b, keeper in spans[i] if not lost or keeper != i for x in range(a, b)})
+    wanted = sorted((i, words(i, False), words(i, True), connected[i]) for i in list(spans))
+    found = sorted(tuple(r) for r in passages.op2_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_repeated", "n_removed", "component_id").collect())
+    assert found == wanted and len(found) > 40
+    frame.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert passages.op2_substring_dedup(spark, str(tmp_path)).count() == 0
+
+
+def test_op4_large_stars_in_parts(spark, monkeypatch):
+    """Families of copies, and one of texts alike but not enough, in stars of many parts."""
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.choice((1, 3, 6, 12))):
+                w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    wanted = all_alike({i: x[0] for i, x in shingle_sets(rows).items()})
+    assert 4 < len(set(wanted.values())) < 150
+    found = {r.doc_id: r.component_id for r in joins.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == wanted
+
+
+def test_signature_tree_of_a_template_family_prunes():
+    """10 000 sets that share 60 % do not link; the traversal must not look at all 50 million pairs."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 40, dtype=np.uint64)])) for _ in range(10_000)]
+    looked = []
+    bound = signature_tree.SignatureTree.bound
+
+    def counted(self, level, a, *rest):
+        looked.append(len(a))
+        return bound(self, level, a, *rest)
+
+    signature_tree.SignatureTree.bound = counted
+    try:
+        assert signature_tree.linked(sets, list(range(10_000))) == []
+    finally:
+        signature_tree.SignatureTree.bound = bound
+    assert sum(looked) < 5_000_000
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from corpusgraph.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)
