@@ -200,7 +200,6 @@ def test_op9_packs_every_token_once(spark, docs, texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rows = packing.pack(docs, packing.vocabulary_encoder(), keep_ids=True).collect()
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
     found = collections.defaultdict(list)
@@ -244,6 +243,34 @@ def test_op9_added_tokens_are_one_id(spark):
     assert {r.doc_id: r.doc_tokens for r in rows} == {i: 1 + len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("text", [
+    "a" + " " * 1_200_000 + "b", "a" + " " * 1_200_000, "x\r\n" * 30_000 + "\r\n" * 20_000 + "y", " " * 120_000 + "<|endoftext|>" + "\n" * 30_000 + " x<|endoftext|>" + "\t" * 20_000,
+    "\x1c" * 20_000 + "b" + " " * 150_000 + "\x1cq", "a" * 300_000, "\u3000" * 120_000 + "'s", "!" * 100_000 + " " * 20_000 + "'s  \n x",
+])
+def test_op9_very_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.frombuffer(packing.vocabulary_encoder()()(text), "<u4").tolist()
+    assert ids == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_op9_other_vocabulary_files_are_not_guessed(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    stored = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    stored["normalizer"] = {"type": "Lowercase"}
+    stored["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    json.dump(stored, open(path, "w", encoding="utf-8"))
+    text = "Some Words, ÀND  more"
+    assert np.frombuffer(packing.vocabulary_encoder(path)()(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_op9_little_padding():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 1024) for _ in range(2000)]
@@ -268,6 +295,28 @@ def test_op10_viterbi_against_all_paths():
     assert language.viterbi([], 1.0) == []
 
 
+@pytest.mark.parametrize("steps", [1, 2, 5, 64])
+def test_op10_viterbi_in_parts(monkeypatch, steps):
+    rng = np.random.default_rng(7)
+    scores = [rng.normal(size=(n, 4)) for n in (57, 1, 64, 128, 3)]
+
+    def worth(s, path):
+        return s[np.arange(len(s)), path].sum() - 1.3 * (np.diff(path) != 0).sum()
+
+    whole = language.viterbi(scores, 1.3)
+    monkeypatch.setattr(language, "_STEPS", steps)
+    for s, a, b in zip(scores, whole, language.viterbi(scores, 1.3), strict=True):
+        assert len(a) == len(b) == len(s) and abs(worth(s, a) - worth(s, b)) < 1e-9
+
+
+def test_op10_a_very_long_text(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(20)] + [(50 + i, "das Haus und der Garten", "de") for i in range(20)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "the garden and the house " * 60_000 + "und der Garten das Haus " * 40_000
+    found = language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert found.lang_pred == "en" and [(s.lang, s.start, s.end) for s in found.spans] == [("en", 0, 300_000), ("de", 300_000, 500_000)]
+
+
 def test_op10_held_out_accuracy(spark):
     found = language.op10_language_id(spark, "/root/testdata/sf0.01").toPandas()
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
