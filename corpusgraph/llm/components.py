@@ -21,17 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(now)
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are tables by themselves, so that joins are no part of their counts and Spark can split hubs.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(least, "u")
+            large.join(smaller, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")
             .distinct()
         )
-        now = cut(small, discard=(now,))
+        now = cut(small, discard=(now, least, smaller))
         state = _state(now)
         if state == seen:
             break
