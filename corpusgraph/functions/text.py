@@ -39,6 +39,11 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with *value* computed once a row, where Catalyst would copy a long expression to every place."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def content_tokens(text: Column | str, stop: tuple[str, ...], longer_than: int = 2) -> Column:
     """Tokens that are no stop words and have more than so many characters, in order, with repeats."""
     stops = F.array(*map(F.lit, stop))

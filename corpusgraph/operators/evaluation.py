@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.relational import at_most
+
+#: Entries of two top lists that are compared pair by pair.
+MOST_RANKED = 10_000
+
 
 def kendall_tau(ranks: DataFrame, key: str, first: str, second: str) -> DataFrame:
-    """``tau`` of two rankings of the same short list: agreeing minus disagreeing pairs, over all pairs."""
+    """``tau`` of two rankings of the same short list: agreeing minus disagreeing pairs, over all pairs.
+
+    All pairs are made, so a list of more than MOST_RANKED is an error.
+    """
+    ranks = at_most(ranks, MOST_RANKED)
     other = ranks.select(*[F.col(c).alias(f"_{c}") for c in (key, first, second)])
     sign = F.signum((F.col(first) - F.col(f"_{first}")) * (F.col(second) - F.col(f"_{second}")))
     pairs = ranks.join(F.broadcast(other), F.col(key) < F.col(f"_{key}")).agg(F.sum(sign).alias("s"))

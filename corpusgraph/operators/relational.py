@@ -94,11 +94,12 @@ def upsert(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def get_or_create(dimension: DataFrame, names: DataFrame, name: str, id_: str) -> DataFrame:
-    """*dimension* (id, name) with the new names, numbered on from its largest id."""
+    """*dimension* (id, name) with the new names, numbered on from its largest id by ranges, not in one task."""
+    from corpusgraph.operators.ordering import numbered
+
     new = names.select(name).where(F.col(name).isNotNull()).distinct().join(dimension, name, "left_anti")
     top = dimension.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    number = F.row_number().over(Window.orderBy(name)).cast("long")
-    made = new.withColumn("_k", number).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias(id_), name)
+    made = numbered(new, [F.asc(name)], "_k").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias(id_), name)
     return dimension.select(id_, name).unionByName(made)
 
 

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from corpusgraph.operators.relational import top_per_group
 
 
-def cascade(wanted: DataFrame, name: str, tiers: list[tuple[str, float, DataFrame]], id_: str) -> DataFrame:
+def cascade(
+    wanted: DataFrame, name: str, tiers: list[tuple[str, float, DataFrame]], id_: str,
+    fuzzy_names: DataFrame | None = None, candidate: str = "name", least: float = 0.85, score=None,
+) -> DataFrame:
     """Each wanted name with the smallest id of the first tier that knows it, ``method`` and ``confidence``.
 
     A tier is (method, confidence, table of names and ids).  All tiers are one table with ranks, so
-    that one join does for them all.
+    that one join does for them all.  What no tier knows is then compared with *fuzzy_names* (*candidate* and id) by
+    *score* (:func:`fuzzy`, or :func:`fuzzy_ratio`), whose value is the confidence.
     """
     known = None
     for k, (method, confidence, names) in enumerate(tiers):
@@ -24,10 +28,22 @@ def cascade(wanted: DataFrame, name: str, tiers: list[tuple[str, float, DataFram
         known = rows if known is None else known.unionByName(rows)
     best = known.groupBy(name).agg(F.min(F.struct("_k", id_, "method", "confidence")).alias("best"))
     joined = wanted.join(best, name, "left")
-    return joined.select(
+    found = joined.select(
         name, F.col("best")[id_].alias(id_), F.coalesce("best.method", F.lit("unmatched")).alias("method"),
         F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"),
     )
+    if fuzzy_names is None:
+        return found
+    ids = fuzzy_names.groupBy(candidate).agg(F.min(id_).alias("_id"))
+    left = found.where("method = 'unmatched'").select(name)
+    near = (score or fuzzy)(left, name, ids.select(candidate), candidate, least).join(ids, candidate)
+    near = near.select(F.col(name).alias("_name"), "_id", F.col("score").cast("double").alias("_score"))
+    both = found.join(near, F.col(name) == F.col("_name"), "left")
+    hit = F.col("_name").isNotNull()
+    return both.select(
+        name, F.when(hit, F.col("_id")).otherwise(F.col(id_)).alias(id_), F.when(hit, "fuzzy").otherwise(F.col("method")).alias("method"),
+        F.when(hit, F.col("_score")).otherwise(F.col("confidence")).alias("confidence"),
+    )
 
 
 def _by_length(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least: float) -> DataFrame:

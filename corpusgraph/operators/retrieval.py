@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,12 @@ def proximity(tokens: Column, first: str, second: str, distance: int) -> Column:
     return F.when(F.size(tokens) > distance, F.exists(ahead, lambda x: x)).otherwise(False)
 
 
+def near_in_text(text: Column | str, first: str, second: str, distance: int) -> Column:
+    """:func:`proximity` of a text's tokens, which are made once, and only of texts that have both terms in them."""
+    held = t.bound(F.lower(text), lambda x: F.contains(x, F.lit(first)) & F.contains(x, F.lit(second)))
+    return F.when(held, t.bound(t.tokens(text), lambda x: proximity(x, first, second, distance))).otherwise(F.lit(False))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """An inverted index: ``term``, *key*, ``tf`` and the text's number of tokens ``dl``."""
     toks = docs.select(key, t.tokens(text).alias("ts"))
@@ -43,28 +50,33 @@ def bm25(
 ) -> DataFrame:
     """*key* and ``bm25`` of texts that hold all *terms* (few, distinct).
 
-    Counts are taken in place, by text: one pass for the corpus's statistics, one row, and one for
-    the scores, without a shuffle of texts.  *phrase*, where the text has it as it is, multiplies by *boost*.
+    Counts are taken in place, by text, which is split once in a pass: one pass for the corpus's statistics, one row, and one for
+    the scores, over texts in which all terms can be found, without a shuffle of texts.  *phrase*, where the text has it as it is, multiplies by *boost*.
     """
-    toks = docs.select(key, F.lower(text).alias("lowered"), t.tokens(text).alias("ts"))
 
-    def count(term: str) -> Column:
-        return F.size(F.filter("ts", lambda x: x == term))
+    def times(ts: Column, term: str) -> Column:
+        return F.size(F.filter(ts, lambda x: x == term))
+
+    def counts(ts: Column) -> Column:
+        return F.struct(F.size(ts).alias("dl"), *[times(ts, term).alias(f"tf{i}") for i, term in enumerate(terms)])
+
+    def counted_in(rows: DataFrame) -> DataFrame:
+        # Conditions on what a generator makes are not copied below it, so texts are not split again for them.
+        return rows.select(key, text, F.inline(F.array(t.bound(t.tokens(text), counts))))
 
-    tfs = [count(x).alias(f"tf{i}") for i, x in enumerate(terms)]
-    counted = toks.select(key, "lowered", F.size("ts").alias("dl"), *tfs)
-    stats = counted.agg(
+    held = t.bound(F.lower(text), lambda x: reduce(Column.__and__, [F.contains(x, F.lit(term)) for term in terms]))
+    stats = counted_in(docs).agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))],
     )
-    hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
+    hits = counted_in(docs.where(held)).where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
         score += idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     if phrase is not None:
-        score = score * F.when(F.contains("lowered", F.lit(phrase.lower())), boost).otherwise(1.0)
+        score = score * F.when(F.contains(F.lower(text), F.lit(phrase.lower())), boost).otherwise(1.0)
     return hits.select(key, score.alias("bm25"))
 
 

@@ -154,12 +154,12 @@ def a14(spark, d):
 
 @query(
     "a15_zero_filled_sequence",
-    """SELECT p_partkey, k AS number, count(l_orderkey) AS n FROM (SELECT p_partkey, unnest(generate_series(1, p_size))::INT AS k FROM part WHERE p_partkey <= 30)
+    """SELECT p_partkey, k AS number, count(l_orderkey) AS n FROM (SELECT p_partkey, unnest(generate_series(1, p_size))::INT AS k FROM part)
     LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = k GROUP BY ALL""",
 )
 def a15(spark, d):
-    lines = table(spark, d, "lineitem").where("l_partkey <= 30").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("number"))
-    return a.per_number(lines, table(spark, d, "part").where("p_partkey <= 30"), "p_partkey", "p_size", "number")
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("number"))
+    return a.per_number(lines, table(spark, d, "part"), "p_partkey", "p_size", "number")
 
 
 @query(

@@ -191,36 +191,41 @@ def j16(spark, d):
     return counts.na.fill(0)
 
 
-_NAMES = """names AS (SELECT p_partkey AS id, lower(string_split(p_name, ' ')[1]) AS name, lower(p_type) AS alias FROM part WHERE p_partkey <= 60),
-    wanted AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS w FROM part WHERE p_partkey BETWEEN 50 AND 200
-      UNION SELECT lower(p_type) FROM part UNION SELECT lower(c_mktsegment) FROM customer)"""
+_NAMES = """names AS (SELECT p_partkey AS id, lower(string_split(p_name, ' ')[1]) AS name, lower(p_type) AS alias FROM part),
+    wanted AS (SELECT DISTINCT name AS w FROM names UNION SELECT name || 's' FROM names UNION SELECT alias FROM names UNION SELECT 'the ' || name FROM names
+      UNION SELECT lower(c_mktsegment) FROM customer),
+    p AS (SELECT w, name, 1 - levenshtein(w, name) / greatest(length(w), length(name))::DOUBLE AS score FROM wanted, (SELECT DISTINCT name FROM names))"""
 
 
 def _names(spark, d):
-    part = table(spark, d, "part")
     first = F.lower(F.get(F.split("p_name", " "), F.lit(0)))
-    names = part.where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), first.alias("name"), F.lower("p_type").alias("alias"))
-    wanted = part.where("p_partkey BETWEEN 50 AND 200").select(first.alias("w")).union(part.select(F.lower("p_type")))
-    return names, wanted.union(table(spark, d, "customer").select(F.lower("c_mktsegment"))).distinct()
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), first.alias("name"), F.lower("p_type").alias("alias"))
+    forms = F.explode(F.array("name", F.concat("name", F.lit("s")), F.concat(F.lit("the "), "name"), "alias"))
+    return names, names.select(forms.alias("w")).union(table(spark, d, "customer").select(F.lower("c_mktsegment"))).distinct()
 
 
 @query(
     "j17_resolution_cascade",
-    f"""WITH {_NAMES} SELECT w, coalesce((SELECT min(id) FROM names WHERE name = w), (SELECT min(id) FROM names WHERE alias = w), 0) AS id,
-    CASE WHEN w IN (SELECT name FROM names) THEN 'exact' WHEN w IN (SELECT alias FROM names) THEN 'alias' ELSE 'unmatched' END AS method,
-    CASE WHEN w IN (SELECT name FROM names) THEN 1.0::DOUBLE WHEN w IN (SELECT alias FROM names) THEN 0.95 ELSE 0.0 END AS confidence FROM wanted""",
+    f"""WITH {_NAMES}, t AS (SELECT name AS w, 1 AS k, 'exact' AS method, 1.0::DOUBLE AS confidence, id FROM names UNION ALL SELECT alias, 2, 'alias', 0.95, id FROM names
+      UNION ALL SELECT lower(c_mktsegment), 3, 'person', 0.9, c_custkey FROM customer
+      UNION ALL SELECT w, 4, 'fuzzy', round(score, 6), id FROM (SELECT * FROM p WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1) JOIN names USING (name)),
+    b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY w ORDER BY k, id) = 1)
+    SELECT w, coalesce(id, 0) AS id, coalesce(method, 'unmatched') AS method, coalesce(confidence, 0.0::DOUBLE) AS confidence FROM wanted LEFT JOIN b USING (w)""",
 )
 def j17(spark, d):
     names, wanted = _names(spark, d)
-    tiers = [("exact", 1.0, names.select(F.col("name").alias("w"), "id")), ("alias", 0.95, names.select(F.col("alias").alias("w"), "id"))]
-    out = resolution.cascade(wanted, "w", tiers, "id")
-    return out.withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    people = table(spark, d, "customer").select(F.lower("c_mktsegment").alias("w"), F.col("c_custkey").alias("id"))
+    tiers = [
+        ("exact", 1.0, names.select(F.col("name").alias("w"), "id")), ("alias", 0.95, names.select(F.col("alias").alias("w"), "id")),
+        ("person", 0.9, people),
+    ]
+    out = resolution.cascade(wanted, "w", tiers, "id", fuzzy_names=names.select("name", "id"), candidate="name", least=0.7)
+    return out.select("w", F.coalesce("id", F.lit(0).cast("long")).alias("id"), "method", F.round("confidence", 6).alias("confidence"))
 
 
 @query(
     "j18_fuzzy_levenshtein",
-    f"""WITH {_NAMES}, p AS (SELECT w, name, 1 - levenshtein(w, name) / greatest(length(w), length(name))::DOUBLE AS score FROM wanted, (SELECT DISTINCT name FROM names))
-    SELECT w, name, round(score, 6) AS score FROM p WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1""",
+    f"""WITH {_NAMES} SELECT w, name, round(score, 6) AS score FROM p WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1""",
 )
 def j18(spark, d):
     names, wanted = _names(spark, d)
@@ -293,10 +298,10 @@ def j23(spark, d):
 
 @query(
     "j24_endpoint_union",
-    "SELECT DISTINCT k FROM (SELECT l_partkey AS k FROM lineitem WHERE l_orderkey < 200 UNION SELECT l_suppkey FROM lineitem WHERE l_orderkey < 200)",
+    "SELECT DISTINCT k FROM (SELECT l_partkey AS k FROM lineitem UNION SELECT l_suppkey FROM lineitem)",
 )
 def j24(spark, d):
-    edges = table(spark, d, "lineitem").where("l_orderkey < 200")
+    edges = table(spark, d, "lineitem")
     return edges.select(F.col("l_partkey").alias("k")).union(edges.select("l_suppkey")).distinct()
 
 
@@ -327,15 +332,15 @@ def k03(spark, d):
 
 @query(
     "k04_get_or_create",
-    """WITH d AS (SELECT DISTINCT c_nationkey::BIGINT AS id, 'N' || c_nationkey AS name FROM customer WHERE c_nationkey < 10),
-    new AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM (SELECT DISTINCT 'N' || s_nationkey AS name FROM supplier EXCEPT SELECT name FROM d))
+    """WITH d AS (SELECT DISTINCT c_nationkey::BIGINT AS id, 'N' || c_nationkey AS name FROM customer),
+    new AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM (SELECT DISTINCT 'N' || (s_nationkey + 20) AS name FROM supplier EXCEPT SELECT name FROM d))
     SELECT id, name FROM d UNION ALL SELECT (SELECT max(id) FROM d) + k, name FROM new""",
 )
 def k04(spark, d):
-    known = table(spark, d, "customer").where("c_nationkey < 10").select(
+    known = table(spark, d, "customer").select(
         F.col("c_nationkey").cast("long").alias("id"), F.concat(F.lit("N"), "c_nationkey").alias("name")
     ).distinct()
-    names = table(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("name"))
+    names = table(spark, d, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey") + 20).alias("name"))
     return r.get_or_create(known, names, "name", "id")
 
 

@@ -94,7 +94,11 @@ def r06(spark, d):
     nation = table(spark, d, "nation")
     terms = nation.select(F.lower(F.substring("n_name", 1, 5)).alias("term")).union(nation.where("n_nationkey < 5").select(F.lower("n_name"))).distinct()
     name = F.lower("n_name")
-    found = terms.join(nation, F.contains(name, F.col("term")))
+    # A name that contains a term has the term's first letters somewhere: names and terms meet by those.
+    ahead = F.substring("term", 1, 3)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: name.substr(i, n))))
+    found = terms.withColumn("gram", ahead).join(nation.withColumn("gram", F.explode(F.array_distinct(grams))), "gram")
+    found = found.where(F.contains(name, F.col("term")))
     tier = F.when(name == F.col("term"), 1).when(F.startswith(name, F.col("term")), 2).otherwise(3)
     return top_per_group(found.withColumn("tier", tier), ["term"], [F.asc("tier"), F.asc("n_nationkey")]).select("term", "n_nationkey", "tier")
 
@@ -258,5 +262,7 @@ def x06(spark, d):
     "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events",
 )
 def x07(spark, d):
-    window = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(window).alias("n"))
+    from corpusgraph.operators.ordering import numbered_in
+
+    rows = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return numbered_in(rows, "event_type", [F.asc("ts"), F.asc("event_id")], "n").select("event_id", "n")

@@ -172,3 +172,43 @@ def test_no_task_gathers_a_table(spark, name):
 
     plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "collect_list" not in plan and "row_number" not in plan
+
+
+def test_cascade_with_fuzzy_ratio(spark):
+    from corpusgraph.operators.resolution import cascade, fuzzy_ratio
+
+    names = spark.createDataFrame([("moses", 1), ("abraham", 2), ("abraham", 3)], "name string, id long")
+    wanted = spark.createDataFrame([("moses",), ("abrahem",), ("lawgiver",), ("zzz",)], "w string")
+    tiers = [("exact", 1.0, names.withColumnRenamed("name", "w")), ("alias", 0.95, spark.createDataFrame([("lawgiver", 1)], "w string, id long"))]
+    found = {r.w: (r.id, r.method, round(r.confidence, 3)) for r in cascade(wanted, "w", tiers, "id", names, "name", 0.85, fuzzy_ratio).collect()}
+    assert found == {"moses": (1, "exact", 1.0), "abrahem": (2, "fuzzy", 0.857), "lawgiver": (1, "alias", 0.95), "zzz": (None, "unmatched", 0.0)}
+
+
+def test_numbered_in_groups(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgraph.operators.ordering import numbered_in
+
+    rows = [(i, "ab"[i % 3 == 0] if i % 7 else None, (i * 37) % 11) for i in range(200)]
+    found = {r.i: r.n for r in numbered_in(spark.createDataFrame(rows, "i long, g string, v long"), "g", [F.asc("v"), F.asc("i")], "n").collect()}
+    for g in ("a", "b", None):
+        own = sorted((v, i) for i, h, v in rows if h == g)
+        assert [found[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_texts_are_split_once_a_pass(spark):
+    """BM25 splits in the pass for the statistics and in that for the scores, proximity once."""
+    from corpusgraph.plans import catalogue
+
+    for name, most in (("v05_bm25", 2), ("f18_proximity", 1)):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= most, plan
+
+
+def test_kendall_tau_refuses_long_lists(spark, monkeypatch):
+    from corpusgraph.operators import evaluation
+    from corpusgraph.operators.relational import TooManyRows
+
+    monkeypatch.setattr(evaluation, "MOST_RANKED", 3)
+    with pytest.raises(TooManyRows):
+        evaluation.kendall_tau(spark.range(5).selectExpr("id", "id AS a", "-id AS b"), "id", "a", "b")
