@@ -16,7 +16,7 @@ _BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """A row a source (``source``, ``source_size``, ``target``) from rows of ``source`` and ``size``.
+    """A row a source (``source``, ``source_size``, ``docs`` with words, ``target``) from rows of ``source`` and ``size``.
 
     Sources in the order of their code points, null last, have *weights* in turn and share all
     words; no target is over *most* times its source's size, and what is over goes to the others
@@ -28,7 +28,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     by_level = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     after = by_level.rowsBetween(0, Window.unboundedFollowing)
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight.cast("long"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs")).withColumn("weight", weight.cast("long"))
     left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(most * F.sum("source_size").over(before), F.lit(0))
     levels = per_source.withColumn("left", left).withColumn("open", F.sum("weight").over(after))
     full = F.col("left") * F.col("weight") >= most * F.col("source_size") * F.col("open")
@@ -38,16 +38,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     target = F.when(level.isNull(), (most * F.col("source_size")).cast("double")).otherwise(
         (level["left"] * F.col("weight")).cast("double") / level["open"].cast("double")
     )
-    return levels.select("source", "source_size", target.alias("target"))
+    return levels.select("source", "source_size", "docs", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix", most: int = 3) -> DataFrame:
     """*docs* with a struct ``mix`` of ``size``, ``source_size``, ``target`` and ``copies``.
 
     A document of a source whose target is r times its size is first given floor(r) whole copies,
-    which are certain.  The rest, p = r - floor(r), is its inclusion probability for one more.  By
+    which are certain.  The rest, p = r - floor(r), is the inclusion probability of one more for a document of the source's
+    mean size; the inclusion odds of others are in proportion to their sizes, so that longer documents are likelier.  By
     Pareto order sampling each document draws u from a digest of *seed* and ``doc_id`` (the same in
-    each run), and those with the smallest odds of u divided by the odds of p are taken until the
+    each run), and those with the smallest odds of u divided by their inclusion odds are taken until the
     words still missing are reached; the document that passes them is taken if the sum then comes
     nearer.  Ties are broken by ``doc_id`` and size; rows that are alike in all three are taken
     together.  Documents without words (null texts too) get no copies, a null ``doc_id`` draws as
@@ -124,8 +125,9 @@ def _place(seed: str) -> Column:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     draw = F.conv(F.substring(digest, 1, _DRAW_BITS // 4), 16, 10).cast("double")
     u = (draw + 0.5) / float(1 << _DRAW_BITS)
-    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    return F.when(F.col("p") > 0, q / (1 + q))
+    relative = F.col("size").cast("double") * F.col("docs").cast("double") / F.col("source_size").cast("double")
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * relative)
+    return F.when((F.col("p") > 0) & (F.col("size") > 0), q / (1 + q))
 
 
 def _join_sources(rows: DataFrame, by_source: DataFrame, n_sources: int) -> DataFrame:
@@ -165,7 +167,7 @@ WITH d AS (
            / 17592186044416::DOUBLE AS u
   FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS docs,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
   FROM d GROUP BY source
 ), l AS (
@@ -177,7 +179,7 @@ WITH d AS (
 ), f AS (
   SELECT min(k) AS k FROM l WHERE rest * weight < 3 * source_size * open
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, docs,
          CASE WHEN f.k IS NULL OR l.k < f.k THEN (3 * source_size)::DOUBLE
               ELSE ((SELECT rest FROM l l2 WHERE l2.k = f.k) * weight)::DOUBLE
                    / ((SELECT open FROM l l2 WHERE l2.k = f.k))::DOUBLE END AS target
@@ -189,10 +191,12 @@ WITH d AS (
          CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0 END AS p FROM p
 ), r AS (
   SELECT d.doc_id, d.source, size, source_size, target, whole, missing, p,
-         CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS place
+         CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p) * (size::DOUBLE * docs::DOUBLE / source_size::DOUBLE)) END AS odds
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), o AS (
+  SELECT *, odds / (1 + odds) AS place FROM r
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size) AS upto FROM r
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place NULLS LAST, doc_id, size) AS upto FROM o
 )
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN size > 0 AND p > 0 AND 2 * upto - size <= 2 * missing THEN 1 ELSE 0 END))::BIGINT AS taken
