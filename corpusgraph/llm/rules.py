@@ -238,12 +238,11 @@ def _best(binned: DataFrame, edges: dict[str, list[float]], min_caught: int):
 def fit(docs: DataFrame, labelled: DataFrame) -> DecisionList:
     """A decision list from the labelled documents among *docs* (all of them).
 
-    A document with several labels counts once for each.  Only the labelled texts are measured.
+    A document with several labels counts once for each.  Labels are joined first, so only the labelled texts are measured.
     """
-    with_labels = docs.select("doc_id", statistics(F.col("text")).alias("s")).join(
-        labelled.select("doc_id", "quality"), "doc_id"
-    )
-    return learn(cut(with_labels.select("doc_id", "quality", *features(F.col("s")))))
+    with_labels = docs.select("doc_id", "text").join(labelled.select("doc_id", "quality"), "doc_id")
+    measured = with_labels.select("doc_id", "quality", statistics(F.col("text")).alias("s"))
+    return learn(cut(measured.select("doc_id", "quality", *features(F.col("s")))))
 
 
 def judge(measured: DataFrame, rules: DecisionList) -> DataFrame:
@@ -260,10 +259,12 @@ def filter_quality(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
     A null or empty text has no words and is rejected.  Rows stay as they are, with all columns
     whatever their names are; repeated rows are judged alike.  An empty table gives an empty table;
-    without labels only the base rules judge.  Texts are measured where they lie, without a shuffle.
+    without labels only the base rules judge.  Texts of any length are measured whole, once and where they lie, and stored with
+    what was measured; only that is joined with the labels.
     """
-    rules = fit(docs, labelled)
-    rows = docs.select(F.struct("*").alias("row"), statistics(F.col("text")).alias("s"))
+    rows = cut(docs.select(F.struct("*").alias("row"), statistics(F.col("text")).alias("s")))
+    measured = rows.select(F.col("row.doc_id").alias("doc_id"), *features(F.col("s")))
+    rules = learn(cut(measured.join(labelled.select("doc_id", "quality"), "doc_id")))
     kept = judge(rows, rules).where("kept")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
