@@ -3,11 +3,15 @@
 Each stage reads what the one before has written, and its decisions take effect: documents that the
 quality rules reject go, shared lines go, of each group of near copies the smallest ``doc_id`` stays,
 documents are repeated or left out as the mix of sources asks, and the rest is packed.
+
+Every stage takes each text whole, however long, and gives an empty table for an empty one.  Null and empty texts have no words, so
+the first stage rejects them; met later they stay.  Rows that are alike are judged alike until the near copies
+go, of which rows that share a ``doc_id`` are one document and rows without one are none.  Columns pass through whatever
+their names are, but for the last stage, which returns pieces.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the stages between are written to the folder for checkpoints."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
