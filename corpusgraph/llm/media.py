@@ -7,12 +7,15 @@ skip, carries the bytes.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,13 +129,52 @@ def write_stream(payload: bytes) -> bytes:
     return b"ID3\x03\0\0" + _synchsafe(len(tag)) + tag + frames.tobytes()
 
 
+class VbrTable(NamedTuple):
+    """What the first frame of a stream of variable bitrate says of it: a ``Xing``, ``Info`` or ``VBRI`` table.
+
+    ``seek`` has byte places from the start of the audio on, in even steps of time (of *step* frames, or a 100th of the
+    whole where that is 0).  ``delay`` and ``padding`` are samples that the encoder put before and after the sound.
+    """
+
+    kind: str
+    frames: int
+    bytes: int
+    quality: int | None = None
+    seek: tuple[int, ...] = ()
+    step: int = 0
+    delay: int = 0
+    padding: int = 0
+
+
+def _vbr(frame: bytes, head: Header) -> VbrTable | None:
+    """The table in a first frame, if it has one; what a cut-off one lacks is 0 or missing."""
+    body = frame[4 + 2 * head.checked + head.side :]
+    if body[:4] in (b"Xing", b"Info") and len(body) >= 8:
+        flags, at = int.from_bytes(body[4:8], "big"), 8
+        found: list[bytes] = []
+        for bit, size in ((1, 4), (2, 4), (4, 100), (8, 4)):
+            found.append(body[at : at + size] if flags & bit else b"")
+            at += size * bool(flags & bit)
+        frames, size, quality = (int.from_bytes(found[i], "big") for i in (0, 1, 3))
+        encoder = body[at : at + 24]
+        gaps = int.from_bytes(encoder[21:24], "big") if len(encoder) == 24 and encoder[:4] in (b"LAME", b"Lavf", b"Lavc") else 0
+        seek = tuple(x * size // 256 for x in found[2])
+        return VbrTable(body[:4].decode(), frames, size, quality if found[3] else None, seek, 0, gaps >> 12, gaps & 0xFFF)
+    body = frame[36:]
+    if body[:4] == b"VBRI" and len(body) >= 26:
+        _, delay, quality, size, frames, entries, scale, width, step = struct.unpack_from(">HHHIIHHHH", body, 4)
+        steps = [int.from_bytes(body[26 + width * i : 26 + width * (i + 1)], "big") * scale for i in range(entries) if width and 26 + width * (i + 1) <= len(body)]
+        return VbrTable("VBRI", frames, size, quality, tuple(itertools.accumulate(steps, initial=0)) if steps else (), step, delay)
+    return None
+
+
 @dataclass
 class Stream:
     """What reading a stream finds."""
 
     tags: dict[str, str] = field(default_factory=dict)
     head: Header | None = None
-    vbr: tuple[str, int, int] | None = None  # kind, frames, bytes
+    vbr: VbrTable | None = None
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     samples: int = 0
     skipped: int = 0
@@ -142,26 +184,64 @@ class Stream:
 
     @property
     def micros(self) -> int:
-        """The exact duration in millionths of a second, rounded down."""
+        """The exact duration in millionths of a second, rounded down, without what the encoder added."""
         return self.samples * 1_000_000 // self.head.hertz if self.head else 0
 
 
+def _number(data: bytes, bits: int = 8) -> int:
+    """A big-endian number of bytes that hold *bits* bits each."""
+    out = 0
+    for x in data:
+        out = out << bits | x & (1 << bits) - 1
+    return out
+
+
+def _text(value: bytes) -> list[str]:
+    """The strings of a text field, by the encoding that its first byte names."""
+    kind = ("latin-1", "utf-16", "utf-16-be", "utf-8")[value[0]] if value[:1] and value[0] < 4 else "latin-1"
+    return value[1:].decode(kind, "replace").rstrip("\0").split("\0")
+
+
+def _fields(data: bytes, version: int, unsynchronised: bool) -> Iterator[tuple[str, bytes]]:
+    """Names and values of an ID3v2 tag's fields: sizes are plain in version 3, of 7 bits a byte in 4, and both
+    names and sizes have 3 bytes in 2."""
+    wide = 3 if version == 2 else 4
+    top = 6 if version == 2 else 10
+    at = 0
+    while at + top <= len(data) and data[at]:
+        n = _number(data[at + wide : at + 2 * wide], 7 if version == 4 else 8)
+        value = data[at + top : at + top + n]
+        if version == 4:
+            flags = data[at + 9]
+            value = value[4:] if flags & 1 else value  # the length before compression or escapes
+            if flags & 2 or unsynchronised:
+                value = value.replace(b"\xff\0", b"\xff")
+        yield data[at : at + wide].decode("latin-1"), value
+        at += top + n
+
+
+#: Names of text fields in version 2 and from 3 on.
+_LONG_NAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "TXX": "TXXX", "TCO": "TCON", "TEN": "TENC", "TLE": "TLEN"}
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    """The tags in front, and where audio starts."""
+    """The text fields of the tags in front (ID3v2.2 to 2.4), and where audio starts."""
     tags, start, end = {}, 0, len(data)
-    while data[start : start + 3] == b"ID3" and len(data) >= start + 10:
-        size = 0
-        for x in data[start + 6 : start + 10]:
-            size = size << 7 | x & 127
-        at, stop = start + 10, min(end, start + 10 + size)
-        while at + 10 <= stop and data[at] != 0:
-            name, n = data[at : at + 4].decode("latin-1"), int.from_bytes(data[at + 4 : at + 8], "big")
-            value = data[at + 10 : min(stop, at + 10 + n)]
+    while data[start : start + 3] == b"ID3" and end >= start + 10:
+        version, flags = data[start + 3], data[start + 5]
+        stop = min(end, start + 10 + _number(data[start + 6 : start + 10], 7))
+        body = data[start + 10 : stop]
+        if flags & 128 and version < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        if flags & 64 and version > 2:  # an extended header, whose size counts itself in version 4 only
+            body = body[_number(body[:4], 7) if version == 4 else 4 + _number(body[:4]) :]
+        for name, value in _fields(body, version, bool(flags & 128)) if 2 <= version <= 4 else ():
+            name = _LONG_NAMES.get(name, name)
             if name[:1] == "T" and value:
-                key, _, rest = value[1:].partition(b"\0") if name == "TXXX" else (name.encode(), b"", value[1:])
-                tags[key.decode("latin-1")] = rest.decode("latin-1").rstrip("\0")
-            at += 10 + n
-        start = stop
+                strings = _text(value)
+                key, strings = (strings[0], strings[1:]) if name == "TXXX" else (name, strings)
+                tags[key] = "/".join(strings)
+        start = min(end, stop + 10 * (version == 4 and bool(flags & 16)))
     return tags, start
 
 
@@ -217,14 +297,12 @@ def read_stream(data: bytes) -> Stream:
         out.checked += len(own)
         out.bad_crc += int((frame_crc(bytes_[covered]) != stored).sum())
     if heads:
-        body = offsets[0] + 4 + 2 * heads[0].checked + heads[0].side
-        kind = data[body : body + 4]
-        if kind in (b"Xing", b"Info"):
-            flags, *rest = struct.unpack_from(">III", data, body + 4)
-            counts = [rest.pop(0) if flags & bit else 0 for bit in (1, 2)]
-            out.vbr = (kind.decode(), *counts)
+        out.vbr = _vbr(data[offsets[0] : offsets[0] + heads[0].length], heads[0])
+        if out.vbr:
             offsets, heads, out.offsets = offsets[1:], heads[1:], starts[1:]
     out.samples = sum(h.samples for h in heads)
+    if out.vbr:
+        out.samples = max(0, out.samples - out.vbr.delay - out.vbr.padding)
     size = out.tags.get("payload", "")
     if heads and size.isdigit() and len(set(heads)) == 1:
         at = 4 + 2 * heads[0].checked + heads[0].side
@@ -233,15 +311,24 @@ def read_stream(data: bytes) -> Stream:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of some MB, or of one row, whose last columns hold large values."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in itertools.pairwise(cuts))
+
+
 def store_media(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``media``: each text's UTF-8, filled up with spaces, as a stream.
 
-    Null and empty texts are one unit of spaces.  Each row is stored by itself, where it lies;
+    Null and empty texts are one unit of spaces, and texts of any length are stored whole.  Each row is stored by itself, where it lies;
     repeated rows are stored alike.  Other columns are not read.  An empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             media = [write_stream(t.ljust(UNIT * max(1, -(-len(t) // UNIT)), FILL)) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -260,11 +347,12 @@ _FOUND = (
 
 def read_media(stored: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The columns *keep* of *stored* and what its streams (``media``) hold: the payload, the exact duration
-    in samples and microseconds, and each frame's offset.  A null stream is an empty one."""
+    in samples and microseconds, and each frame's offset.  A null stream is an empty one, repeated rows are read
+    alike, an empty table gives no row, and a stream of any length is read whole."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
                 s = read_stream(data or b"")

@@ -96,6 +96,63 @@ def test_op5_resynchronises_and_checks():
         media.write_stream(b"x")
 
 
+def tagged(version, flags, fields, extended=b"", footer=b""):
+    return b"ID3" + bytes([version, 0, flags]) + media._synchsafe(len(extended + fields)) + extended + fields + footer
+
+
+def field4(name, value, flags=0):
+    return name + media._synchsafe(len(value)) + bytes([0, flags]) + value
+
+
+def test_op5_tags_of_all_versions():
+    audio = media.write_stream(b"p" * media.UNIT)[10 + 28 :]
+    audio = audio[audio.find(b"\xff\xfa") :]
+    long = "x" * 300
+    three = lambda name, value: name + len(value).to_bytes(4, "big") + b"\0\0" + value
+    two = lambda name, value: name + len(value).to_bytes(3, "big") + value
+    escaped = field4(b"TPE1", b"\0a\xff\0b", 2)
+    for tag, wanted in (
+        (tagged(4, 0, field4(b"TIT2", b"\3" + long.encode()) + field4(b"TALB", b"\3\xc3\xa9t\xc3\xa9")), {"TIT2": long, "TALB": "été"}),
+        (tagged(3, 0, three(b"TIT2", b"\1" + "日本".encode("utf-16")) + three(b"TXXX", b"\0key\0value")), {"TIT2": "日本", "key": "value"}),
+        (tagged(3, 0, three(b"TIT2", b"\0" + long.encode())), {"TIT2": long}),
+        (tagged(4, 0, field4(b"TIT2", b"\2" + "né".encode("utf-16-be") + b"\0\0")), {"TIT2": "né"}),
+        (tagged(2, 0, two(b"TT2", b"\0short names")), {"TIT2": "short names"}),
+        (tagged(4, 64 | 16, field4(b"TIT2", b"\0t"), media._synchsafe(6) + b"\1\0", b"3DI" + bytes(7)), {"TIT2": "t"}),
+        (tagged(3, 64, three(b"TIT2", b"\0t"), (6).to_bytes(4, "big") + bytes(6)), {"TIT2": "t"}),
+        (tagged(3, 128, three(b"TIT2", b"\0a\xffb").replace(b"\xff", b"\xff\0")), {"TIT2": "aÿb"}),
+        (tagged(4, 0, escaped), {"TPE1": "aÿb"}),
+        (tagged(3, 0, three(b"TIT2", b"\0t") + bytes(50)), {"TIT2": "t"}),
+        (tagged(9, 0, b"whatever it is"), {}),
+    ):
+        found = media.read_stream(tag + audio)
+        assert found.tags == wanted and len(found.offsets) == 1 and found.skipped == 0
+
+
+def test_op5_bitrate_tables():
+    stream = media.write_stream(b"p" * media.UNIT * 3)
+    found = media.read_stream(stream)
+    assert found.vbr[:3] == ("Xing", 3, 960) and len(found.vbr.seek) == 100 and found.vbr.seek[50] == 480 and found.vbr.quality is None
+    at = int(found.offsets[0]) - 240
+    table = b"Info" + (15).to_bytes(4, "big") + (3).to_bytes(4, "big") + (960).to_bytes(4, "big") + bytes(range(100)) + (57).to_bytes(4, "big")
+    table += b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    frame = bytearray(stream[at : at + 240])
+    frame[23 : 23 + len(table)] = table
+    gapless = media.read_stream(stream[:at] + bytes(frame) + stream[at + 240 :])
+    assert gapless.vbr.quality == 57 and (gapless.vbr.delay, gapless.vbr.padding) == (576, 1000) and gapless.samples == 3 * 1152 - 1576
+    assert gapless.micros == gapless.samples * 1_000_000 // 48_000 and gapless.bad_crc == 0
+    frame = bytearray(stream[at : at + 23].ljust(240, b"\0"))
+    vbri = b"VBRI" + b"".join(x.to_bytes(n, "big") for x, n in ((1, 2), (100, 2), (75, 2), (960, 4), (3, 4), (3, 2), (2, 2), (2, 2), (1, 2), (120, 2), (120, 2), (120, 2)))
+    frame[36 : 36 + len(vbri)] = vbri
+    other = media.read_stream(stream[:at] + bytes(frame) + stream[at + 240 :])
+    assert other.vbr == ("VBRI", 3, 960, 75, (0, 240, 480, 720), 1, 100, 0) and other.samples == 3 * 1152 - 100
+
+
+def test_op5_large_rows_leave_in_parts(spark):
+    frame = spark.createDataFrame([(i, "x" * 3_000_000 if i % 3 else None) for i in range(7)], "doc_id long, text string")
+    rows = media.read_media(media.store_media(frame), ("doc_id", "n_bytes")).select("doc_id", "n_bytes", F.length("payload").alias("n")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n) for r in rows) == [(i, 3_000_000 * bool(i % 3), 3_000_000 if i % 3 else 192) for i in range(7)]
+
+
 def test_op5_other_headers():
     head = media.header(0xFFFB9064)  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz
     assert (head.length, head.samples, head.kbits, head.hertz, head.checked) == (417, 1152, 128, 44100, False)
