@@ -29,6 +29,13 @@ def expand(terms: DataFrame, term: str, synonyms: DataFrame, most: int) -> DataF
     return terms.join(known, term, "left").withColumn("more", F.coalesce("more", F.lit("")))
 
 
+def alternatives(synonyms: DataFrame, terms: list[str], most: int) -> list[list[str]]:
+    """Each of a query's *terms* with its first *most* synonyms: a few rows of *synonyms*, which may be any table."""
+    wanted = synonyms.where(F.col("term").isin(*terms) & (F.col("priority") <= most)) if terms else synonyms.limit(0)
+    rows = sorted((r["term"], r["priority"], r["synonym"]) for r in wanted.collect())
+    return [[term, *dict.fromkeys(s for own, _, s in rows if own == term and s != term)] for term in terms]
+
+
 def inverse(synonyms: DataFrame) -> DataFrame:
     """The terms that each synonym belongs to."""
     heads = F.array_join(F.sort_array(F.collect_set("term")), ",").alias("heads")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
+from corpusgraph.operators import expansion
 from corpusgraph.operators.relational import prefer, top_per_group
 
 #: Rows of query vectors that may be broadcast, and rows of a block where there are more.
@@ -45,26 +46,31 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(
-    docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75,
+    docs: DataFrame, key: str, text: str, terms: list[str | list[str]], k1: float = 1.2, b: float = 0.75,
     phrase: str | None = None, boost: float = 1.5,
 ) -> DataFrame:
-    """*key* and ``bm25`` of texts that hold all *terms* (few, distinct).
+    """*key* and ``bm25`` of texts that hold all *terms* (few, distinct); a list of terms counts as one, and any of it will do.
 
     Counts are taken in place, by text, which is split once in a pass: one pass for the corpus's statistics, one row, and one for
     the scores, over texts in which all terms can be found, without a shuffle of texts.  *phrase*, where the text has it as it is, multiplies by *boost*.
     """
 
-    def times(ts: Column, term: str) -> Column:
-        return F.size(F.filter(ts, lambda x: x == term))
+    groups = [[term] if isinstance(term, str) else term for term in terms]
+
+    def times(ts: Column, group: list[str]) -> Column:
+        return F.size(F.filter(ts, lambda x: x.isin(*group)))
+
+    def some(lowered: Column, group: list[str]) -> Column:
+        return reduce(Column.__or__, [F.contains(lowered, F.lit(term)) for term in group])
 
     def counts(ts: Column) -> Column:
-        return F.struct(F.size(ts).alias("dl"), *[times(ts, term).alias(f"tf{i}") for i, term in enumerate(terms)])
+        return F.struct(F.size(ts).alias("dl"), *[times(ts, group).alias(f"tf{i}") for i, group in enumerate(groups)])
 
     def counted_in(rows: DataFrame) -> DataFrame:
         # Conditions on what a generator makes are not copied below it, so texts are not split again for them.
         return rows.select(key, text, F.inline(F.array(t.bound(t.tokens(text), counts))))
 
-    held = t.bound(F.lower(text), lambda x: reduce(Column.__and__, [F.contains(x, F.lit(term)) for term in terms]))
+    held = t.bound(F.lower(text), lambda x: reduce(Column.__and__, [some(x, group) for group in groups]))
     stats = counted_in(docs).agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))],
@@ -242,3 +248,30 @@ def hybrid(
         hits = top_per_group(hits, [canonical], fused_order())
     place = F.row_number().over(Window.orderBy(*fused_order()))
     return hits.withColumn("place", place).where(F.col("place") <= k)
+
+
+def search(
+    docs: DataFrame, vectors: DataFrame, key: str, text: str, column: str, wish: str, query: list[float], synonyms: DataFrame,
+    canonical: Column, version: str, preference: list[str], pool: int = 100, k: int = 10,
+) -> DataFrame:
+    """The whole way from a *wish* in words and its vector to the first *k* hits: ``score`` and ``place``.
+
+    The wish's tokens are expanded by *synonyms* (three each) and its kind sets the lexical share; lexical and vector
+    lists of *pool* hits are fused, the first 3 k are ranked anew by their vectors, and of each canonical unit the preferred
+    version stays, or of equal ones the best.
+    """
+    spark = docs.sparkSession
+    one = spark.createDataFrame([(wish,)], "wish string").select(expansion.query_type(F.col("wish")).alias("kind"), t.tokens("wish").alias("ts"))
+    kind, tokens = one.first()
+    terms = list(dict.fromkeys(tokens))
+    groups = expansion.alternatives(synonyms, terms, 3)
+    order = [F.desc(F.round("bm25", 9)), F.asc(key)]
+    lexical = bm25(docs, key, text, groups).orderBy(*order).limit(pool)
+    lexical = lexical.withColumn("bm25_rank", F.row_number().over(Window.orderBy(*order)))
+    near = ranked(knn(vectors, key, column, query, pool), "similarity", key, "vector_rank")
+    hits = rrf(lexical, near, key, alpha=expansion.ALPHA.get(kind, 0.5)).orderBy(*fused_order()).limit(3 * k)
+    again = rerank(hits, key, "final_score", vectors, column, query, 3 * k)
+    known = again.join(docs.select(key, version), key, "left").withColumn("_unit", canonical)
+    best = prefer(known, ["_unit"], version, preference, [F.desc(F.round("rerank_score", 12)), F.asc(key)])
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("rerank_score", 12)), key))
+    return best.select(key, F.col("rerank_score").alias("score"), place.alias("place")).where(F.col("place") <= k)

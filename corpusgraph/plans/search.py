@@ -128,6 +128,30 @@ def v07(spark, d):
     return hits.select("doc_id", F.round("final_score", 6).alias("final_score"), F.col("place").cast("long").alias("place"))
 
 
+@query(
+    "v07_search",
+    f"""WITH tk AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+    c AS (SELECT doc_id, len(ts) AS dl, len(list_filter(ts, lambda x: x IN ('the', 'of', 'de', 'la'))) AS t0, len(list_filter(ts, lambda x: x IN ('and', 'que'))) AS t1 FROM tk),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE t0 > 0) AS d0, count(*) FILTER (WHERE t1 > 0) AS d1 FROM c),
+    lex AS (SELECT doc_id, ln((n - d0 + 0.5) / (d0 + 0.5) + 1) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+      + ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS bm25 FROM c, st WHERE t0 > 0 AND t1 > 0), {_KNN},
+    a AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS rb FROM lex QUALIFY rb <= 100),
+    b AS (SELECT doc_id, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rv FROM vec QUALIFY rv <= 100),
+    f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, rb, rv, coalesce(0.6 / (60 + rb), 0) + coalesce(0.4 / (60 + rv), 0) AS rrf FROM a FULL JOIN b ON a.doc_id = b.doc_id),
+    h AS (SELECT doc_id, rrf FROM f ORDER BY round(rrf, 12) DESC, rb NULLS LAST, rv NULLS LAST LIMIT 30),
+    j AS (SELECT h.doc_id, coalesce(similarity, rrf * 61) AS s, lang FROM h LEFT JOIN vec USING (doc_id) LEFT JOIN documents USING (doc_id)),
+    p AS (SELECT doc_id, s FROM j QUALIFY row_number() OVER (PARTITION BY doc_id % 12 ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 9 END, round(s, 12) DESC, doc_id) = 1)
+    SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, doc_id) AS place FROM p QUALIFY place <= 10""",
+)
+def v07_search(spark, d):
+    """All stages of the hybrid search; 'the and' is a phrase, of which 'the' has four synonyms and takes three."""
+    synonyms = expansion.synonym_table(spark, {"the": ["of", "de", "la", "der"], "and": ["que"], "unused": ["word"]})
+    hits = retrieval.search(
+        _docs(spark, d), _vectors(spark, d), "doc_id", "text", "embedding", "the and", QUERY, synonyms, F.col("doc_id") % 12, "lang", ["fr", "en"]
+    )
+    return hits.select("doc_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query(
     "v08_rerank",
     f"""WITH {_KNN}, h AS (SELECT doc_id, 1 - (doc_id % 97) / 97.0::DOUBLE AS score FROM documents ORDER BY score DESC, doc_id LIMIT 60),
