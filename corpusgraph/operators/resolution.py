@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import references as ref
+from corpusgraph.functions import text as t
 from corpusgraph.operators.relational import top_per_group
 
 
@@ -87,3 +89,21 @@ def unify(people: DataFrame, name: str, kind: str, mixed: str) -> DataFrame:
 def alias_map(aliases: DataFrame, key: str, priority: str, id_: str) -> DataFrame:
     """The id of each key: that of the first priority, and of the smallest id in it."""
     return aliases.where(F.col(key) != "").groupBy(key).agg(F.min(F.struct(priority, id_))[id_].alias(id_))
+
+
+def resolve_references(texts: DataFrame, id_: str, text: str, aliases: DataFrame, books: DataFrame) -> DataFrame:
+    """Each reference of each text: *id_*, ``place`` (from 0), ``segment``, ``book`` (its code), chapter, verse, their ends, and ``status``.
+
+    *aliases* (``key``, ``priority``, ``book``) has names of any number of words as :func:`~corpusgraph.functions.text.ascii_key` gives them, of which the first
+    priority counts; *books* has ``book`` and its number of ``chapters``.  The status is ``ok``, ``unparsed``, ``book_not_found``
+    or ``chapter_out_of_range``.
+    """
+    known = alias_map(aliases, "key", "priority", "book").join(books.select("book", "chapters"), "book", "left")
+    parts = texts.select(id_, F.posexplode(ref.segments(text)).alias("place", "segment")).withColumn("p", ref.parse("segment"))
+    named = parts.withColumn("key", t.ascii_key("p.book")).join(known, "key", "left")
+    last = F.coalesce("p.end_chapter", "p.chapter")
+    status = (
+        F.when(~F.col("p.ok"), "unparsed").when(F.col("book").isNull(), "book_not_found")
+        .when((F.col("p.chapter") < 1) | (F.greatest("p.chapter", last) > F.col("chapters")), "chapter_out_of_range").otherwise("ok")
+    )
+    return named.select(id_, "place", "segment", "book", *[f"p.{c}" for c in ("chapter", "verse", "end_chapter", "end_verse")], status.alias("status"))

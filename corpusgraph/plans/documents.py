@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import references as ref
 from corpusgraph.functions import text as t
-from corpusgraph.operators import blocks
+from corpusgraph.operators import blocks, resolution
 from corpusgraph.plans.registry import query, table
 from corpusgraph.streaming import usage
 
-_REFS = ["John 3:16", "1 Cor 13", "Gen 1:1-2:3", "Ps 23-25", "??", "Mark 4:1 - 9", "2 Kings 5:10-14"]
 _TEXTS = ["John 3:16; 1 Cor 13", "Gen 1:1-2:3;Ps 23-25", "??;Mark 4:1 - 9", ";2 Kings 5:10-14; "]
 
 
@@ -35,16 +34,39 @@ def r01(spark, d):
     return parsed.select("id", "segment", F.coalesce("p.book", F.lit("")).alias("book"), *numbers, "p.ok")
 
 
-@query(
-    "r02_alias_reference",
-    f"""WITH v AS (SELECT * FROM (VALUES {_values([(x,) for x in _REFS])}) v(txt)), a AS (SELECT * FROM (VALUES ('john', 'JHN'), ('1cor', '1CO'), ('gen', 'GEN'), ('ps', 'PSA'), ('mark', 'MRK')) a(key, code))
-    SELECT txt, coalesce(code, 'unknown') AS code FROM v LEFT JOIN a ON key = regexp_replace(lower(regexp_extract(txt, '^([1-3]? ?[A-Za-z]+)', 1)), '[^a-z0-9]', '', 'g')""",
-)
+_BOOKS = r"""names AS (SELECT lower(p_name) AS n, 'B' || min(p_partkey) AS book, min(p_size) + 20 AS chapters FROM part GROUP BY 1),
+    al AS (SELECT regexp_replace(n, '[^a-z0-9]', '', 'g') AS key, 1 AS priority, book FROM names UNION ALL SELECT left(n, 1) || string_split(n, ' ')[2], 2, book FROM names),
+    am AS (SELECT key, book FROM al QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, book) = 1),
+    v AS (SELECT p_partkey AS id, upper(p_name) || ' ' || p_size || ':' || (p_partkey % 30 + 1) || CASE WHEN p_partkey % 5 = 0 THEN ' - 40' ELSE '' END || '; ' || left(p_name, 1) || '. '
+      || string_split(p_name, ' ')[2] || ' 3-5; ' || CASE p_partkey % 3 WHEN 0 THEN '??' WHEN 1 THEN 'No such book 1:1' ELSE '' END AS txt FROM part),
+    s AS (SELECT id, unnest(list_filter(list_transform(string_split(txt, ';'), lambda x: trim(x)), lambda x: x <> '')) AS s, generate_subscripts(list_filter(list_transform(string_split(txt, ';'), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS place FROM v),
+    p AS (SELECT *, '^\s*((?:[1-3]\s*)?\p{L}[\p{L}. ]*?)\s*(\d+)(?::(\d+)(?:\s*-\s*(?:(\d+):)?(\d+))?|\s*-\s*(\d+))?\s*$' AS re FROM s),
+    g AS (SELECT id, place, nullif(trim(regexp_extract(s, re, 1)), '') AS b, nullif(regexp_extract(s, re, 2), '')::INT AS chapter, nullif(regexp_extract(s, re, 3), '')::INT AS verse,
+      nullif(regexp_extract(s, re, 5), '')::INT AS to_verse, nullif(regexp_extract(s, re, 6), '')::INT AS to_chapter FROM p),
+    r AS (SELECT id, place, b, am.book, chapter, verse, coalesce(to_chapter, chapter) AS end_chapter, coalesce(to_verse, verse) AS end_verse, chapters
+      FROM g LEFT JOIN am ON key = regexp_replace(lower(b), '[^a-z0-9]', '', 'g') LEFT JOIN names ON names.book = am.book)"""
+
+
+def _references(spark, d):
+    """References written from the parts' names, some of them abbreviated, unknown or unreadable."""
+    part = table(spark, d, "part")
+    books = part.groupBy(F.lower("p_name").alias("n")).agg(F.concat(F.lit("B"), F.min("p_partkey")).alias("book"), (F.min("p_size") + 20).alias("chapters"))
+    word = lambda name: F.get(F.split(name, " "), F.lit(1))
+    short = F.concat(F.substring("n", 1, 1), word("n"))
+    forms = F.inline(F.array(F.struct(t.ascii_key("n").alias("key"), F.lit(1).alias("priority")), F.struct(short.alias("key"), F.lit(2).alias("priority"))))
+    k = F.col("p_partkey")
+    odd = F.when(k % 3 == 0, "??").when(k % 3 == 1, "No such book 1:1").otherwise("")
+    written = F.concat(
+        F.upper("p_name"), F.lit(" "), "p_size", F.lit(":"), k % 30 + 1, F.when(k % 5 == 0, " - 40").otherwise(""), F.lit("; "),
+        F.substring("p_name", 1, 1), F.lit(". "), word("p_name"), F.lit(" 3-5; "), odd,
+    )
+    return resolution.resolve_references(part.select(k.alias("id"), written.alias("txt")), "id", "txt", books.select("book", forms), books)
+
+
+@query("r02_alias_reference", f"WITH {_BOOKS} SELECT id, place, coalesce(book, 'unknown') AS code FROM r WHERE b IS NOT NULL")
 def r02(spark, d):
-    texts = spark.createDataFrame([(x,) for x in _REFS], "txt string")
-    key = t.ascii_key(F.regexp_extract("txt", "^([1-3]? ?[A-Za-z]+)", 1))
-    code = t.lookup(key, {"john": "JHN", "1cor": "1CO", "gen": "GEN", "ps": "PSA", "mark": "MRK"}, "unknown")
-    return texts.select("txt", code.alias("code"))
+    found = _references(spark, d).where("status <> 'unparsed'")
+    return found.select("id", F.col("place").cast("long").alias("place"), F.coalesce("book", F.lit("unknown")).alias("code"))
 
 
 @query(
@@ -73,13 +95,12 @@ def r04(spark, d):
 
 @query(
     "r05_resolve_batch",
-    f"""WITH v AS (SELECT * FROM (VALUES {_values([(x,) for x in _REFS])}) v(txt)), p AS (SELECT txt, regexp_extract(txt, '^([1-3]? ?[A-Za-z]+)', 1) AS b FROM v)
-    SELECT txt, CASE WHEN b = '' THEN 'unparsed' WHEN lower(b) NOT IN ('john', 'gen', 'mark') THEN 'book_not_found' ELSE 'ok' END AS status FROM p""",
+    f"""WITH {_BOOKS} SELECT id, place, coalesce(book, '') AS book, coalesce(chapter, 0) AS chapter, coalesce(verse, 0) AS verse, coalesce(end_chapter, 0) AS end_chapter, coalesce(end_verse, 0) AS end_verse,
+    CASE WHEN b IS NULL THEN 'unparsed' WHEN book IS NULL THEN 'book_not_found' WHEN chapter < 1 OR greatest(chapter, end_chapter) > chapters THEN 'chapter_out_of_range' ELSE 'ok' END AS status FROM r""",
 )
 def r05(spark, d):
-    book = F.lower(F.regexp_extract("txt", "^([1-3]? ?[A-Za-z]+)", 1))
-    status = F.when(book == "", "unparsed").when(~book.isin("john", "gen", "mark"), "book_not_found").otherwise("ok")
-    return spark.createDataFrame([(x,) for x in _REFS], "txt string").select("txt", status.alias("status"))
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chapter", "verse", "end_chapter", "end_verse")]
+    return _references(spark, d).select("id", F.col("place").cast("long").alias("place"), F.coalesce("book", F.lit("")).alias("book"), *numbers, "status")
 
 
 @query(

@@ -212,3 +212,17 @@ def test_kendall_tau_refuses_long_lists(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "MOST_RANKED", 3)
     with pytest.raises(TooManyRows):
         evaluation.kendall_tau(spark.range(5).selectExpr("id", "id AS a", "-id AS b"), "id", "a", "b")
+
+
+def test_resolve_references(spark):
+    from corpusgraph.operators.resolution import resolve_references
+
+    names = [("songofsongs", 1, "SNG"), ("canticos", 2, "SNG"), ("1reis", 1, "1KI"), ("jo", 1, "JHN"), ("jo", 2, "JOB"), ("1co", 1, "1CO")]
+    aliases = spark.createDataFrame(names, "key string, priority int, book string")
+    books = spark.createDataFrame([("SNG", 8), ("1KI", 22), ("JHN", 21), ("1CO", 16)], "book string, chapters int")
+    texts = spark.createDataFrame([(1, "Jo 3:16-18;1Co 13"), (2, "Cânticos 2; 1 Reis 4:2；Song of Songs 9:1"), (3, "?? ; Nobody 1:1"), (4, None), (5, "")], "i int, s string")
+    found = {(r.i, r.place): (r.book, r.chapter, r.verse, r.end_verse, r.status) for r in resolve_references(texts, "i", "s", aliases, books).collect()}
+    assert found == {
+        (1, 0): ("JHN", 3, 16, 18, "ok"), (1, 1): ("1CO", 13, None, None, "ok"), (2, 0): ("SNG", 2, None, None, "ok"), (2, 1): ("1KI", 4, 2, 2, "ok"),
+        (2, 2): ("SNG", 9, 1, 1, "chapter_out_of_range"), (3, 0): (None, None, None, None, "unparsed"), (3, 1): (None, 1, 1, 1, "book_not_found"),
+    }
