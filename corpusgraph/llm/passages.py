@@ -21,7 +21,7 @@ from corpusgraph.llm import stretches
 from corpusgraph.llm.common import cut, documents
 from corpusgraph.llm.components import components
 from corpusgraph.llm.joins import factors, linked_sets, stars_of
-from corpusgraph.llm.rolling import Rolling, mix, shingle_run, word_ends
+from corpusgraph.llm.rolling import Words, mix
 
 #: Shingles up to which a paragraph has fewer smallest hashes to meet others by than bands.
 _SHORT = 45
@@ -64,7 +64,7 @@ def line_paragraphs(words: list[int], least: int) -> list[tuple[int, int]]:
 
 def _signed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, num: int, den: int, bands: int, rows: int):
     """Of paragraphs, given by text as (shingle hashes of the text, first words, numbers of words), the sizes of
-    their sets, a 64-bit name for each set, and the keys of their buckets.
+    their sets, a 64-bit name for each set, how many buckets each is in, and the keys of those in a row.
 
     Sets that link have num / den of the larger one in common, so the smallest common hash is among the
     first n - ceil(n num / den) + 1 of either: short paragraphs meet by those, and none that link are
@@ -80,20 +80,22 @@ def _signed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, num:
     n = np.bincount(owner, minlength=len(runs))
     starts = np.cumsum(n) - n
     names = mix(np.add.reduceat(mix(hashes), starts) + n.astype(np.uint64))
-    keys: list[list[np.ndarray]] = [[] for _ in runs]
-    for i in np.flatnonzero(n * num <= _SHORT * den).tolist():
-        x = hashes[starts[i] : starts[i] + n[i]]
-        keys[i].append(mix(x[: n[i] + 1 + -n[i] * num // den]))
+    short = np.where(n * num <= _SHORT * den, n + 1 + -n * num // den, 0)
     long = np.flatnonzero(n > _SHORT)
+    counts = short.copy()
+    counts[long] += bands
+    at = np.cumsum(counts) - counts
+    keys = np.empty(counts.sum(), np.uint64)
+    place = np.arange(len(hashes)) - starts[owner]
+    least = place < short[owner]
+    keys[at[owner[least]] + place[least]] = mix(hashes[least])
     if len(long):
-        some = np.isin(owner, long)
-        own, firsts = hashes[some], np.cumsum(n[long]) - n[long]
-        banded = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(long), axis=0)
+        own, firsts = hashes[(n > _SHORT)[owner]], np.cumsum(n[long]) - n[long]
+        banded = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(long), axis=1)
         for i, f in enumerate(factors(bands * rows)):
-            banded[:, i // rows] = mix(banded[:, i // rows] ^ np.minimum.reduceat(own * f, firsts))
-        for i, row in zip(long.tolist(), banded, strict=True):
-            keys[i].append(row)
-    return n, names, [np.concatenate(x) for x in keys]
+            banded[i // rows] = mix(banded[i // rows] ^ np.minimum.reduceat(own * f, firsts))
+        keys[(at + short)[long] + np.arange(bands)[:, None]] = banded
+    return n, names, counts, keys
 
 
 _PARAGRAPHS = "id long, key long, first long, words long, n long, set_id long, bands array<long>"
@@ -113,10 +115,12 @@ def paragraphs(docs: DataFrame, least: int, k: int, num: int, den: int, bands: i
                 empty = [pa.array([], t) for t in (*[pa.int64()] * 6, pa.list_(pa.int64()))]
                 return pa.RecordBatch.from_arrays(empty, names)
             sizes = [len(p[3]) for p in parts]
-            n, sets, keys = _signed([p[2:] for p in parts], k, num, den, bands, rows)
+            n, sets, counts, keys = _signed([p[2:] for p in parts], k, num, den, bands, rows)
             columns = [np.repeat([p[i] for p in parts], sizes) for i in (0, 1)]
             columns += [*(np.concatenate([p[i] for p in parts]) for i in (3, 4)), n, sets.view(np.int64)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), stretches.lists([x.view(np.int64) for x in keys], np.int64)], names)
+            ends = np.cumsum(np.concatenate([[0], counts])).astype(np.int32)
+            buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), buckets], names)
 
         for batch in batches:
             parts, size = [], 0
@@ -127,7 +131,7 @@ def paragraphs(docs: DataFrame, least: int, k: int, num: int, den: int, bands: i
                 if own:
                     words = b"\n".join(lines).split()
                     first, count = np.array(own, np.int64).T
-                    parts.append((doc_id, key, shingle_run(words, k), first, count))
+                    parts.append((doc_id, key, Words(words).runs(k), first, count))
                     size += len(words)
                 if size > _WORDS_A_PART:
                     yield signed(parts)
@@ -196,16 +200,16 @@ def repeated_windows(docs: DataFrame, min_words: int, k: int = 8) -> DataFrame:
     def found_in(text: str | None):
         parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(parts) < min_words:
-            return parts, *(np.empty(0, np.int64),) * 4
-        hashes = shingle_run(parts, k)
+            return None, *(np.empty(0, np.int64),) * 4
+        words = Words(parts)
+        hashes = words.runs(k)
         anchor, first, owned = stretches.minimizers(hashes, min_words - k + 1)
-        starts, ends = word_ends(parts)
-        content = Rolling(b" ".join(parts)).between(starts[first], ends[first + owned + min_words - 2])
-        return parts, hashes[anchor].view(np.int64), content.view(np.int64), first, owned
+        content = words.between(words.starts[first], words.ends[first + owned + min_words - 2])
+        return words, hashes[anchor].view(np.int64), content.view(np.int64), first, owned
 
     def read(text: str, anchors: np.ndarray, contents: np.ndarray):
-        parts, anchor, content, first, owned = found_in(text)
-        windows = shingle_run(parts, min_words).view(np.int64)
+        words, anchor, content, first, owned = found_in(text)
+        windows = words.runs(min_words).view(np.int64)
         index = {x: i for i, x in enumerate(zip(anchor.tolist(), content.tolist(), strict=True))}
         both = [(j, index.get(x)) for j, x in enumerate(zip(anchors.tolist(), contents.tolist(), strict=True))]
         both = [x for x in both if x[1] is not None]

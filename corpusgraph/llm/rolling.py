@@ -58,18 +58,19 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    return np.unique(shingle_run(parts, k))
+    return np.unique(Words(parts).runs(k))
 
 
-def word_ends(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end in their string with single spaces."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes + 1) - 1
-    return ends - sizes, ends
+class Words(Rolling):
+    """Words (one at least) in their string with single spaces, and where each starts and ends."""
 
+    def __init__(self, parts: list[bytes]):
+        super().__init__(b" ".join(parts))
+        # No word holds a space, so each space stands between two.
+        self.ends = np.append(np.flatnonzero(np.frombuffer(self.data, np.uint8) == 32), self.size)
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
 
-def shingle_run(parts: list[bytes], k: int) -> np.ndarray:
-    rolling = Rolling(b" ".join(parts))
-    starts, ends = word_ends(parts)
-    n = max(1, len(parts) - k + 1)
-    return rolling.between(starts[:n], ends[min(k, len(parts)) - 1 :])
+    def runs(self, k: int) -> np.ndarray:
+        """Of all runs of *k* words; of all words together if there are fewer."""
+        n = max(1, len(self.ends) - k + 1)
+        return self.between(self.starts[:n], self.ends[min(k, len(self.ends)) - 1 :])
