@@ -175,24 +175,35 @@ def r11(spark, d):
 # Blocks, studies, reviews
 
 
-@query(
-    "g01_block_validation",
-    """WITH b AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id, turn) AS same FROM conversations)
-    SELECT conv_id, turn, role, string_agg(problem, ',' ORDER BY problem) AS problems FROM (
-      SELECT conv_id, turn, role, 'unknown_type' AS problem FROM b WHERE role NOT IN ('user', 'assistant') UNION ALL
-      SELECT conv_id, turn, role, 'no_text' FROM b WHERE coalesce(trim(text), '') = '' UNION ALL SELECT conv_id, turn, role, 'duplicate_id' FROM b WHERE same > 1 UNION ALL
-      SELECT conv_id, turn, role, 'too_short' FROM b WHERE length(text) < 40) GROUP BY ALL""",
-)
+_BLOCK_SQL = """WITH b AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
+    p AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN CASE WHEN n % 5 NOT IN (1, 2, 3) THEN 'bad_value:level' END WHEN 1 THEN CASE WHEN n % 3 = 1 THEN 'bad_value:style' END
+        WHEN 2 THEN CASE WHEN n % 2 = 1 THEN 'unequal_lengths' END WHEN 3 THEN CASE WHEN n % 2 = 1 THEN 'not_an_object:refs' ELSE 'missing_field:refs.ref' END
+        WHEN 4 THEN CASE WHEN n % 2 = 1 THEN 'uneven_rows' END ELSE 'unknown_type' END AS problem FROM b
+      UNION ALL SELECT conv_id, turn, 'missing_field:html' FROM b WHERE turn % 6 = 1 AND n % 2 = 1
+      UNION ALL SELECT conv_id, turn, 'duplicate_id' FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, n % 3 ORDER BY turn) > 1)
+    SELECT conv_id, turn, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL"""
+
+
+@query("g01_block_validation", _BLOCK_SQL)
 def g01(spark, d):
-    rules = {
-        "unknown_type": ~F.col("role").isin("user", "assistant"),
-        "no_text": F.coalesce(F.trim("text"), F.lit("")) == "",
-        "too_short": F.length("text") < 40,
-    }
-    checked = blocks.problems(table(spark, d, "conversations"), ["conv_id", "turn"], rules)
-    return checked.groupBy("conv_id", "turn", "role").agg(F.sort_array(F.flatten(F.collect_list("problems"))).alias("p")).select(
-        "conv_id", "turn", "role", F.array_join("p", ",").alias("problems")
+    n, odd = F.length("text"), F.length("text") % 2 == 1
+    either = lambda a, b: F.when(odd, a).otherwise(b)
+    kinds = ["heading", "callout", "verse_compare", "reference_table", "comparison_table", "table"]
+    data = [
+        F.format_string('{"text":"t","level":%d}', n % 5),
+        F.concat(F.lit('{"style":"'), F.element_at(F.array(*map(F.lit, ["insight", "odd", ""])), n % 3 + 1), either('"}', '","html":"x"}')),
+        F.concat(F.lit('{"ref":"r","versions":[1,2],"texts":[1'), either("]}", ",2]}")),
+        F.concat(F.lit('{"refs":[{"ref":1},'), either("3]}", '{"x":1}]}')),
+        F.concat(F.lit('{"headers":[1,2],"rows":[[1,2],[1'), either("]]}", ",2]]}")),
+        F.lit("{}"),
+    ]
+    at = (F.col("turn") % 6 + 1).cast("int")
+    made = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("b"), n % 3).alias("id"),
+        F.element_at(F.array(*map(F.lit, kinds)), at).alias("type"), F.element_at(F.array(*data), at).alias("data"),
     )
+    found = blocks.invalid(made, "conv_id", "turn", "id", "type", "data")
+    return found.groupBy("conv_id", "turn", "problem").agg(F.count("*").alias("n"))
 
 
 @query("g02_scaffold")
@@ -222,6 +233,15 @@ def g04(spark, d):
     return counts.orderBy(F.desc("turns"), "conv_id").limit(20)
 
 
+@query(
+    "g05_approval",
+    """SELECT l_partkey, count(*) AS reviews, round(avg(l_quantity::DOUBLE / 50), 6) AS score, avg(l_quantity::DOUBLE / 50) >= 0.85 AS approved FROM lineitem GROUP BY 1""",
+)
+def g05_approval(spark, d):
+    scores = table(spark, d, "lineitem").select("l_partkey", (F.col("l_quantity").cast("double") / 50).alias("score"))
+    return blocks.reviewed(scores, "l_partkey", "score").withColumn("score", F.round("score", 6))
+
+
 @query(
     "g05_review_patch",
     "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w, i: CASE WHEN i = 1 + p_partkey % 2 THEN upper(w) ELSE w END), ' ') AS patched FROM part",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
 from corpusgraph.operators import expansion, retrieval
+from corpusgraph.operators.analytics import exclusive_percentiles, fusion_quality
 from corpusgraph.operators.evaluation import ir_metrics
 from corpusgraph.plans.registry import query, table
 
@@ -354,9 +355,18 @@ def v24(spark, d):
     return hits.groupBy("k").agg(F.round(F.avg("h"), 6).alias("precision"))
 
 
-@query("v25_eval_coverage", "SELECT count(*) AS queries, round(count(*) FILTER (WHERE value > 20) / count(*)::DOUBLE, 6) AS coverage FROM events")
+@query(
+    "v25_eval_coverage",
+    """WITH s AS (SELECT event_type, list_sort(list(value)) AS xs, count(*) AS queries, count(*) FILTER (WHERE value > 20) AS found, median(value) AS p50 FROM events GROUP BY 1),
+    p AS (SELECT *, least(greatest(0.95 * (len(xs) + 1), 1), len(xs))::DOUBLE AS pos FROM s)
+    SELECT event_type, queries, round(found / queries::DOUBLE, 6) AS coverage, round(p50, 6) AS p50,
+    round(xs[floor(pos)::INT] + (xs[least(floor(pos)::INT + 1, len(xs))] - xs[floor(pos)::INT]) * (pos - floor(pos)), 6) AS p95 FROM p""",
+)
 def v25(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("queries"), F.round(F.count_if(F.col("value") > 20) / F.count("*"), 6).alias("coverage"))
+    events = table(spark, d, "events")
+    counts = events.groupBy("event_type").agg(F.count("*").alias("queries"), F.round(F.count_if(F.col("value") > 20) / F.count("*"), 6).alias("coverage"))
+    times = exclusive_percentiles(events, "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95})
+    return counts.join(times, "event_type").select("event_type", "queries", "coverage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("v26_cache_key", "SELECT item_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) || ':small') AS key FROM benchmark")
@@ -378,16 +388,23 @@ def v27(spark, d):
 @query(
     "v28_version_fusion",
     """WITH g AS (SELECT vec_id % 50 AS unit, vec_id // 50 % 4 AS version, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT unit FROM g GROUP BY 1 HAVING count(DISTINCT version) = 4),
-    e AS (SELECT unit, generate_subscripts(x, 1) AS p, unnest(x) AS y FROM g JOIN f USING (unit)) SELECT unit, round(sum(m), 6) AS total FROM (SELECT unit, p, avg(y) AS m FROM e GROUP BY ALL) GROUP BY 1""",
+    e AS (SELECT unit, 1 + version AS w, generate_subscripts(x, 1) AS p, unnest(x) AS y FROM g JOIN f USING (unit)),
+    t AS (SELECT unit, sum(m) AS total FROM (SELECT unit, p, sum(w * y) / sum(w) AS m FROM e GROUP BY ALL) GROUP BY 1),
+    v AS (SELECT unit, 1 + version AS w FROM g JOIN f USING (unit) GROUP BY ALL), q AS (SELECT unit, w / sum(w) OVER (PARTITION BY unit) AS w FROM v)
+    SELECT unit, round(any_value(total), 6) AS total, round(0.7 + 0.3 * sum(-w * ln(w + 1e-10)) / ln(4), 6) AS quality FROM t JOIN q USING (unit) GROUP BY 1""",
 )
 def v28(spark, d):
     from corpusgraph.operators.relational import contained_in_all
 
     version = (F.floor(F.col("vec_id") / 50) % 4).alias("version")
     g = table(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("unit"), version, v.doubles("embedding").alias("x"))
-    full = contained_in_all(g, "unit", "version", g)
-    e = g.join(full, "unit", "left_semi").select("unit", F.posexplode("x").alias("p", "y"))
-    return e.groupBy("unit", "p").agg(F.avg("y").alias("m")).groupBy("unit").agg(F.round(F.sum("m"), 6).alias("total"))
+    g = g.join(contained_in_all(g, "unit", "version", g), "unit", "left_semi").withColumn("w", 1 + F.col("version"))
+    e = g.select("unit", "w", F.posexplode("x").alias("p", "y"))
+    means = e.groupBy("unit", "p").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
+    quality = g.groupBy("unit").agg(F.collect_set("w").alias("ws"))
+    total = F.aggregate("ws", F.lit(0).cast("long"), lambda s, w: s + w)
+    quality = quality.select("unit", F.round(fusion_quality(F.transform("ws", lambda w: w / total), 4, 4), 6).alias("quality"))
+    return means.groupBy("unit").agg(F.round(F.sum("m"), 6).alias("total")).join(quality, "unit")
 
 
 @query(
