@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.text import lookup
+from corpusgraph.functions.text import bound, content_tokens, lookup, ngrams, tokens
 
 # The lexical share of the fused score by kind of query.
 ALPHA = {"reference": 0.8, "entity": 0.7, "phrase": 0.6, "keyword": 0.5, "concept": 0.4, "question": 0.3}
@@ -49,3 +49,41 @@ def query_type(text: Column, entities: Column | None = None) -> Column:
     if entities is not None:
         kind = kind.when(entities, "entity")
     return kind.when(text.contains("?"), "question").when(n == 1, "keyword").when(n <= 6, "phrase").otherwise("concept")
+
+
+def analysed(
+    queries: DataFrame, id_: str, text: str, gazetteer: DataFrame, stop: tuple[str, ...] = (), asking: tuple[str, ...] = (),
+    concepts: tuple[str, ...] = (), phrases: tuple[str, ...] = (), strong: float = 2.5,
+) -> DataFrame:
+    """*id_*, the ``kind`` of a query and how it is searched: ``alpha``, ``distance`` (stop words dropped, and one), ``boost``, ``expand``.
+
+    Entities are runs of 1 to 3 tokens that stand in *gazetteer* (``name``, its tokens joined by underscores, and
+    ``boost``), found by equality; ``entities`` counts them.  By the first rule that fits a query is a reference,
+    an entity of *strong* boost or more, a question, a phrase of two tokens or more, a concept, an entity or a
+    keyword.  Entities, references and known *phrases* (folded, by underscores) are not expanded, nor are keywords of no token.
+    """
+    both = F.struct(tokens(text).alias("every"), content_tokens(text, stop, 0).alias("own"))
+    read = queries.select(id_, F.col(text).alias("_text"), bound(both, lambda x: x).alias("_t"))
+    grams = F.explode(F.array_distinct(F.concat("_t.own", ngrams(F.col("_t.own"), 2), ngrams(F.col("_t.own"), 3)))).alias("name")
+    names = gazetteer.groupBy("name").agg(F.max("boost").alias("boost"))
+    met = read.select(id_, grams).join(names, "name").groupBy(id_).agg(F.max("boost").alias("_best"), F.count("*").alias("entities"))
+    n, best, first = F.size("_t.own"), F.col("_best"), F.get("_t.own", F.lit(0))
+    kind = (
+        F.when(F.col("_text").rlike(r"(?i)\b\d?\s*[a-z]+\s+\d+[:.]\d+\b"), "reference")
+        .when(best >= strong, "entity")
+        .when(F.endswith(F.rtrim("_text"), F.lit("?")) | first.isin(*asking), "question")
+        .when(n >= 2, "phrase")
+        .when(first.isin(*concepts), "concept")
+        .when((n == 1) & best.isNotNull(), "entity")
+        .otherwise("keyword")
+    )
+    known = F.array_join("_t.own", "_").isin(*phrases)
+    expand = F.when(F.col("kind").isin("reference", "entity"), False).when(F.col("kind") == "phrase", ~known).otherwise(
+        (F.col("kind") != "keyword") | (n == 1)
+    )
+    # How much a literal hit counts by kind; entities have their own.
+    boost = F.when(F.col("kind") == "entity", F.coalesce(best, F.lit(2.0))).otherwise(lookup("kind", {"reference": 3.0, "phrase": 2.0, "keyword": 1.5}, 1.0))
+    return read.join(met, id_, "left").withColumn("kind", kind).select(
+        id_, "kind", alpha("kind").alias("alpha"), (F.size("_t.every") - n + 1).alias("distance"), boost.alias("boost"), expand.alias("expand"),
+        F.coalesce("entities", F.lit(0)).alias("entities"),
+    )

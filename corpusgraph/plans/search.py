@@ -294,10 +294,37 @@ def v20(spark, d):
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("v21_alpha_by_type", "SELECT * FROM (VALUES ('reference', 0.8::DOUBLE), ('entity', 0.7), ('phrase', 0.6), ('keyword', 0.5), ('concept', 0.4), ('question', 0.3), ('other', 0.5)) v(kind, alpha)")
+_ANALYSED = """WITH g AS (SELECT name, max(boost) AS boost FROM (SELECT CASE WHEN item_id % 2 = 0 THEN ts[1] ELSE ts[1] || '_' || ts[2] END AS name, CASE WHEN item_id % 3 = 0 THEN 3.0 ELSE 2.0 END AS boost
+      FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS ts FROM benchmark)) WHERE name IS NOT NULL GROUP BY 1),
+    q AS (SELECT text, md5(text) AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS every FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)),
+    o AS (SELECT *, list_filter(every, lambda x: x NOT IN ('the', 'and', 'of', 'to', 'in')) AS ts FROM q),
+    m AS (SELECT id, max(boost) AS best, count(*) AS entities FROM (SELECT DISTINCT id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1]))) AS name FROM o) JOIN g USING (name) GROUP BY 1),
+    k AS (SELECT o.*, best, coalesce(entities, 0) AS entities, CASE WHEN regexp_matches(text, '(?i)\\b\\d?\\s*[a-z]+\\s+\\d+[:.]\\d+\\b') THEN 'reference' WHEN best >= 2.5 THEN 'entity'
+      WHEN ends_with(rtrim(text), '?') OR coalesce(ts[1] IN ('what', 'who', 'how'), false) THEN 'question' WHEN len(ts) >= 2 THEN 'phrase' WHEN coalesce(ts[1] IN ('thanks'), false) THEN 'concept'
+      WHEN len(ts) = 1 AND best IS NOT NULL THEN 'entity' ELSE 'keyword' END AS kind FROM o LEFT JOIN m USING (id)),
+    a AS (SELECT id, kind, len(every) - len(ts) + 1 AS distance, entities, CASE kind WHEN 'reference' THEN 0.8::DOUBLE WHEN 'entity' THEN 0.7 WHEN 'phrase' THEN 0.6 WHEN 'concept' THEN 0.4 WHEN 'question' THEN 0.3 ELSE 0.5 END AS alpha,
+      CASE kind WHEN 'entity' THEN best::DOUBLE WHEN 'reference' THEN 3.0 WHEN 'phrase' THEN 2.0 WHEN 'keyword' THEN 1.5 ELSE 1.0 END AS boost,
+      CASE WHEN kind IN ('reference', 'entity') THEN false WHEN kind = 'keyword' THEN len(ts) = 1 ELSE true END AS expand FROM k)"""
+
+
+def _analysed(spark, d):
+    ts = t.tokens("text")
+    words = table(spark, d, "benchmark").select("item_id", ts.alias("ts"))
+    two = F.concat(F.get("ts", F.lit(0)), F.lit("_"), F.get("ts", F.lit(1)))
+    name = F.when(F.col("item_id") % 2 == 0, F.get("ts", F.lit(0))).otherwise(two)
+    names = words.select(name.alias("name"), F.when(F.col("item_id") % 3 == 0, 3.0).otherwise(2.0).alias("boost")).where("name IS NOT NULL")
+    asked = table(spark, d, "conversations").select("text").where("text IS NOT NULL").distinct().select(F.md5("text").alias("id"), "text")
+    return expansion.analysed(asked, "id", "text", names, _STOP, ("what", "who", "how"), ("thanks",))
+
+
+@query("v19_query_analysis", _ANALYSED + " SELECT id, kind, alpha, distance, boost, expand, entities FROM a")
+def v19_analysis(spark, d):
+    return _analysed(spark, d)
+
+
+@query("v21_alpha_by_type", _ANALYSED + " SELECT kind, alpha, count(*) AS n FROM a GROUP BY ALL")
 def v21(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in (*expansion.ALPHA, "other")], "kind string")
-    return kinds.select("kind", expansion.alpha("kind").alias("alpha"))
+    return _analysed(spark, d).groupBy("kind", "alpha").agg(F.count("*").alias("n"))
 
 
 @query(

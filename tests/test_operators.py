@@ -226,3 +226,42 @@ def test_resolve_references(spark):
         (1, 0): ("JHN", 3, 16, 18, "ok"), (1, 1): ("1CO", 13, None, None, "ok"), (2, 0): ("SNG", 2, None, None, "ok"), (2, 1): ("1KI", 4, 2, 2, "ok"),
         (2, 2): ("SNG", 9, 1, 1, "chapter_out_of_range"), (3, 0): (None, None, None, None, "unparsed"), (3, 1): (None, 1, 1, 1, "book_not_found"),
     }
+
+
+def test_each_rule_of_blocks(spark):
+    from corpusgraph.operators import blocks
+
+    rows = [
+        ("d", 0, "a", "heading", '{"text":"t","level":7}'),
+        ("d", 1, "a", "divider", None),
+        ("d", 2, None, "paragraph", None),
+        ("d", 3, "b", None, "{}"),
+        ("d", 4, "c", "sidebar", "{}"),
+        ("d", 5, "e", "divider", '{"style":"star"}'),
+        ("d", 6, "f", "crossref_network", '{"verse":1,"layout":"web"}'),
+        ("d", 7, "g", "paragraph", "[1]"),
+        ("d", 8, "h", "callout", '{"style":"","html":"x"}'),
+        ("d", 9, "i", "comparison_table", '{"headers":["x","y"],"rows":[["1"]]}'),
+        ("d", 10, "j", "reference_table", '{"refs":[{"to":"x"}]}'),
+        ("other", 0, "a", "divider", "{}"),
+    ]
+    table = spark.createDataFrame(rows, "doc string, at int, id string, type string, data string")
+    found = sorted((r["at"], r["problem"]) for r in blocks.invalid(table, "doc", "at", "id", "type", "data").collect())
+    assert found == [
+        (0, "bad_value:level"), (1, "duplicate_id"), (2, "missing_data"), (2, "missing_id"), (3, "missing_type"), (4, "unknown_type"),
+        (5, "bad_value:style"), (6, "bad_value:layout"), (6, "missing_field:connections"), (7, "data_not_an_object"),
+        (9, "uneven_rows"), (10, "missing_field:refs.ref"),
+    ]
+    assert blocks.invalid(table.limit(0), "doc", "at", "id", "type", "data").count() == 0
+
+
+def test_kinds_of_queries_by_the_first_rule(spark):
+    from corpusgraph.operators import expansion
+
+    names = spark.createDataFrame([("moses", 2.0), ("sea_of_galilee", 3.0)], "name string, boost double")
+    texts = ["John 3:16", "near the sea of galilee", "who walked?", "moses went up", "grace", "moses", "boat", "", "still waters"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "id int, q string")
+    found = expansion.analysed(asked, "id", "q", names, stop=("the",), concepts=("grace",), phrases=("still_waters",)).orderBy("id").collect()
+    assert [r["kind"] for r in found] == ["reference", "entity", "question", "phrase", "concept", "entity", "keyword", "keyword", "phrase"]
+    assert [r["expand"] for r in found] == [False, False, True, True, True, False, True, False, False]
+    assert [r["distance"] for r in found][:2] == [1, 2] and [r["entities"] for r in found][:4] == [0, 1, 0, 1]
