@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.relational import upsert
+
 
 def merge_duplicates(df: DataFrame, key: str, order: str, lists: list[str], scalars: list[str]) -> DataFrame:
     """A row a key: lists joined, without repeats in any case and in order; scalars from the first row that has one."""
@@ -31,3 +33,13 @@ def changes(before: DataFrame, after: DataFrame, key: str, column: str) -> DataF
     """``old`` and ``new`` values of the rows whose *column* differs."""
     old = before.select(key, F.col(column).alias("old"))
     return old.join(after.select(key, F.col(column).alias("new")), key).where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def annotate(existing: DataFrame, found: DataFrame, key: str, relevance: str, gate: float = 0.5, primary: float = 0.8) -> DataFrame:
+    """*existing* (*key*, *relevance*, ``is_primary``) with what *found* says of *relevance* at *gate* or above.
+
+    Of several findings on a key the greatest counts; *primary* or more marks it.  Findings below the gate
+    change nothing, and so do nulls.
+    """
+    best = found.where(F.col(relevance) >= gate).groupBy(key).agg(F.max(relevance).alias(relevance))
+    return upsert(existing.select(key, relevance, "is_primary"), best.withColumn("is_primary", F.col(relevance) >= primary), [key])

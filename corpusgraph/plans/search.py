@@ -457,3 +457,16 @@ def v30(spark, d):
     linked = table(spark, d, "labels").where("quality = 0").select("doc_id", F.lit(1).alias("linked"))
     top = _docs(spark, d).orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", F.lit(0).alias("linked"))
     return linked.union(top).groupBy("doc_id").agg(F.max("linked").alias("linked"))
+
+
+@query(
+    "v30_annotations",
+    """WITH f AS (SELECT doc_id, max(n_chars % 100 / 100::DOUBLE) AS relevance FROM documents WHERE n_chars % 100 >= 50 GROUP BY 1), e AS (SELECT doc_id, quality::DOUBLE AS relevance, toxic = 1 AS is_primary FROM labels)
+    SELECT doc_id, coalesce(f.relevance, e.relevance) AS relevance, CASE WHEN f.relevance IS NOT NULL THEN f.relevance >= 0.8 ELSE is_primary END AS is_primary FROM e FULL JOIN f USING (doc_id)""",
+)
+def v30_annotations(spark, d):
+    from corpusgraph.operators.etl import annotate
+
+    known = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("relevance"), (F.col("toxic") == 1).alias("is_primary"))
+    found = _docs(spark, d).select("doc_id", (F.col("n_chars") % 100 / F.lit(100.0)).alias("relevance"))
+    return annotate(known, found, "doc_id", "relevance")
