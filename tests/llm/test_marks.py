@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import middle
+from corpusgraph.llm import common, manifest, middle
 from tests.duck import assert_same, connect
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -75,3 +76,105 @@ def test_op13_against_sql(spark, docs):
     )
     assert_same(found, middle.OP13_SQL, connection)
     assert middle.transform(docs.limit(0)).count() == 0
+
+
+# 12: Merkle manifest
+
+
+def plain_root(hashes, marked):
+    """The root, and of each place in *marked* the steps (place in its run, run) to it."""
+    steps = {i: [] for i in marked}
+    places = {i: i for i in marked}
+    while len(hashes) > 1:
+        runs = [hashes[i : i + 8] for i in range(0, len(hashes), 8)]
+        for i, at in places.items():
+            steps[i].append((at % 8, runs[at // 8]))
+            places[i] = at // 8
+        hashes = [digest("".join(run)) for run in runs]
+    return hashes[0], steps
+
+
+def plain_manifest(rows):
+    """Of (doc_id, source, lang, n_chars, text): what the operator should say of each, by index."""
+
+    def leaf(r):
+        return digest("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in r))
+
+    groups, out = {}, {}
+    for k, r in enumerate(rows):
+        groups.setdefault(b"" if r[2] is None else b"=" + r[2].encode(), []).append(((r[0] is not None, r[0] or 0), leaf(r), k))
+    trees = []
+    for key in sorted(groups):
+        own = sorted(groups[key])
+        trees.append((own, *plain_root([h for _, h, _ in own], range(len(own)))))
+    root, tops = plain_root([t[1] for t in trees], range(len(trees)))
+    for g, (own, subroot, steps) in enumerate(trees):
+        for i, (_, h, k) in enumerate(own):
+            path = steps[i] + tops[g]
+            changed = rows[k][0] is not None and zlib.crc32(str(rows[k][0]).encode()) % 3 == 0 and rows[k][4] is not None
+            folded = leaf((*rows[k][:4], re.sub("[A-Z]", lambda m: m[0].lower(), rows[k][4]))) if changed else h
+            for at, run in path:
+                folded = digest("".join([*run[:at], folded, *run[at + 1 :]]))
+            proof = digest("".join("".join(run[:at] + run[at + 1 :]) for at, run in path))
+            out[k] = (h, subroot, root, proof, folded, folded == root)
+    return out
+
+
+def as_rows(frame):
+    names = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    return sorted((tuple(r[c] for c in names) for r in frame.collect()), key=repr)
+
+
+def wanted(rows):
+    return sorted(((rows[k][0], *x) for k, x in plain_manifest(rows).items()), key=repr)
+
+
+class Folder:
+    """Stands for the folder of a table that a test has made."""
+
+    def __init__(self, spark, tmp_path):
+        self.spark, self.path = spark, str(tmp_path)
+
+    def write(self, rows):
+        schema = "doc_id long, source string, lang string, n_chars long, text string"
+        self.spark.createDataFrame(rows, schema).repartition(3).write.mode("overwrite").parquet(f"{self.path}/documents.parquet")
+        return self.path
+
+
+@pytest.mark.parametrize("sizes", [[1], [8], [9], [1, 1], [65, 1, 7, 64, 513], [3] * 20], ids=str)
+def test_op12_against_plain_python(spark, tmp_path, sizes):
+    rng = random.Random(sum(sizes))
+    langs = [None, "", "a", "é", "z", "Z", *(f"l{i}" for i in range(20))]
+    rows = []
+    for n, lang in zip(sizes, langs, strict=False):
+        for _ in range(n):
+            text = rng.choice([None, "", "Ab", "lower", "ÀÉ Z", "x" * rng.randrange(50) + "Y"])
+            rows.append((rng.choice([None, rng.randrange(-50, 10**6), rng.randrange(40)]), rng.choice([None, "s:1", "é"]), lang, rng.choice([None, 5]), text))
+    found = manifest.op12_merkle_manifest(spark, Folder(spark, tmp_path).write(rows))
+    assert as_rows(found) == wanted(rows)
+
+
+def test_op12_awkward_texts_and_columns(spark, docs, texts, tmp_path):
+    rows = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in docs.collect()]
+    rows += [(7000 + i, "s", "en", 3 << 20, "Long text " * (3 << 17)) for i in range(3)]
+    found = manifest.op12_merkle_manifest(spark, Folder(spark, tmp_path).write(rows))
+    assert as_rows(found) == wanted(rows)
+    clash = docs.select("*", F.lit("x").alias("tree"), F.lit("y").alias("hash"), F.lit(1).alias("index"), F.lit(2).alias("proof"), F.create_map(F.lit("a"), F.lit(1)).alias("steps"))
+    out = manifest.manifest(clash.withColumn("leaf", manifest.document_leaf(F.col("text"))), "leaf", "lang", ["doc_id"])
+    assert out.columns == [c for c in clash.columns if c != "proof"] + ["leaf", "proof"]
+    assert out.where(manifest.fold(F.col("proof.steps"), F.col("leaf")) == F.col("proof.root")).count() == docs.count()
+    none = docs.limit(0).withColumn("leaf", manifest.document_leaf(F.col("text")))
+    assert manifest.manifest(none, "leaf", "lang", ["doc_id"]).count() == 0
+
+
+def test_op12_against_sql(spark, docs, tmp_path):
+    rows = [tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
+    folder = Folder(spark, tmp_path).write(rows)
+    frame = spark.read.parquet(f"{folder}/documents.parquet").toPandas().astype({"n_chars": "Int64"})
+    assert_same(manifest.op12_merkle_manifest(spark, folder), manifest.OP12_SQL, connect(None, documents=frame))
+
+
+def test_op12_leaves_only_levels_behind(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    manifest.manifest(docs.withColumn("leaf", manifest.document_leaf(F.col("text"))), "leaf", "lang", ["doc_id"]).count()
+    assert len(list(tmp_path.iterdir())) == 3  # two levels of the trees (70 rows in four) and one above
