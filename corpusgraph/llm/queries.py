@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import gam, joins, language, lines, manifest, media, middle, mixing, packing, passages, rules, suffixes
+from corpusgraph.llm import gam, joins, language, lines, manifest, media, middle, mixing, packing, passages, rules, suffixes, syncmers
 
 QUERIES = {
     "op1_quality_rules": rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_language_id": language.op10_language_id,
+    "op11_fingerprints": syncmers.op11_fingerprints,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_fill_in_middle": middle.op13_fill_in_middle,
 }

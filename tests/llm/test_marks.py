@@ -1,14 +1,16 @@
 """Operators 11 to 13 against plain Python."""
 
+import collections
 import hashlib
 import random
 import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import common, manifest, middle
+from corpusgraph.llm import common, manifest, middle, syncmers
 from tests.duck import assert_same, connect
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -78,6 +80,113 @@ def test_op13_against_sql(spark, docs):
     assert middle.transform(docs.limit(0)).count() == 0
 
 
+# 11: fingerprints
+
+
+def hashed(*values):
+    """Spark's xxhash64 of texts and longs, as a signed number."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_anchors(text):
+    out = []
+    for i in range(len(text) - syncmers.K + 1):
+        inner = [hashed(text[i + j : i + j + 8]) for j in range(16)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, hashed(inner[0], inner[8], inner[15]) & 0xFFFFF))
+    return out
+
+
+def plain_mark(text):
+    found = plain_anchors(text) or [(0, hashed(text) & 0xFFFFF)] * bool(text)
+    at = [0, *(i for i, _ in found)]
+    return "".join(f"{i - b:x}{h:05x}" for b, (i, h) in zip(at, found, strict=False))
+
+
+def plain_likeness(a, b):
+    def links(mark):
+        items = re.findall(".{6}", mark)
+        return collections.Counter(x[1:] + y for x, y in zip(items, [*items[1:], ""], strict=False))
+
+    a, b = links(a), links(b)
+    total = a.total() + b.total()
+    return 2 * (a & b).total() / total if total else 1.0
+
+
+def plain_fingerprints(rows):
+    rows = sorted(((i is not None, i or 0), hashed(t or ""), i, t or "") for i, t in rows)
+    marks = {t: plain_mark(t) for *_, t in rows}
+    out = []
+    for k, (_, _, i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][3]
+        kept = len(text) - len(text) // 4
+        edited = text[:kept] + after[: len(text) - kept]
+        mark = plain_mark(edited)
+        out.append((i, len(text), digest(edited), marks[text], mark, plain_likeness(marks[text], mark), plain_likeness(marks[text], marks[after])))
+    return sorted(out, key=repr)
+
+
+def found_fingerprints(frame):
+    rows = syncmers.fingerprints(frame).withColumn("edited", F.sha2("edited", 256)).collect()
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def test_op11_against_plain_python(spark, docs, texts):
+    short = [(i, t if t is None or len(t) < 9000 else t[:9000]) for i, t in texts]
+    frame = docs.withColumn("text", F.when(F.length("text") < 9000, F.col("text")).otherwise(F.substring("text", 1, 9000)))
+    assert found_fingerprints(frame) == plain_fingerprints(short)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 130, 700])
+def test_op11_ranges_of_ids(spark, n):
+    rng = random.Random(n)
+    words = [chr(97 + i) * 3 + chr(960 + i) for i in range(9)] + ["\U0001f600", "\n", "  "]
+    rows = [(rng.choice([None, rng.randrange(-(1 << 62), 1 << 62), rng.randrange(n)]), " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_fingerprints(frame) == (plain_fingerprints(rows) if rows else [])
+
+
+def test_op11_blocks_meet(spark):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abcdef gh é") for _ in range(n))) for i, n in enumerate([4095, 4096, 4097, 4096 + 21, 4096 + 22, 4096 + 23, 8200, 22, 23, 24, 38])]
+    assert found_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")) == plain_fingerprints(rows)
+
+
+def test_op11_anchors_are_free_of_context_and_dense():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    own = plain_anchors(text)
+    places = [i for i, _ in own]
+    assert places[0] < 15 and max(b - a for a, b in zip(places, places[1:], strict=False)) <= 15 and len(text) / 10 < len(own) < len(text) / 6
+    assert [(i - 7, h) for i, h in plain_anchors("changed" + text) if i >= 7] == own
+
+
+def test_op11_likeness(spark):
+    a = "one two three four five six seven eight nine ten " * 4
+    pairs = [(a, a), (a, ""), ("", ""), (a, a.upper()), ("x" * 3000, "x" * 2000), ("short", "short"), ("short", "other")]
+    frame = spark.createDataFrame(pairs, "a string, b string").select(*[syncmers.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    found = [r[0] for r in frame.select(syncmers.likeness(F.col("a"), F.col("b"))).collect()]
+    assert found[:4] == [1.0, 0.0, 1.0, 0.0] and 0.7 < found[4] < 0.85 and found[5:] == [1.0, 0.0]
+
+
+def test_op11_long_texts_and_table(spark):
+    frame = spark.createDataFrame([(1, "x" * 1_000_000), (2, "word " * 300_000), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in syncmers.fingerprints(frame).drop("edited").collect()}
+    assert len(rows[1].fingerprint) == 6 * (1_000_000 - 22) and 0.83 < rows[1].near_edited < 0.84 and rows[1].near_next == 0 and rows[3].fingerprint == ""
+    text = "A sentence that is long enough to have some anchors."
+    table = syncmers.anchor_table(spark.createDataFrame([(5, text), (6, None)], "doc_id long, text string")).collect()
+    assert sorted((r.position, r.hash) for r in table) == plain_anchors(text) and {r.doc_id for r in table} == {5}
+
+
+def test_op11_is_native(spark):
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = syncmers.fingerprints(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 # 12: Merkle manifest
 
 
