@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusgraph.plans.registry import QUERIES, SQL
 
-for _name in ("selection", "combining", "analysis", "search", "documents"):
+for _name in ("selection", "combining", "analysis", "search", "documents", "indexes"):
     import_module(f"corpusgraph.plans.{_name}")
 
 __all__ = ["QUERIES", "SQL", "flagship"]
