@@ -22,7 +22,7 @@ class LexicalIndex:
     """Postings by term and range of documents, each range of a term with the largest part of a score it can give.
 
     ``blocks`` is a folder of Parquet: ``bucket`` (of terms, a folder each), ``term``, ``range``, ``top``, ``n`` and
-    ``postings`` (key and part of a score, before the term's weight), sorted by term and range.
+    ``postings`` (key, the term's number in the text and the text's tokens), each file sorted by term and range.
     """
 
     spark: SparkSession
@@ -31,17 +31,24 @@ class LexicalIndex:
     key_type: str
     buckets: int
     documents: int
+    mean: float
     range_docs: int
+    k1: float
+    b: float
 
     @property
     def blocks(self) -> DataFrame:
-        postings = f"array<struct<{self.key}: {self.key_type}, part: double>>"
+        postings = f"array<struct<{self.key}: {self.key_type}, tf: int, dl: int>>"
         schema = f"term string, range long, top double, n int, postings {postings}, bucket int"
         return self.spark.read.schema(schema).parquet(self.path)
 
     def bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+    def part(self, tf: Column, dl: Column) -> Column:
+        """What a term gives to a text's score, before the term's weight."""
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(self.mean)))
+
 
 def _counted(tokens: Column) -> Column:
     """The different tokens of a text with their numbers, by runs of the sorted ones."""
@@ -54,36 +61,32 @@ def _counted(tokens: Column) -> Column:
 
 def build(
     docs: DataFrame, key: str, text: str, path: str | None = None, like: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75,
-    range_docs: int = 8, buckets: int = 64,
+    range_docs: int = 8, buckets: int = 16,
 ) -> LexicalIndex:
     """Write the index of *docs* (*key* is unique; a null text is an empty one) to *path*, or a new folder that executors share.
 
     Documents are dealt into ranges of about *range_docs* by a hash of the key.  The more alike the documents of a range,
     the closer its bounds, so only those of one class share one: of like length (to a power of two) and the same in the columns *like*
-    (language, say), by a hash into CLASSES.  A text's tokens are counted in its row; postings are shuffled once, by bucket and a
-    slice of the ranges, so that a term of all documents is spread.
+    (language, say), by a hash into CLASSES.  Texts are shuffled once, by range; a text's tokens are counted in its row, and a range's postings
+    gathered where it lies, so that a term of all documents is spread as they are.
     """
-    tokens = t.tokens(F.coalesce(F.col(text), F.lit("")))
-    kind = lambda dl: F.pmod(F.xxhash64(*like, F.length(F.bin(dl))), F.lit(CLASSES)).cast("int")
-    lengths = docs.select(*like, F.size(tokens).alias("dl")).select("dl", kind(F.col("dl")).alias("kind"))
-    sizes = {r["kind"]: (r["n"], r["all"]) for r in lengths.groupBy("kind").agg(F.count("*").alias("n"), F.sum("dl").alias("all")).collect()}
+    whole = F.coalesce(F.col(text), F.lit(""))
+    kind = F.pmod(F.xxhash64(*like, F.length(F.bin(F.length(whole)))), F.lit(CLASSES)).cast("int")
+    lengths = docs.select(kind.alias("kind"), F.size(t.tokens(whole)).alias("dl")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("dl").alias("all"))
+    sizes = {r["kind"]: (r["n"], r["all"]) for r in lengths.collect()}
     n = sum(x for x, _ in sizes.values())
     mean = sum(x for _, x in sizes.values()) / max(n, 1) or 1.0
     parts = F.lit([sizes.get(i, (0, 0))[0] // range_docs + 1 for i in range(CLASSES)])
-    counted = docs.select(key, *like, t.bound(tokens, lambda x: F.struct(F.size(x).alias("dl"), _counted(x).alias("ts"))).alias("c"))
-    own = kind(F.col("c.dl"))
-    place = F.xxhash64(own, F.pmod(F.xxhash64(key), F.get(parts, own)))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean)))
-    postings = counted.select(key, place.alias("range"), F.col("c.dl").alias("dl"), F.inline("c.ts")).select("range", "term", F.struct(F.col(key), part.alias("part")).alias("p"))
-    path = path or workspace(docs.sparkSession)
-    index = LexicalIndex(docs.sparkSession, path, key, dict(docs.dtypes)[key], buckets, n, range_docs)
-    slices = n // 1_000_000 + 1
-    dealt = postings.withColumns({"bucket": index.bucket(F.col("term")), "slice": F.pmod("range", F.lit(slices))}).repartition("bucket", "slice")
-    blocks = dealt.groupBy("bucket", "slice", "term", "range").agg(
-        F.max("p.part").alias("top"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("p")).alias("postings")
+    index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean, range_docs, k1, b)
+    place = t.bound(kind, lambda x: F.xxhash64(x, F.pmod(F.xxhash64(key), F.get(parts, x))))
+    dealt = docs.select(F.col(key), whole.alias("text"), place.alias("range")).repartition("range")
+    counted = dealt.select(key, "range", t.bound(t.tokens("text"), lambda x: F.struct(F.size(x).alias("dl"), _counted(x).alias("ts"))).alias("c"))
+    postings = counted.select(key, "range", F.col("c.dl").alias("dl"), F.inline("c.ts"))
+    blocks = postings.groupBy("range", "term").agg(
+        F.max(index.part(F.col("tf"), F.col("dl"))).alias("top"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings")
     )
-    blocks.drop("slice").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    ordered = blocks.select("term", "range", "top", "n", "postings", index.bucket(F.col("term")).alias("bucket")).sortWithinPartitions("bucket", "term", "range")
+    stored(ordered, index.path, by="bucket")
     return index
 
 
@@ -91,6 +94,7 @@ def build(
 class Asked:
     """What queries ask of an index: their terms with weights (a written table), and the bounds by range (another)."""
 
+    index: LexicalIndex
     terms: DataFrame
     bounds: DataFrame
     blocks: DataFrame
@@ -106,26 +110,34 @@ def ask(index: LexicalIndex, queries: DataFrame, query_key: str, text: str, ever
     wanted = stored(wanted.withColumns({"bucket": index.bucket(F.col("term")), "asked": F.count("*").over(Window.partitionBy(query_key))}))
     buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
     blocks = index.blocks.where(F.col("bucket").isin(buckets))
-    maxima = stored(blocks.select("bucket", "term", "range", "top", "n").join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi"))
+    of_asked = blocks.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    maxima = stored(of_asked.select("bucket", "term", "range", "top", "n"))
     df = F.col("df")
     idf = F.log((index.documents - df + 0.5) / (df + 0.5) + 1)
     known = maxima.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("weight"))
     terms = stored(wanted.join(known, ["bucket", "term"]))
-    bounds = terms.join(maxima, ["bucket", "term"]).groupBy(query_key, "range").agg(
+    # Ranges are put together before their terms meet queries, so that sums are whole where they are made.
+    bounds = maxima.repartition("range").join(terms, ["bucket", "term"]).groupBy(query_key, "range").agg(
         F.sum(F.col("weight") * F.col("top")).alias("bound"), F.count("*").alias("_terms"), F.first("asked").alias("_asked")
     )
     if every:
         bounds = bounds.where("_terms = _asked")
-    return Asked(terms, stored(bounds.select(query_key, "range", "bound")), blocks)
+    return Asked(index, terms, stored(bounds.select(query_key, "range", "bound")), blocks)
+
 
+def scores(asked: Asked, query_key: str, chosen: DataFrame, every: bool = False) -> DataFrame:
+    """Exact scores (``bm25``) of the documents in the *chosen* pairs of query and range.
 
-def scores(asked: Asked, query_key: str, key: str, chosen: DataFrame, every: bool = False) -> DataFrame:
-    """Exact scores (``bm25``) of the documents in the *chosen* pairs of query and range."""
-    wished = chosen.select(query_key, "range").join(asked.terms, query_key)
-    met = wished.join(asked.blocks.select("bucket", "term", "range", "postings"), ["bucket", "term", "range"])
-    parts = met.select(query_key, "weight", "asked", F.inline("postings"))
-    found = parts.groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("part")).alias("bm25"), F.count("*").alias("_n"), F.first("asked").alias("_asked"))
-    return (found.where("_n = _asked") if every else found).select(query_key, key, "bm25")
+    A range's blocks meet the list of queries that want it, and then the terms' weights.
+    """
+    index = asked.index
+    wished = stored(chosen.groupBy("range").agg(F.collect_list(query_key).alias("_queries")))
+    met = asked.blocks.select("bucket", "term", "range", "postings").join(wished, "range").join(asked.terms, ["bucket", "term"])
+    parts = met.where(F.array_contains("_queries", F.col(query_key))).select("range", query_key, "weight", "asked", F.inline("postings"))
+    found = parts.groupBy("range", query_key, index.key).agg(
+        F.sum(F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("bm25"), F.count("*").alias("_n"), F.first("asked").alias("_asked")
+    )
+    return (found.where("_n = _asked") if every else found).select(query_key, index.key, "bm25")
 
 
 def _best(found: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -133,15 +145,16 @@ def _best(found: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def promising(index: LexicalIndex, asked: Asked, query_key: str, k: int, every: bool = False) -> DataFrame:
+def promising(asked: Asked, query_key: str, k: int, every: bool = False) -> DataFrame:
     """The pairs of query and range that may hold one of the query's best *k*.
 
     The ranges with the largest bounds, with some *k* documents, are scored first.  Their k-th score is one that the best *k* of all reach,
     so ranges whose bound is below it are left out, and nothing else is.
     """
+    index = asked.index
     order = Window.partitionBy(query_key).orderBy(F.desc("bound"), "range")
     first = asked.bounds.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(4, -(-4 * k // index.range_docs)))
-    reached = _best(scores(asked, query_key, index.key, first, every), query_key, index.key, k).where(F.col("place") == k)
+    reached = _best(scores(asked, query_key, first, every), query_key, index.key, k).where(F.col("place") == k)
     least = reached.select(query_key, F.col("bm25").alias("_least"))
     return asked.bounds.join(least, query_key, "left").where(F.col("bound") >= F.coalesce(F.col("_least"), F.lit(0.0)) - _ROOM).drop("_least")
 
@@ -152,4 +165,4 @@ def top_k(index: LexicalIndex, queries: DataFrame, query_key: str, text: str, k:
     A text scores by the query's terms that it has (with *every*: it must have all).  Ties are in the order of the key.
     """
     asked = ask(index, queries, query_key, text, every)
-    return _best(scores(asked, query_key, index.key, promising(index, asked, query_key, k, every), every), query_key, index.key, k)
+    return _best(scores(asked, query_key, promising(asked, query_key, k, every), every), query_key, index.key, k)

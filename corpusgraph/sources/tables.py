@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark drop the shuffle files of a statement when the statement ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def workspace(spark: SparkSession) -> str:
     """A new path in the folder that the session names in ``spark.checkpoint.dir``.
@@ -23,11 +26,20 @@ def workspace(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
-    """*df* written as Parquet and read again, with a folder for each value of *by*; later steps see its size, and outlive lost executors."""
-    path = path or workspace(df.sparkSession)
+    """*df* written as Parquet and read again, with a folder for each value of *by*; later steps see its size, and outlive lost executors.
+
+    The shuffle files that made it are dropped with the statement.
+    """
+    spark = df.sparkSession
+    path = path or workspace(spark)
     writer = df.write.partitionBy(by) if by else df.write
-    writer.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *paths: str) -> None:

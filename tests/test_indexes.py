@@ -87,7 +87,7 @@ def test_ranges_that_cannot_reach_the_best_are_left_out(spark, corpus, tmp_path)
     index = lexical.build(docs, "id", "text", str(tmp_path / "index"), like=("lang",))
     queries = spark.createDataFrame([(1, "only_here rare bana"), (2, "bale gino")], "q int, wish string")
     asked = lexical.ask(index, queries, "q", "wish")
-    every, kept = asked.bounds.count(), lexical.promising(index, asked, "q", 5).count()
+    every, kept = asked.bounds.count(), lexical.promising(asked, "q", 5).count()
     assert 0 < kept < every / 2
 
 
