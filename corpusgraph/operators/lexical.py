@@ -61,7 +61,7 @@ def _counted(tokens: Column) -> Column:
 
 def build(
     docs: DataFrame, key: str, text: str, path: str | None = None, like: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75,
-    range_docs: int = 8, buckets: int = 16,
+    range_docs: int = 32, buckets: int = 16,
 ) -> LexicalIndex:
     """Write the index of *docs* (*key* is unique; a null text is an empty one) to *path*, or a new folder that executors share.
 
@@ -128,11 +128,14 @@ def ask(index: LexicalIndex, queries: DataFrame, query_key: str, text: str, ever
 def scores(asked: Asked, query_key: str, chosen: DataFrame, every: bool = False) -> DataFrame:
     """Exact scores (``bm25``) of the documents in the *chosen* pairs of query and range.
 
-    A range's blocks meet the list of queries that want it, and then the terms' weights.
+    The blocks of the terms and ranges that are wanted are put together by range; there they meet the list of queries that want
+    it and the terms' weights, and sums are whole where they are made.
     """
     index = asked.index
     wished = stored(chosen.groupBy("range").agg(F.collect_list(query_key).alias("_queries")))
-    met = asked.blocks.select("bucket", "term", "range", "postings").join(wished, "range").join(asked.terms, ["bucket", "term"])
+    blocks = asked.blocks.select("bucket", "term", "range", "postings").join(asked.terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    together = blocks.join(wished.select("range"), "range", "left_semi").repartition("range")
+    met = together.join(wished, "range").join(asked.terms, ["bucket", "term"])
     parts = met.where(F.array_contains("_queries", F.col(query_key))).select("range", query_key, "weight", "asked", F.inline("postings"))
     found = parts.groupBy("range", query_key, index.key).agg(
         F.sum(F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("bm25"), F.count("*").alias("_n"), F.first("asked").alias("_asked")
