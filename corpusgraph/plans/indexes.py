@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import lexical
+from corpusgraph.operators import lexical, nearest
 from corpusgraph.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
@@ -47,3 +47,31 @@ def v05_index_every(spark, d):
     heads = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(t.tokens("text"), 1, 3), " ").alias("text"))
     found = lexical.top_k(_index(spark, d), heads, "item_id", "text", 20, every=True)
     return found.select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.col("place").cast("long").alias("place"))
+
+
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(
+    "v02_ivf_exact",
+    """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id) <= 10""",
+)
+def v02_ivf_exact(spark, d):
+    """The ten nearest of every id divisible by 100, by bounds on the lists' angles."""
+    e, queries = _vectors(spark, d)
+    found = nearest.search_exactly(nearest.build(e, "vec_id", "embedding"), queries, "query_id", "embedding", 10)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("v02_ivf_recall")
+def v02_ivf_recall(spark, d):
+    """The share of the ten nearest of every id divisible by 100 that probing finds, against a comparison with all vectors."""
+    from corpusgraph.operators import retrieval
+
+    e, queries = _vectors(spark, d)
+    found = nearest.search(nearest.build(e, "vec_id", "embedding"), queries, "query_id", "embedding", 10)
+    return nearest.recall(found, retrieval.knn_join(queries, "query_id", e, "vec_id", "embedding", 10), "query_id", "vec_id")

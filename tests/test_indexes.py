@@ -5,9 +5,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
-from corpusgraph.operators import lexical
+from corpusgraph.operators import lexical, nearest
+from corpusgraph.plans import catalogue
+from tests.conftest import SMALL
 
 WORDS = [a + b for a in ("ba", "ko", "du", "fe", "gi") for b in ("na", "le", "mi", "no")]
 
@@ -98,3 +101,52 @@ def test_empty_tables(spark, corpus, tmp_path):
     assert lexical.top_k(none, queries, "q", "wish", 5).count() == 0
     some = lexical.build(docs, "id", "text", str(tmp_path / "some"))
     assert lexical.top_k(some, queries.limit(0), "q", "wish", 5).count() == 0
+
+
+def clustered(n, seed=0):
+    """Vectors around a few directions, a third of them one and the same, and some of zeros."""
+    rng = np.random.default_rng(seed)
+    around = rng.normal(size=(12, 16))
+    rows = around[rng.integers(0, 12, n)] * rng.uniform(0.5, 3, (n, 1)) + rng.normal(size=(n, 16)) * 0.3
+    rows[::3] = rows[:1]
+    rows[5::97] = 0
+    return [(int(i) * 3 - 40, [float(np.float32(x)) for x in row]) for i, row in enumerate(rows)]
+
+
+def plain_nearest(rows, wish, k):
+    x = np.array([v for _, v in rows]).reshape(-1, 16)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    q = np.array(wish) / max(np.linalg.norm(wish), 1e-300)
+    near = np.round(x @ q, 9)
+    return sorted((-float(s), i) for s, (i, _) in zip(near, rows, strict=True))[:k]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 2500])
+def test_exactly_the_nearest_are_found(spark, tmp_path, n):
+    rows = clustered(n)
+    vectors = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    wishes = [(q, v) for q, (_, v) in enumerate(clustered(40, 1))]
+    queries = spark.createDataFrame(wishes, "q int, v array<float>")
+    index = nearest.build(vectors, "id", "v", str(tmp_path / "index"))
+    found = collections.defaultdict(list)
+    for r in nearest.search_exactly(index, queries, "q", "v", 6).collect():
+        found[r.q].append((-round(r.similarity, 9), r.id))
+    for q, v in wishes:
+        assert [s for s, _ in sorted(found[q])] == pytest.approx([s for s, _ in plain_nearest(rows, v, 6)], abs=2e-9)
+        assert len({i for _, i in found[q]}) == min(6, n)
+
+
+def test_probing_finds_nearly_all_and_reads_few_lists(spark, tmp_path):
+    rows = clustered(2500)
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    queries = spark.createDataFrame([(q, v) for q, (_, v) in enumerate(rows[1::120])], "q int, v array<float>")
+    index = nearest.build(vectors, "id", "v", str(tmp_path / "index"))
+    exact = nearest.search_exactly(index, queries, "q", "v", 10)
+    assert len(index.centers) == 50 and index.probes < 30
+    assert nearest.recall(nearest.search(index, queries, "q", "v", 10), exact, "q", "id").first()["recall"] >= 0.9
+    least = exact.groupBy("q").agg({"similarity": "min"}).withColumnRenamed("min(similarity)", "_least")
+    assert nearest._probes(index, queries.join(least, "q"), "q", "v", None).count() < 21 * 50 / 2
+
+
+def test_recall_over_the_whole_table(spark):
+    assert catalogue.QUERIES["v02_ivf_recall"](spark, SMALL).first()["recall"] >= 0.9
