@@ -14,6 +14,7 @@ from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
 from corpusgraph.operators import expansion
 from corpusgraph.operators.relational import prefer, top_per_group
+from corpusgraph.sources.tables import stored
 
 #: Rows of query vectors that may be broadcast, and rows of a block where there are more.
 MOST_QUERIES = 1000
@@ -176,10 +177,20 @@ def fused_order() -> list[Column]:
     return [F.desc(F.round("rrf_score", 12)), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank")]
 
 
+def with_rows(hits: DataFrame, key: str, rows: DataFrame, add) -> DataFrame:
+    """Each hit of a top list with what *add* makes of its row in *rows*, or nulls.
+
+    The list is written first, as it is read twice: its keys, few by contract, go to the rows, so that only the rows of hits
+    are looked at and none are shuffled; and the hits meet those.
+    """
+    hits = stored(hits)
+    return hits.join(add(rows.join(F.broadcast(hits.select(key)), key)), key, "left")
+
+
 def rerank(hits: DataFrame, key: str, score: str, vectors: DataFrame, column: str, query: list[float], k: int) -> DataFrame:
     """Hits in the order of their larger vectors' similarity (their old score without one), with ``shift``."""
-    near = vectors.select(key, v.cosine(v.doubles(column), v.literal(query)).alias("near"))
-    joined = hits.join(near, key, "left").withColumn("rerank_score", F.coalesce("near", score))
+    near = v.cosine(v.doubles(column), v.literal(query)).alias("near")
+    joined = with_rows(hits, key, vectors, lambda rows: rows.select(key, near)).withColumn("rerank_score", F.coalesce("near", score))
     old = F.row_number().over(Window.orderBy(F.desc(score), key))
     new = F.row_number().over(Window.orderBy(F.desc(F.round("rerank_score", 12)), key))
     placed = joined.withColumns({"original_rank": old, "new_rank": new}).where(F.col("new_rank") <= k)
@@ -271,7 +282,7 @@ def search(
     near = ranked(knn(vectors, key, column, query, pool), "similarity", key, "vector_rank")
     hits = rrf(lexical, near, key, alpha=expansion.ALPHA.get(kind, 0.5)).orderBy(*fused_order()).limit(3 * k)
     again = rerank(hits, key, "final_score", vectors, column, query, 3 * k)
-    known = again.join(docs.select(key, version), key, "left").withColumn("_unit", canonical)
+    known = with_rows(again, key, docs, lambda rows: rows.select(key, version)).withColumn("_unit", canonical)
     best = prefer(known, ["_unit"], version, preference, [F.desc(F.round("rerank_score", 12)), F.asc(key)])
     place = F.row_number().over(Window.orderBy(F.desc(F.round("rerank_score", 12)), key))
     return best.select(key, F.col("rerank_score").alias("score"), place.alias("place")).where(F.col("place") <= k)

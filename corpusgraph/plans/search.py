@@ -230,7 +230,7 @@ def v12_join(spark, d):
 )
 def v13(spark, d):
     near = retrieval.knn(_vectors(spark, d), "doc_id", "embedding", QUERY, 25).where(F.round("similarity", 4) >= 0.1)
-    named = near.join(_docs(spark, d).select("doc_id", "lang"), "doc_id", "left")
+    named = retrieval.with_rows(near, "doc_id", _docs(spark, d), lambda rows: rows.select("doc_id", "lang"))
     return named.select("doc_id", F.round("similarity", 4).alias("score"), F.coalesce("lang", F.lit("none")).alias("lang"))
 
 

@@ -265,3 +265,13 @@ def test_kinds_of_queries_by_the_first_rule(spark):
     assert [r["kind"] for r in found] == ["reference", "entity", "question", "phrase", "concept", "entity", "keyword", "keyword", "phrase"]
     assert [r["expand"] for r in found] == [False, False, True, True, True, False, True, False, False]
     assert [r["distance"] for r in found][:2] == [1, 2] and [r["entities"] for r in found][:4] == [0, 1, 0, 1]
+
+
+def test_only_the_hits_vectors_are_scored(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(500)], "id long, v array<double>").repartition(4)
+    hits = spark.createDataFrame([(3, 0.5), (400, 0.4), (9999, 0.3)], "id long, score double")
+    found = retrieval.rerank(hits, "id", "score", vectors, "v", [0.0, 1.0], 10)
+    assert [r.id for r in found.orderBy("new_rank").collect()] == [3, 9999, 400]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cosine, inner = plan.index("AS near"), plan.index("Join Inner")
+    assert cosine < inner and "rightHint=(strategy=broadcast)" in plan[inner : inner + 80]
