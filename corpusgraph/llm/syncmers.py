@@ -40,13 +40,14 @@ def anchors(text: Column) -> Column:
         smallest = h
         for i in range(WINDOW.bit_length() - 1):
             smallest = doubled(smallest, 1 << i)
+        last = F.greatest(F.size(h) - WINDOW, F.lit(0))
 
-        def one(least: Column, i: Column) -> Column:
-            last = F.get(h, i + (WINDOW - 1))
-            bits = F.xxhash64(F.get(h, i), F.get(h, i + INNER), last).bitwiseAND(low)
-            return F.when((F.get(h, i) == least) | (last == least), F.shiftleft(offset + i, HASH_BITS) + bits)
+        def at_edge(least: Column) -> Column:
+            edge = lambda i: (F.get(h, i) == F.get(least, i)) | (F.get(h, i + (WINDOW - 1)) == F.get(least, i))
+            return F.filter(F.when(F.size(h) >= WINDOW, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), edge)
 
-        return F.filter(F.transform(F.slice(smallest, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), one), lambda x: x.isNotNull())
+        bits = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + INNER), F.get(h, i + (WINDOW - 1))).bitwiseAND(low)
+        return F.transform(bind(smallest, at_edge), lambda i: F.shiftleft(offset + i, HASH_BITS) + bits(i))
 
     def of_block(blocks: Column):
         def run(block: Column, at: Column) -> Column:
@@ -80,7 +81,7 @@ def encoded(found: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a whole text: its anchors with their distances.  Equal texts have equal ones; null and empty texts an empty one."""
     whole = F.coalesce(text, F.lit(""))
-    return bind(_or_whole(anchors(whole), whole), encoded)
+    return bind(anchors(whole), lambda x: bind(_or_whole(x, whole), encoded))
 
 
 def links(mark: Column) -> Column:
