@@ -29,7 +29,7 @@ def anchors(text: Column) -> Column:
     depends on the k-mer alone, so what two texts have in common gives the same anchors wherever it stands; and of
     WINDOW - 1 k-mers in a row one is always chosen.  Null and short texts have none.
 
-    Blocks overlap by K - 1; in each, the smallest of WINDOW hashes from every place on is found by doubling.
+    Blocks overlap by K - 1; in each, the smallest of a quarter of WINDOW hashes from every place on is found by doubling, and four of them make a window.
     """
     low = F.lit((1 << HASH_BITS) - 1)
 
@@ -37,15 +37,21 @@ def anchors(text: Column) -> Column:
         return bind(h, lambda x: F.zip_with(x, F.slice(x, by + 1, F.size(x)), lambda a, b: F.least(a, b)))
 
     def chosen(h: Column, offset: Column) -> Column:
-        smallest = h
-        for i in range(WINDOW.bit_length() - 1):
-            smallest = doubled(smallest, 1 << i)
-        last = F.greatest(F.size(h) - WINDOW, F.lit(0))
+        last, quarter = F.greatest(F.size(h) - WINDOW, F.lit(0)), WINDOW // 4
 
         def at_edge(least: Column) -> Column:
-            edge = lambda i: (F.get(h, i) == F.get(least, i)) | (F.get(h, i + (WINDOW - 1)) == F.get(least, i))
+            """*least* has the smallest of a quarter of a window; few first or last hashes are that small, so the others are seldom asked."""
+
+            def edge(i: Column) -> Column:
+                first, final, of = F.get(h, i), F.get(h, i + (WINDOW - 1)), [F.get(least, i + k * quarter) for k in range(4)]
+                at_first = (first == of[0]) & (first <= of[1]) & (first <= of[2]) & (first <= of[3])
+                return at_first | ((final == of[3]) & (final <= of[2]) & (final <= of[1]) & (final <= of[0]))
+
             return F.filter(F.when(F.size(h) >= WINDOW, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), edge)
 
+        smallest = h
+        for i in range(quarter.bit_length() - 1):
+            smallest = doubled(smallest, 1 << i)
         bits = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + INNER), F.get(h, i + (WINDOW - 1))).bitwiseAND(low)
         return F.transform(bind(smallest, at_edge), lambda i: F.shiftleft(offset + i, HASH_BITS) + bits(i))
 
