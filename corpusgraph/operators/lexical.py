@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +54,53 @@ class LexicalIndex:
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(self.mean)))
 
 
-def _counted(tokens: Column) -> Column:
-    """The different tokens of a text with their numbers, by runs of the sorted ones."""
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return t.bound(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
-
-    return t.bound(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)))
+def _gatherer(index: LexicalIndex):
+    """Turns rows of key, range and tokens, in the order of range and key, into the blocks of each range."""
+    k1, b, mean, most = index.k1, index.b, index.mean, 200_000
+    names = ["term", "range", "top", "n", "postings"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ranges, counts, keys, tfs, dls = [], [], [], [], [], []
+        now, held, kind = None, {}, None
+
+        def close() -> None:
+            for term, found in held.items():
+                terms.append(term)
+                ranges.append(now)
+                counts.append(len(found))
+                for key, tf, dl in found:
+                    keys.append(key)
+                    tfs.append(tf)
+                    dls.append(dl)
+            held.clear()
+
+        def flushed() -> pa.RecordBatch:
+            tf, dl, n = np.array(tfs, np.int32), np.array(dls, np.int32), np.array(counts, np.int32)
+            starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            top = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), starts[:-1])
+            fields = [pa.field(index_key, kind), pa.field("tf", pa.int32()), pa.field("dl", pa.int32())]
+            postings = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(keys, kind), pa.array(tf), pa.array(dl)], fields=fields))
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ranges, pa.int64()), pa.array(top), pa.array(n), postings], names)
+            for x in (terms, ranges, counts, keys, tfs, dls):
+                x.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, place, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if place != now:
+                    close()
+                    now = place
+                    if len(keys) > most:
+                        yield flushed()
+                for term, tf in Counter(tokens).items():
+                    held.setdefault(term, []).append((key, tf, len(tokens)))
+        close()
+        if keys:
+            yield flushed()
+
+    index_key = index.key
+    return run
 
 
 def build(
@@ -67,8 +111,8 @@ def build(
 
     Documents are dealt into ranges of about *range_docs* by a hash of the key.  The more alike the documents of a range,
     the closer its bounds, so only those of one class share one: of like length (to a power of two) and the same in the columns *like*
-    (language, say), by a hash into CLASSES.  Texts are shuffled once, by range; a text's tokens are counted in its row, and a range's postings
-    gathered where it lies, so that a term of all documents is spread as they are.
+    (language, say), by a hash into CLASSES.  Texts are shuffled once, by range, and a range's postings are gathered where it lies, some
+    documents at a time, so that a term of all documents is spread as they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     kind = F.pmod(F.xxhash64(*like, F.length(F.bin(F.length(whole)))), F.lit(CLASSES)).cast("int")
@@ -79,13 +123,10 @@ def build(
     parts = F.lit([sizes.get(i, (0, 0))[0] // range_docs + 1 for i in range(CLASSES)])
     index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean, range_docs, k1, b)
     place = t.bound(kind, lambda x: F.xxhash64(x, F.pmod(F.xxhash64(key), F.get(parts, x))))
-    dealt = docs.select(F.col(key), whole.alias("text"), place.alias("range")).repartition("range")
-    counted = dealt.select(key, "range", t.bound(t.tokens("text"), lambda x: F.struct(F.size(x).alias("dl"), _counted(x).alias("ts"))).alias("c"))
-    postings = counted.select(key, "range", F.col("c.dl").alias("dl"), F.inline("c.ts"))
-    blocks = postings.groupBy("range", "term").agg(
-        F.max(index.part(F.col("tf"), F.col("dl"))).alias("top"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings")
-    )
-    ordered = blocks.select("term", "range", "top", "n", "postings", index.bucket(F.col("term")).alias("bucket")).sortWithinPartitions("bucket", "term", "range")
+    dealt = docs.select(F.col(key), whole.alias("text"), place.alias("range")).repartition("range").sortWithinPartitions("range", key)
+    postings = f"array<struct<{key}: {index.key_type}, tf: int, dl: int>>"
+    blocks = dealt.select(key, "range", t.tokens("text")).mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
+    ordered = blocks.withColumn("bucket", index.bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "range")
     stored(ordered, index.path, by="bucket")
     return index
 
