@@ -1,10 +1,13 @@
-"""Queries that first build an index of a whole table and then answer a table of queries with it."""
+"""Queries that prepare a whole table (an index, a vocabulary, a table of names) and then answer many questions with it."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import lexical, nearest
+from corpusgraph.functions import stems
+from corpusgraph.functions import text as t
+from corpusgraph.operators import lexical, matching, nearest, scanner
 from corpusgraph.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
@@ -42,8 +45,6 @@ _HEAD = "(SELECT item_id, array_to_string(list_slice(list_filter(regexp_split_to
 )
 def v05_index_every(spark, d):
     """The best 20 documents that have all of the first three words of a benchmark text."""
-    from corpusgraph.functions import text as t
-
     heads = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(t.tokens("text"), 1, 3), " ").alias("text"))
     found = lexical.top_k(_index(spark, d), heads, "item_id", "text", 20, every=True)
     return found.select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.col("place").cast("long").alias("place"))
@@ -75,3 +76,101 @@ def v02_ivf_recall(spark, d):
     e, queries = _vectors(spark, d)
     found = nearest.search(nearest.build(e, "vec_id", "embedding"), queries, "query_id", "embedding", 10)
     return nearest.recall(found, retrieval.knn_join(queries, "query_id", e, "vec_id", "embedding", 10), "query_id", "vec_id")
+
+
+#: Two neighbouring words of each benchmark text, of which every second is taken for Portuguese.
+_PAIRS = f"""pair AS (SELECT item_id, ts[3] || ' ' || ts[4] AS text, CASE WHEN item_id % 2 = 1 THEN 'pt' ELSE 'en' END AS config
+      FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark) WHERE len(ts) >= 4)"""
+_WORDS = f"""dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+    vocabulary AS (SELECT DISTINCT token FROM (SELECT unnest(ts) AS token FROM dt) UNION SELECT DISTINCT unnest({_TOKENS}) FROM benchmark),
+    stemmed AS (SELECT 'en' AS config, token, stem FROM ({stems.stem_sql("vocabulary", "token", "en")}) UNION ALL SELECT 'pt', token, stem FROM ({stems.stem_sql("vocabulary", "token", "pt")})),
+    wanted AS (SELECT item_id, config, stem, row_number() OVER (PARTITION BY item_id ORDER BY stem) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n
+      FROM (SELECT DISTINCT item_id, config, stem FROM (SELECT item_id, config, unnest(string_split(text, ' ')) AS token FROM pair) JOIN stemmed USING (config, token)))"""
+
+
+def _pairs(spark, d):
+    ts = t.tokens("text")
+    pair = table(spark, d, "benchmark").where(F.size(ts) >= 4).select("item_id", F.array_join(F.slice(ts, 3, 2), " ").alias("text"))
+    return pair.withColumn("lang", F.when(F.col("item_id") % 2 == 1, "pt-BR").otherwise("en"))
+
+
+@query(
+    "f17_stemmed_match",
+    f"""WITH {_PAIRS}, {_WORDS}, met AS (SELECT item_id, doc_id, n, count(DISTINCT i) AS m FROM (SELECT doc_id, unnest(list_distinct(ts)) AS token FROM dt) JOIN stemmed USING (token)
+      JOIN wanted USING (config, stem) GROUP BY 1, 2, 3)
+    SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM met WHERE m = n GROUP BY 1""",
+)
+def f17_stemmed_match(spark, d):
+    """How many documents have all stems of two words of each benchmark text, in the text's language."""
+    docs = table(spark, d, "documents")
+    found = matching.match_all(docs, "doc_id", "text", matching.lexemes(_pairs(spark, d), "item_id", "text", "lang"), "item_id")
+    return found.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query(
+    "v05_cover_density",
+    f"""WITH {_PAIRS}, {_WORDS}, e AS (SELECT item_id, doc_id, n, i, spot FROM (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS spot FROM dt) JOIN stemmed USING (token) JOIN wanted USING (config, stem)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY spot) AS j FROM e),
+    l AS (SELECT item_id, doc_id, n, j, spot, min(last) AS lft, count(last) AS met FROM (SELECT k.*, g.i AS term, max(CASE WHEN k.i = g.i THEN k.j END) OVER (PARTITION BY k.item_id, k.doc_id, g.i ORDER BY k.j) AS last
+      FROM k, generate_series(0, 1) g(i) WHERE g.i < k.n) GROUP BY ALL),
+    c AS (SELECT *, lag(CASE WHEN met = n THEN lft END) OVER (PARTITION BY item_id, doc_id ORDER BY j) AS before FROM l),
+    r AS (SELECT c.item_id, c.doc_id, sum(0.1 / (1 + c.spot - f.spot - (c.j - c.lft))) AS rank, count(*) AS covers FROM c JOIN k f ON f.item_id = c.item_id AND f.doc_id = c.doc_id AND f.j = c.lft
+      WHERE met = c.n AND (before IS NULL OR c.lft > before) GROUP BY 1, 2)
+    SELECT item_id, doc_id, round(rank, 6) AS rank, covers, row_number() OVER (PARTITION BY item_id ORDER BY round(rank, 9) DESC, doc_id) AS place FROM r QUALIFY place <= 20""",
+)
+def v05_cover_density(spark, d):
+    """The 20 documents in which two words of a benchmark text, by their stems, stand closest and most often."""
+    docs = table(spark, d, "documents")
+    found = matching.cover_density(docs, "doc_id", "text", matching.lexemes(_pairs(spark, d), "item_id", "text", "lang"), "item_id")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("rank", 9)), "doc_id"))
+    best = found.withColumn("place", place).where("place <= 20")
+    return best.select("item_id", "doc_id", F.round("rank", 6).alias("rank"), F.col("covers").cast("long").alias("covers"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "f18_chains",
+    f"""WITH q AS (SELECT item_id, {_TOKENS} AS ts FROM benchmark), dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+    w AS (SELECT doc_id, unnest(ts) AS word, generate_subscripts(ts, 1) AS spot FROM dt),
+    m AS (SELECT item_id, 0 AS part, a.doc_id, a.spot - 1 AS spot FROM q JOIN w a ON a.word = ts[1] JOIN w b ON b.doc_id = a.doc_id AND b.spot = a.spot + 2 AND b.word = ts[3] JOIN w c ON c.doc_id = a.doc_id AND c.spot = a.spot + 4 AND c.word = ts[5] WHERE len(ts) >= 6
+      UNION ALL SELECT item_id, 1, a.doc_id, a.spot - 1 FROM q JOIN w a ON a.word = ts[5] JOIN w b ON b.doc_id = a.doc_id AND b.spot = a.spot + 1 AND b.word = ts[6] WHERE len(ts) >= 6
+      UNION ALL SELECT item_id, 2, a.doc_id, a.spot - 1 FROM q JOIN w a ON a.word = ts[2] WHERE len(ts) >= 6)
+    SELECT item_id, part, count(*) AS places, count(DISTINCT doc_id) AS docs, min(spot) AS earliest FROM m GROUP BY 1, 2""",
+)
+def f18_chains(spark, d):
+    """Queries of three parts: words 1, 3 and 5 of a text two apart, 5 and 6 next to each other, or word 2."""
+    ts = t.tokens("text")
+    word = lambda i: F.get(ts, F.lit(i - 1))
+    wish = F.concat(F.lit("("), word(1), F.lit(" <2> "), word(3), F.lit(" <2> "), word(5), F.lit(") | "), word(5), F.lit(" <-> "), word(6), F.lit(" | "), word(2))
+    wanted = matching.chains(table(spark, d, "benchmark").where(F.size(ts) >= 6).select("item_id", wish.alias("wish")), "item_id", "wish")
+    found = matching.match_chains(table(spark, d, "documents"), "doc_id", "text", wanted, "item_id")
+    by_doc = found.groupBy("item_id", "part", "doc_id").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    return by_doc.groupBy("item_id", "part").agg(F.sum("n").alias("places"), F.count("*").alias("docs"), F.min("at").alias("earliest"))
+
+
+#: All matches of names that stand before a number, then those that a reader finds from left to right.
+_SCAN = """tk AS (SELECT page_id, regexp_extract_all(lower(html), '\\p{L}+|[0-9]+|\\S') AS ts FROM pages),
+    np AS (SELECT page_id, ts, p FROM (SELECT page_id, ts, unnest(range(2, len(ts) + 1)) AS p FROM tk) WHERE regexp_full_match(ts[p], '[0-9]{1,3}')),
+    ne AS (SELECT *, CASE WHEN regexp_full_match(ts[p - 1], '\\p{L}+') THEN p - 1 WHEN p > 2 AND ts[p - 1] = '.' AND regexp_full_match(ts[p - 2], '\\p{L}+') THEN p - 2 END AS e FROM np),
+    nv AS (SELECT *, CASE WHEN ts[p + 1] IN (':', '.') AND regexp_full_match(ts[p + 2], '[0-9]{1,3}') THEN ts[p + 2]::INT END AS verse FROM ne WHERE e IS NOT NULL),
+    nw AS (SELECT *, CASE WHEN verse IS NOT NULL AND ts[p + 3] IN ('-', '–') AND regexp_full_match(ts[p + 4], '[0-9]{1,3}') THEN ts[p + 4]::INT END AS ending FROM nv),
+    rn AS (SELECT page_id, e - n AS start, n, ts[p]::INT AS chapter, verse, coalesce(ending, verse) AS end_verse, p - 1 + CASE WHEN ending IS NOT NULL THEN 4 WHEN verse IS NOT NULL THEN 2 ELSE 0 END AS last,
+      ts[e - n + 1:e] AS run FROM nw, (VALUES (1), (2)) w(n) WHERE e >= n),
+    ck AS (SELECT *, regexp_replace(translate(array_to_string(run, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g') AS key FROM rn
+      WHERE len(list_filter(run, lambda x: NOT regexp_full_match(x, '\\p{L}+|[0-9]+'))) = 0),
+    al AS (SELECT key, 'B' || min(length(key)) AS book FROM ck WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT page_id) >= 2)"""
+
+
+@query(
+    "v29_scan",
+    f"""WITH RECURSIVE {_SCAN}, m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start, n DESC) AS k FROM ck JOIN al USING (key)),
+    g AS (SELECT page_id, k, true AS taken, last AS upto FROM m WHERE k = 1
+      UNION ALL SELECT m.page_id, m.k, m.start > upto, CASE WHEN m.start > upto THEN m.last ELSE upto END FROM g JOIN m ON m.page_id = g.page_id AND m.k = g.k + 1)
+    SELECT m.page_id, m.start::INT AS start, book, chapter, verse, end_verse FROM m JOIN g ON g.page_id = m.page_id AND g.k = m.k AND taken""",
+)
+def v29_scan(spark, d):
+    """References in whole pages; the names are runs of one or two words that stand before numbers in two pages or more."""
+    pages = table(spark, d, "pages")
+    runs = scanner.candidates(pages, "page_id", "html", 2).where("key <> ''")
+    names = runs.groupBy("key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2")
+    names = names.select("key", F.concat(F.lit("B"), F.length("key")).alias("book"))
+    return scanner.scan(pages, "page_id", "html", names, 2)
