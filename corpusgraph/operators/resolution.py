@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import references as ref
@@ -16,13 +16,14 @@ from corpusgraph.operators.relational import top_per_group
 
 def cascade(
     wanted: DataFrame, name: str, tiers: list[tuple[str, float, DataFrame]], id_: str,
-    fuzzy_names: DataFrame | None = None, candidate: str = "name", least: float = 0.85, score=None,
+    fuzzy_tiers: list[tuple[str, DataFrame]] | None = None, candidate: str = "name", least: float = 0.85, score=None,
 ) -> DataFrame:
     """Each wanted name with the smallest id of the first tier that knows it, ``method`` and ``confidence``.
 
     A tier is (method, confidence, table of names and ids).  All tiers are one table with ranks, so
-    that one join does for them all.  What no tier knows is then compared with *fuzzy_names* (*candidate* and id) by
-    *score* (:func:`fuzzy`, or :func:`fuzzy_ratio`), whose value is the confidence.
+    that one join does for them all.  What no tier knows is then compared with the names of each of *fuzzy_tiers* (method, and table of
+    *candidate* and id) by *score* (:func:`fuzzy_ratio`, or :func:`fuzzy`), whose value is the confidence: the best of the first tier
+    that has one of at least *least*.
     """
     known = None
     for k, (method, confidence, names) in enumerate(tiers):
@@ -34,31 +35,67 @@ def cascade(
         name, F.col("best")[id_].alias(id_), F.coalesce("best.method", F.lit("unmatched")).alias("method"),
         F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"),
     )
-    if fuzzy_names is None:
+    if not fuzzy_tiers:
         return found
-    ids = fuzzy_names.groupBy(candidate).agg(F.min(id_).alias("_id"))
-    left = found.where("method = 'unmatched'").select(name)
-    near = (score or fuzzy)(left, name, ids.select(candidate), candidate, least).join(ids, candidate)
-    near = near.select(F.col(name).alias("_name"), "_id", F.col("score").cast("double").alias("_score"))
+    left, near = found.where("method = 'unmatched'").select(name), None
+    for k, (method, names) in enumerate(fuzzy_tiers):
+        ids = names.groupBy(candidate).agg(F.min(id_).alias("_id"))
+        rows = (score or fuzzy_ratio)(left, name, ids.select(candidate), candidate, least).join(ids, candidate)
+        rows = rows.select(F.col(name).alias("_name"), F.lit(k).alias("_k"), F.lit(method).alias("_method"), "_id", F.col("score").cast("double").alias("_score"))
+        near = rows if near is None else near.unionByName(rows)
+    near = near.groupBy("_name").agg(F.min(F.struct("_k", "_method", "_id", "_score")).alias("_best"))
     both = found.join(near, F.col(name) == F.col("_name"), "left")
     hit = F.col("_name").isNotNull()
     return both.select(
-        name, F.when(hit, F.col("_id")).otherwise(F.col(id_)).alias(id_), F.when(hit, "fuzzy").otherwise(F.col("method")).alias("method"),
-        F.when(hit, F.col("_score")).otherwise(F.col("confidence")).alias("confidence"),
+        name, F.when(hit, F.col("_best._id")).otherwise(F.col(id_)).alias(id_), F.when(hit, F.col("_best._method")).otherwise(F.col("method")).alias("method"),
+        F.when(hit, F.col("_best._score")).otherwise(F.col("confidence")).alias("confidence"),
     )
 
 
-def _by_length(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least: float) -> DataFrame:
-    """Pairs whose lengths allow the score: names meet by length, an equality join."""
-    spread = F.sequence(F.ceil(F.length(name) * least).cast("int"), F.floor(F.length(name) / least).cast("int"))
-    a = wanted.where(F.length(name) > 0).withColumn("_n", F.explode(spread))
-    return a.join(names.withColumn("_n", F.length(candidate)), "_n").drop("_n")
+def _segment(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Where part *i* of a text cut evenly into *parts* begins (from 0), and its length; the longer ones come last."""
+    size, short = F.floor(length / parts).cast("int"), parts - length % parts
+    return i * size + F.greatest(i - short, F.lit(0)), size + F.when(i >= short, 1).otherwise(0)
+
+
+def candidates(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least: float, errors) -> DataFrame:
+    """Pairs of a wanted name and another that may be as near as ``errors(a, b)`` edits, for lengths a and b of at least *least* of each other.
+
+    A name cut into one part more than the edits allowed has a part that none of them touches, and that stands in the other name, moved
+    by no more than the edits before and after it allow.  So names meet by part and lengths, equality joins, and no pair is missed.
+    """
+    lengths = lambda c: F.sequence(F.ceil(F.length(c) * least - 1e-9).cast("int"), F.floor(F.length(c) / least + 1e-9).cast("int"))
+    own = names.select(candidate).where(F.length(candidate) > 0).distinct().withColumn("_b", F.length(candidate))
+    own = own.select("*", F.explode(lengths(candidate)).alias("_a")).where("_a > 0").withColumn("_t", errors(F.col("_a"), F.col("_b")))
+    # Names with no more letters than edits meet all of their lengths.
+    parts = F.when(F.col("_b") > F.col("_t"), F.sequence(F.lit(0), F.col("_t"))).otherwise(F.array(F.lit(-1)))
+    own = own.select("*", F.explode(parts).alias("_i"))
+    at, size = _segment(F.col("_b"), F.col("_t") + 1, F.col("_i"))
+    own = own.select(candidate, "_a", "_b", "_i", F.when(F.col("_i") >= 0, F.substring(candidate, at + 1, size)).otherwise("").alias("_part"))
+
+    other = wanted.select(name).where(F.length(name) > 0).distinct().withColumn("_a", F.length(name))
+    other = other.select("*", F.explode(lengths(name)).alias("_b")).where("_b > 0").withColumn("_t", errors(F.col("_a"), F.col("_b")))
+    other = other.select("*", F.explode(F.when(F.col("_b") > F.col("_t"), F.sequence(F.lit(0), F.col("_t"))).otherwise(F.array(F.lit(-1)))).alias("_i"))
+    at, size = _segment(F.col("_b"), F.col("_t") + 1, F.col("_i"))
+    more, left = F.col("_a") - F.col("_b"), F.col("_t") - F.col("_i")
+    lowest = F.greatest(at - F.col("_i"), at + more - left, F.lit(0))
+    highest = F.least(at + F.col("_i"), at + more + left, F.col("_a") - size)
+    places = F.when(F.col("_i") < 0, F.array(F.lit(0))).when(lowest <= highest, F.sequence(lowest, highest))
+    other = other.select("*", size.alias("_size"), F.explode(places).alias("_at"))
+    part = F.when(F.col("_i") >= 0, F.substring(name, F.col("_at") + 1, F.col("_size"))).otherwise("")
+    keys = other.select(name, "_a", "_b", "_i", part.alias("_part")).distinct()
+    return keys.join(own, ["_a", "_b", "_i", "_part"]).select(name, candidate).distinct()
+
+
+def _edits(least: float):
+    """So many edits leave a score of *least* by the longer length; the room is for rounding."""
+    return lambda a, b: F.floor((1 - least) * F.greatest(a, b) + 1e-9).cast("int")
 
 
 def fuzzy(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least: float) -> DataFrame:
     """The best candidate of each name by 1 - edit distance / longer length, if it scores *least*; ties by name."""
     longer = F.greatest(F.length(name), F.length(candidate))
-    pairs = _by_length(wanted, name, names, candidate, least)
+    pairs = candidates(wanted, name, names, candidate, least, _edits(least))
     scored = pairs.withColumn("score", 1 - F.levenshtein(name, candidate) / longer).where(F.col("score") >= least)
     return top_per_group(scored, [name], [F.desc("score"), F.asc(candidate)])
 
@@ -66,7 +103,7 @@ def fuzzy(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least:
 def fuzzy_ratio(wanted: DataFrame, name: str, names: DataFrame, candidate: str, least: float = 0.85) -> DataFrame:
     """As :func:`fuzzy`, by the ratio of matching blocks (2 m / total length).
 
-    2 min / (a + b) bounds the ratio, so lengths must be within least / (2 - least) of each other.
+    What matches is a common subsequence, so what does not is inserted or deleted: at most 1 - *least* of the total length.
     """
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +113,8 @@ def fuzzy_ratio(wanted: DataFrame, name: str, names: DataFrame, candidate: str,
             ]
             yield frame
 
-    pairs = _by_length(wanted, name, names, candidate, least / (2 - least)).select(name, candidate)
+    edits = lambda a, b: F.floor((1 - least) * (a + b) + 1e-9).cast("int")
+    pairs = candidates(wanted, name, names, candidate, least / (2 - least), edits)
     scored = pairs.mapInPandas(ratio, f"{name} string, {candidate} string, score double").where(F.col("score") >= least)
     return top_per_group(scored, [name], [F.desc("score"), F.asc(candidate)])
 

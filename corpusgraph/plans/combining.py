@@ -193,7 +193,7 @@ def j16(spark, d):
 
 _NAMES = """names AS (SELECT p_partkey AS id, lower(string_split(p_name, ' ')[1]) AS name, lower(p_type) AS alias FROM part),
     wanted AS (SELECT DISTINCT name AS w FROM names UNION SELECT name || 's' FROM names UNION SELECT alias FROM names UNION SELECT 'the ' || name FROM names
-      UNION SELECT lower(c_mktsegment) FROM customer),
+      UNION SELECT lower(c_mktsegment) FROM customer UNION SELECT lower(c_mktsegment) || 's' FROM customer),
     p AS (SELECT w, name, 1 - levenshtein(w, name) / greatest(length(w), length(name))::DOUBLE AS score FROM wanted, (SELECT DISTINCT name FROM names))"""
 
 
@@ -201,14 +201,16 @@ def _names(spark, d):
     first = F.lower(F.get(F.split("p_name", " "), F.lit(0)))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), first.alias("name"), F.lower("p_type").alias("alias"))
     forms = F.explode(F.array("name", F.concat("name", F.lit("s")), F.concat(F.lit("the "), "name"), "alias"))
-    return names, names.select(forms.alias("w")).union(table(spark, d, "customer").select(F.lower("c_mktsegment"))).distinct()
+    return names, names.select(forms.alias("w")).union(table(spark, d, "customer").select(F.explode(F.array(F.lower("c_mktsegment"), F.concat(F.lower("c_mktsegment"), F.lit("s")))))).distinct()
 
 
 @query(
     "j17_resolution_cascade",
     f"""WITH {_NAMES}, t AS (SELECT name AS w, 1 AS k, 'exact' AS method, 1.0::DOUBLE AS confidence, id FROM names UNION ALL SELECT alias, 2, 'alias', 0.95, id FROM names
       UNION ALL SELECT lower(c_mktsegment), 3, 'person', 0.9, c_custkey FROM customer
-      UNION ALL SELECT w, 4, 'fuzzy', round(score, 6), id FROM (SELECT * FROM p WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1) JOIN names USING (name)),
+      UNION ALL SELECT w, 4, 'fuzzy', round(score, 6), id FROM (SELECT * FROM p WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1) JOIN names USING (name)
+      UNION ALL SELECT w, 5, 'fuzzy_person', round(score, 6), id FROM (SELECT w, name, 1 - levenshtein(w, name) / greatest(length(w), length(name))::DOUBLE AS score FROM wanted, (SELECT DISTINCT lower(c_mktsegment) AS name FROM customer)
+        WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, name) = 1) JOIN (SELECT lower(c_mktsegment) AS name, c_custkey AS id FROM customer) USING (name)),
     b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY w ORDER BY k, id) = 1)
     SELECT w, coalesce(id, 0) AS id, coalesce(method, 'unmatched') AS method, coalesce(confidence, 0.0::DOUBLE) AS confidence FROM wanted LEFT JOIN b USING (w)""",
 )
@@ -219,7 +221,7 @@ def j17(spark, d):
         ("exact", 1.0, names.select(F.col("name").alias("w"), "id")), ("alias", 0.95, names.select(F.col("alias").alias("w"), "id")),
         ("person", 0.9, people),
     ]
-    out = resolution.cascade(wanted, "w", tiers, "id", fuzzy_names=names.select("name", "id"), candidate="name", least=0.7)
+    out = resolution.cascade(wanted, "w", tiers, "id", [("fuzzy", names.select("name", "id")), ("fuzzy_person", people.select(F.col("w").alias("name"), "id"))], "name", 0.7, resolution.fuzzy)
     return out.select("w", F.coalesce("id", F.lit(0).cast("long")).alias("id"), "method", F.round("confidence", 6).alias("confidence"))
 
 

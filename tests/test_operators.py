@@ -2,10 +2,10 @@ import difflib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import analytics, etl, ordering, relational, resolution, retrieval
-import pytest
 
 
 def test_mmr_against_a_plain_loop(spark):
@@ -180,7 +180,7 @@ def test_cascade_with_fuzzy_ratio(spark):
     names = spark.createDataFrame([("moses", 1), ("abraham", 2), ("abraham", 3)], "name string, id long")
     wanted = spark.createDataFrame([("moses",), ("abrahem",), ("lawgiver",), ("zzz",)], "w string")
     tiers = [("exact", 1.0, names.withColumnRenamed("name", "w")), ("alias", 0.95, spark.createDataFrame([("lawgiver", 1)], "w string, id long"))]
-    found = {r.w: (r.id, r.method, round(r.confidence, 3)) for r in cascade(wanted, "w", tiers, "id", names, "name", 0.85, fuzzy_ratio).collect()}
+    found = {r.w: (r.id, r.method, round(r.confidence, 3)) for r in cascade(wanted, "w", tiers, "id", [("fuzzy", names)], "name", 0.85, fuzzy_ratio).collect()}
     assert found == {"moses": (1, "exact", 1.0), "abrahem": (2, "fuzzy", 0.857), "lawgiver": (1, "alias", 0.95), "zzz": (None, "unmatched", 0.0)}
 
 
@@ -275,3 +275,64 @@ def test_only_the_hits_vectors_are_scored(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     cosine, inner = plan.index("AS near"), plan.index("Join Inner")
     assert cosine < inner and "rightHint=(strategy=broadcast)" in plan[inner : inner + 80]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def name_tables(spark, n, seed):
+    """Random names, and others made of some of them by edits."""
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 22))) for _ in range(n)]
+    wanted = []
+    for name in names[: n // 2]:
+        letters = list(name)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "ab"])
+        wanted.append("".join(letters))
+    wanted += ["", "a", "zzzz"]
+    return names, wanted, spark.createDataFrame([(x,) for x in [*wanted, None]], "w string"), spark.createDataFrame([(x,) for x in [*names, "", None]], "name string")
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.85])
+def test_fuzzy_names_against_all_pairs(spark, least):
+    names, wanted, a, b = name_tables(spark, 160, 3)
+    for operator, score in (
+        (resolution.fuzzy, lambda w, n: 1 - edit_distance(w, n) / max(len(w), len(n))), (resolution.fuzzy_ratio, lambda w, n: difflib.SequenceMatcher(None, w, n).ratio()),
+    ):
+        found = {r.w: (r.name, pytest.approx(r.score)) for r in operator(a, "w", b, "name", least).collect()}
+        plain = {}
+        for w in filter(None, wanted):
+            best = min((-score(w, n), n) for n in names)
+            if -best[0] >= least:
+                plain[w] = (best[1], -best[0])
+        assert plain == found and len(plain) > 30
+
+
+def test_candidates_of_names_grow_with_the_names(spark):
+    rng = random.Random(1)
+    made = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(10, 18))) for _ in range(4000)]
+    sizes = []
+    for n in (400, 4000):
+        frame = spark.createDataFrame([(x,) for x in made[:n]], "name string")
+        wanted = spark.createDataFrame([(x[:4] + "z" + x[5:],) for x in made[:n]], "w string")
+        sizes.append(resolution.candidates(wanted, "w", frame, "name", 0.85, resolution._edits(0.85)).count())
+    assert 400 <= sizes[0] < 4 * 400 and sizes[1] < 20 * sizes[0]
+
+
+def test_cascade_of_fuzzy_tiers(spark):
+    entities = spark.createDataFrame([("abraham", 2), ("moses", 1)], "name string, id long")
+    people = spark.createDataFrame([("abrahan", 9), ("jerome", 7), ("jerome", 8)], "name string, id long")
+    wanted = spark.createDataFrame([("abrahem",), ("jeromme",), ("moses",), ("xx",)], "w string")
+    tiers = [("exact", 1.0, entities.withColumnRenamed("name", "w"))]
+    out = resolution.cascade(wanted, "w", tiers, "id", [("fuzzy", entities), ("fuzzy_person", people)])
+    assert {r.w: (r.id, r.method, round(r.confidence, 3)) for r in out.collect()} == {
+        "abrahem": (2, "fuzzy", 0.857), "jeromme": (7, "fuzzy_person", 0.923), "moses": (1, "exact", 1.0), "xx": (None, "unmatched", 0.0),
+    }
