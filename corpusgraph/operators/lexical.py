@@ -56,7 +56,7 @@ class LexicalIndex:
 
 def _gatherer(index: LexicalIndex):
     """Turns rows of key, range and tokens, in the order of range and key, into the blocks of each range."""
-    k1, b, mean, most = index.k1, index.b, index.mean, 200_000
+    k1, b, mean, most = index.k1, index.b, index.mean, 100_000
     names = ["term", "range", "top", "n", "postings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,8 @@ def _gatherer(index: LexicalIndex):
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, place, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                key, place, tokens = (batch.column(j)[i].as_py() for j in range(3))
                 if place != now:
                     close()
                     now = place
