@@ -220,11 +220,11 @@ def diversify(hits: DataFrame, book: str, order: list[Column], k: int) -> DataFr
     return taken.orderBy(F.desc("taken"), "place").limit(k)
 
 
-def mmr(pools: DataFrame, query_key: str, key: str, vector: str, score: str, k: int, weight: float = 0.7) -> DataFrame:
+def mmr(pools: DataFrame, query_key: str, key: str, vector: str, score: str, k: int, weight: float | str = 0.7) -> DataFrame:
     """Maximal marginal relevance over each query's pool (a few hundred rows, which is the contract).
 
     The first is the top hit; each next one maximises weight * score - (1 - weight) * its greatest
-    similarity to what is chosen; of equal ones the earliest wins.  ``place`` counts from 1.
+    similarity to what is chosen; of equal ones the earliest wins.  ``place`` counts from 1.  *weight* may be a column, one number a query.
     """
     kinds = dict(pools.dtypes)
 
@@ -234,8 +234,9 @@ def mmr(pools: DataFrame, query_key: str, key: str, vector: str, score: str, k:
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         relevance, near = frame[score].to_numpy(float), np.full(len(frame), -np.inf)
         chosen: list[int] = []
+        share = float(frame[weight].iloc[0]) if isinstance(weight, str) else weight
         while len(chosen) < min(k, len(frame)):
-            gain = weight * relevance - (1 - weight) * near if chosen else relevance.copy()
+            gain = share * relevance - (1 - share) * near if chosen else relevance.copy()
             gain[chosen] = -np.inf
             chosen.append(int(gain.argmax()))
             near = np.maximum(near, x @ x[chosen[-1]])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import stems
 from corpusgraph.functions import text as t
-from corpusgraph.operators import lexical, matching, nearest, scanner
+from corpusgraph.operators import evaluation, experiments, expansion, lexical, matching, nearest, scanner
+from corpusgraph.functions import vectors as v
 from corpusgraph.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
@@ -174,3 +175,75 @@ def v29_scan(spark, d):
     names = runs.groupBy("key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2")
     names = names.select("key", F.concat(F.lit("B"), F.length("key")).alias("book"))
     return scanner.scan(pages, "page_id", "html", names, 2)
+
+
+#: Twelve ways to answer a query: lexical share, expanded, ranked anew, vectors searched, weight of relevance against variety.
+CONFIGURATIONS = [
+    ("balanced", 0.5, False, False, "whole", None), ("lexical", 1.0, False, False, "whole", None), ("semantic", 0.0, False, False, "whole", None),
+    ("expanded", 0.5, True, False, "whole", None), ("reranked", 0.5, False, True, "whole", None), ("relevant", 0.5, False, False, "whole", 0.8),
+    ("even", 0.5, False, False, "whole", 0.5), ("varied", 0.5, False, False, "whole", 0.2), ("short", 0.5, False, False, "half", None),
+    ("all", 0.5, True, True, "whole", 0.5), ("expanded_reranked", 0.5, True, True, "whole", None), ("short_reranked", 0.5, False, True, "half", None),
+]
+
+
+def _questions(spark, d):
+    """Four words of each benchmark text that has a vector, two more to expand it, and that vector."""
+    ts = t.tokens("text")
+    words = table(spark, d, "benchmark").where(F.size(ts) >= 6).select(
+        F.col("item_id").alias("q"), F.array_join(F.slice(ts, 1, 4), " ").alias("text"), F.array_join(F.slice(ts, 5, 2), " ").alias("more")
+    )
+    return words.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), "embedding", "label"), "q")
+
+
+def _experiments(spark, d, configurations):
+    """Precision, recall and nDCG of the first ten by configuration and query; relevant is what has the query's label."""
+    schema = "config string, alpha double, expand boolean, rerank boolean, source string, mmr double"
+    questions, e = _questions(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    wishes = experiments.grid(spark.createDataFrame(configurations, schema), questions, "q")
+    texts = experiments.lexical_lists(_index(spark, d), wishes, questions, "q", "text", "more", 50)
+    half = lambda rows: rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    sources = {"whole": (nearest.build(e, "doc_id", "embedding"), questions), "half": (nearest.build(half(e), "doc_id", "embedding"), half(questions))}
+    near = experiments.vector_lists(sources, "q", "embedding", 50)
+    found = experiments.answers(wishes, "q", "doc_id", texts, near, e, "embedding", questions, 10)
+    labels = e.select("doc_id", F.col("label").alias("_label"))
+    judged = found.join(wishes.select("wish", "config", "q"), "wish").join(questions.select("q", "label"), "q").join(labels, "doc_id", "left")
+    judged = judged.select("wish", "config", "q", "place", F.coalesce((F.col("label") == F.col("_label")).cast("int"), F.lit(0)).alias("gain"))
+    sizes = questions.join(e.groupBy("label").agg(F.count("*").alias("relevant")), "label").select("q", "relevant")
+    relevant = wishes.select("wish", "q").join(sizes, "q").select("wish", "relevant")
+    metrics = evaluation.ir_metrics(judged, "wish", "place", "gain", relevant, 10)
+    return metrics.join(wishes.select("wish", "config", "q"), "wish").select("config", "q", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")])
+
+
+@query("v24_experiments")
+def v24_experiments(spark, d):
+    """Twelve configurations over all questions."""
+    return _experiments(spark, d, CONFIGURATIONS)
+
+
+_COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(
+    "v24_experiments_fused",
+    f"""WITH q AS (SELECT item_id AS q, ts, embedding, label FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark) JOIN embeddings ON vec_id = item_id WHERE len(ts) >= 6),
+    asked AS (SELECT 2 * q AS item_id, array_to_string(ts[1:4], ' ') AS text FROM q UNION ALL SELECT 2 * q + 1, array_to_string(ts[1:6], ' ') FROM q),
+    {_LEXICAL.replace("FROM benchmark)", "FROM asked)")},
+    tl AS (SELECT item_id // 2 AS q, item_id % 2 = 1 AS expand, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) AS rb FROM lex QUALIFY rb <= 50),
+    vl AS (SELECT 'whole' AS source, a.q, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.q ORDER BY round({_COSINE}, 12) DESC, b.vec_id) AS rv FROM q a, embeddings b QUALIFY rv <= 50
+      UNION ALL SELECT 'half', a.q, b.vec_id, row_number() OVER (PARTITION BY a.q ORDER BY round({_COSINE.replace("::DOUBLE[]", "[1:32]::DOUBLE[]")}, 12) DESC, b.vec_id) AS rv FROM q a, embeddings b QUALIFY rv <= 50),
+    cf(config, alpha, expand, rerank, source) AS (VALUES {", ".join(f"('{c}', {a}::DOUBLE, {x}, {r}, '{s}')" for c, a, x, r, s, m in CONFIGURATIONS if m is None)}),
+    f AS (SELECT coalesce(l.config, w.config) AS config, coalesce(l.q, w.q) AS q, coalesce(l.doc_id, w.doc_id) AS doc_id, rb, rv, coalesce(l.rerank, w.rerank) AS rerank,
+      coalesce(l.alpha / (60 + rb), 0) + coalesce((1 - w.alpha) / (60 + rv), 0) AS rrf FROM (SELECT * FROM cf JOIN tl USING (expand)) l
+      FULL JOIN (SELECT * FROM cf JOIN vl USING (source)) w ON l.config = w.config AND l.q = w.q AND l.doc_id = w.doc_id),
+    h AS (SELECT *, row_number() OVER (PARTITION BY config, q ORDER BY round(rrf, 12) DESC, rb NULLS LAST, rv NULLS LAST, doc_id) AS p FROM f QUALIFY p <= 30),
+    s AS (SELECT h.config, h.q, h.doc_id, p, CASE WHEN rerank AND b.embedding IS NOT NULL THEN {_COSINE} ELSE rrf * 61 END AS score, coalesce(a.label = b.label, false)::INT AS gain, a.label
+      FROM h JOIN q a ON a.q = h.q LEFT JOIN embeddings b ON b.vec_id = h.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY config, q ORDER BY round(score, 12) DESC, p) AS place FROM s QUALIFY place <= 10),
+    i AS (SELECT *, row_number() OVER (PARTITION BY config, q ORDER BY gain DESC, place) AS ideal FROM r),
+    m AS (SELECT config, q, label, sum(gain) AS hits, sum(gain / log2(place + 1)) AS dcg, sum(gain / log2(ideal + 1)) AS best FROM i GROUP BY 1, 2, 3)
+    SELECT config, q, round(hits / 10, 6) AS precision, round(hits / n, 6) AS recall, round(CASE WHEN best = 0 THEN 0 ELSE dcg / best END, 6) AS ndcg
+    FROM m JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label)""",
+)
+def v24_experiments_fused(spark, d):
+    """Those of the configurations that do not choose for variety."""
+    return _experiments(spark, d, [c for c in CONFIGURATIONS if c[-1] is None])
