@@ -24,13 +24,26 @@ def grid(configurations: DataFrame, queries: DataFrame, query_key: str) -> DataF
 def lexical_lists(index: lexical.LexicalIndex, wishes: DataFrame, queries: DataFrame, query_key: str, text: str, more: str, pool: int) -> DataFrame:
     """The best *pool* texts of every query as it is (*text*) and expanded (with *more* after it), as far as wishes ask for it, in one search.
 
-    ``expand``, *query_key*, the index's key and ``bm25_rank``; a written table.
+    ``expand``, *query_key*, the index's key, ``bm25`` and ``bm25_rank``; a written table.
     """
     words = F.when(F.col("expand"), F.concat_ws(" ", text, more)).otherwise(F.col(text))
-    forms = wishes.select(query_key, "expand").distinct().join(queries, query_key)
+    forms = wishes.select(query_key, "expand").distinct().join(queries.select(query_key, text, more), query_key)
     asked = stored(forms.select(query_key, "expand", F.concat_ws("/", query_key, "expand").alias("_form"), words.alias("_words")))
     found = lexical.top_k(index, asked, "_form", "_words", pool)
-    return stored(found.join(asked.drop("_words"), "_form").select("expand", query_key, index.key, F.col("place").alias("bm25_rank")))
+    return stored(found.join(asked.drop("_words"), "_form").select("expand", query_key, index.key, "bm25", F.col("place").alias("bm25_rank")))
+
+
+def phrase_boosted(lists: DataFrame, query_key: str, docs: DataFrame, key: str, body: str, queries: DataFrame, text: str, boost: str) -> DataFrame:
+    """Lexical lists in which texts that have the query as it is, in any case, count *boost* times as much, placed anew; a written table.
+
+    Only the texts of the lists are looked at.
+    """
+    wanted = docs.join(lists.select(key).distinct(), key, "left_semi").select(key, F.lower(body).alias("_body"))
+    met = lists.join(wanted, key).join(queries.select(query_key, F.lower(text).alias("_phrase"), F.col(boost).alias("_boost")), query_key)
+    score = F.col("bm25") * F.when((F.col("_phrase") != "") & F.contains("_body", F.col("_phrase")), F.col("_boost")).otherwise(1.0)
+    order = Window.partitionBy(query_key, "expand").orderBy(F.desc(F.round("bm25", lexical.DIGITS)), key)
+    scored = met.select("expand", query_key, key, score.alias("bm25"))
+    return stored(scored.withColumn("bm25_rank", F.row_number().over(order)))
 
 
 def vector_lists(sources: dict[str, tuple[nearest.VectorIndex, DataFrame]], query_key: str, column: str, pool: int) -> DataFrame:

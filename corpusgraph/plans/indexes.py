@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import stems
 from corpusgraph.functions import text as t
 from corpusgraph.operators import evaluation, experiments, expansion, lexical, matching, nearest, scanner
-from corpusgraph.functions import vectors as v
 from corpusgraph.plans.registry import query, table
+from corpusgraph.plans.search import ANALYSED, STOP, gazetteer
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
 #: Exhaustive scores of all documents for all benchmark texts: ``lex`` with ``item_id``, ``doc_id``, ``bm25`` and the numbers of terms met and asked for.
@@ -247,3 +247,39 @@ _COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 def v24_experiments_fused(spark, d):
     """Those of the configurations that do not choose for variety."""
     return _experiments(spark, d, [c for c in CONFIGURATIONS if c[-1] is None])
+
+
+@query(
+    "v07_search_many",
+    f"""WITH qq AS (SELECT item_id AS q, ts, array_to_string(ts[1:4], ' ') AS text, embedding FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark) JOIN embeddings ON vec_id = item_id WHERE len(ts) >= 6),
+    {ANALYSED.removeprefix("WITH ").replace("FROM conversations WHERE text IS NOT NULL", "FROM qq")},
+    kq AS (SELECT qq.q, qq.text, ts, embedding, a.alpha, a.boost, a.expand FROM qq JOIN a ON a.id = md5(qq.text)),
+    asked AS (SELECT q AS item_id, array_to_string(ts[1:CASE WHEN expand THEN 6 ELSE 4 END], ' ') AS text FROM kq),
+    {_LEXICAL.replace("FROM benchmark)", "FROM asked)").replace("qt AS", "qt_ AS").replace("FROM qt", "FROM qt_")},
+    tp AS (SELECT item_id AS q, doc_id, bm25 FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) <= 100),
+    tb AS (SELECT kq.q, doc_id, tp.bm25 * CASE WHEN contains(lower(documents.text), kq.text) THEN boost ELSE 1 END AS bm25 FROM tp JOIN kq USING (q) JOIN documents USING (doc_id)),
+    tl AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, doc_id) AS rb FROM tb),
+    vl AS (SELECT a.q, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.q ORDER BY round({_COSINE}, 12) DESC, b.vec_id) AS rv FROM kq a, embeddings b QUALIFY rv <= 100),
+    f AS (SELECT coalesce(tl.q, vl.q) AS q, coalesce(tl.doc_id, vl.doc_id) AS doc_id, rb, rv FROM tl FULL JOIN vl ON tl.q = vl.q AND tl.doc_id = vl.doc_id),
+    g2 AS (SELECT f.*, kq.embedding AS own, coalesce(alpha / (60 + rb), 0) + coalesce((1 - alpha) / (60 + rv), 0) AS rrf FROM f JOIN kq USING (q)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 12) DESC, rb NULLS LAST, rv NULLS LAST, doc_id) AS p FROM g2 QUALIFY p <= 90),
+    s AS (SELECT q, h.doc_id, p, CASE WHEN embedding IS NOT NULL THEN list_cosine_similarity(own::DOUBLE[], embedding::DOUBLE[]) ELSE rrf * 61 END AS score FROM h LEFT JOIN embeddings ON vec_id = h.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, p) AS place FROM s QUALIFY place <= 30),
+    u AS (SELECT q, doc_id, score, place FROM r QUALIFY row_number() OVER (PARTITION BY q, doc_id % 12 ORDER BY place) = 1)
+    SELECT q, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY place) AS place FROM u QUALIFY row_number() OVER (PARTITION BY q ORDER BY place) <= 10""",
+)
+def v07_search_many(spark, d):
+    """The whole hybrid search for a table of questions: what each is sets its lexical share, boost and expansion."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    questions = _questions(spark, d).drop("label")
+    read = expansion.analysed(questions, "q", "text", gazetteer(spark, d), STOP, ("what", "who", "how"), ("thanks",))
+    questions = questions.join(read.select("q", "alpha", "boost", "expand"), "q")
+    rest = {"wish": F.col("q").cast("string"), "rerank": F.lit(True), "source": F.lit("all"), "mmr": F.lit(None).cast("double")}
+    wishes = questions.select("q", "alpha", "expand").withColumns(rest)
+    texts = experiments.lexical_lists(_index(spark, d), wishes, questions, "q", "text", "more", 100)
+    texts = experiments.phrase_boosted(texts, "q", docs, "doc_id", "text", questions, "text", "boost")
+    near = experiments.vector_lists({"all": (nearest.build(e, "doc_id", "embedding"), questions)}, "q", "embedding", 100)
+    hits = experiments.answers(wishes, "q", "doc_id", texts, near, e, "embedding", questions, 30)
+    units = hits.select("doc_id").distinct().withColumn("unit", F.col("doc_id") % 12)
+    best = experiments.best_of_units(hits, units, "doc_id", "unit", 10)
+    return best.select(F.col("wish").cast("long").alias("q"), "doc_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))

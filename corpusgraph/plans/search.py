@@ -234,7 +234,7 @@ def v13(spark, d):
     return named.select("doc_id", F.round("similarity", 4).alias("score"), F.coalesce("lang", F.lit("none")).alias("lang"))
 
 
-_STOP = ("the", "and", "of", "to", "in")
+STOP = ("the", "and", "of", "to", "in")
 
 
 @query(
@@ -243,7 +243,7 @@ _STOP = ("the", "and", "of", "to", "in")
     array_to_string(list_slice(list_filter({_TOKENS}, lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'of', 'to', 'in')), 1, 5), ' ') AS head FROM documents""",
 )
 def v14(spark, d):
-    toks = _docs(spark, d).select("doc_id", t.content_tokens("text", _STOP).alias("ts"))
+    toks = _docs(spark, d).select("doc_id", t.content_tokens("text", STOP).alias("ts"))
     return toks.select("doc_id", F.size("ts").cast("long").alias("n"), F.array_join(F.slice("ts", 1, 5), " ").alias("head"))
 
 
@@ -294,7 +294,7 @@ def v20(spark, d):
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-_ANALYSED = """WITH g AS (SELECT name, max(boost) AS boost FROM (SELECT CASE WHEN item_id % 2 = 0 THEN ts[1] ELSE ts[1] || '_' || ts[2] END AS name, CASE WHEN item_id % 3 = 0 THEN 3.0 ELSE 2.0 END AS boost
+ANALYSED = """WITH g AS (SELECT name, max(boost) AS boost FROM (SELECT CASE WHEN item_id % 2 = 0 THEN ts[1] ELSE ts[1] || '_' || ts[2] END AS name, CASE WHEN item_id % 3 = 0 THEN 3.0 ELSE 2.0 END AS boost
       FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS ts FROM benchmark)) WHERE name IS NOT NULL GROUP BY 1),
     q AS (SELECT text, md5(text) AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS every FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)),
     o AS (SELECT *, list_filter(every, lambda x: x NOT IN ('the', 'and', 'of', 'to', 'in')) AS ts FROM q),
@@ -307,22 +307,26 @@ _ANALYSED = """WITH g AS (SELECT name, max(boost) AS boost FROM (SELECT CASE WHE
       CASE WHEN kind IN ('reference', 'entity') THEN false WHEN kind = 'keyword' THEN len(ts) = 1 ELSE true END AS expand FROM k)"""
 
 
-def _analysed(spark, d):
-    ts = t.tokens("text")
-    words = table(spark, d, "benchmark").select("item_id", ts.alias("ts"))
+def gazetteer(spark, d):
+    """Names of one or two words, from benchmark texts, with boosts."""
+    words = table(spark, d, "benchmark").select("item_id", t.tokens("text").alias("ts"))
     two = F.concat(F.get("ts", F.lit(0)), F.lit("_"), F.get("ts", F.lit(1)))
     name = F.when(F.col("item_id") % 2 == 0, F.get("ts", F.lit(0))).otherwise(two)
-    names = words.select(name.alias("name"), F.when(F.col("item_id") % 3 == 0, 3.0).otherwise(2.0).alias("boost")).where("name IS NOT NULL")
+    return words.select(name.alias("name"), F.when(F.col("item_id") % 3 == 0, 3.0).otherwise(2.0).alias("boost")).where("name IS NOT NULL")
+
+
+def _analysed(spark, d):
+    names = gazetteer(spark, d)
     asked = table(spark, d, "conversations").select("text").where("text IS NOT NULL").distinct().select(F.md5("text").alias("id"), "text")
-    return expansion.analysed(asked, "id", "text", names, _STOP, ("what", "who", "how"), ("thanks",))
+    return expansion.analysed(asked, "id", "text", names, STOP, ("what", "who", "how"), ("thanks",))
 
 
-@query("v19_query_analysis", _ANALYSED + " SELECT id, kind, alpha, distance, boost, expand, entities FROM a")
+@query("v19_query_analysis", ANALYSED + " SELECT id, kind, alpha, distance, boost, expand, entities FROM a")
 def v19_analysis(spark, d):
     return _analysed(spark, d)
 
 
-@query("v21_alpha_by_type", _ANALYSED + " SELECT kind, alpha, count(*) AS n FROM a GROUP BY ALL")
+@query("v21_alpha_by_type", ANALYSED + " SELECT kind, alpha, count(*) AS n FROM a GROUP BY ALL")
 def v21(spark, d):
     return _analysed(spark, d).groupBy("kind", "alpha").agg(F.count("*").alias("n"))
 
