@@ -9,6 +9,9 @@ from corpusgraph.functions import stems
 from corpusgraph.functions import text as t
 from corpusgraph.sources.tables import stored
 
+#: Different distances that the chains of a table of queries may ask for.
+MOST_DISTANCES = 100
+
 
 def configuration(lang: Column | str) -> Column:
     """The stemmer of a language: Portuguese for Portuguese, English for all others."""
@@ -105,11 +108,25 @@ def chains(queries: DataFrame, query_key: str, text: str) -> DataFrame:
 def match_chains(docs: DataFrame, key: str, text: str, wanted: DataFrame, query_key: str) -> DataFrame:
     """The places at which parts of queries begin in documents: *query_key*, *key*, ``part`` and ``at`` (from 0).
 
-    *wanted* is what :func:`chains` gives.  Each place of a word says where a chain that holds it would begin; one begins
-    where all its words say so.
+    *wanted* is what :func:`chains` gives.  Two neighbours of a chain, with their distance, meet the pairs of words of a text that stand so
+    far apart; each says where the chain would begin, and one begins where all its pairs say so.  Frequent words alone thus make no rows
+    but for parts of one word.  The different distances are collected; there are MOST_DISTANCES at most.
     """
-    words = docs.select(key, F.posexplode(t.tokens(text)).alias("_at", "word"))
-    met = words.join(stored(wanted), "word").select(query_key, key, "part", "n", "i", (F.col("_at") - F.col("offset")).alias("at"))
-    single = met.where("n = 1")
-    many = met.where("n > 1").groupBy(query_key, key, "part", "at").agg(F.count("*").alias("_met"), F.first("n").alias("n")).where("_met = n")
-    return single.select(query_key, key, "part", "at").unionByName(many.select(query_key, key, "part", "at"))
+    wanted = stored(wanted)
+    following = wanted.select(query_key, "part", (F.col("i") - 1).alias("i"), F.col("word").alias("_next"), F.col("offset").alias("_then"))
+    pairs = stored(wanted.join(following, [query_key, "part", "i"]).select(query_key, "part", "n", "word", "_next", (F.col("_then") - F.col("offset")).alias("_gap"), "offset"))
+    gaps = [r[0] for r in pairs.select("_gap").distinct().limit(MOST_DISTANCES + 1).collect()]
+    if len(gaps) > MOST_DISTANCES:
+        raise ValueError(f"chains ask for more than {MOST_DISTANCES} different distances")
+    words = docs.select(key, t.tokens(text).alias("_ts"))
+    single = words.select(key, F.posexplode("_ts").alias("at", "word")).join(wanted.where("n = 1").select(query_key, "part", "word"), "word")
+    single = single.select(query_key, key, "part", "at")
+    if not gaps:
+        return single
+    # A pair of each distance at each place; only those whose words are some chain's come through the join.
+    shifted = F.array(*[F.struct(F.lit(g).alias("_gap"), F.slice("_ts", g + 1, F.size("_ts")).alias("_then")) for g in gaps])
+    apart = words.select(key, "_ts", F.inline(shifted)).select(key, "_gap", F.posexplode(F.arrays_zip(F.col("_ts").alias("word"), F.col("_then").alias("_next"))).alias("_at", "_p"))
+    two = apart.select(key, "_gap", "_at", F.col("_p.word").alias("word"), F.col("_p._next").alias("_next"))
+    met = two.join(pairs, ["word", "_next", "_gap"]).groupBy(query_key, key, "part", (F.col("_at") - F.col("offset")).alias("at"))
+    many = met.agg(F.count("*").alias("_met"), F.first("n").alias("n")).where("_met = n - 1")
+    return single.unionByName(many.select(query_key, key, "part", "at"))
