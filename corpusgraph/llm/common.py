@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Lets Spark drop the shuffle files of a statement when the statement ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPES: list[list[str]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,8 @@ def cut(df: DataFrame, discard: tuple[DataFrame, ...] = ()) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     for old in discard:
         remove(old)
+    for paths in _SCOPES:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -67,9 +72,26 @@ def remove(*tables: DataFrame) -> None:
     for table in tables:
         path = _PATHS.pop(table, None)
         if path is not None:
-            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut` writes within are deleted at the end; what is to stay must have been written elsewhere by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete(spark, path)
 
 
 def words(text: Column) -> Column:
