@@ -56,12 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the stages between are written to the folder for checkpoints."""
+    """The last stage's rows.
+
+    The stages between are written to the folder for checkpoints.  Each one's table is deleted when the next is written, and
+    so is what a stage has written for itself: what is left is the table that the result reads.
+    """
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = common.documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+    docs, before = common.documents(spark, sf_dir), None
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{i}-{name}"
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            common.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
