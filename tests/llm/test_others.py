@@ -441,3 +441,13 @@ def test_sha_of_streams_is_equal_for_equal_texts(spark):
     frame = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "doc_id long, text string")
     shas = {r.doc_id: hashlib.sha256(bytes(r.media)).hexdigest() for r in media.store_media(frame).collect()}
     assert shas[1] == shas[2] != shas[3]
+
+
+def test_pipeline_leaves_the_table_that_its_result_reads(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    (folder,) = tmp_path.iterdir()
+    assert [p.name for p in folder.iterdir()] == ["3-mix_sources"] and packed.count() > 0
+    assert [p.name for p in tmp_path.iterdir()] == [folder.name] and not common._SCOPES
