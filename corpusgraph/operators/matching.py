@@ -64,9 +64,10 @@ def cover_density(docs: DataFrame, key: str, text: str, wanted: DataFrame, query
 
     A cover is a stretch of a text that holds all lexemes and no shorter one that does; it adds *weight* over one more than the number of
     other words in it.  One sweep over the merged places of the lexemes finds them: a place ends a cover if the earliest of the
-    lexemes' last places has moved on since the place before.
+    lexemes' last places has moved on since the place before.  Texts are shuffled by *key* first, so that the many places of all queries
+    are not.
     """
-    words = docs.select(key, F.posexplode(t.tokens(text)).alias("at", "token"))
+    words = docs.select(key, text).repartition(key).select(key, F.posexplode(t.tokens(text)).alias("at", "token"))
     met = words.join(_asked(docs, text, wanted).select(query_key, "n", "i", "token"), "token")
     places = met.groupBy(query_key, key).agg(F.sort_array(F.collect_list(F.struct("at", "i"))).alias("p"), F.first("n").alias("n"), F.size(F.collect_set("i")).alias("_met"))
 

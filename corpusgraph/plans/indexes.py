@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import stems
 from corpusgraph.functions import text as t
-from corpusgraph.operators import evaluation, experiments, expansion, lexical, matching, nearest, scanner
+from corpusgraph.operators import evaluation, experiments, expansion, lexical, matching, morphology, nearest, scanner
 from corpusgraph.plans.registry import query, table
 from corpusgraph.plans.search import ANALYSED, STOP, gazetteer
 
@@ -283,3 +283,21 @@ def v07_search_many(spark, d):
     units = hits.select("doc_id").distinct().withColumn("unit", F.col("doc_id") % 12)
     best = experiments.best_of_units(hits, units, "doc_id", "unit", 10)
     return best.select(F.col("wish").cast("long").alias("q"), "doc_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "v15_morphology",
+    f"""WITH dt AS (SELECT CASE WHEN lower(lang) LIKE 'pt%' OR lang IN ('es') THEN 'pt' ELSE 'en' END AS config, {_TOKENS} AS ts FROM documents),
+    pairs AS (SELECT DISTINCT config, ts[i] AS a, ts[i + 1] AS b FROM (SELECT config, ts, unnest(range(1, len(ts))) AS i FROM dt)),
+    near AS (SELECT config, a AS token, 'after' AS side, b AS neighbour FROM pairs UNION ALL SELECT config, b, 'before', a FROM pairs),
+    vocabulary AS (SELECT DISTINCT config, token FROM near),
+    classed AS (SELECT config, token, stem FROM ({stems.stem_sql("(SELECT * FROM vocabulary WHERE config = 'en')", "token", "en")}) UNION ALL
+      SELECT config, token, stem FROM ({stems.stem_sql("(SELECT * FROM vocabulary WHERE config = 'pt')", "token", "pt")})),
+    rows_ AS (SELECT * FROM near JOIN classed USING (config, token)),
+    met AS (SELECT x.config, x.token, y.token AS variant, count(*) AS shared FROM rows_ x JOIN rows_ y ON x.config = y.config AND x.stem = y.stem AND x.side = y.side AND x.neighbour = y.neighbour AND x.token <> y.token GROUP BY 1, 2, 3)
+    SELECT config, token, variant, shared FROM met QUALIFY row_number() OVER (PARTITION BY config, token ORDER BY shared DESC, variant) <= 3""",
+)
+def v15_morphology(spark, d):
+    """Up to three forms of each word of the documents; Spanish is read by the Portuguese rules, its nearest."""
+    docs = table(spark, d, "documents").select("text", F.when(F.col("lang") == "es", "pt").otherwise(F.col("lang")).alias("lang"))
+    return morphology.variants(docs, "text", "lang")
