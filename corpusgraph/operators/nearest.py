@@ -83,7 +83,7 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
     There are as many lists as the root of the rows, at most MOST_LISTS.  Centroids are fitted on an even sample by a hash of the key,
     of at most SAMPLE_ROWS vectors a list and SAMPLE_NUMBERS numbers, on which the number of lists to probe for *recall* is
     measured too; every vector is put in the list of its nearest centroid.
-    Vectors are shuffled once, by list and a slice of it, so that a large list is spread.
+    Vectors are shuffled once, by list and a slice of it; the sample says how many slices a list needs, so that a large one is spread.
     """
     spark, n = vectors.sparkSession, vectors.count()
     dimensions = len((vectors.select(column).first() or [[0.0]])[0])
@@ -105,8 +105,9 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
 
     kinds = dict(vectors.dtypes)
     rows = vectors.select(key, F.col(column).cast("array<float>")).mapInPandas(placed, f"{key} {kinds[key]}, {column} array<float>, list int, angle double")
-    slices = max(1, n // len(centers) // (64 * BLOCK))
-    dealt = rows.repartition("list", F.pmod(F.xxhash64(key), F.lit(slices))).sortWithinPartitions("list", "angle", key)
+    shares = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x) if len(x) else np.zeros(1)
+    slices = F.lit([int(share * n) // (64 * BLOCK) + 1 for share in shares])
+    dealt = rows.repartition("list", F.pmod(F.xxhash64(key), F.get(slices, F.col("list")))).sortWithinPartitions("list", "angle", key)
 
     def blocked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
