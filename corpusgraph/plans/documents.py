@@ -307,3 +307,17 @@ def x07(spark, d):
 
     rows = table(spark, d, "events").select("event_id", "event_type", "ts")
     return numbered_in(rows, "event_type", [F.asc("ts"), F.asc("event_id")], "n").select("event_id", "n")
+
+
+@query(
+    "x08_lifetimes",
+    """WITH RECURSIVE m AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+      UNION ALL SELECT m.user_id, min(e.ts) FROM m JOIN events e ON e.user_id = m.user_id AND e.ts >= m.ts + INTERVAL 2 DAY GROUP BY m.user_id),
+    k AS (SELECT user_id, count(*) AS misses, count(*) FILTER (WHERE ts + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)) AS evictions FROM m GROUP BY 1)
+    SELECT user_id, count(*) - any_value(misses) AS hits, any_value(misses) AS misses, any_value(evictions) AS evictions FROM events JOIN k USING (user_id) GROUP BY 1""",
+)
+def x08(spark, d):
+    """What a cache by user that keeps entries for two days would have made of the events."""
+    from corpusgraph.streaming import lifetimes
+
+    return lifetimes.rates(lifetimes.of_table(table(spark, d, "events"), "user_id", 2 * 86400), "user_id")
