@@ -7,33 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import references as ref
 from corpusgraph.functions import text as t
-from corpusgraph.operators import blocks, resolution
+from corpusgraph.operators import blocks, resolution, studies
 from corpusgraph.plans.registry import query, table
 from corpusgraph.streaming import usage
 
-_TEXTS = ["John 3:16; 1 Cor 13", "Gen 1:1-2:3;Ps 23-25", "??;Mark 4:1 - 9", ";2 Kings 5:10-14; "]
-
-
-def _values(rows):
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
-
-
-@query(
-    "r01_ref_parse",
-    rf"""WITH v AS (SELECT * FROM (VALUES {_values(enumerate(_TEXTS))}) v(id, txt)), s AS (SELECT id, trim(unnest(string_split(txt, ';'))) AS s FROM v),
-    p AS (SELECT id, s, '^\s*((?:[1-3]\s*)?\p{{L}}[\p{{L}}. ]*?)\s*(\d+)(?::(\d+)(?:\s*-\s*(?:(\d+):)?(\d+))?|\s*-\s*(\d+))?\s*$' AS re FROM s WHERE s <> ''),
-    g AS (SELECT id, s, nullif(trim(regexp_extract(s, re, 1)), '') AS book, [nullif(regexp_extract(s, re, 2), ''), nullif(regexp_extract(s, re, 3), ''),
-      nullif(regexp_extract(s, re, 4), ''), nullif(regexp_extract(s, re, 5), ''), nullif(regexp_extract(s, re, 6), '')] AS n FROM p)
-    SELECT id, s AS segment, coalesce(book, '') AS book, coalesce(n[1]::INT, 0) AS chapter, coalesce(n[2]::INT, 0) AS verse,
-    coalesce(n[3]::INT, n[5]::INT, n[1]::INT, 0) AS end_chapter, coalesce(n[4]::INT, n[2]::INT, 0) AS end_verse, book IS NOT NULL AS ok FROM g""",
-)
-def r01(spark, d):
-    texts = spark.createDataFrame(list(enumerate(_TEXTS)), "id int, txt string")
-    parsed = texts.select("id", F.explode(ref.segments("txt")).alias("segment")).withColumn("p", ref.parse("segment"))
-    numbers = [F.coalesce(f"p.{c}", F.lit(0)).alias(c) for c in ("chapter", "verse", "end_chapter", "end_verse")]
-    return parsed.select("id", "segment", F.coalesce("p.book", F.lit("")).alias("book"), *numbers, "p.ok")
-
-
 _BOOKS = r"""names AS (SELECT lower(p_name) AS n, 'B' || min(p_partkey) AS book, min(p_size) + 20 AS chapters FROM part GROUP BY 1),
     al AS (SELECT regexp_replace(n, '[^a-z0-9]', '', 'g') AS key, 1 AS priority, book FROM names UNION ALL SELECT left(n, 1) || string_split(n, ' ')[2], 2, book FROM names),
     am AS (SELECT key, book FROM al QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, book) = 1),
@@ -48,7 +25,7 @@ _BOOKS = r"""names AS (SELECT lower(p_name) AS n, 'B' || min(p_partkey) AS book,
 
 
 def _references(spark, d):
-    """References written from the parts' names, some of them abbreviated, unknown or unreadable."""
+    """Texts of references written from the parts' names, some of them abbreviated, unknown or unreadable; aliases; books."""
     part = table(spark, d, "part")
     books = part.groupBy(F.lower("p_name").alias("n")).agg(F.concat(F.lit("B"), F.min("p_partkey")).alias("book"), (F.min("p_size") + 20).alias("chapters"))
     word = lambda name: F.get(F.split(name, " "), F.lit(1))
@@ -60,12 +37,29 @@ def _references(spark, d):
         F.upper("p_name"), F.lit(" "), "p_size", F.lit(":"), k % 30 + 1, F.when(k % 5 == 0, " - 40").otherwise(""), F.lit("; "),
         F.substring("p_name", 1, 1), F.lit(". "), word("p_name"), F.lit(" 3-5; "), odd,
     )
-    return resolution.resolve_references(part.select(k.alias("id"), written.alias("txt")), "id", "txt", books.select("book", forms), books)
+    return part.select(k.alias("id"), written.alias("txt")), books.select("book", forms), books
+
+
+def _resolved(spark, d):
+    texts, aliases, books = _references(spark, d)
+    return resolution.resolve_references(texts, "id", "txt", aliases, books)
+
+
+@query(
+    "r01_ref_parse",
+    f"""WITH {_BOOKS} SELECT g.id, g.place, s.s AS segment, coalesce(b, '') AS book, coalesce(chapter, 0) AS chapter, coalesce(verse, 0) AS verse, coalesce(to_chapter, chapter, 0) AS end_chapter,
+    coalesce(to_verse, verse, 0) AS end_verse, b IS NOT NULL AS ok FROM g JOIN s ON s.id = g.id AND s.place = g.place""",
+)
+def r01(spark, d):
+    texts, _, _ = _references(spark, d)
+    parsed = texts.select("id", F.posexplode(ref.segments("txt")).alias("place", "segment")).withColumn("p", ref.parse("segment"))
+    numbers = [F.coalesce(f"p.{c}", F.lit(0)).alias(c) for c in ("chapter", "verse", "end_chapter", "end_verse")]
+    return parsed.select("id", F.col("place").cast("long").alias("place"), "segment", F.coalesce("p.book", F.lit("")).alias("book"), *numbers, "p.ok")
 
 
 @query("r02_alias_reference", f"WITH {_BOOKS} SELECT id, place, coalesce(book, 'unknown') AS code FROM r WHERE b IS NOT NULL")
 def r02(spark, d):
-    found = _references(spark, d).where("status <> 'unparsed'")
+    found = _resolved(spark, d).where("status <> 'unparsed'")
     return found.select("id", F.col("place").cast("long").alias("place"), F.coalesce("book", F.lit("unknown")).alias("code"))
 
 
@@ -100,7 +94,7 @@ def r04(spark, d):
 )
 def r05(spark, d):
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chapter", "verse", "end_chapter", "end_verse")]
-    return _references(spark, d).select("id", F.col("place").cast("long").alias("place"), F.coalesce("book", F.lit("")).alias("book"), *numbers, "status")
+    return _resolved(spark, d).select("id", F.col("place").cast("long").alias("place"), F.coalesce("book", F.lit("")).alias("book"), *numbers, "status")
 
 
 @query(
@@ -124,17 +118,20 @@ def r06(spark, d):
     return top_per_group(found.withColumn("tier", tier), ["term"], [F.asc("tier"), F.asc("n_nationkey")]).select("term", "n_nationkey", "tier")
 
 
-_HEADERS = ["pt-BR,pt;q=0.9,en;q=0.8", "en", "es;q=0.5, de;q=0.7,fr"]
+#: A header of each document, from its language and id.
+_HEADER = "lang || ';q=0.' || (doc_id % 10) || ', pt-BR' || CASE doc_id % 3 WHEN 0 THEN ';q=0.5' WHEN 1 THEN ' ; q=x' ELSE '' END || ',, EN;q=0.' || (doc_id % 7)"
 
 
 @query(
     "r07_accept_language",
-    f"""WITH v AS (SELECT * FROM (VALUES {_values([(x,) for x in _HEADERS])}) v(header)), i AS (SELECT header, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT header, string_split(header, ',') AS p FROM v))
-    SELECT header, string_agg(lower(trim(string_split(x, ';')[1])), ',' ORDER BY -coalesce(try_cast(nullif(regexp_extract(x, 'q=([0-9.]+)', 1), '') AS DOUBLE), 1.0), i) AS codes FROM i GROUP BY header""",
+    f"""WITH v AS (SELECT doc_id, {_HEADER} AS header FROM documents), i AS (SELECT doc_id, generate_subscripts(p, 1) AS i, trim(unnest(p)) AS x FROM (SELECT doc_id, string_split(header, ',') AS p FROM v))
+    SELECT doc_id, string_agg(lower(trim(string_split(x, ';')[1])), ',' ORDER BY -coalesce(try_cast(nullif(regexp_extract(x, ';\\s*q=([0-9.]+)', 1), '') AS DOUBLE), 1.0), i) AS codes FROM i WHERE x <> '' GROUP BY doc_id""",
 )
 def r07(spark, d):
-    headers = spark.createDataFrame([(x,) for x in _HEADERS], "header string")
-    return headers.select("header", F.array_join(ref.accepted_languages("header"), ",").alias("codes"))
+    n = F.col("doc_id")
+    odd = F.when(n % 3 == 0, ";q=0.5").when(n % 3 == 1, " ; q=x").otherwise("")
+    header = F.concat("lang", F.lit(";q=0."), n % 10, F.lit(", pt-BR"), odd, F.lit(",, EN;q=0."), n % 7)
+    return table(spark, d, "documents").select("doc_id", F.array_join(ref.accepted_languages(header), ",").alias("codes"))
 
 
 @query(
@@ -206,31 +203,85 @@ def g01(spark, d):
     return found.groupBy("conv_id", "turn", "problem").agg(F.count("*").alias("n"))
 
 
-@query("g02_scaffold")
+@query(
+    "g02_scaffold",
+    """WITH b AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, text) AS place FROM conversations)
+    SELECT conv_id, 0 AS place, 'title' AS type, 'Study ' || conv_id AS data FROM (SELECT DISTINCT conv_id FROM b) UNION ALL SELECT conv_id, place, 'text', text FROM b""",
+)
 def g02(spark, d):
-    return blocks.scaffold(table(spark, d, "conversations"), "conv_id", "turn", "text", F.length("text"))
+    made = blocks.scaffold(table(spark, d, "conversations"), "conv_id", "turn", "text", F.length("text"))
+    return made.select("conv_id", F.posexplode("blocks").alias("place", "b")).select("conv_id", F.col("place").cast("long").alias("place"), "b.type", "b.data")
+
+
+_LINES = "l AS (SELECT p_type AS topic, lineitem.*, part.* FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_SECTIONS = {
+    "meta": (1, "SELECT topic, count(*) || ' lines, ' || count(DISTINCT p_brand) || ' brands' AS item, 0 AS weight, '' AS ord FROM l GROUP BY 1"),
+    "gold": (10, "SELECT topic, l_orderkey || '' AS item, max(l_extendedprice) AS weight, lpad(l_orderkey || '', 12, '0') AS ord FROM l GROUP BY 1, l_orderkey"),
+    "connections": (4, "SELECT topic, l_returnflag || l_linestatus || ':' || count(*) AS item, count(*) AS weight, l_returnflag || l_linestatus AS ord FROM l GROUP BY 1, l_returnflag, l_linestatus"),
+    "commentaries": (15, "SELECT topic, left(p_name, 6) || ' ' || l_orderkey AS item, -epoch(l_shipdate) AS weight, lpad(l_orderkey || '', 12, '0') || p_name AS ord FROM l"),
+    "aspects": (20, "SELECT topic, p_brand || ':' || count(*) AS item, 0 AS weight, p_brand AS ord FROM l GROUP BY 1, p_brand"),
+    "themes": (20, "SELECT topic, p_size || ':' || count(*) AS item, count(*) AS weight, lpad(p_size || '', 4, '0') AS ord FROM l GROUP BY 1, p_size"),
+    "entities": (30, "SELECT topic, 'S' || l_suppkey AS item, count(*) AS weight, lpad(l_suppkey || '', 12, '0') AS ord FROM l GROUP BY 1, l_suppkey"),
+    "symbols": (20, "SELECT topic, string_split(p_name, ' ')[1] AS item, count(*) AS weight, string_split(p_name, ' ')[1] AS ord FROM l GROUP BY 1, string_split(p_name, ' ')[1]"),
+    "related": (10, "SELECT a.topic, b.topic AS item, count(*) AS weight, b.topic AS ord FROM (SELECT DISTINCT topic, l_suppkey, l_shipdate::DATE AS d FROM l) a "
+      "JOIN (SELECT DISTINCT topic, l_suppkey, l_shipdate::DATE AS d FROM l) b ON a.l_suppkey = b.l_suppkey AND a.d = b.d AND a.topic <> b.topic GROUP BY 1, 2, b.topic"),
+}
 
 
 @query(
     "g03_study_sections",
-    """SELECT p_type AS topic, 'orders' AS section, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 UNION ALL
-    SELECT p_type, 'suppliers', count(DISTINCT l_suppkey) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 UNION ALL SELECT p_type, 'brands', count(DISTINCT p_brand) FROM part GROUP BY 1""",
+    f"""WITH {_LINES}, """ + ", ".join(f"s_{name} AS (SELECT topic, string_agg(item, ' | ' ORDER BY place) AS {name} FROM (SELECT topic, item, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, ord, item) AS place FROM ({sql}) QUALIFY place <= {most}) GROUP BY 1)" for name, (most, sql) in _SECTIONS.items())
+    + " SELECT topic, " + ", ".join(f"coalesce({name}, '') AS {name}" for name in _SECTIONS) + " FROM s_meta " + " ".join(f"LEFT JOIN s_{name} USING (topic)" for name in list(_SECTIONS)[1:]),
 )
 def g03(spark, d):
+    """Nine sections of every topic."""
     part = table(spark, d, "part")
-    joined = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("topic"))
-    counts = joined.agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"))
-    brands = part.groupBy(F.col("p_type").alias("topic")).agg(F.count_distinct("p_brand").alias("n")).select("topic", F.lit("brands").alias("section"), "n")
-    return counts.unpivot("topic", ["orders", "suppliers"], "section", "n").unionByName(brands)
+    lines = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("topic", F.col("p_type"))
+    padded = lambda c, n=12: F.lpad(F.col(c).cast("string"), n, "0")
+    count = F.count("*").alias("n")
+    counted = lambda *by: lines.groupBy("topic", *by).agg(count)
+    flow, word = F.concat("l_returnflag", "l_linestatus").alias("flow"), F.get(F.split("p_name", " "), F.lit(0)).alias("word")
+    n, colon = F.col("n"), F.lit(":")
+    met = lines.select("topic", "l_suppkey", F.to_date("l_shipdate").alias("day")).distinct()
+    others = met.select(F.col("topic").alias("other"), "l_suppkey", "day")
+    related = met.join(others, ["l_suppkey", "day"]).where("topic <> other").groupBy("topic", "other").agg(count)
+    totals = lines.groupBy("topic").agg(count, F.count_distinct("p_brand").alias("brands"))
+    most = {name: m for name, (m, _) in _SECTIONS.items()}
+    made = studies.compose([
+        studies.Section("meta", totals, F.concat("n", F.lit(" lines, "), "brands", F.lit(" brands")), F.lit(0), F.lit(""), most["meta"]),
+        studies.Section("gold", lines.groupBy("topic", "l_orderkey").agg(F.max("l_extendedprice").alias("top")), F.col("l_orderkey"), F.col("top"), padded("l_orderkey"), most["gold"]),
+        studies.Section("connections", counted(flow), F.concat("flow", colon, "n"), n, F.col("flow"), most["connections"]),
+        studies.Section("commentaries", lines, F.concat(F.substring("p_name", 1, 6), F.lit(" "), "l_orderkey"), -F.unix_timestamp("l_shipdate"), F.concat(padded("l_orderkey"), "p_name"), most["commentaries"]),
+        studies.Section("aspects", counted("p_brand"), F.concat("p_brand", colon, "n"), F.lit(0), F.col("p_brand"), most["aspects"]),
+        studies.Section("themes", counted("p_size"), F.concat("p_size", colon, "n"), n, padded("p_size", 4), most["themes"]),
+        studies.Section("entities", counted("l_suppkey"), F.concat(F.lit("S"), "l_suppkey"), n, padded("l_suppkey"), most["entities"]),
+        studies.Section("symbols", counted(word), F.col("word"), n, F.col("word"), most["symbols"]),
+        studies.Section("related", related, F.col("other"), n, F.col("other"), most["related"]),
+    ], "topic")
+    return made.select("topic", *[F.array_join(name, " | ").alias(name) for name in _SECTIONS])
 
 
 @query(
     "g04_featured_list",
-    "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1 HAVING count(*) >= 3 ORDER BY turns DESC, conv_id LIMIT 20",
+    """WITH s AS (SELECT conv_id, conv_id % 7 AS owner, CASE conv_id % 3 WHEN 0 THEN 'Public' WHEN 1 THEN 'private' ELSE 'community' END AS visibility,
+      CASE WHEN count(*) >= 3 THEN 'published' ELSE 'draft' END AS status, conv_id % 5 = 0 AS featured, first(role ORDER BY turn, role) AS kind, count(*) AS turns FROM conversations GROUP BY 1),
+    b AS (SELECT conv_id, count(DISTINCT length(text) % 9) AS bookmarks FROM conversations WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT conv_id // 4 AS conv_id, count(*) AS forks FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1)
+    SELECT kind, conv_id, featured, coalesce(bookmarks, 0) AS bookmarks, coalesce(forks, 0) AS forks FROM s LEFT JOIN b USING (conv_id) LEFT JOIN f USING (conv_id)
+    WHERE owner = 2 OR (lower(visibility) IN ('public', 'community') AND status = 'published')
+    QUALIFY row_number() OVER (PARTITION BY kind ORDER BY featured DESC, coalesce(bookmarks, 0) DESC, coalesce(forks, 0) DESC, conv_id) <= 20""",
 )
 def g04(spark, d):
-    counts = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).where("turns >= 3")
-    return counts.orderBy(F.desc("turns"), "conv_id").limit(20)
+    """What reader 2 sees first of conversations as studies: featured, bookmarked, forked."""
+    turns = table(spark, d, "conversations")
+    n = F.col("conv_id")
+    made = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min(F.struct("turn", "role"))["role"].alias("kind")).select(
+        "conv_id", "kind", (n % 7).alias("owner"), F.when(n % 3 == 0, "Public").when(n % 3 == 1, "private").otherwise("community").alias("visibility"),
+        F.when(F.col("turns") >= 3, "published").otherwise("draft").alias("status"), (n % 5 == 0).alias("featured"),
+    )
+    bookmarks = turns.where("text IS NOT NULL").select("conv_id", (F.length("text") % 9).alias("reader"))
+    forks = turns.select("conv_id").distinct().select(F.floor(n / 4).alias("parent"))
+    seen = studies.visible(made, F.lit(2))
+    return studies.listed(seen, bookmarks, forks, "conv_id", "kind", 20).select("kind", "conv_id", "featured", "bookmarks", "forks")
 
 
 @query(
