@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.operators.ordering import numbered
+from corpusgraph.sources.tables import stored
+
+#: Groups of so many values are looked at whole; in larger ones quantiles are first known to a part in so many.
+FEW = 10_000
 
 
 def histogram(df: DataFrame, label: Column, labels: list[str], column: str = "n") -> DataFrame:
@@ -69,27 +72,33 @@ def exclusive_percentile(sorted_values: Column, p: float) -> Column:
     return a + (b - a) * (place - low)
 
 
-def exclusive_percentiles(df: DataFrame, group: str, value: str, key: str, wanted: dict[str, float]) -> DataFrame:
+def exclusive_percentiles(df: DataFrame, group: str, value: str, wanted: dict[str, float]) -> DataFrame:
     """*group* and, by name, the quantiles of *value* as :func:`exclusive_percentile` has them, for groups of any size.
 
-    All values are numbered in the order of group, value and the unique *key*; two rows a quantile are read off.
+    Approximate quantiles bracket the exact ones in groups of more than FEW values.  Then one pass counts what lies between brackets and each
+    value within them (in small groups each value), and running counts of these few rows tell which values stand at the wanted places.
     """
     groups = df.select(group).distinct()
-    own = df.where(F.col(value).isNotNull()).select(group, value, key)
-    placed = numbered(own, [F.asc_nulls_first(group), F.asc(value), F.asc(key)], "_place")
-    firsts = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_place").alias("_first"), F.count("*").alias("_m"))
-    at, m = F.col("_place") - F.col("_first") + 1, F.col("_m")
+    own = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x"))
+    room = 10 / FEW
+    edges = [e for p in wanted.values() for e in (max(0.0, p - room), min(1.0, p + room))]
+    brackets = stored(own.groupBy("_g").agg(F.count("*").alias("_m"), F.percentile_approx("_x", edges, FEW).alias("_q")))
+    brackets = brackets.select(F.col("_g").alias("_own"), "_m", "_q")
+    low, high = lambda i: F.get("_q", F.lit(2 * i)), lambda i: F.get("_q", F.lit(2 * i + 1))
+    n = range(len(wanted))
+    inside = reduce(Column.__or__, [F.col("_x").between(low(i), high(i)) for i in n], F.col("_m") <= FEW)
+    zone = reduce(Column.__add__, [(F.col("_x") > high(i)).cast("int") for i in n])
+    rows = own.join(brackets, F.col("_g").eqNullSafe(F.col("_own"))).select("_g", "_m", "_x", zone.alias("_zone"), F.when(inside, F.col("_x")).alias("_cell"))
+    cells = rows.groupBy("_g", "_m", "_zone", "_cell").agg(F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_least", "_most").rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumn("_upto", upto)
+    m = F.col("_m")
     places = {x: F.least(F.greatest(p * (m + 1), F.lit(1.0)), m.cast("double")) for x, p in wanted.items()}
-    lows = {x: F.floor(place) for x, place in places.items()}
-    near = placed.join(firsts, F.col(group).eqNullSafe(F.col("_g"))).where(
-        reduce(Column.__or__, [(at == low) | (at == low + 1) for low in lows.values()])
-    )
-    ends = [
-        F.max(F.when(at == place, F.col(value))).alias(f"{x}_{end}")
-        for x, low in lows.items() for end, place in (("a", low), ("b", F.least(low + 1, m)))
-    ]
-    found = near.groupBy("_g", "_m").agg(*ends)
-    between = [(F.col(f"{x}_a") + (F.col(f"{x}_b") - F.col(f"{x}_a")) * (place - lows[x])).alias(x) for x, place in places.items()]
+    known = F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (place <= F.col("_upto")), known))
+    ends = [at(end).alias(f"{x}_{c}") for x, place in places.items() for c, end in (("a", F.floor(place)), ("b", F.least(F.floor(place) + 1, m)))]
+    found = placed.groupBy("_g", "_m").agg(*ends)
+    between = [(F.col(f"{x}_a") + (F.col(f"{x}_b") - F.col(f"{x}_a")) * (place - F.floor(place))).alias(x) for x, place in places.items()]
     return groups.join(found.select("_g", *between), F.col(group).eqNullSafe(F.col("_g")), "left").select(group, *wanted)
 
 

@@ -42,6 +42,24 @@ def inverse(synonyms: DataFrame) -> DataFrame:
     return synonyms.groupBy("synonym").agg(heads).withColumnRenamed("synonym", "term")
 
 
+def texts(queries: DataFrame, id_: str, text: str, synonyms: DataFrame, most: int) -> DataFrame:
+    """Three expanded texts of each query, to be embedded: ``concatenated`` (its terms' first *most* synonyms after it), ``replaced`` (each
+    term with its first synonym after it) and ``augmented`` (the first synonyms in brackets after it).
+
+    A term that comes again adds nothing twice, but where terms are replaced.  Terms meet *synonyms* by equality.
+    """
+    known = synonyms.where(F.col("priority") <= most).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("priority", "synonym"))).alias("s"))
+    words = queries.select(id_, text, F.posexplode_outer(tokens(text)).alias("i", "term")).join(known, "term", "left")
+    rows = words.groupBy(id_, text).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "term", F.col("s.synonym").alias("s"))))).alias("w"))
+    first = F.filter("w", lambda x: x["s"].isNotNull() & ~F.exists("w", lambda y: (y["term"] == x["term"]) & (y["i"] < x["i"])))
+    after = lambda joined, left, right: F.concat(F.col(text), F.when(F.size(first) > 0, F.concat(F.lit(left), joined, F.lit(right))).otherwise(""))
+    return rows.select(
+        id_, after(F.array_join(F.transform(first, lambda x: F.array_join(x["s"], " ")), " "), " ", "").alias("concatenated"),
+        F.array_join(F.transform("w", lambda x: F.concat_ws(" ", x["term"], F.get(x["s"], F.lit(0)))), " ").alias("replaced"),
+        after(F.array_join(F.transform(first, lambda x: F.get(x["s"], F.lit(0))), ", "), " (", ")").alias("augmented"),
+    )
+
+
 def query_type(text: Column, entities: Column | None = None) -> Column:
     """What a query is, by the first rule that fits: a reference, an entity's name, a question, one word, a phrase."""
     n = F.size(F.split(F.trim(text), " "))

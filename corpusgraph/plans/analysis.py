@@ -340,7 +340,7 @@ def a32(spark, d):
     round(xs[floor(pos)::INT] + (xs[least(floor(pos)::INT + 1, len(xs))] - xs[floor(pos)::INT]) * (pos - floor(pos)), 6) AS p95 FROM p""",
 )
 def a33(spark, d):
-    found = a.exclusive_percentiles(table(spark, d, "events"), "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95})
+    found = a.exclusive_percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
     return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 

@@ -259,19 +259,36 @@ def v15(spark, d):
     return expansion.expand(terms, "term", expansion.synonym_table(spark, {"click": ["tap", "press", "hit", "push"], "view": ["see", "watch"]}), 3)
 
 
-@query("v16_inverse_synonyms", f"SELECT synonym AS term, string_agg(term, ',' ORDER BY term) AS heads FROM {_PAIRS} GROUP BY 1")
+#: Synonyms by the first words of benchmark texts: the second and third word of a text, in this order, for its first.
+_SYNONYMS = f"""sy AS (SELECT term, synonym, row_number() OVER (PARTITION BY term ORDER BY best, synonym) AS priority FROM (SELECT ts[1] AS term, s.synonym, min(item_id * 2 + s.i) AS best
+      FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark), LATERAL (SELECT unnest(ts[2:3]) AS synonym, generate_subscripts(ts[2:3], 1) AS i) s WHERE len(ts) > 2 AND ts[1] <> s.synonym GROUP BY 1, 2))"""
+
+
+def _synonyms(spark, d):
+    ts = t.tokens("text")
+    rows = table(spark, d, "benchmark").where(F.size(ts) > 2).select("item_id", F.get(ts, F.lit(0)).alias("term"), F.posexplode(F.slice(ts, 2, 2)).alias("i", "synonym"))
+    best = rows.where("term <> synonym").groupBy("term", "synonym").agg(F.min(F.col("item_id") * 2 + F.col("i") + 1).alias("best"))
+    return best.select("term", "synonym", F.row_number().over(Window.partitionBy("term").orderBy("best", "synonym")).alias("priority"))
+
+
+@query("v16_inverse_synonyms", f"WITH {_SYNONYMS} SELECT synonym AS term, string_agg(DISTINCT term, ',' ORDER BY term) AS heads FROM sy GROUP BY 1")
 def v16(spark, d):
-    pairs = expansion.synonym_table(spark, {"click": ["tap", "press", "hit", "push"], "view": ["see", "watch"]})
-    return expansion.inverse(pairs)
+    return expansion.inverse(_synonyms(spark, d))
 
 
 @query(
     "v17_expansion_text",
-    "SELECT DISTINCT event_type || ' ' || CASE event_type WHEN 'click' THEN 'tap press' WHEN 'view' THEN 'see watch' ELSE '' END AS augmented FROM events",
+    f"""WITH {_SYNONYMS}, q AS (SELECT item_id, array_to_string(ts[1:4], ' ') AS text, ts[1:4] AS ts FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark)),
+    w AS (SELECT item_id, i, word, list(synonym ORDER BY priority) FILTER (WHERE priority <= 2) AS s FROM (SELECT item_id, unnest(ts) AS word, generate_subscripts(ts, 1) AS i FROM q) LEFT JOIN sy ON term = word GROUP BY 1, 2, 3),
+    u AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY i) = 1)
+    SELECT item_id, text || coalesce((SELECT ' ' || string_agg(array_to_string(s, ' '), ' ' ORDER BY i) FROM u WHERE u.item_id = q.item_id AND s IS NOT NULL), '') AS concatenated,
+    coalesce((SELECT string_agg(CASE WHEN s IS NULL THEN word ELSE word || ' ' || s[1] END, ' ' ORDER BY i) FROM w WHERE w.item_id = q.item_id), '') AS replaced,
+    text || coalesce((SELECT ' (' || string_agg(s[1], ', ' ORDER BY i) || ')' FROM u WHERE u.item_id = q.item_id AND s IS NOT NULL), '') AS augmented FROM q""",
 )
 def v17(spark, d):
-    more = t.lookup("event_type", {"click": "tap press", "view": "see watch"}, "")
-    return table(spark, d, "events").select(F.concat_ws(" ", "event_type", more).alias("augmented")).distinct()
+    """What the first words of benchmark texts become to be embedded, in three ways."""
+    words = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(t.tokens("text"), 1, 4), " ").alias("text"))
+    return expansion.texts(words, "item_id", "text", _synonyms(spark, d), 2).select("item_id", "concatenated", "replaced", "augmented")
 
 
 @query(
@@ -396,7 +413,7 @@ def v24(spark, d):
 def v25(spark, d):
     events = table(spark, d, "events")
     counts = events.groupBy("event_type").agg(F.count("*").alias("queries"), F.round(F.count_if(F.col("value") > 20) / F.count("*"), 6).alias("coverage"))
-    times = exclusive_percentiles(events, "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95})
+    times = exclusive_percentiles(events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
     return counts.join(times, "event_type").select("event_type", "queries", "coverage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 

@@ -147,7 +147,7 @@ def test_knn_join_of_more_queries_than_a_block(spark, monkeypatch):
     assert retrieval.knn_join(queries.limit(0), "q", frame, "id", "v", 6).count() == 0
 
 
-def test_numbered_and_percentiles_of_large_groups(spark):
+def test_numbered_and_percentiles_of_large_groups(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, rng.choice("aaaaaab"), rng.choice([1.0, 2.0, rng.random() * 9])) for i in range(3000)]
     rows += [(3000, "one", 4.0), (3001, None, 5.0), (3002, None, 7.0), (3003, "none", None), (3004, "a", None)]
@@ -155,17 +155,29 @@ def test_numbered_and_percentiles_of_large_groups(spark):
     places = {r.id: r.place for r in ordering.numbered(frame, [F.desc_nulls_last("x"), F.asc("id")], "place").collect()}
     wanted = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
     assert places == {r[0]: k + 1 for k, r in enumerate(wanted)}
-    found = {r.g: (r.p50, r.p95) for r in analytics.exclusive_percentiles(frame, "g", "x", "id", {"p50": 0.5, "p95": 0.95}).collect()}
 
     def quantile(xs, p):
         at = min(max(p * (len(xs) + 1), 1), len(xs))
         return xs[int(at) - 1] + (xs[min(int(at) + 1, len(xs)) - 1] - xs[int(at) - 1]) * (at - int(at))
 
     groups = {g: sorted(x for _, h, x in rows if h == g and x is not None) for g in {r[1] for r in rows}}
-    assert found == {g: tuple(pytest.approx(quantile(xs, p)) if xs else None for p in (0.5, 0.95)) for g, xs in groups.items()}
+    for few in (10_000, 1000):  # looked at whole, and by brackets
+        monkeypatch.setattr(analytics, "FEW", few)
+        found = {r.g: (r.low, r.p50, r.p95) for r in analytics.exclusive_percentiles(frame, "g", "x", {"low": 0.001, "p50": 0.5, "p95": 0.95}).collect()}
+        assert found == {g: tuple(pytest.approx(quantile(xs, p)) if xs else None for p in (0.001, 0.5, 0.95)) for g, xs in groups.items()}
 
 
-@pytest.mark.parametrize("name", ["a33_latency_quantiles", "w01_rank", "t01_multi_key_sort"])
+def test_quantiles_keep_few_rows_of_large_groups(spark):
+    frame = spark.range(200_000).select(F.lit("g").alias("g"), F.randn(3).alias("x"))
+    xs = sorted(r.x for r in frame.collect())
+    found = analytics.exclusive_percentiles(frame, "g", "x", {"p50": 0.5, "p95": 0.95})
+    row = found.first()
+    at = 0.95 * 200_001
+    assert row.p50 == pytest.approx((xs[99_999] + xs[100_000]) / 2, abs=1e-12)
+    assert row.p95 == pytest.approx(xs[int(at) - 1] + (xs[int(at)] - xs[int(at) - 1]) * (at - int(at)), abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["w01_rank", "t01_multi_key_sort"])
 def test_no_task_gathers_a_table(spark, name):
     from corpusgraph.plans import catalogue
     from tests.conftest import SMALL
