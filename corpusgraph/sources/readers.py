@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.references import chapter_and_verse
+from corpusgraph.functions.references import chapter_and_verse, parse_dotted
 
 VERSE = "book string, chapter int, verse int, text string"
 
@@ -119,3 +119,64 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: in
     """A database table in *parts* ranges of a numeric key, read side by side; the driver must be on the class path."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high)
     return reader.options(numPartitions=parts, **options).load()
+
+
+_ARTWORK = "key string, title string, artist string, artist_birth string, artist_death string, artist_nations array<string>, artist_movements array<string>, " \
+    "completion string, styles array<string>, genres array<string>, media array<string>, width int, height int, img_url string"
+_TAGS = "_meta struct<key: string, model: string>, characters array<struct<name: string, type: string>>, event string, tags array<string>, symbols array<string>, " \
+    "description string, theological_description string, scripture_refs array<struct<ref: string, relevance: string, reason: string>>, scene_type string, mood array<string>, period string"
+
+
+def artworks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Images of JSON files, one each, and their artists with their numbers of images (``image_count``).
+
+    Files without an artist or a key are left out; of one key the first file by name counts, of one artist the first facts by file.  A year is one
+    only if it is a whole number; titles are cut at 500 characters, and lists that are missing are empty.
+    """
+    rows = spark.read.schema(_ARTWORK).json(f"{folder}/*.json", multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    rows = rows.withColumn("artist", F.trim("artist")).where((F.col("artist") != "") & (F.col("key") != ""))
+    first = rows.groupBy("key").agg(F.min_by(F.struct("*"), "file").alias("r")).select("r.*")
+    full = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    images = first.select(
+        "key", F.substring(F.coalesce("title", F.lit("")), 1, 500).alias("title"), "artist", F.when(F.col("completion").rlike("^-?[0-9]+$"), F.col("completion").try_cast("int")).alias("year"),
+        *map(full, ("styles", "genres", "media")), "width", "height", F.coalesce("img_url", F.lit("")).alias("image_url"),
+    )
+    facts = rows.groupBy("artist").agg(F.min_by(F.struct("artist_birth", "artist_death", "artist_nations", "artist_movements"), "file").alias("f"))
+    counts = images.groupBy("artist").agg(F.count("*").alias("image_count"))
+    artists = facts.join(counts, "artist", "left").select(
+        "artist", F.coalesce("f.artist_birth", F.lit("")).alias("birth"), F.coalesce("f.artist_death", F.lit("")).alias("death"),
+        F.coalesce("f.artist_nations", F.array().cast("array<string>")).alias("nations"), F.coalesce("f.artist_movements", F.array().cast("array<string>")).alias("movements"),
+        F.coalesce("image_count", F.lit(0).cast("long")).alias("image_count"),
+    )
+    return images, artists
+
+
+def image_tags(spark: SparkSession, folder: str, images: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was found on images (JSON files, one each), and their links to passages: ``key``, ``book``, ``chapter``, ``verse``, ``end_verse``, ``relevance``, ``reason``.
+
+    Tags of unknown images are left out, and of one image the first file by name counts.  References such as ``BOOK.c.v-v`` to *books* (``book``) become
+    links, once for each place at which they begin; others are left out.
+    """
+    rows = spark.read.schema(_TAGS).json(f"{folder}/*.json", multiLine=True).withColumns({"key": F.col("_meta.key"), "file": F.col("_metadata.file_name")})
+    known = rows.where(F.col("key") != "").join(images.select("key"), "key", "left_semi")
+    first = known.groupBy("key").agg(F.min_by(F.struct("*"), "file").alias("r")).select("r.*")
+    tags = first.select(
+        "key", "characters", F.substring("event", 1, 500).alias("event"), F.col("tags").alias("tag_list"), "symbols", "description", "theological_description",
+        F.substring("scene_type", 1, 50).alias("scene_type"), F.col("mood").alias("moods"), F.substring("period", 1, 100).alias("period"), F.col("_meta.model").alias("model"),
+    )
+    refs = first.select("key", F.posexplode("scripture_refs").alias("at", "s")).withColumn("p", parse_dotted("s.ref")).join(books.select(F.col("book").alias("_book")), F.col("p.book") == F.col("_book"))
+    links = refs.where("p.chapter IS NOT NULL").groupBy("key", F.col("_book").alias("book"), F.col("p.chapter").alias("chapter"), F.col("p.verse").alias("verse"))
+    best = links.agg(F.min_by(F.struct(F.col("p.end_verse"), F.coalesce("s.relevance", F.lit("primary")).alias("relevance"), F.coalesce("s.reason", F.lit("")).alias("reason")), "at").alias("l"))
+    return tags, best.select("key", "book", "chapter", "verse", "l.*")
+
+
+def seed_names(known: DataFrame, seeds: DataFrame, books: DataFrame, key: str = "book") -> tuple[DataFrame, DataFrame]:
+    """Names of *books* after seeding, and what could not be seeded.
+
+    *seeds* has a row for each book (``book``), ``language``, ``name`` and ``abbreviation``.  A book that already has a name in a language, for no certain
+    version, keeps it; seeds of unknown books are the second table.
+    """
+    generic = known.where("version IS NULL").select(key, "language").distinct()
+    new = seeds.dropDuplicates([key, "language"]).join(books.select(key), key, "left_semi").join(generic, [key, "language"], "left_anti")
+    made = known.unionByName(new.select(key, "language", F.lit(None).cast("string").alias("version"), "name", "abbreviation"))
+    return made, seeds.join(books.select(key), key, "left_anti")

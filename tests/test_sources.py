@@ -61,3 +61,72 @@ def test_writers_round_trip(spark, tmp_path):
     writers.append(df, path, ["namespace"])
     writers.replace_partitions(spark.createDataFrame([("a", 9)], "namespace string, x int").select("x", "namespace"), path, ["namespace"])
     assert sorted((r.namespace, r.x) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 2)]
+
+
+def test_artworks(spark, tmp_path):
+    base = {"artist": " Giotto ", "artist_birth": "1267", "artist_nations": ["it"], "styles": ["gothic"], "width": 3}
+    files = {
+        "a": {**base, "key": "k1", "title": "T" * 600, "completion": 1305}, "b": {**base, "key": "k1", "title": "again", "artist_birth": "other"}, "c": {**base, "key": "k2", "completion": "c. 1306"},
+        "d": {**base, "key": ""}, "e": {"artist": " ", "key": "k3"}, "f": {"artist": "B", "key": "k4"},
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+    images, artists = readers.artworks(spark, str(tmp_path))
+    found = {r.key: r for r in images.collect()}
+    assert set(found) == {"k1", "k2", "k4"} and (len(found["k1"].title), found["k1"].year, found["k2"].year, found["k4"].styles) == (500, 1305, None, [])
+    assert {(r.artist, r.birth, tuple(r.nations), r.image_count) for r in artists.collect()} == {("Giotto", "1267", ("it",), 2), ("B", "", (), 1)}
+
+
+def test_image_tags(spark, tmp_path):
+    refs = [{"ref": "Gen.1.2-4", "relevance": "secondary", "reason": "r"}, {"ref": "Gen.1.2"}, {"ref": "Gen.3"}, {"ref": "Xyz.1.1"}, {"ref": "nothing"}, {"ref": None}]
+    (tmp_path / "a.json").write_text(json.dumps({"_meta": {"key": "k1", "model": "m"}, "tags": ["x"], "event": "e" * 600, "scripture_refs": refs, "characters": [{"name": "Eve", "type": "PERSON"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"_meta": {"key": "k1"}, "tags": ["later"]}))
+    (tmp_path / "c.json").write_text(json.dumps({"_meta": {"key": "unknown"}, "scripture_refs": refs}))
+    (tmp_path / "d.json").write_text(json.dumps({"tags": ["no key"]}))
+    images, books = spark.createDataFrame([("k1",), ("k2",)], "key string"), spark.createDataFrame([("Gen",)], "book string")
+    tags, links = readers.image_tags(spark, str(tmp_path), images, books)
+    (row,) = tags.collect()
+    assert (row.key, row.tag_list, len(row.event), row.characters[0].name, row.model) == ("k1", ["x"], 500, "Eve", "m")
+    assert sorted(map(tuple, links.collect()), key=repr) == [("k1", "Gen", 1, 2, 4, "secondary", "r"), ("k1", "Gen", 3, None, None, "primary", "")]
+
+
+def test_seeded_names(spark):
+    books = spark.createDataFrame([("Gen",), ("Rev",)], "book string")
+    known = spark.createDataFrame([("Gen", "en", None, "Genesis", "Gn"), ("Gen", "pt", "NVI", "Gênesis", "Gên")], "book string, language string, version string, name string, abbreviation string")
+    seeds = spark.createDataFrame([("Gen", "en", "First", "F"), ("Gen", "pt", "Gênesis", "Gn"), ("Rev", "pt", "Apocalipse", "Ap"), ("Tob", "pt", "Tobias", "Tb")], "book string, language string, name string, abbreviation string")
+    made, missing = readers.seed_names(known, seeds, books)
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([*map(tuple, known.collect()), ("Gen", "pt", None, "Gênesis", "Gn"), ("Rev", "pt", None, "Apocalipse", "Ap")], key=repr)
+    assert [r.book for r in missing.collect()] == ["Tob"]
+    again, _ = readers.seed_names(made, seeds, books)
+    assert again.count() == made.count()
+
+
+def test_table_files(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 1, 0.5), ('q"x', 2, None)], "name string, n int, x double")
+    writers.table_files(df, str(tmp_path / "t"))
+    csv = spark.read.option("header", True).option("inferSchema", True).option("escape", "\\").csv(str(tmp_path / "t" / "csv"))
+    assert sorted(map(tuple, csv.collect())) == sorted(map(tuple, df.collect()))
+    assert sorted((r.name, r.n, r.x if "x" in r else None) for r in spark.read.schema(df.schema).json(str(tmp_path / "t" / "json")).collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_jdbc_reads_ranges(spark):
+    """The options that the reader is given; there is no database here."""
+    calls = {}
+
+    class Reader:
+        def format(self, name):
+            calls["format"] = name
+            return self
+
+        def options(self, **more):
+            calls.update(more)
+            return self
+
+        def load(self):
+            return "table"
+
+    class Session:
+        read = Reader()
+
+    assert readers.jdbc(Session(), "jdbc:postgresql://h/d", "verses", "id", 1, 100, 4, user="u") == "table"
+    assert calls == {"format": "jdbc", "url": "jdbc:postgresql://h/d", "dbtable": "verses", "partitionColumn": "id", "lowerBound": 1, "upperBound": 100, "numPartitions": 4, "user": "u"}
