@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ from corpusgraph.sources.tables import stored, workspace
 #: Scores are compared by so many digits after the point; bounds are held against them with room for more.
 DIGITS = 9
 _ROOM = 1e-8
-#: Classes of documents that share no range.
-CLASSES = 256
 
 
 @dataclass(frozen=True)
@@ -55,18 +54,19 @@ class LexicalIndex:
 
 
 def _gatherer(index: LexicalIndex):
-    """Turns rows of key, range and tokens, in the order of range and key, into the blocks of each range."""
-    k1, b, mean, most = index.k1, index.b, index.mean, 100_000
+    """Turns rows of key, class and tokens, in the order of class and key, into blocks of ranges of one class each."""
+    k1, b, mean, most, range_docs = index.k1, index.b, index.mean, 100_000, index.range_docs
     names = ["term", "range", "top", "n", "postings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, ranges, counts, keys, tfs, dls = [], [], [], [], [], []
-        now, held, kind = None, {}, None
+        now, docs, held, kind = None, 0, {}, None
+        place = TaskContext.get().partitionId() << 32
 
         def close() -> None:
             for term, found in held.items():
                 terms.append(term)
-                ranges.append(now)
+                ranges.append(place)
                 counts.append(len(found))
                 for key, tf, dl in found:
                     keys.append(key)
@@ -88,12 +88,13 @@ def _gatherer(index: LexicalIndex):
         for batch in batches:
             kind = batch.schema.field(0).type
             for i in range(batch.num_rows):
-                key, place, tokens = (batch.column(j)[i].as_py() for j in range(3))
-                if place != now:
+                key, own, tokens = (batch.column(j)[i].as_py() for j in range(3))
+                if own != now or docs == range_docs:
                     close()
-                    now = place
+                    now, docs, place = own, 0, place + 1
                     if len(keys) > most:
                         yield flushed()
+                docs += 1
                 for term, tf in Counter(tokens).items():
                     held.setdefault(term, []).append((key, tf, len(tokens)))
         close()
@@ -110,23 +111,17 @@ def build(
 ) -> LexicalIndex:
     """Write the index of *docs* (*key* is unique; a null text is an empty one) to *path*, or a new folder that executors share.
 
-    Documents are dealt into ranges of about *range_docs* by a hash of the key.  The more alike the documents of a range,
-    the closer its bounds, so only those of one class share one: of like length (to a power of two) and the same in the columns *like*
-    (language, say), by a hash into CLASSES.  Texts are shuffled once, by range, and a range's postings are gathered where it lies, some
-    documents at a time, so that a term of all documents is spread as they are.
+    A range is *range_docs* documents at most that a task has read.  The more alike they are, the closer its bounds, so only those
+    of one class share one: of like length (to a power of two) and the same in the columns *like* (language, say).  Texts are not shuffled: each
+    task sorts its own by class and gathers their postings a range at a time, so that a term of all documents is spread as they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    kind = F.pmod(F.xxhash64(*like, F.length(F.bin(F.length(whole)))), F.lit(CLASSES)).cast("int")
-    lengths = docs.select(kind.alias("kind"), F.size(t.tokens(whole)).alias("dl")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("dl").alias("all"))
-    sizes = {r["kind"]: (r["n"], r["all"]) for r in lengths.collect()}
-    n = sum(x for x, _ in sizes.values())
-    mean = sum(x for _, x in sizes.values()) / max(n, 1) or 1.0
-    parts = F.lit([sizes.get(i, (0, 0))[0] // range_docs + 1 for i in range(CLASSES)])
-    index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean, range_docs, k1, b)
-    place = t.bound(kind, lambda x: F.xxhash64(x, F.pmod(F.xxhash64(key), F.get(parts, x))))
-    dealt = docs.select(F.col(key), whole.alias("text"), place.alias("range")).repartition("range").sortWithinPartitions("range", key)
+    n, mean = docs.select(F.size(t.tokens(whole)).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean or 1.0, range_docs, k1, b)
+    kind = F.xxhash64(*like, F.length(F.bin(F.length(whole))))
+    own = docs.select(F.col(key), kind.alias("kind"), whole.alias("text")).sortWithinPartitions("kind", key)
     postings = f"array<struct<{key}: {index.key_type}, tf: int, dl: int>>"
-    blocks = dealt.select(key, "range", t.tokens("text")).mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
+    blocks = own.select(key, "kind", t.tokens("text")).mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
     ordered = blocks.withColumn("bucket", index.bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "range")
     stored(ordered, index.path, by="bucket")
     return index

@@ -82,7 +82,7 @@ def test_only_the_terms_folders_are_read(spark, corpus, tmp_path):
     asked = lexical.ask(index, one, "q", "wish")
     read = scans(asked.blocks)
     files = len(list((tmp_path / "index").rglob("*.parquet")))
-    assert read == [1] and files >= folders
+    assert len(read) == 1 and 0 < read[0] <= 2 * files / folders
 
 
 def test_ranges_that_cannot_reach_the_best_are_left_out(spark, corpus, tmp_path):
