@@ -11,6 +11,8 @@ from corpusgraph.sources.tables import stored
 
 #: Groups of so many values are looked at whole; in larger ones quantiles are first known to a part in so many.
 FEW = 10_000
+#: Themes of a unit of which all pairs are made.
+MOST_THEMES = 5_000
 
 
 def histogram(df: DataFrame, label: Column, labels: list[str], column: str = "n") -> DataFrame:
@@ -45,9 +47,12 @@ def share(counts: DataFrame, column: str, name: str = "share") -> DataFrame:
 def cooccurrence(links: DataFrame, unit: str, theme: str) -> DataFrame:
     """``theme``, ``other``, ``shared`` units and ``strength``: shared over the theme's own number of units.
 
-    The list of themes of a unit is short, so pairs are made within it instead of by a self-join.
+    The list of themes of a unit is short, so pairs are made within it instead of by a self-join; one of more than MOST_THEMES
+    is an error.
     """
-    lists = links.select(unit, theme).distinct().groupBy(unit).agg(F.collect_list(theme).alias("ts"))
+    lists = links.select(unit, theme).distinct().groupBy(unit).agg(F.count("*").alias("n"), F.collect_list(theme).alias("ts"))
+    long = F.raise_error(F.lit(f"a unit has more than {MOST_THEMES} themes"))
+    lists = lists.select(F.when(F.col("n") > MOST_THEMES, long).otherwise(F.col("ts")).alias("ts"))
     pairs = lists.select(F.explode("ts").alias("theme"), "ts").select("theme", F.explode("ts").alias("other")).where("theme <> other")
     shared = pairs.groupBy("theme", "other").agg(F.count("*").alias("shared"))
     own = links.select(unit, theme).distinct().groupBy(F.col(theme).alias("theme")).agg(F.count("*").alias("own"))

@@ -34,30 +34,24 @@ ALLOWED = {
 }
 
 
-def problems(blocks: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
-    """Blocks that break a rule (a name and when it is broken) or share their key, with ``problems``."""
-    shared = F.count("*").over(Window.partitionBy(*key)) > 1
-    broken = [F.when(test, F.lit(name)) for name, test in {**rules, "duplicate_id": F.col("_shared")}.items()]
-    marked = blocks.withColumn("_shared", shared).withColumn("problems", F.array_compact(F.array(*broken)))
-    return marked.where(F.size("problems") > 0).drop("_shared")
-
-
 def invalid(blocks: DataFrame, document: str, at: str, id_: str, kind: str, data: str) -> DataFrame:
     """*document*, *at* and ``problem``, a row for each thing wrong with a block.
 
-    *data* is JSON text.  A block without a type or of an unknown one is told nothing else; a null
+    *data* is JSON text; a heading's level must be a number in it.  A block without a type or of an unknown one is told nothing else; a null
     *data* is wrong but for dividers.  Empty values of a field count as none, and an id that an earlier
     block of the document has is a duplicate.
     """
     value = lambda field: F.get_json_object(data, f"$.{field}")
     items = lambda field: F.from_json(value(field), "array<string>")
     width = lambda field: F.json_array_length(value(field))
+    shape = lambda field: F.schema_of_variant(F.variant_get(F.try_parse_json(F.col(data)), f"$.{field}", "variant"))
     known, fields = F.col(kind).isin(*REQUIRED), F.json_object_keys(data)
     required = F.split(lookup(kind, {k: ",".join(v) for k, v in REQUIRED.items()}), ",")
     absent = F.transform(F.array_remove(F.array_except(required, fields), ""), lambda f: F.concat(F.lit("missing_field:"), f))
     told = [
         (F.col(k) if isinstance(k, str) else k, name)
         for k, name in [
+            ((F.col(kind) == "heading") & value("level").isin(*ALLOWED["heading", "level"]) & (shape("level") != "BIGINT"), "bad_value:level"),
             *(((F.col(kind) == k) & (value(f) != "") & ~value(f).isin(*values), f"bad_value:{f}") for (k, f), values in ALLOWED.items()),
             ((F.col(kind) == "verse_compare") & (width("versions") != width("texts")), "unequal_lengths"),
             ((F.col(kind) == "reference_table") & F.exists(items("refs"), lambda x: F.json_object_keys(x).isNull()), "not_an_object:refs"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.tables import stored
+
 
 def chosen(wish: str, allowed: tuple[str, ...], key: str) -> list[Column]:
     """Columns for ``-a,b`` (minus: from the largest on), nulls as a database would put them, *key* last.
@@ -25,10 +26,10 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """*df* with each row's place from 1 on in *order* (which ends with a unique key), without one task for all rows.
 
     Ranges of the order are sorted each by itself; the rows before a range come from a table of one row a range.  The
-    ranges are kept, since both passes must see the same ones.
+    ranges are written, since both passes must see the same ones, and outlive a lost executor so.
     """
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranges = ranges.withColumn("_range", F.shiftright("_at", 33)).persist(StorageLevel.MEMORY_AND_DISK)
+    ranges = stored(ranges.withColumn("_range", F.shiftright("_at", 33)))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1

@@ -38,6 +38,18 @@ def near_in_text(text: Column | str, first: str, second: str, distance: int) ->
     return F.when(held, t.bound(t.tokens(text), lambda x: proximity(x, first, second, distance))).otherwise(F.lit(False))
 
 
+def all_in_text(text: Column | str, terms: list[str]) -> Column:
+    """All *terms* are tokens of a text; tokens are made only of texts in which all can be found as they are."""
+    held = t.bound(F.lower(text), lambda x: reduce(Column.__and__, [F.contains(x, F.lit(term)) for term in terms]))
+    return F.when(held, match_all(t.tokens(text), terms)).otherwise(F.lit(False))
+
+
+def any_in_text(text: Column | str, terms: list[str]) -> Column:
+    """Some of *terms* is a token of a text; tokens are made only of texts in which one can be found as it is."""
+    held = t.bound(F.lower(text), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(term)) for term in terms]))
+    return F.when(held, F.arrays_overlap(t.tokens(text), F.array(*map(F.lit, terms)))).otherwise(F.lit(False))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """An inverted index: ``term``, *key*, ``tf`` and the text's number of tokens ``dl``."""
     toks = docs.select(key, t.tokens(text).alias("ts"))

@@ -425,8 +425,9 @@ def f16(spark, d):
     """SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), ['the', 'with', 'that'])""",
 )
 def f17(spark, d):
-    wanted = F.array(*map(F.lit, ("the", "with", "that")))
-    return table(spark, d, "documents").where(F.size(F.array_except(wanted, t.tokens("text"))) == 0).select("doc_id")
+    from corpusgraph.operators.retrieval import all_in_text
+
+    return table(spark, d, "documents").where(all_in_text("text", ["the", "with", "that"])).select("doc_id")
 
 
 @query(
@@ -446,7 +447,9 @@ def f18(spark, d):
     """SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), ['license', 'stupid'])""",
 )
 def f18_any(spark, d):
-    return table(spark, d, "documents").where(F.arrays_overlap(t.tokens("text"), F.array(F.lit("license"), F.lit("stupid")))).select("doc_id")
+    from corpusgraph.operators.retrieval import any_in_text
+
+    return table(spark, d, "documents").where(any_in_text("text", ["license", "stupid"])).select("doc_id")
 
 
 @query(

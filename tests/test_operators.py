@@ -183,7 +183,8 @@ def test_no_task_gathers_a_table(spark, name):
     from tests.conftest import SMALL
 
     plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan and "collect_list" not in plan and "row_number" not in plan
+    assert "collect_list" not in plan and "row_number" not in plan
+    assert "SinglePartition" not in plan or "_range" in plan.split("SinglePartition")[1][:400]
 
 
 def test_cascade_with_fuzzy_ratio(spark):
@@ -348,3 +349,25 @@ def test_cascade_of_fuzzy_tiers(spark):
     assert {r.w: (r.id, r.method, round(r.confidence, 3)) for r in out.collect()} == {
         "abrahem": (2, "fuzzy", 0.857), "jeromme": (7, "fuzzy_person", 0.923), "moses": (1, "exact", 1.0), "xx": (None, "unmatched", 0.0),
     }
+
+
+def test_words_are_looked_for_in_texts_that_may_have_them(spark):
+    frame = spark.createDataFrame([(1, "The one, with all of THAT."), (2, "there withthat"), (3, None), (4, ""), (5, "the with")], "id int, body string")
+    found = frame.select("id", retrieval.all_in_text("body", ["the", "with", "that"]).alias("every"), retrieval.any_in_text("body", ["with", "x"]).alias("some"))
+    assert {r.id: (r.every, r.some) for r in found.collect()} == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (False, True)}
+
+
+def test_units_of_too_many_themes_are_an_error(spark, monkeypatch):
+    links = spark.createDataFrame([(1, t) for t in "abc"] + [(2, "a"), (2, "b")], "unit int, theme string")
+    assert analytics.cooccurrence(links, "unit", "theme").count() == 6
+    monkeypatch.setattr(analytics, "MOST_THEMES", 2)
+    with pytest.raises(Exception, match="more than 2 themes"):
+        analytics.cooccurrence(links, "unit", "theme").count()
+
+
+def test_heading_levels_are_numbers(spark):
+    from corpusgraph.operators import blocks
+
+    rows = [(1, 1, "a", "heading", '{"text": "t", "level": 1}'), (1, 2, "b", "heading", '{"text": "t", "level": "1"}'), (1, 3, "c", "heading", '{"text": "t", "level": 4}')]
+    frame = spark.createDataFrame(rows, "doc int, at int, id string, kind string, data string")
+    assert sorted(map(tuple, blocks.invalid(frame, "doc", "at", "id", "kind", "data").collect())) == [(1, 2, "bad_value:level"), (1, 3, "bad_value:level")]
