@@ -219,7 +219,8 @@ def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
     """*docs* with one document of each component of :func:`similarity_groups`: its smallest ``doc_id``.
 
     Rows stay as they are, with all columns.  Of rows that share a ``doc_id`` one stays; rows
-    without one all stay.
+    without one all stay, and so do null and empty texts, which are like nothing.  Texts of any length are compared whole; an empty table
+    gives an empty one.
     """
     groups = similarity_groups(docs, **parameters)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()

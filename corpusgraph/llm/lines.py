@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     joined by newlines; a text that loses no line stays as it is (null too), one that loses all is
     empty.  Rows with the same ``doc_id`` count as one document; a row without one is no document
     to the count, but loses shared lines.  Other columns pass through whatever their names are (an
-    older ``line_stats`` is replaced).  An empty table gives an empty table.
+    older ``line_stats`` is replaced).  Texts of any length are split whole.  An empty table gives an empty table.
 
     The count is combined on the map side, first by key and document and then by key, so that a
     line of a third of all documents costs one row a task.  Keys that hold at least a 500th of all

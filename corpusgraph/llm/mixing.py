@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix",
     words still missing are reached; the document that passes them is taken if the sum then comes
     nearer.  Ties are broken by ``doc_id`` and size; rows that are alike in all three are taken
     together.  Documents without words (null texts too) get no copies, a null ``doc_id`` draws as
-    an empty one, and null sources are a source.  An empty table gives an empty table.  Other
+    an empty one, and null sources are a source.  Texts of any length count with all their words.  An empty table gives an empty table.  Other
     columns pass through whatever their names are (an older ``mix`` is replaced).
 
     *size* is a column over *docs*; without it, words are counted.  No source is sorted or gathered: sums by

@@ -120,7 +120,7 @@ def pack(
     A document is the ids of its text (null or empty: none) and id 0.  It is cut into windows and a
     shorter rest, and the rests are packed; a sequence is never longer than *window*.  Rows that
     share a ``doc_id``, or are alike in all, are documents of their own; a null ``doc_id`` stays
-    null.  An empty table gives no row.  Other columns of *docs* are not read.  With *keep_ids* the
+    null.  Texts of any length are cut whole.  An empty table gives no row.  Other columns of *docs* are not read.  With *keep_ids* the
     pieces' ids come along (``ids``, little-endian 32-bit).
 
     Only lengths and checksums are shuffled (and ids where they are asked for): documents are dealt

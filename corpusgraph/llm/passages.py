@@ -269,7 +269,8 @@ def repeated_passages(
 def drop_passages(docs: DataFrame, **parameters) -> DataFrame:
     """*docs* without the passages that a document with a smaller ``doc_id`` keeps, as :func:`repeated_passages` finds them.
 
-    An empty table stays empty; of rows that share a ``doc_id`` each loses what the document loses at the same words.  White space between the words that stay is kept as it is before each of them; other columns pass
+    An empty table stays empty; null and empty texts stay, and texts of any length are read whole.  Of rows that share a ``doc_id`` each loses what
+    the document loses at the same words.  White space between the words that stay is kept as it is before each of them; other columns pass
     through, and texts that lose nothing stay as they are.
     """
     lost = repeated_passages(docs, **parameters).where("id <> keeper")
