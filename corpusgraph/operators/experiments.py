@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
 from corpusgraph.operators import lexical, nearest, retrieval
 from corpusgraph.operators.relational import top_per_group
@@ -93,3 +94,33 @@ def best_of_units(hits: DataFrame, units: DataFrame, key: str, unit: str, k: int
     known = hits.join(units.select(key, unit), key)
     best = top_per_group(known, ["wish", unit], [F.asc("place")])
     return best.withColumn("place", F.row_number().over(Window.partitionBy("wish").orderBy("place"))).where(F.col("place") <= k)
+
+
+#: The most hits that a request may ask for.
+MOST_HITS = 50
+
+
+def requested(requests: DataFrame, query_key: str, text: str) -> DataFrame:
+    """Requests as wishes: *query_key*, ``wish``, WISH, ``k`` (from 1 to MOST_HITS) and ``least``, the score that a hit must have.
+
+    A request has a ``mode`` (``vector``, ``lexical``, or ``hybrid`` with its ``alpha``, 0.5 where there is none), ``k`` (10 where there is none), ``expand``,
+    ``rerank``, ``source``, ``mmr`` and ``min_score``, of which any may be null.  A request without words is none.
+    """
+    share = F.when(F.col("mode") == "vector", 0.0).when(F.col("mode") == "lexical", 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("alpha", F.lit(0.5)))))
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return requests.where(F.trim(text) != "").select(
+        query_key, F.col(query_key).cast("string").alias("wish"), share.alias("alpha"), no("expand"), no("rerank"), "source", "mmr",
+        F.greatest(F.lit(1), F.least(F.lit(MOST_HITS), F.coalesce("k", F.lit(10)))).alias("k"), F.coalesce("min_score", F.lit(0.0)).alias("least"),
+    )
+
+
+def served(hits: DataFrame, wishes: DataFrame, docs: DataFrame, key: str, body: str, fields: list[str], queries: DataFrame, query_key: str, text: str) -> DataFrame:
+    """What a service answers: each request's hits of at least its score, as many as it asked for, with *fields* of their documents.
+
+    ``score`` has four digits; ``contains`` says whether the text has the query, in any case and without accents.  Hits are few by contract: their
+    keys go to the documents.
+    """
+    kept = hits.join(wishes.select("wish", query_key, "k", "least"), "wish").where((F.round("score", 4) >= F.col("least")) & (F.col("place") <= F.col("k")))
+    asked = kept.join(queries.select(query_key, t.fold(text).alias("_wish")), query_key)
+    known = retrieval.with_rows(asked, key, docs, lambda rows: rows.select(key, *fields, t.fold(body).alias("_body")).dropDuplicates([key]))
+    return known.select(query_key, "place", key, F.round("score", 4).alias("score"), *fields, F.coalesce(F.contains("_body", F.col("_wish")), F.lit(False)).alias("contains"))

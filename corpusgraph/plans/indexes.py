@@ -301,3 +301,36 @@ def v15_morphology(spark, d):
     """Up to three forms of each word of the documents; Spanish is read by the Portuguese rules, its nearest."""
     docs = table(spark, d, "documents").select("text", F.when(F.col("lang") == "es", "pt").otherwise(F.col("lang")).alias("lang"))
     return morphology.variants(docs, "text", "lang")
+
+
+@query(
+    "v13_service_requests",
+    f"""WITH q AS (SELECT item_id AS q, ts, embedding, CASE item_id % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0 ELSE 0.6 END AS alpha, item_id % 2 = 0 AS expand, item_id % 5 = 0 AS rerank,
+      greatest(1, least(50, item_id * 3 - 4)) AS k, (item_id % 4) / 10.0::DOUBLE AS least_score FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark) JOIN embeddings ON vec_id = item_id WHERE len(ts) >= 6),
+    asked AS (SELECT q AS item_id, array_to_string(ts[1:CASE WHEN expand THEN 6 ELSE 4 END], ' ') AS text FROM q),
+    {_LEXICAL.replace("FROM benchmark)", "FROM asked)")},
+    tl AS (SELECT item_id AS q, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) AS rb FROM lex QUALIFY rb <= 150),
+    vl AS (SELECT a.q, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.q ORDER BY round({_COSINE}, 12) DESC, b.vec_id) AS rv FROM q a, embeddings b QUALIFY rv <= 150),
+    f AS (SELECT coalesce(tl.q, vl.q) AS q, coalesce(tl.doc_id, vl.doc_id) AS doc_id, rb, rv FROM tl FULL JOIN vl ON tl.q = vl.q AND tl.doc_id = vl.doc_id),
+    g AS (SELECT f.*, coalesce(alpha / (60 + rb), 0) + coalesce((1 - alpha) / (60 + rv), 0) AS rrf FROM f JOIN q USING (q)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 12) DESC, rb NULLS LAST, rv NULLS LAST, doc_id) AS p FROM g QUALIFY p <= 150),
+    s AS (SELECT h.q, h.doc_id, p, k, least_score, CASE WHEN rerank AND b.embedding IS NOT NULL THEN {_COSINE} ELSE rrf * 61 END AS score, array_to_string(ts[1:4], ' ') AS wish
+      FROM h JOIN q a ON a.q = h.q LEFT JOIN embeddings b ON b.vec_id = h.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, p) AS place FROM s QUALIFY place <= 50)
+    SELECT q, place, r.doc_id, round(score, 4) AS score, lang, coalesce(contains(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), translate(lower(wish), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), false) AS contains
+    FROM r LEFT JOIN documents ON documents.doc_id = r.doc_id WHERE place <= k AND round(score, 4) >= least_score""",
+)
+def v13_service_requests(spark, d):
+    """Requests of all modes, some of them for too few or too many hits."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    questions, n = _questions(spark, d).drop("label"), F.col("q")
+    asked = questions.select(
+        "q", "text", F.when(n % 3 == 0, "vector").when(n % 3 == 1, "lexical").otherwise("hybrid").alias("mode"), F.lit(0.6).alias("alpha"), (n * 3 - 4).alias("k"), (n % 2 == 0).alias("expand"),
+        (n % 5 == 0).alias("rerank"), F.lit("all").alias("source"), F.lit(None).cast("double").alias("mmr"), (n % 4 / F.lit(10.0)).alias("min_score"),
+    )
+    wishes = experiments.requested(asked, "q", "text")
+    texts = experiments.lexical_lists(_index(spark, d), wishes, questions, "q", "text", "more", 150)
+    near = experiments.vector_lists({"all": (nearest.build(e, "doc_id", "embedding"), questions)}, "q", "embedding", 150)
+    hits = experiments.answers(wishes, "q", "doc_id", texts, near, e, "embedding", questions, experiments.MOST_HITS)
+    out = experiments.served(hits, wishes, docs, "doc_id", "text", ["lang"], questions, "q", "text")
+    return out.withColumn("place", F.col("place").cast("long"))

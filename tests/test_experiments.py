@@ -52,3 +52,19 @@ def test_a_wish_is_answered_as_alone(spark, tables):
 def test_twelve_configurations(spark):
     rows = catalogue.QUERIES["v24_experiments"](spark, SMALL).collect()
     assert {r.config for r in rows} == {c[0] for c in indexes.CONFIGURATIONS} and len(indexes.CONFIGURATIONS) == 12
+
+
+def test_requests_are_clamped(spark):
+    schema = "q int, text string, mode string, alpha double, k int, expand boolean, rerank boolean, source string, mmr double, min_score double"
+    rows = [(1, "a", "vector", 0.9, 0, None, None, "s", None, None), (2, "b", "lexical", None, 99, True, None, "s", 0.5, 0.2), (3, " ", "hybrid", None, 5, None, None, "s", None, None), (4, "d", None, 7.0, None, None, True, "s", None, None)]
+    found = {r.q: (r.alpha, r.k, r.expand, r.rerank, r.least) for r in experiments.requested(spark.createDataFrame(rows, schema), "q", "text").collect()}
+    assert found == {1: (0.0, 1, False, False, 0.0), 2: (1.0, 50, True, False, 0.2), 4: (1.0, 10, False, True, 0.0)}
+
+
+def test_answers_carry_fields(spark, tables):
+    docs, _, queries = tables
+    hits = spark.createDataFrame([("1", 7, 0.91234, 1), ("1", 99, 0.5, 2), ("1", 8, 0.05, 3), ("2", 7, 0.4, 1)], "wish string, id long, score double, place int")
+    wishes = spark.createDataFrame([("1", 1, 10, 0.1), ("2", 2, 1, 0.0)], "wish string, q int, k int, least double")
+    found = experiments.served(hits, wishes, docs.withColumn("lang", F.lit("en")), "id", "text", ["lang"], queries, "q", "text").collect()
+    assert sorted((r.q, r.place, r.id, r.score, r.lang, r.contains) for r in found if r.lang) == [(1, 1, 7, 0.9123, "en", True), (2, 1, 7, 0.4, "en", True)]
+    assert [(r.q, r.id, r.contains) for r in found if r.lang is None] == [(1, 99, False)]
