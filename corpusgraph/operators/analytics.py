@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.relational import at_most
 from corpusgraph.sources.tables import stored
 
 #: Groups of so many values are looked at whole; in larger ones quantiles are first known to a part in so many.
 FEW = 10_000
 #: Themes of a unit of which all pairs are made.
 MOST_THEMES = 5_000
+#: Rows of a table of groups that one task may go through.
+MOST_GROUPS = 100_000
 
 
 def histogram(df: DataFrame, label: Column, labels: list[str], column: str = "n") -> DataFrame:
@@ -40,7 +43,8 @@ def unknown_if_empty(column: str) -> Column:
 
 
 def share(counts: DataFrame, column: str, name: str = "share") -> DataFrame:
-    """Each row's percentage of the total (for small tables of groups)."""
+    """Each row's percentage of the total, for tables of up to MOST_GROUPS groups."""
+    counts = at_most(counts, MOST_GROUPS)
     return counts.withColumn(name, 100.0 * F.col(column) / F.sum(column).over(Window.partitionBy()))
 
 

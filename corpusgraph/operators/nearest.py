@@ -66,6 +66,7 @@ class VectorIndex:
     path: str
     key: str
     key_type: str
+    vector_type: str
     centers: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -73,7 +74,7 @@ class VectorIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        schema = f"low double, high double, keys array<{self.key_type}>, vectors array<array<float>>, list int"
+        schema = f"low double, high double, keys array<{self.key_type}>, vectors array<{self.vector_type}>, list int"
         return self.spark.read.schema(schema).parquet(self.path)
 
 
@@ -104,7 +105,7 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
                 yield frame
 
     kinds = dict(vectors.dtypes)
-    rows = vectors.select(key, F.col(column).cast("array<float>")).mapInPandas(placed, f"{key} {kinds[key]}, {column} array<float>, list int, angle double")
+    rows = vectors.select(key, column).mapInPandas(placed, f"{key} {kinds[key]}, {column} {kinds[column]}, list int, angle double")
     shares = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x) if len(x) else np.zeros(1)
     slices = F.lit([int(share * n) // (64 * BLOCK) + 1 for share in shares])
     dealt = rows.repartition("list", F.pmod(F.xxhash64(key), F.get(slices, F.col("list")))).sortWithinPartitions("list", "angle", key)
@@ -120,9 +121,9 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
                     })
 
     path = path or workspace(spark)
-    schema = f"low double, high double, keys array<{kinds[key]}>, vectors array<array<float>>, list int"
+    schema = f"low double, high double, keys array<{kinds[key]}>, vectors array<{kinds[column]}>, list int"
     stored(dealt.mapInPandas(blocked, schema), path, by="list")
-    index = VectorIndex(spark, path, key, kinds[key], centers, np.full(len(centers), np.pi), np.zeros(len(centers)), enough_probes(x, centers, recall) if len(x) else 1)
+    index = VectorIndex(spark, path, key, kinds[key], kinds[column], centers, np.full(len(centers), np.pi), np.zeros(len(centers)), enough_probes(x, centers, recall) if len(x) else 1)
     for r in index.blocks.groupBy("list").agg(F.min("low"), F.max("high")).collect():
         index.low[r[0]], index.high[r[0]] = r[1], r[2]
     return index

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table that one task may put in order.
+MOST_NEIGHBOURS = 100_000
+
 
 def composite_between(first: Column, second: Column, start: tuple, end: tuple) -> Column:
     """(first, second) from *start* to *end*, both included, across values of *first*.
@@ -41,7 +44,9 @@ def prefer(df: DataFrame, key: list[str], column: str, ranking: list[str], tie:
 
 
 def neighbours(df: DataFrame, order: list[Column], value: str, group: list[str] | None = None) -> DataFrame:
-    """``previous`` and ``next`` of *value* in order, over all rows or within groups (for small dimensions)."""
+    """``previous`` and ``next`` of *value* in order, within groups, or over all rows of a table of up to MOST_NEIGHBOURS."""
+    if not group:
+        df = at_most(df, MOST_NEIGHBOURS)
     window = Window.partitionBy(*(group or [])).orderBy(*order)
     return df.withColumns({"previous": F.lag(value).over(window), "next": F.lead(value).over(window)})
 

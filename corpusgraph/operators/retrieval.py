@@ -16,7 +16,7 @@ from corpusgraph.operators import expansion
 from corpusgraph.operators.relational import prefer, top_per_group
 from corpusgraph.sources.tables import stored
 
-#: Rows of query vectors that may be broadcast, and rows of a block where there are more.
+#: Rows of query vectors that may be broadcast.
 MOST_QUERIES = 1000
 
 
@@ -110,7 +110,7 @@ def knn_join(queries: DataFrame, query_key: str, vectors: DataFrame, key: str, c
     """The *k* nearest vectors of each query vector, by similarity to 12 digits; ties by *key*.
 
     Queries of up to MOST_QUERIES go to every task, each of which keeps its own best *k*, by matrix products over
-    batches; only those are shuffled.  More are put in blocks, of which each meets each block of vectors.
+    batches; only those are shuffled.  More are answered by an index of the vectors (:mod:`~corpusgraph.operators.nearest`), exactly too.
     """
     kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
     schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, similarity double, _rounded double"
@@ -144,30 +144,12 @@ def knn_join(queries: DataFrame, query_key: str, vectors: DataFrame, key: str, c
 
         found = vectors.select(key, column).mapInPandas(met, schema)
     else:
+        from corpusgraph.operators import nearest
 
-        def crossed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for ids, rows, keys, xs in zip(frame["_ids"], frame["_qs"], frame["_keys"], frame["_xs"], strict=True):
-                    yield from best(list(ids), unit(list(rows)), np.asarray(keys), np.array(list(xs), dtype=float))
-
-        pairs = _blocks(queries, query_key, column, "_ids", "_qs").crossJoin(_blocks(vectors, key, column, "_keys", "_xs"))
-        found = pairs.mapInPandas(crossed, schema)
+        return nearest.search_exactly(nearest.build(vectors, key, column), queries, query_key, column, k)
     return top_per_group(found, [query_key], [F.desc("_rounded"), F.asc(key)], k).drop("_rounded")
 
 
-def _blocks(rows: DataFrame, key: str, column: str, keys: str, values: str) -> DataFrame:
-    """Rows of lists of *key* and *column*, each of MOST_QUERIES rows at most."""
-    kinds = dict(rows.dtypes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), MOST_QUERIES):
-                part = frame.iloc[at : at + MOST_QUERIES]
-                yield pd.DataFrame({keys: [part[key].tolist()], values: [part[column].tolist()]})
-
-    return rows.select(key, column).mapInPandas(run, f"{keys} array<{kinds[key]}>, {values} array<{kinds[column]}>")
-
-
 def ranked(hits: DataFrame, score: str, key: str, rank: str) -> DataFrame:
     """Hits (a top list, not a corpus) with their places from 1 on."""
     return hits.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), key)))
