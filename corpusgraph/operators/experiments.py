@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import text as t
 from corpusgraph.functions import vectors as v
 from corpusgraph.operators import lexical, nearest, retrieval
-from corpusgraph.operators.relational import top_per_group
+from corpusgraph.operators.relational import at_most, top_per_group
 from corpusgraph.sources.tables import stored
 
 #: Columns of a wish beside its key and that of its query: the lexical share, whether the query is expanded, whether hits are ranked anew by
 #: their vectors, whose vectors are searched, and the weight of relevance against variety (null: no matter).
 WISH = ("alpha", "expand", "rerank", "source", "mmr")
+#: Configurations that every query may be asked with.
+MOST_CONFIGURATIONS = 1000
 
 
 def grid(configurations: DataFrame, queries: DataFrame, query_key: str) -> DataFrame:
-    """A wish for every configuration (``config`` and WISH, few rows by contract) and query: ``wish``, ``config``, *query_key* and WISH."""
-    both = queries.select(query_key).crossJoin(F.broadcast(configurations.select("config", *WISH)))
+    """A wish for every configuration (``config`` and WISH, MOST_CONFIGURATIONS at most) and query: ``wish``, ``config``, *query_key* and WISH."""
+    few = at_most(configurations.select("config", *WISH), MOST_CONFIGURATIONS)
+    both = queries.select(query_key).crossJoin(F.broadcast(few))
     return both.select(F.concat_ws("/", "config", query_key).alias("wish"), "config", query_key, *WISH)
 
 
