@@ -67,6 +67,11 @@ def cut(df: DataFrame, discard: tuple[DataFrame, ...] = ()) -> DataFrame:
     return out
 
 
+def to_all(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of a few numbers a row, to be sent to all tasks if it has *most* rows at most; a larger one is left to meet rows by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`cut` has written."""
     for table in tables:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import cut, documents, remove
+from corpusgraph.llm.common import cut, documents, remove, to_all
 from corpusgraph.llm.components import components
 from corpusgraph.llm.rolling import mix, shingles
 from corpusgraph.llm.signature_tree import linked
@@ -69,7 +69,7 @@ def stars_of(sets: DataFrame) -> DataFrame:
     shared = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("set_id").alias("hub")).where("m > 1").select("bucket", "hub")
     # A table by itself, so that the join is no part of the count and Spark can split a frequent bucket.
     shared = cut(shared)
-    return cut(placed.join(shared, "bucket").groupBy("hub", "set_id").agg(F.first("n").alias("n")), discard=(shared,))
+    return cut(placed.join(to_all(shared), "bucket").groupBy("hub", "set_id").agg(F.first("n").alias("n")), discard=(shared,))
 
 
 def _first_tasks(stars: DataFrame, large: DataFrame) -> DataFrame:
@@ -202,8 +202,9 @@ def similarity_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     )
     sets = cut(sets)
     stars = stars_of(sets)
-    texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text").join(stars.select("set_id").distinct(), "set_id", "left_semi")
-    texts = cut(texts)
+    wanted = cut(stars.select("set_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("set_id"), "text").join(to_all(wanted), "set_id", "left_semi")
+    texts = cut(texts, discard=(wanted,))
     parts = linked_sets(stars, texts, k, num, den)
     remove(texts, stars)
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusgraph.llm import bwt, components, joins, lines, passages, signature_tree, suffixes
+from corpusgraph.llm import bwt, common, components, joins, lines, passages, signature_tree, suffixes
 from tests.duck import assert_same, connect
 
 
@@ -414,3 +414,13 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         common.shared_folder(Session)
+
+
+def test_op4_is_the_same_whether_tables_are_sent_or_shuffled(spark, docs, monkeypatch):
+    sent = joins.similarity_groups(docs)
+    wanted = sorted(map(tuple, sent.collect()), key=repr)
+    monkeypatch.setattr(joins, "to_all", lambda table: common.to_all(table, 0))
+    assert sorted(map(tuple, joins.similarity_groups(docs).collect()), key=repr) == wanted
+    some = common.cut(docs.select("doc_id"))
+    hint = lambda frame: "broadcast" in frame._jdf.queryExecution().logical().toString()
+    assert hint(common.to_all(some)) and not hint(common.to_all(some, 3))
