@@ -20,7 +20,8 @@ def candidates(texts: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """
     rows = texts.select(F.col(key).alias("_id"), F.regexp_extract_all(F.lower(text), F.lit(_TOKENS), F.lit(0)).alias("_ts"))
     token = lambda i: F.coalesce(F.get("_ts", i), F.lit(""))
-    number = lambda i: token(i).rlike("^[0-9]{1,3}$")
+    # A token that begins with a digit is a run of them, so no pattern is needed at every place.
+    number = lambda i: (token(i) >= "0") & (token(i) < ":") & (F.length(token(i)) <= 3)
     word = lambda i: token(i).rlike(r"^\p{L}+$")
     value = lambda i: token(i).try_cast("int")
 
