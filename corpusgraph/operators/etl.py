@@ -9,17 +9,21 @@ from corpusgraph.operators.relational import upsert
 
 
 def merge_duplicates(df: DataFrame, key: str, order: str, lists: list[str], scalars: list[str]) -> DataFrame:
-    """A row a key: lists joined, without repeats in any case and in order; scalars from the first row that has one."""
-    parts = [F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("v")))).alias(c) for c in lists]
-    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    merged = df.groupBy(key).agg(*parts, *firsts, F.count("*").alias("merged"))
-    return merged.withColumns({c: first_by_case(F.flatten(F.col(c)["v"])) for c in lists})
-
+    """A row a key: lists joined, without repeats in any case and in order; scalars from the first row that has one.
 
-def first_by_case(values: Column) -> Column:
-    """The first of elements that are equal but for case, in order."""
-    lowered = F.transform(values, F.lower)
-    return F.filter(values, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    Elements are put together by key and lower case before a key's list is made, so that a list has no more than its different
+    elements, and a key of many rows is no more work than many keys.  Null elements, and null lists, add nothing.
+    """
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
+    merged = df.groupBy(key).agg(*firsts, F.count("*").alias("merged"))
+    for c in lists:
+        rows = df.select(F.col(key).alias("_key"), F.col(order).alias("o"), F.col(c).alias("v"), F.posexplode(c).alias("i", "x")).where("x IS NOT NULL")
+        first = rows.groupBy("_key", F.lower("x").alias("_lowered")).agg(F.min(F.struct("o", "v", "i", "x")).alias("f"))
+        joined = first.groupBy("_key").agg(F.array_sort(F.collect_list("f"))["x"].alias(c))
+        merged = merged.join(joined, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        empty = F.array().cast(df.schema[c].dataType)
+        merged = merged.withColumn(c, F.coalesce(c, empty))
+    return merged.select(key, *lists, *scalars, "merged")
 
 
 def normalised_id(prefix: Column, name: Column, prefixes: dict[str, str]) -> Column:

@@ -88,6 +88,17 @@ def test_merge_duplicates(spark):
     assert (found["k"].d, found["k"].merged, found["z"].al) == ("late", 2, [])
 
 
+def test_merge_duplicates_of_one_large_key(spark):
+    frame = spark.range(40_000).select(F.lit("k").alias("cid"), F.col("id").alias("o"), F.array(F.concat(F.lit("Al"), F.col("id") % 20_000)).alias("al"), F.lit("d").alias("d"))
+    frame = frame.unionByName(frame.where("o = 7").select(F.lit(None).cast("string").alias("cid"), "o", F.array(F.lit("b"), F.lit(None), F.lit("B")).alias("al"), "d"))
+    plan = etl.merge_duplicates(frame, "cid", "o", ["al"], ["d"])
+    found = {r.cid: r for r in plan.collect()}
+    assert found["k"].al == [f"Al{i}" for i in range(20_000)] and found["k"].merged == 40_000
+    assert found[None].al == ["b"] and found[None].merged == 1
+    # No key's list is searched for each of its elements: values are grouped before.
+    assert "array_position" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages(spark):
     frame = spark.range(45).withColumnRenamed("id", "x")
     rows = relational.page(frame, [F.asc("x")], 3).collect()
