@@ -196,13 +196,19 @@ def keep_best(hits: DataFrame, canonical: str, score: str, order: Column) -> Dat
     return top_per_group(hits, [canonical], [F.desc(score), order])
 
 
-def prefer_versions(hits: DataFrame, canonical: str, version: str, preference: list[str], score: str) -> DataFrame:
-    """The hit of the preferred version of each canonical unit, and all its versions in that order."""
+def prefer_versions(
+    hits: DataFrame, canonical: str, version: str, preference: list[str], score: str, listed: str | None = None, tie: list[Column] | None = None,
+) -> DataFrame:
+    """The hit of the preferred version of each canonical unit, and the versions of all its hits.
+
+    Of hits of equal preference that with the highest *score* is taken, and of these the first by *tie*.  Versions are in the order of preference, then
+    of *listed* (the score, if not given) from high to low, nulls last, then of their names.
+    """
     place = F.array_position(F.array(*map(F.lit, preference)), F.col(version))
-    rank = F.when(place > 0, place).otherwise(999)
-    listed = F.sort_array(F.collect_list(F.struct(rank.alias("r"), (-F.col(score)).alias("s"), F.col(version).alias("v"))))
-    versions = hits.groupBy(canonical).agg(listed.alias("l")).select(canonical, F.col("l.v").alias("versions"))
-    return prefer(hits, [canonical], version, preference, [F.desc(score)]).join(versions, canonical)
+    rank, by = F.when(place > 0, place).otherwise(999), F.col(listed or score)
+    order = F.struct(rank.alias("r"), by.isNull().alias("u"), (-by).alias("s"), F.col(version).alias("v"))
+    versions = hits.groupBy(canonical).agg(F.sort_array(F.collect_list(order)).alias("l")).select(canonical, F.col("l.v").alias("versions"))
+    return prefer(hits, [canonical], version, preference, [F.desc(score), *(tie or [])]).join(versions, canonical)
 
 
 def diversify(hits: DataFrame, book: str, order: list[Column], k: int) -> DataFrame:

@@ -413,8 +413,9 @@ def w03(spark, d):
 def w04(spark, d):
     from corpusgraph.operators.retrieval import prefer_versions
 
-    hits = table(spark, d, "documents").select((F.col("doc_id") % 60).alias("unit"), "lang", "doc_id", (F.col("n_chars") - F.col("doc_id") / 1e5).alias("score"))
-    out = prefer_versions(hits, "unit", "lang", ["de", "fr"], "score")
+    score = (F.col("n_chars") * F.lit(100_000).cast("long") - F.col("doc_id")).alias("score")
+    hits = table(spark, d, "documents").select((F.col("doc_id") % 60).alias("unit"), "lang", "doc_id", "n_chars", score)
+    out = prefer_versions(hits, "unit", "lang", ["de", "fr"], "score", "n_chars", [F.asc("doc_id")])
     return out.select("unit", "doc_id", F.array_join("versions", ",").alias("versions"))
 
 

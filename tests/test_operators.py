@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import analytics, etl, ordering, relational, resolution, retrieval
+from corpusgraph.sources import tables
 
 
 def test_mmr_against_a_plain_loop(spark):
@@ -99,6 +100,19 @@ def test_merge_duplicates_of_one_large_key(spark):
     assert "array_position" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_preferred_version_of_equal_lengths(spark):
+    from corpusgraph.plans import catalogue
+    from tests.duck import assert_same, connect
+
+    docs = [(3 + 60 * i, lang, n) for i, (lang, n) in enumerate([("es", 9), ("en", 9), ("en", 9), ("es", 11), ("fr", 4), ("de", 7), ("de", 6), ("fr", 4)])]
+    # Ids that outweigh a difference of lengths, as the SQL has it.
+    docs += [(600_004, "de", 100), (4, "de", 97), (64, "fr", 5), (124, "en", 5), (600_064, "es", 6), (184, None, 5)]
+    frame = spark.createDataFrame(docs, "doc_id long, lang string, n_chars long")
+    folder = tables.workspace(spark)
+    frame.write.parquet(f"{folder}/documents.parquet")
+    assert_same(catalogue.QUERIES["w04_preferred_version"](spark, folder), catalogue.SQL["w04_preferred_version"], connect(None, documents=frame.toPandas()))
+
+
 def test_pages(spark):
     frame = spark.range(45).withColumnRenamed("id", "x")
     rows = relational.page(frame, [F.asc("x")], 3).collect()
