@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that one task may put in order.
 MOST_NEIGHBOURS = 100_000
+#: Slices of the points of a cell, in interval joins.
+CELL_SLICES = 16
 
 
 def composite_between(first: Column, second: Column, start: tuple, end: tuple) -> Column:
@@ -55,15 +57,21 @@ def interval_join(points: DataFrame, at: str, ranges: DataFrame, start: str, end
     """Points with the ranges of the same keys that contain them, both ends included.
 
     Each range is spread over the cells of *width* that it touches, and points meet it in their own
-    cell: an equality join, whatever the lengths are.
+    cell: an equality join, whatever the lengths are.  The points of a cell are dealt over CELL_SLICES slices, each of which has the
+    cell's ranges, so that few cells with many pairs are no few tasks; the number of tasks does not follow the tables' sizes, as pairs may be many more than rows.
     """
+    session, on = points.sparkSession, [*keys, "_cell", "_slice"]
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
     cells = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_cell")
-    spread = ranges.select("*", cells)
+    every = F.explode(F.sequence(F.lit(0), F.lit(CELL_SLICES - 1))).alias("_slice")
+    spread = ranges.select("*", cells).select("*", every)
+    own = F.pmod(F.xxhash64(*points.columns), F.lit(CELL_SLICES)).cast("int")
+    dealt = points.withColumns({"_cell": F.floor(F.col(at) / width), "_slice": own})
     return (
-        points.withColumn("_cell", F.floor(F.col(at) / width))
-        .join(spread, [*keys, "_cell"])
+        dealt.repartition(tasks, *on)
+        .join(spread.repartition(tasks, *on), on)
         .where(F.col(at).between(F.col(start), F.col(end)))
-        .drop("_cell")
+        .drop("_cell", "_slice")
     )
 
 

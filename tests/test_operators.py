@@ -113,6 +113,17 @@ def test_preferred_version_of_equal_lengths(spark):
     assert_same(catalogue.QUERIES["w04_preferred_version"](spark, folder), catalogue.SQL["w04_preferred_version"], connect(None, documents=frame.toPandas()))
 
 
+def test_interval_join_of_one_cell_is_many_tasks(spark):
+    points = spark.range(4000).select(F.col("id").alias("x"), F.lit(1).alias("k"), (F.col("id") % 7).cast("int").alias("at"))
+    ranges = spark.range(60).select(F.col("id").alias("r"), F.lit(1).alias("k"), (F.col("id") % 5).cast("int").alias("lo"), (F.col("id") % 5 + 2).cast("int").alias("hi"))
+    joined = relational.interval_join(points, "at", ranges, "lo", "hi", ["k"], 8)
+    assert sorted(joined.columns) == ["at", "hi", "k", "lo", "r", "x"]
+    wanted = sum(r % 5 <= x % 7 <= r % 5 + 2 for x in range(4000) for r in range(60))
+    found = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == wanted == joined.select("x", "r").distinct().count()
+    assert len(found) >= 8 and max(r["count"] for r in found) < wanted / 3
+
+
 def test_pages(spark):
     frame = spark.range(45).withColumnRenamed("id", "x")
     rows = relational.page(frame, [F.asc("x")], 3).collect()
