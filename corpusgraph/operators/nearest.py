@@ -19,6 +19,7 @@ SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS = 64, 4_000_000, 4096
 BLOCK, TOGETHER = 512, 256
 #: Angles are exact to less than this, and similarities to less than its square.
 _SLACK = 1e-6
+_ROOM = 1e-10
 
 
 def _unit(rows) -> np.ndarray:
@@ -59,7 +60,7 @@ class VectorIndex:
 
     The table has ``list`` (a folder each), ``low`` and ``high`` (the block's angles), ``keys`` and ``vectors``.  *centers* (at most
     MOST_LISTS) and the lists' smallest and largest angles (*low*, *high*) are held by the driver.  *probes* lists are enough for
-    the recall that the index was built for.
+    the recall that the index was built for; *slices* says over how many tasks each list's blocks are to be dealt.
     """
 
     spark: SparkSession
@@ -71,6 +72,7 @@ class VectorIndex:
     low: np.ndarray
     high: np.ndarray
     probes: int
+    slices: tuple[int, ...]
 
     @property
     def blocks(self) -> DataFrame:
@@ -107,8 +109,8 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
     kinds = dict(vectors.dtypes)
     rows = vectors.select(key, column).mapInPandas(placed, f"{key} {kinds[key]}, {column} {kinds[column]}, list int, angle double")
     shares = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x) if len(x) else np.zeros(1)
-    slices = F.lit([int(share * n) // (64 * BLOCK) + 1 for share in shares])
-    dealt = rows.repartition("list", F.pmod(F.xxhash64(key), F.get(slices, F.col("list")))).sortWithinPartitions("list", "angle", key)
+    slices = tuple(int(share * n) // (64 * BLOCK) + 1 for share in shares)
+    dealt = rows.repartition("list", F.pmod(F.xxhash64(key), F.get(F.lit(list(slices)), F.col("list")))).sortWithinPartitions("list", "angle", key)
 
     def blocked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -123,7 +125,7 @@ def build(vectors: DataFrame, key: str, column: str, path: str | None = None, li
     path = path or workspace(spark)
     schema = f"low double, high double, keys array<{kinds[key]}>, vectors array<{kinds[column]}>, list int"
     stored(dealt.mapInPandas(blocked, schema), path, by="list")
-    index = VectorIndex(spark, path, key, kinds[key], kinds[column], centers, np.full(len(centers), np.pi), np.zeros(len(centers)), enough_probes(x, centers, recall) if len(x) else 1)
+    index = VectorIndex(spark, path, key, kinds[key], kinds[column], centers, np.full(len(centers), np.pi), np.zeros(len(centers)), enough_probes(x, centers, recall) if len(x) else 1, slices)
     for r in index.blocks.groupBy("list").agg(F.min("low"), F.max("high")).collect():
         index.low[r[0]], index.high[r[0]] = r[1], r[2]
     return index
@@ -157,31 +159,46 @@ def _probes(index: VectorIndex, queries: DataFrame, query_key: str, column: str,
 
 
 def _searched(index: VectorIndex, probes: DataFrame, query_key: str, n_queries: int, k: int) -> DataFrame:
-    """The best *k* of each pair of a query and a block of a list that it probes, by similarity to 12 digits."""
+    """The best *k* of each pair of a query and a block of a list that it probes, by similarity to 12 digits, as far as they reach ``_least``.
+
+    Pairs of queries and lists grow faster than either, so both sides are shuffled by list and its slices, and neither is sent through the driver.
+    """
     kinds, key = dict(probes.dtypes), index.key
     part = F.pmod(F.xxhash64(query_key), F.lit(n_queries // TOGETHER + 1))
     wish = F.struct(F.col(query_key).alias("key"), "_q", "_angle", "_least")
-    together = probes.groupBy("list", part.alias("_part")).agg(F.collect_list(wish).alias("_wishes"))
-    met = index.blocks.join(together.drop("_part"), "list")
+    together = probes.groupBy("list", part.alias("_part")).agg(F.collect_list(wish).alias("_wishes")).drop("_part")
+    slices = F.get(F.lit(list(index.slices)), F.col("list"))
+    wanted = together.select("*", F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
+    blocks = index.blocks.withColumn("_slice", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), slices).cast("int"))
+    met = blocks.join(wanted.hint("merge"), ["list", "_slice"]).drop("_slice")
+    names = [query_key, key, "similarity", "_rounded"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found, rows = [], 0
             for low, high, keys, vectors, wishes in zip(*(frame[c] for c in ("low", "high", "keys", "vectors", "_wishes")), strict=True):
-                ids, raw = [w["key"] for w in wishes], [w["_q"] for w in wishes]
                 angle, least = (np.array([w[c] for w in wishes]) for c in ("_angle", "_least"))
                 nearby = np.maximum(np.maximum(angle - high, low - angle) - _SLACK, 0)
                 some = np.flatnonzero(np.cos(nearby) + _SLACK * _SLACK >= least)
                 if not len(some):
                     continue
-                keys, x = np.asarray(keys), np.array(list(vectors), dtype=float)
+                ids, keys, x = np.array([wishes[i]["key"] for i in some]), np.asarray(keys), np.array(list(vectors), dtype=float)
                 order = np.argsort(keys, kind="stable")
                 keys, x = keys[order], x[order]
                 size = np.linalg.norm(x, axis=1)
-                near = (x @ _unit([raw[i] for i in some]).T) / np.where(size == 0, np.inf, size)[:, None]
-                for j, i in enumerate(some):
-                    own = np.nan_to_num(np.round(near[:, j], 12), nan=-np.inf)
-                    best = np.argsort(-own, kind="stable")[:k]
-                    yield pd.DataFrame({query_key: ids[i], key: keys[best], "similarity": near[best, j], "_rounded": own[best]})
+                near = (_unit([wishes[i]["_q"] for i in some]) @ x.T) / np.where(size == 0, np.inf, size)
+                own = np.nan_to_num(np.round(near, 12), nan=-np.inf)
+                best = np.argsort(-own, axis=1, kind="stable")[:, :k]
+                values = np.take_along_axis(own, best, axis=1)
+                # Of what is below a similarity that the k nearest reach, nothing is among them; products may differ in their last digits.
+                at, place = np.nonzero(values >= np.where(least[some] > -2, least[some] - _ROOM, -np.inf)[:, None])
+                found.append((ids[at], keys[best[at, place]], near[at, best[at, place]], values[at, place]))
+                rows += len(at)
+                if rows > 100_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                    found, rows = [], 0
+            if found:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return met.mapInPandas(run, f"{query_key} {kinds[query_key]}, {key} {index.key_type}, similarity double, _rounded double")
 

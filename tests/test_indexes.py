@@ -148,5 +148,20 @@ def test_probing_finds_nearly_all_and_reads_few_lists(spark, tmp_path):
     assert nearest._probes(index, queries.join(least, "q"), "q", "v", None).count() < 21 * 50 / 2
 
 
+def test_queries_of_lists_are_not_sent_through_the_driver(spark, tmp_path):
+    rows = clustered(1200)
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    queries = spark.createDataFrame([(q, v) for q, (_, v) in enumerate(rows[1::40])], "q int, v array<float>")
+    index = nearest.build(vectors, "id", "v", str(tmp_path / "index"))
+    found = nearest.search_exactly(index, queries, "q", "v", 5)
+    wanted = {q: plain_nearest(rows, v, 5) for q, (_, v) in enumerate(rows[1::40])}
+    assert len(found.collect()) == 5 * len(wanted)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    # Of each block only what reaches the known similarity is left, not k rows of every block.
+    least = spark.createDataFrame([(q, v, -near[-1][0] - 1e-9) for (q, near), (_, v) in zip(wanted.items(), rows[1::40], strict=True)], "q int, v array<float>, _least double")
+    left = nearest._searched(index, nearest._probes(index, least, "q", "v", None), "q", len(wanted), 5)
+    assert left.where("_rounded < -1").count() == 0 and left.join(least.select("q", "_least"), "q").where("_rounded < _least - 1e-9").count() == 0
+
+
 def test_recall_over_the_whole_table(spark):
     assert catalogue.QUERIES["v02_ivf_recall"](spark, SMALL).first()["recall"] >= 0.9
