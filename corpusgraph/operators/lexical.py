@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,10 @@ from corpusgraph.sources.tables import stored, workspace
 #: Scores are compared by so many digits after the point; bounds are held against them with room for more.
 DIGITS = 9
 _ROOM = 1e-8
+#: Words whose postings a task that builds an index gathers together, about.
+TOKENS = 1 << 21
+#: Postings that a task is to add up, about.
+ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -25,7 +29,7 @@ class LexicalIndex:
     """Postings by term and range of documents, each range of a term with the largest part of a score it can give.
 
     ``blocks`` is a folder of Parquet: ``bucket`` (of terms, a folder each), ``term``, ``range``, ``top``, ``n`` and
-    ``postings`` (key, the term's number in the text and the text's tokens), each file sorted by term and range.
+    ``postings`` (key, the term's number in the text and the text's tokens), sorted by term and range for every TOKENS words of text.
     """
 
     spark: SparkSession
@@ -54,54 +58,53 @@ class LexicalIndex:
 
 
 def _gatherer(index: LexicalIndex):
-    """Turns rows of key, class and tokens, in the order of class and key, into blocks of ranges of one class each."""
-    k1, b, mean, most, range_docs = index.k1, index.b, index.mean, 100_000, index.range_docs
+    """Turns rows of key, class and tokens into blocks of ranges of one class each, some TOKENS of text at a time."""
+    k1, b, mean, range_docs, index_key = index.k1, index.b, index.mean, index.range_docs, index.key
     names = ["term", "range", "top", "n", "postings"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, ranges, counts, keys, tfs, dls = [], [], [], [], [], []
-        now, docs, held, kind = None, 0, {}, None
-        place = TaskContext.get().partitionId() << 32
-
-        def close() -> None:
-            for term, found in held.items():
-                terms.append(term)
-                ranges.append(place)
-                counts.append(len(found))
-                for key, tf, dl in found:
-                    keys.append(key)
-                    tfs.append(tf)
-                    dls.append(dl)
-            held.clear()
-
-        def flushed() -> pa.RecordBatch:
-            tf, dl, n = np.array(tfs, np.int32), np.array(dls, np.int32), np.array(counts, np.int32)
-            starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            top = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), starts[:-1])
-            fields = [pa.field(index_key, kind), pa.field("tf", pa.int32()), pa.field("dl", pa.int32())]
-            postings = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(keys, kind), pa.array(tf), pa.array(dl)], fields=fields))
-            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ranges, pa.int64()), pa.array(top), pa.array(n), postings], names)
-            for x in (terms, ranges, counts, keys, tfs, dls):
-                x.clear()
-            return out
+    def blocks(rows: pa.RecordBatch, place: int) -> tuple[pa.RecordBatch, int]:
+        """The rows' blocks by term and range, and the number of ranges; *place* is the first one's."""
+        lengths, kinds = rows.column(2).value_lengths().to_numpy(), rows.column(1).to_numpy()
+        order = np.argsort(kinds, kind="stable")
+        changes = np.diff(kinds[order], prepend=kinds[order[0]]) != 0
+        within = np.arange(len(order)) - np.maximum.accumulate(np.where(changes, np.arange(len(order)), 0))
+        ranges = np.cumsum(changes | (within % range_docs == 0)) - 1
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        words = rows.column(2).flatten().dictionary_encode()
+        by_name = pc.array_sort_indices(words.dictionary).to_numpy()
+        name = np.empty(len(by_name), np.int64)
+        name[by_name] = np.arange(len(by_name))
+        pairs, tf = np.unique(name[words.indices.to_numpy()] * len(order) + np.repeat(at, lengths), return_counts=True)
+        term, doc = np.divmod(pairs, len(order))
+        starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(ranges[doc], prepend=-1) != 0))
+        tf, dl = tf.astype(np.int32), lengths[order][doc].astype(np.int32)
+        top = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), starts) if len(starts) else np.zeros(0)
+        ends = np.append(starts, len(pairs)).astype(np.int32)
+        kind = rows.schema.field(0).type
+        fields = [pa.field(index_key, kind), pa.field("tf", pa.int32()), pa.field("dl", pa.int32())]
+        postings = pa.StructArray.from_arrays([rows.column(0).take(pa.array(order[doc])), pa.array(tf), pa.array(dl)], fields=fields)
+        terms = words.dictionary.take(pa.array(by_name[term[starts]]))
+        columns = [terms, pa.array(place + ranges[doc[starts]]), pa.array(top), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), postings)]
+        return pa.RecordBatch.from_arrays(columns, names), int(ranges[-1]) + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for i in range(batch.num_rows):
-                key, own, tokens = (batch.column(j)[i].as_py() for j in range(3))
-                if own != now or docs == range_docs:
-                    close()
-                    now, docs, place = own, 0, place + 1
-                    if len(keys) > most:
-                        yield flushed()
-                docs += 1
-                for term, tf in Counter(tokens).items():
-                    held.setdefault(term, []).append((key, tf, len(tokens)))
-        close()
-        if keys:
-            yield flushed()
-
-    index_key = index.key
+            lengths = batch.column(2).value_lengths().to_numpy()
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // TOKENS)) + 1
+            for first, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if end == first:
+                    continue
+                held.append(batch.slice(first, end - first))
+                size += int(lengths[first:end].sum())
+                if size >= TOKENS:
+                    out, n = blocks(pa.concat_batches(held), place)
+                    place, held, size = place + n, [], 0
+                    yield out
+        if held:
+            yield blocks(pa.concat_batches(held), place)[0]
+
     return run
 
 
@@ -112,24 +115,24 @@ def build(
     """Write the index of *docs* (*key* is unique; a null text is an empty one) to *path*, or a new folder that executors share.
 
     A range is *range_docs* documents at most that a task has read.  The more alike they are, the closer its bounds, so only those
-    of one class share one: of like length (to a power of two) and the same in the columns *like* (language, say).  Texts are not shuffled: each
-    task sorts its own by class and gathers their postings a range at a time, so that a term of all documents is spread as they are.
+    of one class share one: of like length (to a power of two) and the same in the columns *like* (language, say).  Texts are neither shuffled nor sorted: each
+    task gathers the postings of some TOKENS words at a time, so that a term of all documents is spread as they are, and a large part of the table takes
+    no more memory than a small one.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     n, mean = docs.select(F.size(t.tokens(whole)).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
     index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean or 1.0, range_docs, k1, b)
     kind = F.xxhash64(*like, F.length(F.bin(F.length(whole))))
-    own = docs.select(F.col(key), kind.alias("kind"), whole.alias("text")).sortWithinPartitions("kind", key)
+    own = docs.select(F.col(key), kind.alias("kind"), t.tokens(whole))
     postings = f"array<struct<{key}: {index.key_type}, tf: int, dl: int>>"
-    blocks = own.select(key, "kind", t.tokens("text")).mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
-    ordered = blocks.withColumn("bucket", index.bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "range")
-    stored(ordered, index.path, by="bucket")
+    blocks = own.mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
+    stored(blocks.withColumn("bucket", index.bucket(F.col("term"))), index.path, by="bucket", folders=buckets)
     return index
 
 
 @dataclass(frozen=True)
 class Asked:
-    """What queries ask of an index: their terms with weights (a written table), and the bounds by range (another)."""
+    """What queries ask of an index: their terms with weights (a written table), and the bounds by range, with the postings behind them (another)."""
 
     index: LexicalIndex
     terms: DataFrame
@@ -155,24 +158,25 @@ def ask(index: LexicalIndex, queries: DataFrame, query_key: str, text: str, ever
     terms = stored(wanted.join(known, ["bucket", "term"]))
     # Ranges are put together before their terms meet queries, so that sums are whole where they are made.
     bounds = maxima.repartition("range").join(terms, ["bucket", "term"]).groupBy(query_key, "range").agg(
-        F.sum(F.col("weight") * F.col("top")).alias("bound"), F.count("*").alias("_terms"), F.first("asked").alias("_asked")
+        F.sum(F.col("weight") * F.col("top")).alias("bound"), F.sum("n").alias("rows"), F.count("*").alias("_terms"), F.first("asked").alias("_asked")
     )
     if every:
         bounds = bounds.where("_terms = _asked")
-    return Asked(index, terms, stored(bounds.select(query_key, "range", "bound")), blocks)
+    return Asked(index, terms, stored(bounds.select(query_key, "range", "bound", "rows")), blocks)
 
 
 def scores(asked: Asked, query_key: str, chosen: DataFrame, every: bool = False) -> DataFrame:
     """Exact scores (``bm25``) of the documents in the *chosen* pairs of query and range.
 
     The blocks of the terms and ranges that are wanted are put together by range; there they meet the list of queries that want
-    it and the terms' weights, and sums are whole where they are made.
+    it and the terms' weights, and sums are whole where they are made.  There are as many tasks as leave some ROWS postings to each.
     """
     index = asked.index
-    wished = stored(chosen.groupBy("range").agg(F.collect_list(query_key).alias("_queries")))
+    wished = stored(chosen.groupBy("range").agg(F.collect_list(query_key).alias("_queries"), F.sum("rows").alias("_rows")))
+    tasks = max(index.spark.sparkContext.defaultParallelism, -(-(wished.agg(F.sum("_rows")).first()[0] or 0) // ROWS))
     blocks = asked.blocks.select("bucket", "term", "range", "postings").join(asked.terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    together = blocks.join(wished.select("range"), "range", "left_semi").repartition("range")
-    met = together.join(wished, "range").join(asked.terms, ["bucket", "term"])
+    together = blocks.join(wished.select("range"), "range", "left_semi").repartition(tasks, "range")
+    met = together.join(wished.drop("_rows"), "range").join(asked.terms, ["bucket", "term"])
     parts = met.where(F.array_contains("_queries", F.col(query_key))).select("range", query_key, "weight", "asked", F.inline("postings"))
     found = parts.groupBy("range", query_key, index.key).agg(
         F.sum(F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("bm25"), F.count("*").alias("_n"), F.first("asked").alias("_asked")

@@ -94,6 +94,36 @@ def test_ranges_that_cannot_reach_the_best_are_left_out(spark, corpus, tmp_path)
     assert 0 < kept < every / 2
 
 
+def test_small_parts_of_a_table_give_the_same_best_texts(spark, corpus, tmp_path, monkeypatch):
+    rows, docs = corpus
+    queries = spark.createDataFrame([(1, "rare bana"), (2, "bale gino only_here")], "q int, wish string")
+    for name, value in {"TOKENS": 70, "ROWS": 50}.items():
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.build(docs.coalesce(1), "id", "text", str(tmp_path / "index"), like=("lang",))
+    found = collections.defaultdict(list)
+    for r in lexical.top_k(index, queries, "q", "wish", 30).orderBy("q", "place").collect():
+        found[r.q].append((-round(r.bm25, 9), r.id))
+    for q, wish in [(1, "rare bana"), (2, "bale gino only_here")]:
+        assert found[q] == plain_bm25(rows, wish, False)[:30]
+
+
+def test_building_sorts_neither_texts_nor_postings(spark, corpus, tmp_path):
+    store = spark._jsparkSession.sparkContext().statusStore()
+    jobs = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = jobs().size()
+    lexical.build(corpus[1], "id", "text", str(tmp_path / "index"), like=("lang",))
+    stages = [jobs().apply(i) for i in range(jobs().size() - before)]
+    written = [s for s in stages if s.outputRecords() > 0]
+    assert written and all(s.peakExecutionMemory() == 0 for s in written)
+
+
+def test_tasks_grow_with_the_postings_that_are_added_up(spark, corpus, tmp_path, monkeypatch):
+    index = lexical.build(corpus[1], "id", "text", str(tmp_path / "index"))
+    asked = lexical.ask(index, spark.createDataFrame([(1, "rare bana bale")], "q int, wish string"), "q", "wish")
+    monkeypatch.setattr(lexical, "ROWS", 20)
+    assert lexical.scores(asked, "q", asked.bounds).rdd.getNumPartitions() >= asked.bounds.agg({"rows": "sum"}).first()[0] / 20
+
+
 def test_empty_tables(spark, corpus, tmp_path):
     _, docs = corpus
     none = lexical.build(docs.limit(0), "id", "text", str(tmp_path / "none"))
