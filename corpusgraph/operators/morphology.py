@@ -16,7 +16,7 @@ def contexts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """``config``, ``token``, ``side`` (of the neighbour) and ``neighbour``, once each: what every word stands next to in texts of a language."""
     ts = docs.select(configuration(lang).alias("config"), t.tokens(text).alias("ts")).where(F.size("ts") > 1)
     pairs = F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = ts.select("config", F.explode(F.array_distinct(pairs)).alias("p")).select("config", "p.*").distinct()
+    rows = ts.select("config", F.inline(pairs)).distinct()
     both = F.array(
         F.struct(F.col("a").alias("token"), F.lit("after").alias("side"), F.col("b").alias("neighbour")),
         F.struct(F.col("b").alias("token"), F.lit("before").alias("side"), F.col("a").alias("neighbour")),

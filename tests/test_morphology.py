@@ -36,6 +36,14 @@ def test_variants_against_plain_python(spark):
     assert morphology.variants(docs.limit(0), "body", "lang").count() == 0
 
 
+def test_pairs_of_a_long_text_are_not_compared_with_each_other(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i % 700}" for i in range(3000)), "en")], "body string, lang string")
+    near = morphology.contexts(docs, "body", "lang")
+    # Spark tells structs of an array apart by comparing each with all.
+    assert "array_distinct" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert near.count() == 1400
+
+
 def test_variants_expand_queries(spark):
     docs = spark.createDataFrame(TEXTS, "id int, body string, lang string")
     table = morphology.synonyms(morphology.variants(docs, "body", "lang"))
