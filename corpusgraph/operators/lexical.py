@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,11 @@ ROWS = 1 << 20
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings by term and range of documents, each range of a term with the largest part of a score it can give.
+    """Postings by term and range of documents, each range of a term with what bounds the part of a score that it can give.
 
-    ``blocks`` is a folder of Parquet: ``bucket`` (of terms, a folder each), ``term``, ``range``, ``top``, ``n`` and
-    ``postings`` (key, the term's number in the text and the text's tokens), sorted by term and range for every TOKENS words of text.
+    ``blocks`` is a folder of Parquet: ``bucket`` (of terms, a folder each), ``term``, ``range``, ``most`` and ``share`` (the term's largest number in
+    a text, and of a text's tokens), ``words`` (its number in all), ``n`` and ``postings`` (key, the term's number in the text and the text's tokens),
+    sorted by term and range for every TOKENS words of text.
     """
 
     spark: SparkSession
@@ -46,7 +47,7 @@ class LexicalIndex:
     @property
     def blocks(self) -> DataFrame:
         postings = f"array<struct<{self.key}: {self.key_type}, tf: int, dl: int>>"
-        schema = f"term string, range long, top double, n int, postings {postings}, bucket int"
+        schema = f"term string, range long, most int, share double, words int, n int, postings {postings}, bucket int"
         return self.spark.read.schema(schema).parquet(self.path)
 
     def bucket(self, term: Column) -> Column:
@@ -56,11 +57,14 @@ class LexicalIndex:
         """What a term gives to a text's score, before the term's weight."""
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(self.mean)))
 
+    def top(self, most: Column, share: Column) -> Column:
+        """What no text's :meth:`part` is above, by the largest number and share of the term: that part itself, if one text has both."""
+        return (self.k1 + 1) / (1 + self.k1 * ((1 - self.b) / most + self.b / F.lit(self.mean) / share))
 
-def _gatherer(index: LexicalIndex):
+
+def _gatherer(index_key: str, range_docs: int):
     """Turns rows of key, class and tokens into blocks of ranges of one class each, some TOKENS of text at a time."""
-    k1, b, mean, range_docs, index_key = index.k1, index.b, index.mean, index.range_docs, index.key
-    names = ["term", "range", "top", "n", "postings"]
+    names = ["term", "range", "most", "share", "words", "n", "postings"]
 
     def blocks(rows: pa.RecordBatch, place: int) -> tuple[pa.RecordBatch, int]:
         """The rows' blocks by term and range, and the number of ranges; *place* is the first one's."""
@@ -79,13 +83,14 @@ def _gatherer(index: LexicalIndex):
         term, doc = np.divmod(pairs, len(order))
         starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(ranges[doc], prepend=-1) != 0))
         tf, dl = tf.astype(np.int32), lengths[order][doc].astype(np.int32)
-        top = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), starts) if len(starts) else np.zeros(0)
+        each = [(np.maximum, tf), (np.maximum, tf / dl), (np.add, tf)]
+        most, share, total = (pa.array(of.reduceat(x, starts, dtype=x.dtype) if len(starts) else x[:0]) for of, x in each)
         ends = np.append(starts, len(pairs)).astype(np.int32)
         kind = rows.schema.field(0).type
         fields = [pa.field(index_key, kind), pa.field("tf", pa.int32()), pa.field("dl", pa.int32())]
         postings = pa.StructArray.from_arrays([rows.column(0).take(pa.array(order[doc])), pa.array(tf), pa.array(dl)], fields=fields)
         terms = words.dictionary.take(pa.array(by_name[term[starts]]))
-        columns = [terms, pa.array(place + ranges[doc[starts]]), pa.array(top), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), postings)]
+        columns = [terms, pa.array(place + ranges[doc[starts]]), most, share, total, pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), postings)]
         return pa.RecordBatch.from_arrays(columns, names), int(ranges[-1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +122,17 @@ def build(
     A range is *range_docs* documents at most that a task has read.  The more alike they are, the closer its bounds, so only those
     of one class share one: of like length (to a power of two) and the same in the columns *like* (language, say).  Texts are neither shuffled nor sorted: each
     task gathers the postings of some TOKENS words at a time, so that a term of all documents is spread as they are, and a large part of the table takes
-    no more memory than a small one.
+    no more memory than a small one.  Texts are split into words once: their mean length is that of the postings written.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    n, mean = docs.select(F.size(t.tokens(whole)).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, n, mean or 1.0, range_docs, k1, b)
+    index = LexicalIndex(docs.sparkSession, path or workspace(docs.sparkSession), key, dict(docs.dtypes)[key], buckets, docs.count(), 1.0, range_docs, k1, b)
     kind = F.xxhash64(*like, F.length(F.bin(F.length(whole))))
     own = docs.select(F.col(key), kind.alias("kind"), t.tokens(whole))
     postings = f"array<struct<{key}: {index.key_type}, tf: int, dl: int>>"
-    blocks = own.mapInArrow(_gatherer(index), f"term string, range long, top double, n int, postings {postings}")
+    blocks = own.mapInArrow(_gatherer(key, range_docs), f"term string, range long, most int, share double, words int, n int, postings {postings}")
     stored(blocks.withColumn("bucket", index.bucket(F.col("term"))), index.path, by="bucket", folders=buckets)
-    return index
+    words = index.blocks.agg(F.sum("words")).first()[0]
+    return replace(index, mean=words / index.documents) if words else index
 
 
 @dataclass(frozen=True)
@@ -151,7 +156,7 @@ def ask(index: LexicalIndex, queries: DataFrame, query_key: str, text: str, ever
     buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
     blocks = index.blocks.where(F.col("bucket").isin(buckets))
     of_asked = blocks.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    maxima = stored(of_asked.select("bucket", "term", "range", "top", "n"))
+    maxima = stored(of_asked.select("bucket", "term", "range", index.top(F.col("most"), F.col("share")).alias("top"), "n"))
     df = F.col("df")
     idf = F.log((index.documents - df + 0.5) / (df + 0.5) + 1)
     known = maxima.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("weight"))

@@ -117,6 +117,28 @@ def test_building_sorts_neither_texts_nor_postings(spark, corpus, tmp_path):
     assert written and all(s.peakExecutionMemory() == 0 for s in written)
 
 
+def test_building_splits_texts_once_and_spills_nothing(spark, corpus, tmp_path, monkeypatch):
+    used, conf = [], type(spark.conf)
+    put = conf.set
+    monkeypatch.setattr(conf, "set", lambda self, key, value: (used.append((key, value)), put(self, key, value))[1])
+    split, tokens = [], lexical.t.tokens
+    monkeypatch.setattr(lexical.t, "tokens", lambda text: (split.append(text), tokens(text))[1])
+    index = lexical.build(corpus[1], "id", "text", str(tmp_path / "index"), buckets=16)
+    # Spark sorts what is left of a task's rows, in memory that no figure of a stage has, when as many writers are open as it allows.
+    assert max(int(value) for key, value in used if key == "spark.sql.maxConcurrentOutputFileWriters") > 16
+    assert len(split) == 1
+    lengths = [len(re.findall(r"\w+", (text or "").lower())) for _, text, _ in corpus[0]]
+    assert index.mean == sum(lengths) / len(lengths)
+
+
+def test_bounds_are_reached_by_terms_of_one_text(spark, corpus, tmp_path):
+    index = lexical.build(corpus[1], "id", "text", str(tmp_path / "index"))
+    own = lexical.F.transform("postings", lambda x: index.part(x["tf"], x["dl"]))
+    rows = index.blocks.select("n", index.top(lexical.F.col("most"), lexical.F.col("share")), lexical.F.array_max(own)).collect()
+    assert all(top >= best - 1e-12 for _, top, best in rows) and all(abs(top - best) < 1e-12 for n, top, best in rows if n == 1)
+    assert sum(top - best < 1e-12 for _, top, best in rows) > len(rows) / 2
+
+
 def test_tasks_grow_with_the_postings_that_are_added_up(spark, corpus, tmp_path, monkeypatch):
     index = lexical.build(corpus[1], "id", "text", str(tmp_path / "index"))
     asked = lexical.ask(index, spark.createDataFrame([(1, "rare bana bale")], "q int, wish string"), "q", "wish")
