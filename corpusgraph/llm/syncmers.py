@@ -154,7 +154,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     columns are not read, and an empty table gives no row.
 
     Texts are shuffled once: ranges of ids are dealt out (eight a shuffle partition at most, whose first ids are collected),
-    and the first row of each range goes to the range before too.  The edited text has the anchors of what it shares with the text; only those of its end are looked for.
+    and the first row of each range goes to the range before too.  The edited text has the anchors of what it shares with the text and of what
+    it shares with the next one; only those across the place where they meet are looked for.
     """
     spark = docs.sparkSession
     key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), F.coalesce(F.col("text"), F.lit(""))
@@ -180,17 +181,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     put = F.coalesce(F.substring("_next", F.lit(1), size - kept), F.lit(""))
     placed = ("doc_id", "_range", "_copy", "_key", "_hash")
     edited = F.concat(F.substring("_text", F.lit(1), kept), put).alias("edited")
-    cut = rows.select(*placed, "_text", kept.alias("_kept"), start.alias("_start"), edited, anchors(F.col("_text")).alias("_anchors"))
-    end = F.substring("edited", F.col("_start") + 1, F.length("edited"))
-    shared = F.filter("_anchors", lambda x: F.shiftright(x, HASH_BITS) <= F.col("_kept") - K)
-    moved = F.transform(anchors(end), lambda x: x + F.shiftleft(F.col("_start").cast("long"), HASH_BITS))
-    marked = cut.select(
-        *placed, "edited", F.length("_text").cast("long").alias("n_chars"),
-        bind(_or_whole(F.col("_anchors"), F.col("_text")), encoded).alias("fingerprint"),
-        bind(F.concat(shared, moved), lambda x: bind(_or_whole(x, F.col("edited")), encoded)).alias("edited_fingerprint"),
-    )
-    met = marked.withColumn("_following", F.lead("fingerprint").over(order)).where(~F.col("_copy"))
-    near = met.withColumns({"_links": links(F.col("fingerprint")), "_edited": links(F.col("edited_fingerprint")), "_after": links(F.col("_following"))})
+    cut = rows.select(*placed, F.length("_text").cast("long").alias("n_chars"), "_text", kept.alias("_kept"), start.alias("_start"), edited, anchors(F.col("_text")).alias("_anchors"))
+    moved = lambda found, by: F.transform(found, lambda x: x + F.shiftleft(by.cast("long"), HASH_BITS))
+    upto = lambda found, last: F.filter(found, lambda x: F.shiftright(x, HASH_BITS) <= last)
+    around = F.substring("edited", F.col("_start") + 1, F.col("_kept") - F.col("_start") + (K - 1))
+    first = F.concat(upto(F.col("_anchors"), F.col("_kept") - K), moved(anchors(around), F.col("_start")))
+    fingerprint = bind(_or_whole(F.col("_anchors"), F.col("_text")), encoded).alias("fingerprint")
+    # The length of a text is counted, so it must not stand in what is done for each anchor.
+    until = (F.length("edited") - F.col("_kept") - K).alias("_until")
+    marked = cut.select(*placed, "n_chars", "edited", "_kept", until, "_anchors", first.alias("_first"), fingerprint)
+    marked = marked.withColumn("_links", links(F.col("fingerprint")))
+    met = marked.withColumns({"_after": F.lead("_links").over(order), "_following": F.lead("_anchors").over(order)}).where(~F.col("_copy"))
+    last = moved(upto(F.col("_following"), F.col("_until")), F.col("_kept"))
+    both = bind(F.concat("_first", last), lambda x: bind(_or_whole(x, F.col("edited")), encoded))
+    near = met.withColumn("edited_fingerprint", both).withColumn("_edited", links(F.col("edited_fingerprint")))
     return near.select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
         linked(F.col("_links"), F.col("_edited")).alias("near_edited"), linked(F.col("_links"), F.col("_after")).alias("near_next"),

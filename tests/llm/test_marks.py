@@ -181,6 +181,19 @@ def test_op11_long_texts_and_table(spark):
     assert sorted((r.position, r.hash) for r in table) == plain_anchors(text) and {r.doc_id for r in table} == {5}
 
 
+def test_op11_looks_for_no_anchor_of_the_next_text_again(spark, monkeypatch):
+    calls, anchors = [], syncmers.anchors
+
+    def short(text):
+        calls.append(text)
+        return anchors(text) if len(calls) == 1 else F.when(F.length(text) > 2 * (syncmers.K - 1), F.raise_error(F.lit("looked at twice"))).otherwise(anchors(text))
+
+    monkeypatch.setattr(syncmers, "anchors", short)
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("abcdef gh") for _ in range(n))) for i, n in enumerate([400, 90, 30, 3, 1000, 25, 0, 200])]
+    assert found_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")) == plain_fingerprints(rows) and len(calls) == 2
+
+
 def test_op11_is_native(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = syncmers.fingerprints(frame)._jdf.queryExecution().executedPlan().toString()
